@@ -6,30 +6,35 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# No piece of a key holds more than 1/PIECES of all rows, and at most PIECES keys can be that large.
+# No piece of a key holds more than 1/PIECES of all rows, and fewer than PIECES keys can be that large.
 PIECES = 2048
+# A per-key table is broadcast only if it was counted and has at most this many rows.
+BROADCAST_KEYS = 200_000
 # A driver-supplied list is inlined into the plan up to this many entries; beyond it a join is used.
 INLINE_LIMIT = 2000
 
 
-def spread_join(facts: DataFrame, per_key: DataFrame, key, weight: str, row_id: str = "mail_id") -> DataFrame:
+def spread_join(facts: DataFrame, per_key: DataFrame, key, weight: str, row_id: str = "mail_id",
+                broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Left join of a fact table with a table that is unique on ``key``, safe for hot keys.
 
-    ``weight`` is a column of ``per_key`` with the number of fact rows of the key.  A key that holds more
-    than 1/PIECES of all rows is split into salted pieces; there can be fewer than PIECES such keys, so the
-    lookup that tells fact rows about them may be broadcast whatever the size of the data.  All other keys
-    are joined as they are, and Spark picks the join strategy from measured sizes.
+    ``weight`` is a column of ``per_key`` with the number of fact rows of the key.  The per-key table is
+    written once and counted.  If it is small it is broadcast and the facts are not shuffled at all.
+    Otherwise a key that holds more than 1/PIECES of all rows is split into salted pieces; fewer than PIECES
+    keys can be that large, so the list of them is always small enough to broadcast, and no task gets more
+    than its share of a key.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    total = per_key.agg(F.sum(weight).alias("total")).scalar()
-    pieces = F.ceil(F.col(weight) * PIECES / total).cast("int")
-    sized = per_key.withColumn("_pieces", F.greatest(pieces, F.lit(1)))
+    per_key = materialize(per_key)
+    n_keys, total = per_key.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    if n_keys <= broadcast_keys:
+        return _null_safe_left(facts, F.broadcast(per_key), keys)
+    sized = per_key.withColumn("_pieces", F.greatest(F.ceil(F.col(weight) * PIECES / F.lit(total)), F.lit(1)).cast("int"))
     hot = sized.filter(F.col("_pieces") > 1).select(*keys, "_pieces")
-    salted = (sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
-              .drop("_pieces"))
-    out = _null_safe_left(facts, F.broadcast(hot), keys)
-    out = out.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_pieces")), F.lit(0)).cast("int"))
-    return _null_safe_left(out.drop("_pieces"), salted, keys + ["_salt"]).drop("_salt")
+    salted = (sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces"))
+    marked = _null_safe_left(facts, F.broadcast(hot), keys).withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_pieces")), F.lit(0)).cast("int")).drop("_pieces")
+    return _null_safe_left(marked, salted, keys + ["_salt"]).drop("_salt")
 
 
 def _null_safe_left(left: DataFrame, right: DataFrame, keys) -> DataFrame:

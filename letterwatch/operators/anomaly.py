@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab as V
-from ..functions.frames import row_count, spread_join
+from ..functions.frames import materialize, spread_join
 from ..functions.text import blank_if_null, compact_labels, contains_any, filled, words_in
 from .coverage import coverage_policy
 from .risk import risk_level
@@ -90,9 +90,9 @@ def sender_anomalies(df: DataFrame, min_mails: int = 5) -> DataFrame:
     rows = df.select("mail_id", "sender", "recipient_count", "has_attachments",
                      F.to_date("time").alias("_day"), F.hour("time").alias("_hour"))
     rc = F.col("recipient_count").cast("long")
-    cells = rows.groupBy("sender", "_day", "_hour").agg(
+    cells = materialize(rows.groupBy("sender", "_day", "_hour").agg(
         F.count(F.lit(1)).alias("n"), F.sum(rc).alias("s"), F.sum(rc * rc).alias("ss"),
-        F.count_if("has_attachments").alias("files"))
+        F.count_if("has_attachments").alias("files")))
     hours = cells.where("_hour IS NOT NULL").groupBy("sender", "_hour").agg(F.sum("n").alias("hour_n"))
     days = cells.where("_day IS NOT NULL").groupBy("sender", "_day").agg(F.sum("n").alias("day_n"))
     senders = cells.groupBy("sender").agg(F.sum("n").alias("n_all"), F.sum("s").alias("s"), F.sum("ss").alias("ss"),

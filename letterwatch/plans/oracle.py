@@ -27,8 +27,8 @@ def group(stage, columns, **extra):
 
 
 # ---- sources ----
-O["src_mail_csv"] = group("raw", [("department", "department"), ("bunit", "bunit"), ("subject", "subject"),
-                                  ("attachments", "attachments"), ("has_time", "time IS NOT NULL")])
+O["src_mail_csv"] = group("raw", [("department", "department"), ("bunit", "bunit"), ("subject", "coalesce(subject, '')"),
+                                  ("attachments", "coalesce(attachments, '')"), ("has_time", "time IS NOT NULL")])
 O["validate_required"] = sql("mail_log", """SELECT 'events' AS source, 25 AS missing, (SELECT count(*) FROM events) AS table_rows
  UNION ALL SELECT 'documents', 25, (SELECT count(*) FROM documents)
  UNION ALL SELECT 'conversations', 25, (SELECT count(*) FROM conversations)
@@ -49,9 +49,9 @@ CLEAN = f"""SELECT mail_id, {RAW_TIME} AS time, last_working_day, {denan(trimmed
  attachments AS raw_files, recipient_domain FROM raw"""
 DAYS = "floor((epoch_us(time) - epoch_us(last_working_day)) / 86400000000.0)"
 O["mail_normalize"] = sql("raw", f"""SELECT mail_id, {stamp('time')} AS time, sender, recipients, subject, word_list_match,
- attachments, hour(time) AS hour, isodow(time) - 1 AS day_of_week,
+ attachments, coalesce(hour(time)::VARCHAR, '-') AS hour, coalesce((isodow(time) - 1)::VARCHAR, '-') AS day_of_week,
  coalesce(hour(time) < 8 OR hour(time) >= 18 OR isodow(time) >= 6, false) AS is_after_hours,
- CAST({DAYS} AS INT) AS days_from_last_working, coalesce({DAYS} BETWEEN -7 AND 7, false) AS is_leaver,
+ coalesce(CAST(CAST({DAYS} AS INT) AS VARCHAR), '-') AS days_from_last_working, coalesce({DAYS} BETWEEN -7 AND 7, false) AS is_leaver,
  coalesce(raw_files <> '', false) AS has_attachments,
  {joined("list_sort(list_distinct(regexp_extract_all(coalesce(raw_files, ''), '\\.([a-zA-Z0-9]+)', 1)))")} AS attachment_types,
  len(list_filter(regexp_split_to_array(recipients, '[;,\\s]+'), lambda r: contains(r, '@'))) AS recipient_count,
@@ -59,9 +59,10 @@ O["mail_normalize"] = sql("raw", f"""SELECT mail_id, {stamp('time')} AS time, se
 O["parse_time"] = sql("raw", f"SELECT mail_id, {stamp(RAW_TIME)} AS time, {stamp('last_working_day')} AS last_working_day FROM raw")
 O["clean_text"] = sql("raw", "SELECT mail_id, sender, recipients, subject, word_list_match, attachments FROM c", c=CLEAN)
 O["hour_dow"] = group("mail_log", [("hour", "hour(time)"), ("day_of_week", "isodow(time) - 1")])
-O["after_hours_flag"] = group("raw", [("hour", "hour(time)"), ("day_of_week", "isodow(time) - 1"), (
+O["after_hours_flag"] = group("raw", [("hour", "coalesce(hour(time)::VARCHAR, '-')"), (
+    "day_of_week", "coalesce((isodow(time) - 1)::VARCHAR, '-')"), (
     "is_after_hours", "coalesce(hour(time) < 8 OR hour(time) >= 18 OR isodow(time) >= 6, false)")], c=CLEAN, source="c")
-O["leaver_flag"] = group("mail_log", [("days", f"CAST({DAYS} AS INT)"), ("is_leaver", f"coalesce({DAYS} BETWEEN -7 AND 7, false)")])
+O["leaver_flag"] = group("mail_log", [("days", f"coalesce(CAST(CAST({DAYS} AS INT) AS VARCHAR), '-')"), ("is_leaver", f"coalesce({DAYS} BETWEEN -7 AND 7, false)")])
 O["attachment_flag"] = group("raw", [("attachments", "attachments"), ("has_attachments", "coalesce(attachments <> '', false)")])
 O["attachment_types"] = group("norm", [("attachments", "attachments"), ("types", joined("attachment_types"))])
 O["recipient_count"] = sql("norm", "SELECT mail_id, recipient_count FROM norm")
@@ -157,6 +158,11 @@ O["keyword_hits"] = sql("norm", f"SELECT ref, {joined(keyword_list('clean'))} AS
 O["keyword_category"] = sql("norm", f"""SELECT keyword, {k_category('keyword')} AS category, count(*) AS mails FROM
  (SELECT unnest({keyword_list('clean')}) AS keyword FROM u) GROUP BY 1, 2""", t=TXT, u=TXT2)
 O["pattern_hits"] = sql("norm", f"SELECT mail_id, {hits_of('text')} FROM (SELECT mail_id, {TEXT} AS text FROM norm)")
+# other letters than ASCII must not end a word for the checking engine either
+FOLD = "regexp_replace(lower(text), '[^[:ascii:]]', '_', 'g')"
+O["pattern_hits_documents"] = f"SELECT doc_id, {hits_of('t')} FROM (SELECT doc_id, {FOLD} AS t FROM documents)"
+O["keyword_hits_documents"] = f"""WITH d AS (SELECT doc_id, regexp_replace({cleaned('lower(text)')}, '[^\\p{{L}}\\p{{N}} ]', '  ', 'g') AS clean
+ FROM documents) SELECT doc_id, {joined(keyword_list('clean'))} AS hits FROM d"""
 O["attachment_content_score"] = sql("norm", f"""SELECT attachments, {ATT_SCORE} AS score, array_to_string(list_concat(list_concat(
  list_transform({found_in(ATT, ['.' + t for t in V.SENSITIVE_FILE_TYPES])}, lambda t: 'sensitive_file_type:' || t[2:]),
  list_transform({found_in(ATT, V.SIZE_WORDS)}, lambda w: 'large_attachment:' || w)), list_concat(
@@ -478,19 +484,19 @@ O["banking_compliance"] = sql("low", f"""SELECT mail_id, 'Compliance content sen
 IPR = f"""SELECT *, len(ip) * 2 + (CASE WHEN len(ip) > 0 AND len(bank) > 0 THEN 5 ELSE 0 END) + types + len(named) * 2 + fr AS ip_risk_score FROM (
  SELECT *, {found_in('lower(subject)', V.IP_WORDS)} AS ip, {found_in('lower(subject)', V.BANKING_WORDS)} AS bank,
  len({found_in(ATT, V.IP_FILE_TYPES)}) AS types, {found_in(ATT, V.IP_FILE_WORDS)} AS named,
- CASE WHEN {any_in('lower(subject)', V.BANKING_WORDS)} THEN 2 * len({found_in(joined('rds', ','), V.IP_FREE_MAIL)}) ELSE 0 END AS fr FROM low)"""
-O["hidden_ip_risks"] = sql("low", """SELECT mail_id, sender, subject, ip_risk_score, array_to_string(list_filter(list_concat(list_concat([
+ CASE WHEN {any_in('lower(subject)', V.BANKING_WORDS)} THEN 2 * len({found_in(joined('rds', ','), V.IP_FREE_MAIL)}) ELSE 0 END AS fr FROM {{src}})"""
+O["hidden_ip_risks"] = sql("page", """SELECT mail_id, sender, subject, ip_risk_score, array_to_string(list_filter(list_concat(list_concat([
  CASE WHEN len(ip) > 0 THEN 'IP keywords: ' || array_to_string(ip[1:3], ', ') END,
  CASE WHEN len(ip) > 0 AND len(bank) > 0 THEN 'Banking + Confidential content combination' END],
  list_transform(named, lambda w: 'Sensitive filename pattern: ' || w)),
  [CASE WHEN fr > 0 THEN 'Banking content to external domains' END]), lambda x: x IS NOT NULL), '; ') AS risk_factors,
- array_to_string(bank[1:5], ', ') AS banking_keywords, array_to_string(ip[1:5], ', ') AS ip_keywords FROM i WHERE ip_risk_score > 3""", i=IPR)
+ array_to_string(bank[1:5], ', ') AS banking_keywords, array_to_string(ip[1:5], ', ') AS ip_keywords FROM i WHERE ip_risk_score > 3""", i=IPR.format(src="page"))
 O["bau_recommendations"] = sql("low", """SELECT category, priority, value::DOUBLE AS value, action FROM (
  SELECT 'Operational Security' AS category, 'Medium' AS priority, round(count(*) FILTER (NOT is_business_hours) * 100.0 / count(*), 4) AS value,
  'Review after-hours email policies and monitoring' AS action, 20 AS lim FROM low UNION ALL
  SELECT 'Financial Data Protection', 'High', count(*), 'Implement enhanced monitoring for financial content', 0 FROM b UNION ALL
  SELECT 'Intellectual Property', 'High', count(*), 'Review classification rules and implement content-based risk scoring', 0 FROM i
- WHERE ip_risk_score > 3) WHERE value > lim""", b=BANK, i=IPR)
+ WHERE ip_risk_score > 3) WHERE value > lim""", b=BANK, i=IPR.format(src="low"))
 
 # ---- organisation ----
 WM = f"count(*) FILTER ({WORDY})"

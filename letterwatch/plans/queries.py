@@ -25,6 +25,11 @@ def stamp(c) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
+def shown(c) -> Column:
+    """Whole number as text, null as a dash."""
+    return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("-"))
+
+
 def counted(df: DataFrame, **columns) -> DataFrame:
     """Number of rows per combination of derived values: checks every row, returns few."""
     return df.select(*[c.alias(n) for n, c in columns.items()]).groupBy(*columns).agg(F.count(F.lit(1)).alias("mails"))
@@ -37,8 +42,9 @@ def src_mail_csv(spark, sf):
     path = scratch_dir(spark)
     S.sink_csv(raw_mail_log(spark, sf), path)
     back = S.src_mail_csv(spark, path)
-    return counted(back, department=F.col("department"), bunit=F.col("bunit"), subject=F.col("subject"),
-                   attachments=F.col("attachments"), has_time=F.col("time").isNotNull())
+    blank = F.lit("")           # a blank cell is read as missing
+    return counted(back, department=F.col("department"), bunit=F.col("bunit"), subject=F.coalesce("subject", blank),
+                   attachments=F.coalesce("attachments", blank), has_time=F.col("time").isNotNull())
 
 
 @query
@@ -86,7 +92,7 @@ def sink_csv(spark, sf):
                                                       "subject string, department string, business_unit string, "
                                                       "whitelist_reason string, attachments string, "
                                                       "word_list_match string").csv(path)
-    return back.select("mail_id", "time", "sender", "recipients", "department", "business_unit", "whitelist_reason")
+    return back.select("mail_id", "time", "sender", F.coalesce("recipients", F.lit("")).alias("recipients"), "department", "business_unit", "whitelist_reason")
 
 
 @query
@@ -99,8 +105,9 @@ def preview_head(spark, sf):
 @query
 def mail_normalize(spark, sf):
     return N.mail_normalize(raw_mail_log(spark, sf)).select(
-        "mail_id", stamp("time").alias("time"), "sender", "recipients", "subject", "word_list_match", "attachments", "hour",
-        "day_of_week", "is_after_hours", "days_from_last_working", "is_leaver", "has_attachments",
+        "mail_id", stamp("time").alias("time"), "sender", "recipients", "subject", "word_list_match", "attachments",
+        *[shown(c).alias(c) for c in ("hour", "day_of_week", "days_from_last_working")],
+        "is_after_hours", "is_leaver", "has_attachments",
         listed("attachment_types").alias("attachment_types"), "recipient_count",
         listed("recipient_domains").alias("recipient_domains"))
 
@@ -125,12 +132,12 @@ def hour_dow(spark, sf):
 @query
 def after_hours_flag(spark, sf):
     timed = N.hour_dow(N.parse_time(raw_mail_log(spark, sf)))
-    return counted(timed, hour=F.col("hour"), day_of_week=F.col("day_of_week"), is_after_hours=N.after_hours())
+    return counted(timed, hour=shown("hour"), day_of_week=shown("day_of_week"), is_after_hours=N.after_hours())
 
 
 @query
 def leaver_flag(spark, sf):
-    return counted(mail_log(spark, sf), days=N.day_gap(), is_leaver=N.leaver(N.day_gap()))
+    return counted(mail_log(spark, sf), days=shown(N.day_gap()), is_leaver=N.leaver(N.day_gap()))
 
 
 @query
@@ -842,7 +849,7 @@ def banking_mails(spark, sf):
 
 @query
 def hidden_ip_risks(spark, sf):
-    return U.hidden_ip_risks(B.low_risk(spark, sf)).drop("time")
+    return U.hidden_ip_risks(U.bau_scope(B.page(spark, sf), scope="all")).drop("time")
 
 
 # ---- organisation -----------------------------------------------------------

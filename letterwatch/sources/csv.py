@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from ..functions.frames import materialize
 from ..vocab import REQUIRED_COLUMNS, WHITELIST_COLUMNS
 
-CSV_OPTIONS = {"header": True, "multiLine": False, "escape": '"', "mode": "PERMISSIVE"}
+CSV_OPTIONS = {"header": True, "multiLine": False, "escape": '"', "mode": "PERMISSIVE",
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def strings(columns) -> T.StructType:
@@ -60,7 +61,8 @@ def flat(df: DataFrame) -> DataFrame:
 
 def sink_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Write one CSV folder, in parallel, with a header in each file."""
-    flat(df).write.mode(mode).options(header=True, escape='"').csv(path)
+    flat(df).write.mode(mode).options(header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                                       ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 
