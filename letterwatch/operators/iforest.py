@@ -6,14 +6,19 @@ nodes whatever the size of the log, and scoring is a vectorised Arrow function o
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.frames import exact_quantile, materialize
 from .anomaly import anomaly_features, anomaly_reasons, feature_names
 
+# the small task functions travel with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREES, SAMPLE, SEED, CONTAMINATION = 100, 256, 42, 0.1
 NODE_SCHEMA = "tree int, node int, feature int, cut double, below int, above int, path double"
 
@@ -61,7 +66,6 @@ def fit_forest(features: DataFrame, columns, trees: int = TREES, sample: int = S
     tickets = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
                .withColumn("ticket", F.xxhash64(F.lit(seed + 1), "tree", "mail_id"))
                .where(_hash_below(F.col("ticket"), draw_share)))
-    from pyspark.sql import Window
     drawn = (tickets.withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy("ticket", "mail_id")))
              .where(F.col("r") <= size).select("tree", "mail_id", *columns))
     limit = max(1, math.ceil(math.log2(max(size, 2))))

@@ -4,10 +4,10 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import vocab as V
-from ..functions.frames import INLINE_LIMIT, inline_values, row_count, share, spread_join
+from ..functions.frames import INLINE_LIMIT, inline_values, spread_join
 from ..functions.text import blank_if_null, col, compact_labels, contains_any, filled, is_blank, memo, strip
 from .normalize import comma_recipients
 from .whitelist import whitelist_reason
@@ -151,12 +151,7 @@ def tier_kpis(df: DataFrame) -> DataFrame:
     tiered = df.select(alert_tier().alias("tier"), "risk_score")
     return (tiered.groupBy("tier").agg(F.count(F.lit(1)).alias("mails"),
                                        F.round(F.avg("risk_score"), 4).alias("mean_score"))
-            .withColumn("pct", F.round(F.col("mails") * 100.0 / F.sum("mails").over(_all_rows()), 4)))
-
-
-def _all_rows():
-    from pyspark.sql import Window
-    return Window.partitionBy()          # only used on the four tier rows
+            .withColumn("pct", F.round(F.col("mails") * 100.0 / F.sum("mails").over(Window.partitionBy()), 4)))   # four rows
 
 
 def tier_views(df: DataFrame, tier: str | None = None) -> DataFrame:

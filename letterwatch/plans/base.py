@@ -1,4 +1,4 @@
-"""The shared stages that the catalogue queries start from.  All lazy."""
+"""The shared stages that the catalogue queries start from."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
