@@ -142,34 +142,36 @@ def _span2_struct(dims):
     return _total([span(d) for d in dims])
 
 
-def connected_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): label is the smallest node of the component.
 
-    Minimum labels move along edges, then every label jumps to the label of its label.  The number of edges
-    per node is bounded by the grid; the jump joins on labels, where a large component is a hot key, and is
-    split accordingly.
+    Every label that sees a smaller one across an edge hooks onto it, chains of hooks are shortened, and the
+    nodes follow; the number of labels shrinks by a factor per round.  Edges per node are bounded by the
+    grid; joins on labels, where a large component is a hot key, are split.
     """
     both = materialize(edges.select(F.inline(F.array(
         F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
         F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))).distinct())
     labels = materialize(nodes.select("node", F.col("node").alias("label")))
-    if both.isEmpty():
-        return labels
-    for _ in range(max_rounds):
-        offered = (both.join(labels, both["src"] == labels["node"]).groupBy("dst")
-                   .agg(F.min("label").alias("offer")))
-        moved = (labels.join(offered, labels["node"] == offered["dst"], "left")
-                 .select("node", F.col("label").alias("old"), F.least("label", F.coalesce("offer", "label")).alias("label")))
-        moved = materialize(moved)
-        sizes = moved.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-        targets = (moved.select(F.col("node").alias("t"), F.col("label").alias("_next"))
-                   .join(sizes.withColumnRenamed("label", "t"), "t").withColumnRenamed("t", "label"))
-        jumped = spread_join(moved, targets, "label", "_n", row_id="node")
-        labels = materialize(jumped.select("node", "old", F.least("label", F.coalesce("_next", "label")).alias("label")))
-        if labels.where("old <> label").isEmpty():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
-    raise RuntimeError("component labels did not settle")
+    while True:
+        seen = both.join(labels.select(F.col("node").alias("src"), F.col("label").alias("other")), "src")
+        hooks = materialize(
+            seen.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("root")), "dst")
+            .where("other < root").groupBy("root").agg(F.min("other").alias("up")))
+        if hooks.isEmpty():
+            return labels
+        short = _shorten(_shorten(hooks))
+        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+        moves = short.withColumnRenamed("root", "label").join(sizes, "label")
+        labels = materialize(spread_join(labels, moves, "label", "_n", row_id="node")
+                             .select("node", F.coalesce("up", "label").alias("label")))
+
+
+def _shorten(hooks: DataFrame) -> DataFrame:
+    """Let every hook point where its target points."""
+    uses = hooks.groupBy("up").agg(F.count(F.lit(1)).alias("_n"))
+    onward = hooks.select(F.col("root").alias("up"), F.col("up").alias("top")).join(uses, "up")
+    return spread_join(hooks, onward, "up", "_n", row_id="root").select("root", F.coalesce("top", "up").alias("up"))
 
 
 def anomaly_clusters(df: DataFrame, eps: float = 0.5) -> DataFrame:
