@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import domains as D
 from ..functions.frames import spread_join, value_at_rank
-from ..functions.text import blank_if_null, col, filled, strip, truncate_ellipsis
+from ..functions.text import blank_if_null, filled, strip, truncate_ellipsis
 
 
 

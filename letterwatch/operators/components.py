@@ -45,11 +45,11 @@ def _span2(dims, a, b):
     return _total([span(d) for d in dims])
 
 
-def eps_components(points: DataFrame, dims, keys, eps: float, tolerance: float = 1e-12) -> DataFrame:
-    """(root, label) for all cells of ``points`` (columns: mail_id, n, dims, keys).
+def eps_components(points: DataFrame, dims, keys, eps: float, tolerance: float = 1e-12):
+    """Points with their grid cell, cells with their component label, and the names of the cell columns.
 
-    ``keys`` are columns in which close points must agree.  Returns the points with their component label,
-    which is the smallest mail_id of the component.
+    ``points`` has mail_id, n, ``dims`` and ``keys``, the columns in which close points must agree.  The label
+    is the smallest mail_id of the component.
     """
     side = eps / math.sqrt(max(1, len(dims)))
     reach = math.ceil(eps / side)

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import domains as D
 from ..functions.frames import row_count, share
-from ..functions.text import filled, is_blank, listed
+from ..functions.text import filled, listed
 
 
 def classify_domains(df: DataFrame) -> DataFrame:

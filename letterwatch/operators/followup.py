@@ -6,8 +6,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as V
-from ..functions.frames import row_count, share
-from ..functions.text import blank_if_null, col, compact_labels
+from ..functions.frames import share
+from ..functions.text import blank_if_null, compact_labels
 from ..templates import FALLBACK_KIND, TEMPLATES
 from .anomaly import one_decimal
 from .normalize import format_mail_date, name_from_address

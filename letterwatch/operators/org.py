@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import domains as D
 from ..functions.frames import row_count, share
 from ..functions.text import blank_if_null, filled
 from .content import has_word_match

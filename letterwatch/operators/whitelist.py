@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.frames import INLINE_LIMIT, inline_values, row_count, share
-from ..functions.text import blank_if_null, col, filled, strip
+from ..functions.text import blank_if_null, filled, strip
 
 
 def _domain_of(address: Column) -> Column:

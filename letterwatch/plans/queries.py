@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import content as C, domains as D
-from ..functions.frames import scratch_dir, share
-from ..functions.text import compact_labels, listed, truncate_ellipsis
+from ..functions.frames import scratch_dir
+from ..functions.text import listed, truncate_ellipsis
 from ..operators import (anomaly as A, bau as U, behaviour as H, components, content as K, coverage as G, domains as DO,
                          followup as Q, iforest as I, normalize as N, org as O, risk as R, whitelist as W)
 from ..sources import csv as S
