@@ -6,6 +6,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 os.environ.setdefault("PYTHONPATH", os.path.dirname(os.path.abspath(__file__)))
 
+from letterwatch.functions import frames  # noqa: E402
 from letterwatch.plans import base  # noqa: E402
 from letterwatch.plans.queries import QUERIES  # noqa: E402
 
@@ -36,6 +38,7 @@ def main():
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("letterwatch-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
              .config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
@@ -49,6 +52,7 @@ def main():
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
                       "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
+    frames.clear_scratch(spark)
     spark.stop()
 
 

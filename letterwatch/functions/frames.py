@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # No piece of a key holds more than 1/PIECES of all rows, and fewer than PIECES keys can be that large.
 PIECES = 2048
@@ -103,12 +103,31 @@ def value_at_rank(df: DataFrame, column: str, rank: int, buckets: int = 4096, sm
     return lo
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder name under the shared folder the cluster names; a local one only if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def scratch_root(spark: SparkSession) -> str:
+    """The session's own folder under the shared folder named in ``spark.checkpoint.dir``.
+
+    Without that setting a machine-local folder is made, but only on a local master: on a cluster every executor would
+    write to its own disk, so a missing setting is an error there.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="letterwatch-")
-    return f"{base.rstrip('/')}/letterwatch-{uuid.uuid4().hex}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/letterwatch-{context.applicationId}"
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder name under the session's scratch folder."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every copy this session has written; frames read from them are unusable afterwards."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -119,18 +138,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dense_positions(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Add the zero-based position of each row in the order of a unique column, without a global window.
+def dense_positions(df: DataFrame, order, name: str) -> DataFrame:
+    """Add the zero-based position of each row in the given order (a column or a list of them), without a global window.
 
-    Rows are range-partitioned and sorted; the written copy fixes the partitions, and only the partition
-    sizes are added up.
+    Rows are range-partitioned and sorted, so that no value of a leading column has to fit one task as long as the order
+    as a whole is nearly unique; the written copy fixes the partitions, and only their sizes are added up.
     """
+    keys = [order] if isinstance(order, (str, Column)) else list(order)
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    placed = materialize(df.repartitionByRange(int(parts), order).sortWithinPartitions(order).withColumns(
+    placed = materialize(df.repartitionByRange(int(parts), *keys).sortWithinPartitions(*keys).withColumns(
         {"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = (sizes.select(F.col("_part").alias("p"), "n").alias("a")
-               .join(sizes.select("_part").alias("b"), F.col("a.p") < F.col("b._part"))
-               .groupBy("_part").agg(F.sum("n").alias("_before")))          # one row per partition
-    return (placed.join(F.broadcast(earlier), "_part", "left")
-            .withColumn(name, F.col("_pos") + F.coalesce("_before", F.lit(0))).drop("_part", "_pos", "_before"))
+    sizes = placed.groupBy(F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sizes.select("_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))    # one row per partition
+    return (placed.join(F.broadcast(earlier), F.col("_part") == F.col("_p"))
+            .withColumn(name, F.col("_pos") + F.col("_before")).drop("_part", "_p", "_pos", "_before"))

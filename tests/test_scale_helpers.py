@@ -88,3 +88,16 @@ def test_forest_finds_planted_mails_and_is_stable(spark):
     assert a == {r["mail_id"]: r["sample_score"] for r in again.collect()}
     cut = np.quantile(list(a.values()), 0.05)
     assert all(a[i] < cut for i in range(2000, 2020))
+
+
+def test_dense_positions_by_several_columns_with_nulls_and_a_hot_value(spark):
+    df = spark.range(2000).select(F.when(F.col("id") % 3 != 0, "hot").when(F.col("id") % 7 == 0, None).otherwise("cold").alias("k"), "id")
+    got = frames.dense_positions(df, [F.col("k").asc_nulls_last(), F.col("id").desc()], "p").orderBy("p").collect()
+    want = sorted(df.collect(), key=lambda r: (r["k"] is None, r["k"] or "", -r["id"]))
+    assert [(r["k"], r["id"]) for r in got] == [tuple(r) for r in want] and [r["p"] for r in got] == list(range(2000))
+
+
+def test_scratch_copies_lie_under_one_root(spark):
+    frames.materialize(spark.range(3))
+    assert frames.scratch_dir(spark).startswith(frames.scratch_root(spark) + "/")
+    assert frames.scratch_root(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
