@@ -1,8 +1,10 @@
 """The queries of this subpackage and their checking SQL."""
 from __future__ import annotations
 
-from . import simhash, token_count
+from ..functions.frames import materialize
+from . import mixing, quality_rules, simhash, token_count, url_filter
 from .common import table
+from .oracle import ORACLE  # noqa: F401
 
 
 def op3_token_counts(spark, sf_dir):
@@ -10,13 +12,29 @@ def op3_token_counts(spark, sf_dir):
     return rows.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    stats = materialize(quality_rules.text_stats(docs).drop("text"))
+    return quality_rules.judge(stats).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
+
+
+def op7_mixing(spark, sf_dir):
+    sizes = mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    return mixing.mix_sized(materialize(sizes)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_url_filter(spark, sf_dir):
+    return url_filter.url_filter(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_mixing": op7_mixing,
+    "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
 }
-
-ORACLE: dict[str, str] = {}
