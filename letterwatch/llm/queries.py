@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from ..functions.frames import materialize
-from . import mixing, quality_rules, simhash, token_count, url_filter
+from . import fingerprint, mixing, quality_rules, simhash, token_count, url_filter
 from .common import table
 from .oracle import ORACLE  # noqa: F401
 
@@ -18,6 +18,10 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules.judge(stats).select("doc_id", *quality_rules.STATS, "base_failed", "kept")
 
 
+def op6_fingerprints(spark, sf_dir):
+    return fingerprint.order_minhash(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark, sf_dir):
     sizes = mixing.sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     return mixing.mix_sized(materialize(sizes)).select("doc_id", "size", "source_size", "target", "taken")
@@ -34,6 +38,7 @@ def op9_simhash(spark, sf_dir):
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
