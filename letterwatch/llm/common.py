@@ -6,6 +6,8 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.frames import materialize
+
 # A word is a run of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
@@ -56,3 +58,15 @@ def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
     if total <= bound:
         return df
     return df.where(F.pmod(F.xxhash64(key, F.lit("fit")), F.lit(1 << 20)) < int(bound / total * (1 << 20)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, folds: int, held_out: int, bound: int) -> DataFrame:
+    """(doc_id, text, label) of about ``bound`` labelled documents at most, none of them of the held-out fold.
+
+    The labels alone are counted and thinned by a hash of the id, so the broadcast side has a fixed bound and no text is
+    shuffled.  Of contradicting labels of one id the larger counts.  Written once, as fitting reads it several times.
+    """
+    known = labels.where(F.col(column).isin(0, 1) & (fold(F.col("doc_id"), folds) != held_out)).groupBy("doc_id").agg(
+        F.max(column).cast("int").alias("label"))
+    few = materialize(bounded_sample(known, F.col("doc_id"), bound))
+    return materialize(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id"))

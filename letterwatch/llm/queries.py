@@ -2,11 +2,27 @@
 from __future__ import annotations
 
 from ..functions.frames import materialize
-from . import fingerprint, mixing, quality_rules, simhash, token_count, url_filter
-from .common import table
+from pyspark.sql import functions as F
+
+from . import fingerprint, langid, mixing, quality, quality_rules, simhash, token_count, toxicity, url_filter
+from .common import fold, labelled_sample, table
 from .oracle import ORACLE  # noqa: F401
 
 
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", 5, 0, quality.FIT_ROWS)
+    scored = quality.quality(docs, quality.fit(sample), threshold=0.3)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(langid.training_rows(docs, folds=4, held_out=2))
+    judged = langid.identify(docs.select("doc_id", "text"), model)
+    return judged.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_token_counts(spark, sf_dir):
     rows = token_count.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -35,11 +51,21 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", 5, 0, toxicity.FIT_ROWS)
+    scored = toxicity.toxicity(docs, toxicity.fit(sample), threshold=0.5)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
