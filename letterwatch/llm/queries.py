@@ -4,7 +4,7 @@ from __future__ import annotations
 from ..functions.frames import materialize
 from pyspark.sql import functions as F
 
-from . import fingerprint, langid, mixing, quality, quality_rules, simhash, token_count, toxicity, url_filter
+from . import fingerprint, langid, mixing, quality, quality_rules, sentencepiece, simhash, token_count, toxicity, url_filter
 from .common import fold, labelled_sample, table
 from .oracle import ORACLE  # noqa: F401
 
@@ -28,6 +28,12 @@ def op3_token_counts(spark, sf_dir):
     return rows.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_sentencepiece(spark, sf_dir):
+    coded = sentencepiece.decode(sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
+                        F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op5_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     stats = materialize(quality_rules.text_stats(docs).drop("text"))
@@ -62,6 +68,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op6_fingerprints": op6_fingerprints,
     "op7_mixing": op7_mixing,
