@@ -18,7 +18,7 @@ BUCKETS = 1 << 13                  # features that n-grams of one to three lette
 CHARS_AT_ONCE = 1 << 20
 ROUNDS = 10
 SHARPNESS = 20.0                   # of the score, which compares the best cosine of each language
-NEAR = 0.5                         # a text is rejected below this share of the language's low quantile of cosines
+NEAR = 0.35                        # a text is rejected below this share of the language's low quantile of cosines
 LOW_QUANTILE = 0.01
 UNKNOWN = "und"
 

@@ -1,9 +1,11 @@
 """The queries of this subpackage and their checking SQL."""
 from __future__ import annotations
 
-from ..functions.frames import materialize
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
+from ..functions.frames import materialize
 from . import fingerprint, langid, mixing, quality, quality_rules, sentencepiece, simhash, token_count, toxicity, url_filter
 from .common import fold, labelled_sample, table
 from .oracle import ORACLE  # noqa: F401
@@ -75,4 +77,5 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }

@@ -155,7 +155,22 @@ def links(prints: DataFrame, distance: int, n_blocks: int) -> DataFrame:
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(compare, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 2, n_blocks: int = 4, doc_id: str = "doc_id") -> DataFrame:
+def grouped(df: DataFrame, shingle: int, distance: int, n_blocks: int) -> DataFrame:
+    """(doc_id, key, fp, label, component_id) of every row: ``key`` is the same for rows of equal id and text only (but for hash
+    collisions within one id), ``label`` is the same for rows of one component."""
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")))
+    prints = materialize(fingerprints(df.select("doc_id", "text").withColumn("key", key), shingle).select("doc_id", "key", "fp"))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    labels = materialize(connected_components(links(distinct.select("fp"), distance, n_blocks)))
+    labelled = distinct.join(labels.withColumnRenamed("node", "fp"), "fp")
+    tops = labelled.groupBy("component").agg(F.min("first").alias("top"))
+    linked = labelled.join(tops, "component").select(F.col("fp").alias("_fp"), "component", "top")
+    named = materialize(distinct.join(linked, F.col("fp") == F.col("_fp"), "left").select(     # written, so that the join below can be split
+        "fp", F.coalesce("component", "fp").alias("label"), F.coalesce("top", "first").alias("component_id")))
+    return prints.join(named, "fp")
+
+
+def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 2, n_blocks: int = 4) -> DataFrame:
     """(``doc_id``, ``fingerprint``, ``component_id``) of every row of a table with ids and texts.
 
     Words are lower-cased (A-Z only) and joined to ``shingle``-word shingles; a text with fewer words is one shingle, and one
@@ -164,12 +179,17 @@ def near_duplicates(df: DataFrame, shingle: int = 3, distance: int = 2, n_blocks
     so copies cost nothing.  Repeated rows stay repeated; a null id belongs to its component without naming it (null if the
     component has no other id).  Other columns are ignored; an empty table gives an empty table.
     """
-    prints = materialize(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col("text")), shingle).select("doc_id", "fp"))
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = materialize(connected_components(links(distinct.select("fp"), distance, n_blocks)))
-    labelled = distinct.join(labels.withColumnRenamed("node", "fp"), "fp")
-    tops = labelled.groupBy("component").agg(F.min("first").alias("top"))
-    linked = labelled.join(tops, "component").select(F.col("fp").alias("_fp"), "top")
-    named = distinct.join(linked, F.col("fp") == F.col("_fp"), "left").select("fp", F.coalesce("top", "first").alias("component_id"))
-    return prints.join(named, "fp").select(
-        F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(df, shingle, distance, n_blocks).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, shingle: int = 3, distance: int = 2, n_blocks: int = 4) -> DataFrame:
+    """The input's columns, one row of each group of near-duplicates: that with the smallest id, of equal ids any one text.
+
+    Rows without an id are groups' last choice.  Other cases are those of ``near_duplicates``.
+    """
+    rows = grouped(df, shingle, distance, n_blocks)
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
+    kept = materialize(first.select(F.col("m.key").alias("_key")))
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")))
+    return without(df, "_key").withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
