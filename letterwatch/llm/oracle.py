@@ -26,8 +26,8 @@ counts AS (SELECT doc_id, lang, source, len(w)::BIGINT n_words, length(regexp_re
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT n_symbols, (len(ln) - len(list_distinct(ln)))::BIGINT n_dup_lines,
     coalesce(n, 0)::BIGINT n_repeat_words, greatest(len(ln), 1) n_lines FROM split LEFT JOIN covered USING (doc_id)),
 based AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_SHARE} * n_words base_failed FROM counts),
-rated AS (SELECT *, 100 * word_chars // n_words word_length, 1000 * n_symbols // n_words symbol_rate,
-    1000 * n_dup_lines // n_lines dup_line_rate, 1000 * n_repeat_words // n_words repeat_rate FROM based),
+rated AS (SELECT *, 100 * word_chars // nullif(n_words, 0) word_length, 1000 * n_symbols // nullif(n_words, 0) symbol_rate,
+    1000 * n_dup_lines // n_lines dup_line_rate, 1000 * n_repeat_words // nullif(n_words, 0) repeat_rate FROM based),
 long AS (SELECT lang, source, metric, CASE metric {value} END v FROM rated, (VALUES {", ".join(f"('{m}')" for m in metrics)}) x(metric)
     WHERE NOT base_failed),
 binned AS (SELECT lang, source, metric, CASE WHEN v < 32 THEN v ELSE (length(bin(v)) - 5) * 16 + (v >> (length(bin(v)) - 5)) END bucket, count(*) n

@@ -53,9 +53,10 @@ def text_stats(df: DataFrame) -> DataFrame:
 
 
 def rates() -> dict[str, Column]:
-    n, lines = F.col("n_words"), F.greatest("n_lines", F.lit(1))
-    return {"word_length": F.expr("100 * word_chars div n_words"), "symbol_rate": F.expr("1000 * n_symbols div n_words"),
-            "dup_line_rate": F.floor(1000 * F.col("n_dup_lines") / lines), "repeat_rate": F.floor(1000 * F.col("n_repeat_words") / n)}
+    """Whole numbers; null for a text without words."""
+    some, lines = F.expr("nullif(n_words, 0)"), F.greatest("n_lines", F.lit(1))
+    return {"word_length": F.floor(100 * F.col("word_chars") / some), "symbol_rate": F.floor(1000 * F.col("n_symbols") / some),
+            "dup_line_rate": F.floor(1000 * F.col("n_dup_lines") / lines), "repeat_rate": F.floor(1000 * F.col("n_repeat_words") / some)}
 
 
 def bucket(v: Column) -> Column:
