@@ -78,8 +78,8 @@ def pattern_regex(name: str) -> str:
     pattern = next(p for n, p, _ in V.DATA_PATTERNS if n == name)
     if name != "email":                       # begins and ends with a word character
         first, last = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-        return "(?i)" + "|".join(first + alternative.strip("@") + last for alternative in pattern.split("|"))
-    return "(?i)" + pattern.replace("@", EDGE)
+        return "(?i)" + "|".join(first + alternative.removeprefix(r"\b").removesuffix(r"\b") + last for alternative in pattern.split("|"))
+    return "(?i)" + pattern.replace(r"\b", EDGE)
 
 
 def _possible(text: Column, name: str) -> Column:

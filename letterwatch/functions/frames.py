@@ -8,30 +8,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # No piece of a key holds more than 1/PIECES of all rows, and fewer than PIECES keys can be that large.
 PIECES = 2048
-# A per-key table is broadcast only if it was counted and has at most this many rows.
+# A per-key table is broadcast only if it was measured and has at most this many rows and bytes of text.
 BROADCAST_KEYS = 200_000
+BROADCAST_BYTES = 64 << 20
 # A driver-supplied list is inlined into the plan up to this many entries; beyond it a join is used.
 INLINE_LIMIT = 2000
 
 
-def spread_join(facts: DataFrame, per_key: DataFrame, key, weight: str, row_id: str = "mail_id",
-                broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def spread_join(facts: DataFrame, per_key: DataFrame, key, row_id: str = "mail_id", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Left join of a fact table with a table that is unique on ``key``, safe for hot keys.
 
-    ``weight`` is a column of ``per_key`` with the number of fact rows of the key.  The per-key table is
-    written once and counted.  If it is small it is broadcast and the facts are not shuffled at all.
-    Otherwise a key that holds more than 1/PIECES of all rows is split into salted pieces; fewer than PIECES
-    keys can be that large, so the list of them is always small enough to broadcast, and no task gets more
-    than its share of a key.
+    The per-key table is written once and measured.  If both its rows and its bytes are few it is broadcast and the facts
+    are not shuffled at all.  Otherwise the facts are counted by key, whether or not the per-key table knows the key (null
+    included), and a key that holds more than 1/PIECES of all facts is split into salted pieces; fewer than PIECES keys
+    can be that large, so the list of them is always small enough to broadcast, and no task gets more than its share.
     """
     keys = [key] if isinstance(key, str) else list(key)
     per_key = materialize(per_key)
-    n_keys, total = per_key.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    if n_keys <= broadcast_keys:
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in per_key.columns), F.lit(8))
+    n_keys, n_bytes = per_key.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    if n_keys <= broadcast_keys and n_bytes <= BROADCAST_BYTES:
         return _null_safe_left(facts, F.broadcast(per_key), keys)
-    sized = per_key.withColumn("_pieces", F.greatest(F.ceil(F.col(weight) * PIECES / F.lit(total)), F.lit(1)).cast("int"))
-    hot = sized.filter(F.col("_pieces") > 1).select(*keys, "_pieces")
-    salted = (sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces"))
+    counts = materialize(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("_rows") * PIECES > total).select(*keys, F.ceil(F.col("_rows") * PIECES / F.lit(max(total, 1))).cast("int").alias("_pieces"))
+    salted = (_null_safe_left(per_key, F.broadcast(hot), keys)
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))).drop("_pieces"))
     marked = _null_safe_left(facts, F.broadcast(hot), keys).withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(row_id), F.col("_pieces")), F.lit(0)).cast("int")).drop("_pieces")
     return _null_safe_left(marked, salted, keys + ["_salt"]).drop("_salt")

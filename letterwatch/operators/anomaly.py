@@ -36,7 +36,7 @@ def anomaly_features(df: DataFrame, domain_type_col: str = "email_domain_type",
         *[F.coalesce((F.col(domain_type_col) == t).cast("int"), F.lit(0)).alias(f"domain_{t}") for t in domain_types])
     depts = rows.where("department IS NOT NULL").groupBy("department").agg(F.count(F.lit(1)).alias("dept_frequency"))
     senders = rows.where("sender IS NOT NULL").groupBy("sender").agg(F.count(F.lit(1)).alias("sender_frequency"))
-    joined = spread_join(spread_join(rows, depts, "department", "dept_frequency"), senders, "sender", "sender_frequency")
+    joined = spread_join(spread_join(rows, depts, "department"), senders, "sender")
     return joined.select("mail_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in feature_names(domain_types)])
 
 
@@ -52,7 +52,7 @@ def anomaly_reasons(df: DataFrame, flagged_only: bool = False) -> DataFrame:
     """Add ``anomaly_reasons``: the first four of eight explanations, separated by bars."""
     stats = df.groupBy("sender").agg(F.avg("recipient_count").alias("_mean"), F.count(F.lit(1)).alias("_n"))
     rows = df.where("is_anomaly") if flagged_only else df
-    joined = spread_join(rows, stats, "sender", "_n")
+    joined = spread_join(rows, stats, "sender")
     types = F.lower(F.array_join("attachment_types", ","))
     words, files = blank_if_null("word_list_match"), F.lower(blank_if_null("attachments"))
     outside = external_domains()
@@ -112,7 +112,7 @@ def sender_anomalies(df: DataFrame, min_mails: int = 5) -> DataFrame:
                         F.coalesce((F.col("day_count") >= 3) & (F.col("day_std") > 0)
                                    & ((F.col("day_n") - F.col("day_mean")) / F.nullif(F.col("day_std"), F.lit(0.0)) > 2),
                                    F.lit(False)).alias("_v")))
-    joined = spread_join(rows, per_cell, ["sender", "_day", "_hour"], "_n")
+    joined = spread_join(rows, per_cell, ["sender", "_day", "_hour"])
     z = (F.col("recipient_count") - F.col("rc_mean")) / F.when(F.col("rc_std") > 0, F.col("rc_std"))
     content = F.coalesce(z > 2, F.lit(False)) | ((F.col("file_rate") < 0.1) & F.col("has_attachments"))
     def known(c):

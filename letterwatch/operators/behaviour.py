@@ -50,7 +50,7 @@ def new_domains_lookback(df: DataFrame, days: int = 30) -> DataFrame:
     exploded = recent.select("mail_id", "sender", "time", F.explode_outer("recipient_domains").alias("domain"))
     fresh = (exploded.where("domain IS NOT NULL").groupBy("sender", "domain").agg(_count().alias("_n"))
              .join(known, "sender", "left_semi").join(seen, ["sender", "domain"], "left_anti"))
-    hits = spread_join(exploded, fresh, ["sender", "domain"], "_n")
+    hits = spread_join(exploded, fresh, ["sender", "domain"])
     return (hits.groupBy("mail_id").agg(F.first("sender").alias("sender"), F.first("time").alias("time"),
                                         F.bool_or(F.col("_n").isNotNull()).alias("has_new_domain")))
 
@@ -73,7 +73,7 @@ def burst_flag(df: DataFrame, window_minutes: int = 60, min_mails: int = 5) -> D
     bursts = (seen.withColumn("near", F.sum("n").over(w))
               .where((F.col("bucket") == F.col("home")) & (F.col("near") >= min_mails))
               .select(*pair, F.col("n").alias("_n")))
-    hits = spread_join(rows, bursts, pair, "_n").withColumn("_hit", F.col("_n").isNotNull())
+    hits = spread_join(rows, bursts, pair).withColumn("_hit", F.col("_n").isNotNull())
     return _per_mail(df, hits, "has_burst_pattern")
 
 

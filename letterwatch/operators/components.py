@@ -163,7 +163,7 @@ def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         short = _shorten(_shorten(hooks))
         sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
         moves = short.withColumnRenamed("root", "label").join(sizes, "label")
-        labels = materialize(spread_join(labels, moves, "label", "_n", row_id="node")
+        labels = materialize(spread_join(labels, moves, "label", row_id="node")
                              .select("node", F.coalesce("up", "label").alias("label")))
 
 
@@ -171,7 +171,7 @@ def _shorten(hooks: DataFrame) -> DataFrame:
     """Let every hook point where its target points."""
     uses = hooks.groupBy("up").agg(F.count(F.lit(1)).alias("_n"))
     onward = hooks.select(F.col("root").alias("up"), F.col("up").alias("top")).join(uses, "up")
-    return spread_join(hooks, onward, "up", "_n", row_id="root").select("root", F.coalesce("top", "up").alias("up"))
+    return spread_join(hooks, onward, "up", row_id="root").select("root", F.coalesce("top", "up").alias("up"))
 
 
 def anomaly_clusters(df: DataFrame, eps: float = 0.5) -> DataFrame:
@@ -207,4 +207,4 @@ def cluster_points(features: DataFrame, stats, dims, keys, eps: float) -> DataFr
                            .select(*keys, *cells, "cell_n", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster")))
     side = eps / math.sqrt(max(1, len(names)))
     at = scaled.withColumns({g: F.floor(F.col(x) / side).cast("long") for g, x in zip(cells, names)})
-    return spread_join(at, clusters, keys + cells, "cell_n").select("mail_id", "cluster")
+    return spread_join(at, clusters, keys + cells).select("mail_id", "cluster")

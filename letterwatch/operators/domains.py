@@ -91,7 +91,7 @@ def _pair_counts(df: DataFrame) -> DataFrame:
                       F.explode(D.recipient_domains("recipients")).alias("recipient_domain"))
             .groupBy("sender_domain", "recipient_domain")
             .agg(F.count(F.lit(1)).alias("mails"),
-                 F.min(F.struct("time", "mail_id")).alias("first_seen")))
+                 F.min(F.struct(F.col("time").isNull().alias("undated"), "time", "mail_id")).alias("first_seen")))
 
 
 def sender_domain_stats(df: DataFrame) -> DataFrame:

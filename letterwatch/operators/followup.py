@@ -28,10 +28,10 @@ def followup_select(df: DataFrame, levels=("High", "Medium"), departments=None,
 
 
 def followup_queue(selection: DataFrame, selected_at, queue: DataFrame | None = None) -> DataFrame:
-    """Append a selection to the queue; the id is derived from the mail, so a rerun gives the same id."""
+    """Append a selection to the queue; the id is derived from mail and selection time, so a rerun gives the same id."""
     at = selected_at if isinstance(selected_at, Column) else F.lit(selected_at)
-    fresh = selection.withColumns({
-        "selection_id": F.concat(F.lit("evt_"), F.hex(F.xxhash64("mail_id"))), "selected_at": at.cast("timestamp")})
+    fresh = selection.withColumn("selected_at", at.cast("timestamp")).withColumn(
+        "selection_id", F.concat(F.lit("evt_"), F.hex(F.xxhash64("mail_id", "selected_at"))))
     return fresh if queue is None else queue.unionByName(fresh, allowMissingColumns=True)
 
 

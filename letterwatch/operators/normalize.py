@@ -108,7 +108,7 @@ def name_from_address(address="sender") -> Column:
     user = F.substring_index(blank_if_null(address), "@", 1)
 
     def capital(c: Column) -> Column:
-        return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 10_000)))
+        return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))
     parts = F.split(user, r"\.")
     return (F.when(~F.contains(blank_if_null(address), F.lit("@")), "Colleague")
             .when(F.contains(user, F.lit(".")),

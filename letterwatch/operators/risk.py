@@ -68,24 +68,31 @@ def sender_counts(df: DataFrame) -> DataFrame:
 def risk_volume(df: DataFrame) -> DataFrame:
     """Add ``risk_volume``: 10 points if the sender has more than ten mails in the frame."""
     busy = sender_counts(df).where((F.col("sender_mails") > BUSY_SENDER) & filled("sender"))
-    return (spread_join(df, busy, "sender", "sender_mails")
+    return (spread_join(df, busy, "sender")
             .withColumn("risk_volume", F.when(F.col("sender_mails").isNotNull(), 10).otherwise(0))
             .drop("sender_mails"))
 
 
-def risk_whitelist_credit(df: DataFrame, whitelist: DataFrame) -> DataFrame:
-    """Add ``risk_whitelist_credit``: 30 if the sender address or its domain is listed."""
+def risk_whitelist_credit(df: DataFrame, whitelist: DataFrame, inline_limit: int = INLINE_LIMIT) -> DataFrame:
+    """Add ``risk_whitelist_credit``: 30 if the sender address or its domain is listed.
+
+    The domain is the lower-cased second part of the address.  A short list is a constant hash set; a longer one is
+    semi-joined with the distinct senders, and the listed senders are joined back.  Both give the same points.
+    """
     domain = F.lower(strip(F.split_part(blank_if_null("sender"), F.lit("@"), F.lit(2))))
-    addresses = inline_values(whitelist.where(filled("email_address")), "email_address", INLINE_LIMIT)
-    domains = inline_values(whitelist.where(filled("domain")), "domain", INLINE_LIMIT)
+    by_address = whitelist.where(filled("email_address"))
+    by_domain = whitelist.where(filled("domain"))
+    addresses = inline_values(by_address, "email_address", inline_limit)
+    domains = inline_values(by_domain, "domain", inline_limit)
     if addresses is not None and domains is not None:
         hit = filled("sender") & (F.col("sender").isin(addresses) | domain.isin(domains))
         return df.withColumn("risk_whitelist_credit", F.when(hit, 30).otherwise(0))
-    reasons = whitelist_reason(df.withColumn("recipients", F.lit("")).select("mail_id", "sender", "recipients"),
-                               whitelist).select("mail_id", "whitelist_reason")
-    return (df.join(reasons, "mail_id", "left")
-            .withColumn("risk_whitelist_credit", F.when(F.col("whitelist_reason").isNotNull(), 30).otherwise(0))
-            .drop("whitelist_reason"))
+    senders = df.where(filled("sender")).select("sender", domain.alias("_domain")).distinct()
+    listed = (senders.join(by_address.select(F.col("email_address").alias("sender")), "sender", "left_semi")
+              .unionByName(senders.join(by_domain.select(F.col("domain").alias("_domain")), "_domain", "left_semi"))
+              .select("sender", F.lit(True).alias("_listed")).distinct())
+    return (spread_join(df, listed, "sender").withColumn("risk_whitelist_credit", F.when(F.col("_listed"), 30).otherwise(0))
+            .drop("_listed"))
 
 
 RISK_PARTS = ["risk_domain", "risk_content", "risk_attachment", "risk_timing", "risk_recipients", "risk_leaver"]

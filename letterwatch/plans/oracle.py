@@ -38,8 +38,9 @@ DERIVED_WL = """SELECT DISTINCT sender AS email_address, CAST(NULL AS VARCHAR) A
  WHERE recipient_domain LIKE '%.org'"""
 O["src_whitelist_csv"] = sql("mail_log", "SELECT * FROM w", w=DERIVED_WL)
 O["whitelist_append"] = sql("mail_log wl", "SELECT * FROM w UNION SELECT * FROM wl", w=DERIVED_WL)
-O["sink_csv"] = sql("hit", f"SELECT mail_id, {stamp('time')} AS time, sender, recipients, department, business_unit, "
-                           "whitelist_reason FROM hit")
+O["sink_csv"] = sql("hit", f"SELECT mail_id, {stamp('time')} AS time, sender, recipients, coalesce(subject, '') AS subject, "
+                           "department, business_unit, whitelist_reason, coalesce(attachments, '') AS attachments, "
+                           "coalesce(word_list_match, '') AS word_list_match FROM hit")
 O["preview_head"] = sql("mail_log", "SELECT mail_id, sender, recipients, subject FROM mail_log ORDER BY mail_id LIMIT 10")
 
 # ---- normalisation ----
@@ -618,7 +619,7 @@ O["followup_mailto"] = sql("page", """SELECT mail_id, 'mailto:' || replace(url_e
 O["followup_summary"] = sql("page", """SELECT 'total' AS section, 'mails' AS key, count(*)::DOUBLE AS value FROM s UNION ALL
  SELECT 'total', 'successful', count(*) FROM s UNION ALL SELECT 'total', 'errors', 0 UNION ALL SELECT 'total', 'success_pct', 100
  UNION ALL SELECT 'level', risk_level, count(*) FROM s GROUP BY risk_level""", s=SEL)
-O["followup_export"] = sql("page", f"""SELECT sender AS recipient, {filled(0)} AS subject, '2024-01-31 00:00:00.000000' AS generated_at,
+O["followup_export"] = sql("page", f"""SELECT sender AS recipient, {filled(0)} AS subject, {filled(1)} AS body, '2024-01-31 00:00:00.000000' AS generated_at,
  false AS has_error, {DATE} AS original_date, subject AS original_subject, risk_score, risk_level FROM s""", s=SEL)
 KNOWN = lst(V.REQUIRED_PLACEHOLDERS + V.OPTIONAL_PLACEHOLDERS)
 O["template_check"] = f"""WITH t AS (SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN 'Notice for [SENDER_NAME]' ELSE 'Notice [TICKET_ID]' END) || ' ' ||

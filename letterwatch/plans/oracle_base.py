@@ -193,15 +193,7 @@ def k_category(k):
     return f"(CASE {whens} WHEN contains({k}, ':') THEN string_split({k}, ':')[1] ELSE 'general' END)"
 
 
-PATTERNS = {
-    "ssn": r"\b\d{3}-\d{2}-\d{4}\b|\b\d{9}\b",
-    "credit_card": r"\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b",
-    "phone": r"\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b",
-    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
-    "ip_address": r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b",
-    "api_key": r"\b[A-Za-z0-9]{32,}\b",
-    "guid": r"\b[A-Fa-f0-9]{8}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{4}-[A-Fa-f0-9]{12}\b",
-}
+PATTERNS = {name: pattern.replace(r"\p{Nd}", r"\d") for name, pattern, _ in V.DATA_PATTERNS}
 
 
 def hits_of(text):

@@ -1,7 +1,7 @@
 """The catalogue: one entry per operator, each a function of (spark, folder of tables)."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import content as C, domains as D
 from ..functions.frames import scratch_dir
@@ -92,7 +92,10 @@ def sink_csv(spark, sf):
                                                       "subject string, department string, business_unit string, "
                                                       "whitelist_reason string, attachments string, "
                                                       "word_list_match string").csv(path)
-    return back.select("mail_id", "time", "sender", F.coalesce("recipients", F.lit("")).alias("recipients"), "department", "business_unit", "whitelist_reason")
+    def text(c):
+        return F.coalesce(c, F.lit("")).alias(c)            # a blank cell is read as missing
+    return back.select("mail_id", "time", "sender", text("recipients"), text("subject"), "department", "business_unit", "whitelist_reason",
+                       text("attachments"), text("word_list_match"))
 
 
 @query
@@ -921,7 +924,8 @@ def followup_queue(spark, sf):
     rows = B.page(spark, sf)
     first = Q.followup_queue(Q.followup_select(rows, ("High",)), AS_OF)
     both = Q.followup_queue(Q.followup_select(rows, ("Medium",), ("IT",)), AS_OF, first)
-    return both.select("mail_id", "risk_level", F.col("selection_id").startswith("evt_").alias("has_id"),
+    same_id = F.count(F.lit(1)).over(Window.partitionBy("selection_id"))
+    return both.select("mail_id", "risk_level", (F.col("selection_id").startswith("evt_") & (same_id == 1)).alias("has_id"),
                        stamp("selected_at").alias("selected_at"))
 
 
@@ -948,7 +952,7 @@ def followup_summary(spark, sf):
 
 @query
 def followup_export(spark, sf):
-    return Q.followup_export(_rendered(spark, sf)).withColumn("generated_at", stamp("generated_at")).drop("body")
+    return Q.followup_export(_rendered(spark, sf)).withColumn("generated_at", stamp("generated_at"))
 
 
 @query

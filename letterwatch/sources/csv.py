@@ -1,12 +1,15 @@
 """Readers and writers of the mail log, the whitelist and the result tables."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.frames import materialize
 from ..vocab import REQUIRED_COLUMNS, WHITELIST_COLUMNS
 
-CSV_OPTIONS = {"header": True, "multiLine": False, "escape": '"', "mode": "PERMISSIVE",
+# Headers are compared with the schema, and a row with too few or too many cells is an error: neither shifts cells silently.
+CSV_OPTIONS = {"header": True, "multiLine": False, "escape": '"', "mode": "FAILFAST", "enforceSchema": False,
                "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
@@ -30,11 +33,19 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.options(**CSV_OPTIONS).csv(path).columns
 
 
-def src_mail_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Mail log from CSV, every column a string.  Files stay splittable unless ``multiline`` is needed."""
-    schema = strings(header_of(spark, path))
-    rows = spark.read.options(**CSV_OPTIONS).option("multiLine", multiline).schema(schema).csv(path)
-    return validate_required(rows)
+def src_mail_csv(spark: SparkSession, path: str | list[str], multiline: bool = False, keep_broken: bool = False) -> DataFrame:
+    """Mail log from CSV, every column a string.  Files stay splittable unless ``multiline`` is needed.
+
+    Each path has one header; several paths (or glob patterns), one per order of columns, are put together by name.  A file with
+    another header is an error, and so is a row with too few or too many cells, such as one with a line break in quotes when
+    ``multiline`` is off; ``keep_broken`` keeps such rows, with the whole line in ``_corrupt_record``, so that they can be counted.
+    """
+    parts = []
+    for one in [path] if isinstance(path, str) else path:
+        schema = strings(header_of(spark, one) + (["_corrupt_record"] if keep_broken else []))
+        reader = spark.read.options(**CSV_OPTIONS).option("multiLine", multiline).schema(schema)
+        parts.append(validate_required(reader.option("mode", "PERMISSIVE" if keep_broken else "FAILFAST").csv(one)))
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def src_mail_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ from letterwatch.streaming import ingest
 from letterwatch.vocab import REQUIRED_COLUMNS
 
 SF = "/root/testdata/sf0.001"
-KEYS = ["mail_normalize", "classify_domains", "detect_keywords", "whitelist_hits", "risk_score_credited", "tier_kpis", "coverage_domains",
+KEYS = ["src_mail_csv", "sink_csv", "followup_queue", "followup_export", "pattern_hits", "mail_normalize", "classify_domains", "detect_keywords", "whitelist_hits", "risk_score_credited", "tier_kpis", "coverage_domains",
         "burst_flag", "first_contact", "late_sender_domains", "sender_anomalies", "dept_anomalies", "followup_render",
         "recipient_domain_stats", "template_check", "bau_temporal", "mail_graph_top"]
 
@@ -74,6 +74,27 @@ def test_csv_round_trip_and_parquet(spark, tmp_path):
         S.src_whitelist_csv(spark, f"{tmp_path}/bad")
 
 
+def test_csv_by_name_and_broken_rows(spark, tmp_path):
+    names = list(REQUIRED_COLUMNS)
+    def put(folder, columns, *rows):
+        (tmp_path / folder).mkdir()
+        lines = [",".join(columns)] + [",".join(row.get(c, "") for c in columns) for row in rows]
+        (tmp_path / folder / "part.csv").write_text("\n".join(lines) + "\n")
+        return str(tmp_path / folder)
+    one = put("one", names, {"sender": "a@x.org", "department": "IT"})
+    two = put("two", names[::-1], {"sender": "b@x.org", "department": "HR"})
+    got = S.src_mail_csv(spark, [one, two]).select("sender", "department").collect()
+    assert sorted(map(tuple, got)) == [("a@x.org", "IT"), ("b@x.org", "HR")]
+    with pytest.raises(Exception):                           # one header does not hold for both folders
+        spark.read.options(**S.CSV_OPTIONS).schema(S.strings(names)).csv([one, two]).collect()
+    broken = put("broken", names, {"sender": "c@x.org", "subject": '"two\nlines"'})
+    assert S.src_mail_csv(spark, broken, multiline=True).count() == 1
+    kept = S.src_mail_csv(spark, broken, keep_broken=True).collect()
+    assert sum(r["_corrupt_record"] is not None for r in kept) == len(kept) == 2
+    with pytest.raises(Exception):
+        S.src_mail_csv(spark, broken).collect()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     S.sink_csv(raw_mail_log(spark, SF).select(*REQUIRED_COLUMNS), f"{tmp_path}/in")
     stream = ingest.stream_mail_csv(spark, f"{tmp_path}/in", files_per_batch=3)

@@ -153,6 +153,18 @@ def test_whitelist_credit_is_optional(spark, mails):
     assert one(R.risk_score(rows, wl, whitelist_credit=True), "risk_score") == 15
 
 
+def test_credit_is_the_same_for_short_and_long_lists(spark, mails):
+    wl = spark.createDataFrame([("boss@z.org", None), (None, "x.com"), (" ", " ")], "email_address string, domain string")
+    rows = mails({"sender": "a@x.com@y.com"}, {"sender": "B@X.COM"}, {"sender": " c@x.com "}, {"sender": "boss@z.org"}, {"sender": ""},
+                 {"sender": "plain"}).unionByName(mails({"sender": "d@y.com"}).withColumn("sender", F.lit(None).cast("string")))
+    ways = [sorted((str(r["sender"]), r["risk_whitelist_credit"]) for r in R.risk_whitelist_credit(rows, wl, limit).collect()) for limit in (2000, 0)]
+    assert ways[0] == ways[1] and sum(points for _, points in ways[0]) == 120
+
+
+def test_long_names_are_whole(mails):
+    assert len(one(mails({"sender": "a" * 20_000 + "@x.org"}).select(N.name_from_address().alias("n")), "n")) == 20_000
+
+
 def test_busy_senders_score(mails):
     rows = mails(*[{"sender": "a@x.org"}] * 11, {"sender": "b@x.org"})
     got = {(r["sender"], r["risk_score"]) for r in R.risk_score(rows).collect()}

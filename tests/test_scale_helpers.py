@@ -12,12 +12,27 @@ def test_salted_join_equals_plain_join(spark):
     facts = spark.range(5000).select(F.col("id").alias("mail_id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None)
                                      .otherwise((F.col("id") % 700).cast("string")).alias("k"))
     counts = facts.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    small = frames.spread_join(facts, counts, "k", "n")
-    salted = frames.spread_join(facts, counts, "k", "n", broadcast_keys=0)
+    small = frames.spread_join(facts, counts, "k")
+    salted = frames.spread_join(facts, counts, "k", broadcast_keys=0)
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, salted.collect()), key=str)
     assert salted.where("n IS NULL").isEmpty() and salted.count() == 5000
 
 
+def test_salted_join_splits_a_hot_key_that_is_absent(spark):
+    facts = spark.range(20_000).select(F.col("id").alias("mail_id"), F.when(F.col("id") % 10 != 0, "absent").otherwise((F.col("id") % 700).cast("string")).alias("k"))
+    known = facts.where("k <> 'absent'").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        joined = frames.spread_join(facts, known, "k", broadcast_keys=0)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and joined.where("n IS NULL").count() == 18_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(sizes) < 2 * 20_000 / len(sizes)
+
+
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.933, 1.0])
 def test_exact_quantile(spark, q):
     values = np.round(np.random.default_rng(1).exponential(size=4001), 3)
