@@ -10,6 +10,7 @@ from ..functions.frames import materialize
 
 # A word is a run of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
 BLANKS = "[\\x20\\x09-\\x0D]+"
+BATCH_ROWS = 256                   # documents that a Python task takes at a time, at most
 
 
 def by_value(module: str) -> None:
@@ -49,6 +50,33 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def whole_documents(df: DataFrame) -> DataFrame:
+    """Let Python tasks of the session take few rows at a time: a row is a whole document, and thousands would fill the memory."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
+class Remembered(dict):
+    """Solved short segments in two generations of bounded size; of a full pair the older one is forgotten."""
+
+    def __init__(self, solve, chars: int, entries: int):
+        super().__init__()
+        self.solve, self.chars, self.entries, self.older = solve, chars, entries, {}
+
+    def __missing__(self, segment):
+        made = self.older.get(segment)
+        if made is None:
+            made = self.solve(segment)
+        if len(segment) <= self.chars:
+            if len(self) >= self.entries:
+                self.older = dict(self)
+                self.clear()
+            self[segment] = made
+        return made
+
+
 def bounded_sample(df: DataFrame, key: Column, bound: int) -> DataFrame:
     """About ``bound`` rows at most, picked by a hash of the key: the same rows on every run, spread over the whole table.
 

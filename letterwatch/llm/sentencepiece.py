@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from ..functions.frames import materialize
-from .common import by_value, whole_text, without
+from .common import Remembered, by_value, whole_documents, whole_text, without
 
 by_value(__name__)
 
 MARK = "▁"                    # stands for a blank inside pieces
 GIANT = 32_768                     # texts with more code points are cut into chunks
 CHUNK = 16_384                     # code points of a chunk
-REMEMBERED, REMEMBERED_CHARS = 400_000, 48
+REMEMBERED, REMEMBERED_CHARS = 100_000, 48         # per generation and Python worker
 UNKNOWN = -100_000                 # score of a character without a piece, below that of any piece used
 LEAST = -90_000                    # the lowest score a piece counts with; runs of blanks have scores far below it
 TIE = 1 << 16                      # a path's score counts before its sum of squared piece lengths
@@ -93,22 +93,42 @@ class Vocabulary:
         ids.reverse()
         return ids
 
+    def segment(self, text: str) -> tuple[int, ...]:
+        """Identifiers of the best path over a whole segment; the same as ``path`` from end to end, written for speed."""
+        n, get = len(text), self.table.get
+        weight, back, unknown = [NONE] * (n + 1), [0] * (n + 1), UNKNOWN * TIE + 1
+        weight[0] = 0
+        for i in range(n):
+            here, j = weight[i], i + 1
+            hit = get(text[i:j])
+            w = here + (hit[1] if hit and hit[0] >= 0 else unknown)
+            if w > weight[j]:
+                weight[j], back[j] = w, i
+            while hit and j < n:
+                j += 1
+                hit = get(text[i:j])
+                if hit and hit[0] >= 0 and here + hit[1] > weight[j]:
+                    weight[j], back[j] = here + hit[1], i
+        ids: list[int] = []
+        while n:
+            i = back[n]
+            hit = get(text[i:n])
+            if hit and hit[0] >= 0:
+                ids.append(hit[0])
+            else:
+                ids.extend([self.bytes[x] for x in reversed(text[i:n].encode())])
+            n = i
+        ids.reverse()
+        return tuple(ids)
+
 
-class Segments(dict):
-    """Remembered identifiers of segments between certain boundaries; forgets all when full."""
+class Segments(Remembered):
+    """Identifiers of segments between certain boundaries."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
+        super().__init__(vocabulary.segment, REMEMBERED_CHARS, REMEMBERED)
         self.vocabulary = vocabulary
 
-    def __missing__(self, segment):
-        ids = tuple(self.vocabulary.path(segment, 0, len(segment), len(segment)))
-        if len(segment) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[segment] = ids
-        return ids
-
     def weight(self, segment) -> int:
         return sum(map(self.vocabulary.weights.__getitem__, self[segment]))
 
@@ -248,7 +268,7 @@ def encode(df: DataFrame, model: str | None = None, giant: int = GIANT) -> DataF
                 offsets.append(len(flat))
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
 
-    rows = without(df, "ids", "_key")
+    rows = without(whole_documents(df), "ids", "_key")
     short = F.length(whole_text()) <= giant
     small = rows.where(short).withColumn("ids", solve(whole_text()))
     giants = rows.where(~short).withColumn("_key", F.sha2("text", 256))
@@ -274,4 +294,4 @@ def decode(df: DataFrame, model: str | None = None) -> DataFrame:
                 texts.append(text[1:] if text.startswith(" ") else text)
             yield pa.array(texts, pa.string())
 
-    return without(df, "decoded").withColumn("decoded", join(F.coalesce(F.col("ids"), F.array().cast("array<int>"))))
+    return without(whole_documents(df), "decoded").withColumn("decoded", join(F.coalesce(F.col("ids"), F.array().cast("array<int>"))))

@@ -10,14 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import by_value, whole_text, without
+from .common import Remembered, by_value, whole_documents, whole_text, without
 
 by_value(__name__)
 
 MARK = "▁"                    # stands for a blank inside pieces
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 REMEMBERED_CHARS = 48              # counts of segments up to this length are remembered,
-REMEMBERED = 400_000               # so many of them per Python worker
+REMEMBERED = 150_000               # in two generations of so many each per Python worker
 NORMAL = 1                         # the piece type that merging can reach
 
 
@@ -81,23 +81,11 @@ def merged_length(segment: str, ranks: dict[str, float]) -> int:
     return count
 
 
-class Lengths(dict):
-    """Remembered token counts of short segments; forgets all of them when full, so memory stays bounded."""
+def remembered_lengths(ranks: dict[str, float]) -> Remembered:
+    return Remembered(lambda segment: merged_length(segment, ranks), REMEMBERED_CHARS, REMEMBERED)
 
-    def __init__(self, ranks):
-        super().__init__()
-        self.ranks = ranks
 
-    def __missing__(self, segment):
-        n = merged_length(segment, self.ranks)
-        if len(segment) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[segment] = n
-        return n
-
-
-def text_length(text: str, lengths: Lengths) -> int:
+def text_length(text: str, lengths: Remembered) -> int:
     if not text:
         return 0
     marked = MARK + text.replace(" ", MARK)
@@ -118,10 +106,10 @@ def token_counts(df: DataFrame, model: str | None = None, limit: int = 4096) ->
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        lengths = Lengths(shared.value)
+        lengths = remembered_lengths(shared.value)
         for texts in batches:
             yield pd.Series([text_length(t, lengths) for t in texts], dtype="int64")
 
-    out = without(df, "n_bytes", "n_tokens", "over_limit")
+    out = without(whole_documents(df), "n_bytes", "n_tokens", "over_limit")
     return (out.withColumn("n_bytes", F.octet_length(whole_text()).cast("long")).withColumn("n_tokens", count(whole_text()))
             .withColumn("over_limit", F.col("n_tokens") > limit))
