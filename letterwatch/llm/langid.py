@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.frames import materialize
-from .common import by_value, fold, whole_text, without
+from .common import by_value, fold, whole_documents, whole_text, without
 
 by_value(__name__)
 
@@ -105,7 +105,7 @@ def fit(rows: DataFrame) -> Model | None:
 
     What a task holds is bounded by the sample of one language; the driver gets CENTROIDS vectors per language.
     """
-    rows = materialize(rows)
+    rows = materialize(whole_documents(rows))
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, df, n = Letters(), np.zeros(BUCKETS), 0
@@ -155,5 +155,5 @@ def identify(df: DataFrame, model: Model | None) -> DataFrame:
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "cosine", "rejected"])
 
     names = ["lang_pred", "score", "cosine", "rejected"]
-    out = without(df, *names, "_judged").withColumn("_judged", judged(whole_text()))
+    out = without(whole_documents(df), *names, "_judged").withColumn("_judged", judged(whole_text()))
     return out.select(*[F.col(f"`{c}`") for c in out.columns if c != "_judged"], *[F.col(f"_judged.{n}").alias(n) for n in names])

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_value, whole_text, without
+from .common import by_value, whole_documents, whole_text, without
 
 by_value(__name__)
 
@@ -49,7 +49,7 @@ def with_statistics(df: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series([statistics(t) for t in texts])
 
-    return df.withColumn("_x", measured(whole_text()))
+    return whole_documents(df).withColumn("_x", measured(whole_text()))
 
 
 class Model:
@@ -100,5 +100,5 @@ def quality(df: DataFrame, model: Model | None, threshold: float = 0.3) -> DataF
             x = np.array([statistics(t) for t in texts]).reshape(len(texts), len(FEATURES))
             yield pd.Series(model.score(x) if model else np.full(len(x), 0.5))
 
-    return (without(df, "score", "predicted").withColumn("score", scored(whole_text()))
+    return (without(whole_documents(df), "score", "predicted").withColumn("score", scored(whole_text()))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))

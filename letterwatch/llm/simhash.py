@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.frames import materialize
-from .common import by_value, whole_text, without
+from .common import by_value, whole_documents, whole_text, without
 from .components import connected_components
 
 by_value(__name__)
@@ -19,6 +19,7 @@ HASH_SEED = 42
 BITS = 64
 SHINGLES_AT_ONCE = 1 << 16         # shingle hashes whose bits are counted together
 TILE = 2048                        # fingerprints on each side of one exclusive-or
+GATHER = 32_768                    # candidates that a task takes up at a time
 SPLIT = 16_384                     # candidates of one key that a single task compares
 
 
@@ -44,7 +45,7 @@ def fingerprints(df: DataFrame, shingle: int = 3) -> DataFrame:
         for texts in batches:
             yield pd.Series(np.array([text_fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
 
-    return without(df, "fp").withColumn("fp", prints(whole_text()))
+    return without(whole_documents(df), "fp").withColumn("fp", prints(whole_text()))
 
 
 def blocks(distance: int, n_blocks: int) -> list[tuple[int, ...]]:
@@ -105,6 +106,19 @@ def small_groups(keys: np.ndarray, values: np.ndarray, distance: int) -> tuple[n
     return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (values[:0], values[:0])
 
 
+def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in batches of at least GATHER rows but for the last; none is empty."""
+    waiting, n = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        n += len(batch)
+        if n >= GATHER:
+            yield pd.concat(waiting, ignore_index=True)
+            waiting, n = [], 0
+    if n:
+        yield pd.concat(waiting, ignore_index=True)
+
+
 def links(prints: DataFrame, distance: int, n_blocks: int) -> DataFrame:
     """(u, v): links whose components are those of all pairs of distinct prints ``fp`` within ``distance`` bits.
 
@@ -124,13 +138,14 @@ def links(prints: DataFrame, distance: int, n_blocks: int) -> DataFrame:
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
-        for batch in batches:
+        for batch in gathered(batches):
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            group = (batch[["band", "key", "lo", "hi"]] != batch[["band", "key", "lo", "hi"]].shift()).any(axis=1).cumsum().to_numpy()
-            open_from = int(np.searchsorted(group, group[-1])) if len(group) else 0
+            columns = batch[["band", "key", "lo", "hi"]]
+            group = (columns != columns.shift()).any(axis=1).cumsum().to_numpy()
+            open_from = int(np.searchsorted(group, group[-1]))
             rest = batch.iloc[open_from:]
             yield from _groups(batch.iloc[:open_from], group[:open_from])
-        if rest is not None and len(rest):
+        if rest is not None:
             yield from _groups(rest, np.ones(len(rest), np.int64))
 
     def _groups(rows: pd.DataFrame, group: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -150,7 +165,6 @@ def links(prints: DataFrame, distance: int, n_blocks: int) -> DataFrame:
         yield pd.DataFrame({"u": np.concatenate([p[0] for p in pairs]).view(np.int64), "v": np.concatenate([p[1] for p in pairs]).view(np.int64)})
 
     keys = ["band", "key", "lo", "hi"]
-    # Null keys cannot occur: fp is never null.
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInPandas(compare, "u long, v long")
 

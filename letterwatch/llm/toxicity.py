@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import by_value, whole_text, without
+from .common import by_value, whole_documents, whole_text, without
 
 by_value(__name__)
 
@@ -20,6 +20,7 @@ STEM_CHARS = (4, 10)               # lengths of the stems that can become insult
 MIN_DOCS = 4                       # toxic documents, and settings in them, that a stem must occur in
 MIN_PRECISION = 0.9                # share of toxic documents among those with the stem
 MIN_SURPRISE = 18.0                # its toxic share against chance, as documents x divergence in nats: a millionth of 1 %
+COUNTED_AT_ONCE = 300_000          # stems that a task holds before it passes their counts on
 MAX_STEMS = 2_000                  # stems of the lexicon, at most
 CLAUSE_REACH = 400                 # characters that a clause can extend to each side of a hit
 
@@ -147,17 +148,24 @@ def starts(word: str) -> list[str]:
 
 
 def stem_counts(sample: DataFrame) -> DataFrame:
-    """(stem, toxic, clean): labelled documents with a word that starts so; counted per batch, then added up."""
+    """(stem, toxic, clean): labelled documents with a word that starts so; counted in parts, then added up."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = (Counter(), Counter())
         for batch in batches:
-            found = [Counter(), Counter()]
             for text, label in zip(batch["text"], batch["label"]):
                 words = set(WORD.findall((text or "").lower()))
                 found[label].update({s for w in words for s in starts(w)})
-            stems = sorted(found[0].keys() | found[1].keys())
-            yield pd.DataFrame({"stem": stems, "toxic": [found[1][s] for s in stems], "clean": [found[0][s] for s in stems]})
+            if sum(map(len, found)) > COUNTED_AT_ONCE:
+                yield counted(found)
+                found = (Counter(), Counter())
+        if any(found):
+            yield counted(found)
 
-    return (sample.select("text", "label").mapInPandas(count, "stem string, toxic long, clean long")
+    def counted(found):
+        stems = sorted(found[0].keys() | found[1].keys())
+        return pd.DataFrame({"stem": stems, "toxic": [found[1][s] for s in stems], "clean": [found[0][s] for s in stems]})
+
+    return (whole_documents(sample).select("text", "label").mapInPandas(count, "stem string, toxic long, clean long")
             .groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
@@ -176,9 +184,10 @@ def setting_counts(sample: DataFrame, stems: set[str]) -> DataFrame:
                     if words[i][:STEM_CHARS[0]] in short:
                         setting = " ".join(words[i - 1:i + 2])
                         rows.update((s, setting, label) for s in starts(words[i]) if s in stems)
-            yield pd.DataFrame(sorted(rows), columns=["stem", "setting", "label"])
+            if rows:
+                yield pd.DataFrame(sorted(rows), columns=["stem", "setting", "label"])
 
-    return (sample.select("text", "label").mapInPandas(find, "stem string, setting string, label int")
+    return (whole_documents(sample).select("text", "label").mapInPandas(find, "stem string, setting string, label int")
             .groupBy("stem", "setting").agg(F.max("label").alias("label")).groupBy("stem")
             .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")))
 
@@ -257,7 +266,7 @@ def with_evidence(df: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             yield pd.Series([matcher.evidence(t) for t in texts], dtype="float64")
 
-    return df.withColumn("_evidence", evidence(whole_text()))
+    return whole_documents(df).withColumn("_evidence", evidence(whole_text()))
 
 
 def toxicity(df: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
