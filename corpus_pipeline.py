@@ -38,10 +38,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Identifiers of each document, and whether decoding gives back its text."""
-    coded = sentencepiece.decode(sentencepiece.encode(docs.select("doc_id", "lang", "source", "text")))
+    """Identifiers of each document, and whether decoding gives back its text (compared by SHA-256).
+
+    The identifiers are written before they are decoded, so that a task never keeps an encoding and a decoding worker at once.
+    """
+    rows = docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    coded = sentencepiece.decode(materialize(sentencepiece.encode(rows).drop("text")))
     return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_ids"),
-                        F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+                        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"))
 
 
 STAGES = [("toxicity", toxic), ("language_id", language), ("simhash_near_dedup", near_dedup), ("mixing", mix), ("sentencepiece", tokens)]

@@ -233,9 +233,9 @@ def _giant_ids(giants: DataFrame, shared) -> DataFrame:
     return gathered.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
-def load(spark, model: str | None = None):
-    """The vocabulary of a model file on the driver, broadcast (some tens of thousands of pieces)."""
-    return spark.sparkContext.broadcast(Vocabulary(model or public_tokenizers.path("piece_bpe_32k.model")))
+def load(model: str | None = None) -> Vocabulary:
+    """The vocabulary of a model file on the driver (some tens of thousands of pieces)."""
+    return Vocabulary(model or public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def encode(df: DataFrame, model: str | None = None, giant: int = GIANT) -> DataFrame:
@@ -254,7 +254,7 @@ def encode(df: DataFrame, model: str | None = None, giant: int = GIANT) -> DataF
     A null or empty text has no identifiers.  Repeated rows stay; an empty table gives an empty table; an input column ``ids``
     is replaced.
     """
-    shared = load(df.sparkSession, model)
+    shared = df.sparkSession.sparkContext.broadcast(load(model))
 
     @F.arrow_udf("array<int>")
     def solve(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -281,11 +281,11 @@ def decode(df: DataFrame, model: str | None = None) -> DataFrame:
 
     Bytes that are no UTF-8, which ``encode`` never makes, come out as replacement characters.
     """
-    shared = load(df.sparkSession, model)
+    pieces = df.sparkSession.sparkContext.broadcast(load(model).raw)
 
     @F.arrow_udf("string")
     def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        raw = np.array([*shared.value.raw, b""], object)[:-1]
+        raw = np.array([*pieces.value, b""], object)[:-1]
         for batch in batches:
             values, texts = batch.values.to_numpy(zero_copy_only=False) if len(batch.values) else np.zeros(0, np.int32), []
             offsets = batch.offsets.to_numpy()
