@@ -1,6 +1,7 @@
-"""SentencePiece encoding and decoding: best segmentation as a max-plus scan that can be cut anywhere in a text."""
+"""SentencePiece encoding and decoding: byte-pair models by merges as in the library, others by a max-plus scan."""
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ LEAST = -90_000                    # the lowest score a piece counts with; runs
 TIE = 1 << 16                      # a path's score counts before its sum of squared piece lengths
 NONE = -(1 << 62)                  # no path
 NORMAL, BYTE = 1, 6                # piece types
+PAIRS = 2                          # type of a byte-pair model, whose scores are ranks of merges
 SEGMENT = re.compile(" +[^ ]*|[^ ]+")
 SYNC = re.compile("(?<=[^ ]) ")    # every path has a boundary before a blank that follows another character
 
@@ -40,7 +42,8 @@ class Vocabulary:
         norm = model.normalizer_spec
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not model.trainer_spec.byte_fallback:
             raise ValueError("not a model of the supported kind")
-        self.raw, self.weights, self.bytes, pieces = [], [], [0] * 256, {}
+        self.pairs = model.trainer_spec.model_type == PAIRS
+        self.raw, self.weights, self.bytes, pieces, self.ranks = [], [], [0] * 256, {}, {}
         for i, p in enumerate(model.pieces):
             text, raw, weight = p.piece.replace(MARK, " "), b"", 0
             if p.type == NORMAL:
@@ -48,6 +51,7 @@ class Vocabulary:
                     raise ValueError("a piece holds a blank behind another character")
                 raw, weight = text.encode(), max(LEAST, round(p.score)) * TIE + len(text) ** 2
                 pieces[text] = (i, weight)
+                self.ranks[text] = -p.score
             elif p.type == BYTE:
                 byte = int(p.piece[3:5], 16)
                 self.bytes[byte], raw = i, bytes([byte])
@@ -121,6 +125,38 @@ class Vocabulary:
         ids.reverse()
         return tuple(ids)
 
+    def merged(self, segment: str) -> tuple[int, ...]:
+        """Identifiers of a segment by merges: of all neighbours that make a piece the pair of least rank, then the first, is merged.
+
+        Pairs wait in a heap; a popped one is stale if one of its sides was merged meanwhile.
+        """
+        n, ranks = len(segment), self.ranks
+        symbols, after, before = list(segment), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, i, 2) for i in range(n - 1) if (rank := ranks.get(segment[i:i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            left, j = symbols[i], after[i]
+            if not left or j >= n or len(left) + len(symbols[j]) != size:
+                continue
+            merged = left + symbols[j]
+            symbols[i], symbols[j] = merged, ""
+            k, h = after[j], before[i]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (rank := ranks.get(merged + symbols[k])) is not None:
+                    heapq.heappush(heap, (rank, i, size + len(symbols[k])))
+            if h >= 0 and (rank := ranks.get(symbols[h] + merged)) is not None:
+                heapq.heappush(heap, (rank, h, len(symbols[h]) + size))
+        ids: list[int] = []
+        for s in symbols:
+            if s in ranks:
+                ids.append(self.table[s][0])
+            elif s:
+                ids.extend([self.bytes[x] for x in s.encode()])
+        return tuple(ids)
+
 
 class Segments(Remembered):
     """Identifiers of segments between certain boundaries."""
@@ -233,46 +269,77 @@ def _giant_ids(giants: DataFrame, shared) -> DataFrame:
     return gathered.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
-def load(model: str | None = None) -> Vocabulary:
-    """The vocabulary of a model file on the driver (some tens of thousands of pieces)."""
-    return Vocabulary(model or public_tokenizers.path("piece_bpe_32k.model"))
-
-
-def encode(df: DataFrame, model: str | None = None, giant: int = GIANT) -> DataFrame:
-    """Add ``ids``, the identifiers of the best segmentation of each whole ``text``.
-
-    The best segmentation has the largest sum of piece scores, then of squared piece lengths; of still equal ones (mostly the
-    same pieces in another order) the one with longer pieces at the end of a segment or chunk.  A blank is put before a text
-    that is not empty; a character without a piece becomes its bytes, so decoding gives back the very text.
-
-    No piece crosses from another character to a blank, so short texts fall into segments that are solved once each.  Texts of
-    more than ``giant`` code points are cut into chunks at any place.  Each chunk yields a matrix of best weights between the
-    states at its two ends (how far a piece reaches over the cut), matrices of a text combine associatively, and with the
-    states known every chunk is traced back by itself, in parallel.  A text's matrices, 2 kB for each 16 k characters, meet in
-    one group; equal giant texts are solved once.
+def _merged_giant_ids(giants: DataFrame, shared) -> DataFrame:
+    """(key, ids) of distinct giant texts by merges, cut only at segment boundaries, which no merge crosses."""
+    @F.arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for text in batch.to_pylist():
+                whole, parts, start = " " + text, [], 0
+                while start < len(whole):
+                    found = SYNC.search(whole, start + CHUNK)
+                    end = found.start() if found else len(whole)
+                    parts.append(whole[start:end])
+                    start = end
+                out.append(parts)
+            yield pa.array(out, pa.list_(pa.string()))
+
+    solve = _solver(shared, "")
+    parts = giants.dropDuplicates(["key"]).select("key", F.posexplode(cut("text")).alias("at", "part")).repartition("key", "at")
+    gathered = (parts.select("key", "at", solve("part").alias("ids")).groupBy("key")
+                .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts")))
+    return gathered.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
-    A null or empty text has no identifiers.  Repeated rows stay; an empty table gives an empty table; an input column ``ids``
-    is replaced.
-    """
-    shared = df.sparkSession.sparkContext.broadcast(load(model))
 
+def _solver(shared, before: str):
+    """Identifiers of texts with ``before`` put before them: by merges for a byte-pair model, else of the best paths."""
     @F.arrow_udf("array<int>")
     def solve(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        segments = Segments(shared.value)
+        vocabulary = shared.value
+        segments = Remembered(vocabulary.merged, REMEMBERED_CHARS, REMEMBERED) if vocabulary.pairs else Segments(vocabulary)
         for batch in batches:
             flat, offsets = array("i"), [0]
             for text in batch.to_pylist():
                 if text:
-                    for s in SEGMENT.findall(" " + text):
+                    for s in SEGMENT.findall(before + text):
                         flat.extend(segments[s])
                 offsets.append(len(flat))
             yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+    return solve
+
+
+def load(model: str | None = None) -> Vocabulary:
+    """The vocabulary of a model file on the driver (some tens of thousands of pieces)."""
+    return Vocabulary(model or public_tokenizers.path("piece_bpe_32k.model"))
 
+
+def encode(df: DataFrame, model: str | None = None, giant: int = GIANT) -> DataFrame:
+    """Add ``ids``, the identifiers of each whole ``text``.
+
+    For a byte-pair model they are those of the sentencepiece library, by merges; that replaces the max-plus search, whose
+    paths differ, as scores of such a model are ranks.  One exception: a mark (U+2581) in a text, which the library reads as a
+    blank, becomes its bytes here, so that decoding gives back the very text.  A model of another type gets the path with the
+    largest sum of piece scores, then of squared piece lengths; of still equal ones the one with longer pieces at the end of a
+    segment or chunk.  A blank is put before a text that is not empty; a character without a piece becomes its bytes.
+
+    No piece crosses from another character to a blank, so texts fall into segments that are solved once each.  Texts of more
+    than ``giant`` code points are solved in parallel and equal ones once: by merges in parts of whole segments (one without
+    blanks stays whole); by the max-plus scan in chunks cut anywhere, as matrices between the states at both ends, combined
+    associatively and traced back per chunk.
+
+    A null or empty text has no identifiers.  Repeated rows stay; an empty table gives an empty table; an input column ``ids``
+    is replaced.
+    """
+    vocabulary = load(model)
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    solve = _solver(shared, " ")
     rows = without(whole_documents(df), "ids", "_key")
     short = F.length(whole_text()) <= giant
     small = rows.where(short).withColumn("ids", solve(whole_text()))
     giants = rows.where(~short).withColumn("_key", F.sha2("text", 256))
-    solved = _giant_ids(giants.select(F.col("_key").alias("key"), "text"), shared).withColumnRenamed("key", "_key")
+    giant_ids = _merged_giant_ids if vocabulary.pairs else _giant_ids
+    solved = giant_ids(giants.select(F.col("_key").alias("key"), "text"), shared).withColumnRenamed("key", "_key")
     return small.unionByName(giants.join(solved, "_key").drop("_key"))
 
 

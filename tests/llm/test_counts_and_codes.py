@@ -90,6 +90,15 @@ def test_round_trip_short_and_giant(docs):
     assert plain[0]["ids"] == [] == plain[1]["ids"]
 
 
+@pytest.mark.parametrize("giant", [64, 1 << 20])
+def test_ids_equal_the_library(docs, giant, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 20)
+    sp = library.SentencePieceProcessor(model_file=MODEL)
+    more = docs.select("text").union(docs.sparkSession.createDataFrame([("dies und, das; $$$ " * 30,), ("$$$$$ " * 40,)], "text string"))
+    for r in S.encode(more.where("text IS NULL OR NOT contains(text, '▁')"), giant=giant).collect():
+        assert r["ids"] == sp.encode(r["text"] or ""), r["text"]
+
+
 def test_giants_of_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 100)
     df = spark.createDataFrame([(i, ("some words of a long text, " * 40 + "x" * 250) * 3) for i in (1, 1, 2)], "doc_id long, text string")
