@@ -106,4 +106,33 @@ SELECT page_id, host, path, {rule('host', 'path', 'rule')} AS rule, coalesce({ru
 FROM judged LEFT JOIN aliased ON contains(url, '://') AND {address('url')} = node"""
 
 
-ORACLE = {"op5_quality_rules": op5(), "op7_mixing": op7(), "op8_url_filter": op8()}
+def op13() -> str:
+    def leaf(n_chars="n_chars"):
+        texts = ["doc_id", "source", "lang", n_chars, "text"]
+        return "sha256(" + " || ".join(f"coalesce(strlen({t}::VARCHAR) || ':' || {t}::VARCHAR, '-')" for t in texts) + ")"
+
+    # crc32 bit by bit
+    crc = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)), "
+           "lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)), 4294967295::BIGINT)")
+    return f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, lang, {leaf()} leaf, CASE WHEN {crc} % 7 = 0 THEN {leaf("(n_chars::HUGEINT + 1)")} ELSE {leaf()} END other,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY lang) n FROM documents),
+tree AS (SELECT 0 AS level, lang, pos, n, leaf AS h FROM leaves UNION ALL
+    SELECT level + 1, lang, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE n > 1 GROUP BY level, lang, pos // 2, n),
+subroots AS (SELECT lang, h AS subroot, max(level) OVER (PARTITION BY lang) AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos,
+    count(*) OVER () AS n FROM tree WHERE n = 1),
+crown AS (SELECT 0 AS level, pos, n, subroot AS h FROM subroots UNION ALL
+    SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM crown WHERE n > 1 GROUP BY level, pos // 2, n),
+up AS (SELECT doc_id, lang, leaf, other AS h, '' AS proof, pos, n, 0 AS level FROM leaves UNION ALL
+    SELECT up.doc_id, up.lang, up.leaf, sha256(CASE WHEN t.h IS NULL THEN up.h WHEN up.pos % 2 = 0 THEN up.h || t.h ELSE t.h || up.h END),
+        proof || coalesce(t.h, ''), up.pos // 2, (up.n + 1) // 2, up.level + 1
+    FROM up LEFT JOIN tree t ON t.level = up.level AND t.lang IS NOT DISTINCT FROM up.lang AND t.pos = xor(up.pos, 1) WHERE up.n > 1),
+over AS (SELECT up.doc_id, up.leaf, subroot, up.h, proof, s.pos, s.n, 0 AS level FROM up JOIN subroots s ON up.n = 1 AND s.lang IS NOT DISTINCT FROM up.lang
+    UNION ALL SELECT o.doc_id, o.leaf, o.subroot, sha256(CASE WHEN t.h IS NULL THEN o.h WHEN o.pos % 2 = 0 THEN o.h || t.h ELSE t.h || o.h END),
+        proof || coalesce(t.h, ''), o.pos // 2, (o.n + 1) // 2, o.level + 1
+    FROM over o LEFT JOIN crown t ON t.level = o.level AND t.pos = xor(o.pos, 1) WHERE o.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, o.h AS folded_root, o.h = root AS verified
+FROM over o, (SELECT h AS root FROM crown WHERE n = 1) WHERE o.n = 1"""
+
+
+ORACLE = {"op13_merkle": op13(), "op5_quality_rules": op5(), "op7_mixing": op7(), "op8_url_filter": op8()}
