@@ -106,6 +106,21 @@ SELECT page_id, host, path, {rule('host', 'path', 'rule')} AS rule, coalesce({ru
 FROM judged LEFT JOIN aliased ON contains(url, '://') AND {address('url')} = node"""
 
 
+def op12(k: int = 20) -> str:
+    terms = (r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))")
+    return rf"""
+WITH held AS (SELECT d, doc_id, term, count(*) tf FROM (SELECT row_number() OVER () d, doc_id, {terms} term FROM documents) GROUP BY ALL),
+sizes AS (SELECT d, sum(tf)::BIGINT n FROM held GROUP BY d),
+totals AS (SELECT count(*)::BIGINT docs, sum(n)::BIGINT total FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT w FROM held, totals GROUP BY term, docs),
+asked AS (SELECT item, item_id, term, count(*) times FROM (SELECT row_number() OVER () item, item_id, {terms} term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item, item_id, d, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total))))::BIGINT score
+    FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (d), totals GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= {k}"""
+
+
 def op13() -> str:
     def leaf(n_chars="n_chars"):
         texts = ["doc_id", "source", "lang", n_chars, "text"]
@@ -135,4 +150,4 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, o.h AS folded
 FROM over o, (SELECT h AS root FROM crown WHERE n = 1) WHERE o.n = 1"""
 
 
-ORACLE = {"op13_merkle": op13(), "op5_quality_rules": op5(), "op7_mixing": op7(), "op8_url_filter": op8()}
+ORACLE = {"op12_lexical": op12(), "op13_merkle": op13(), "op5_quality_rules": op5(), "op7_mixing": op7(), "op8_url_filter": op8()}

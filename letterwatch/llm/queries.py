@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..functions.frames import materialize
-from . import fingerprint, langid, merkle, mixing, quality, quality_rules, sentencepiece, simhash, token_count, toxicity, url_filter
+from . import ann, fingerprint, langid, lexical, merkle, mixing, quality, quality_rules, sentencepiece, simhash, token_count, toxicity, url_filter
 from .common import fold, labelled_sample, table
 from .oracle import ORACLE  # noqa: F401
 
@@ -66,6 +66,14 @@ def op10_toxicity(spark, sf_dir):
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_nearest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, 20)
+
+
+def op12_lexical(spark, sf_dir):
+    return lexical.lexical_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), 20)
+
+
 def op13_merkle(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return merkle.manifest(docs, merkle.tampered(docs))
@@ -82,6 +90,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_nearest": op11_nearest,
+    "op12_lexical": op12_lexical,
     "op13_merkle": op13_merkle,
     "pipeline": corpus_pipeline.run,
 }
