@@ -135,12 +135,12 @@ def matrix(column) -> np.ndarray:
 
 
 def taking_part(df: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part, repeated ones once."""
+    """(vec_id, v) of the rows that take part, each id once."""
     v = F.col("v")
     number = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))          # noqa: E731
     rows = df.select("vec_id", F.col("embedding").alias("v")).where(
-        F.col("vec_id").isNotNull() & F.forall(v, number) & F.exists(v, lambda x: x != 0)).distinct()
-    rows = materialize(rows)
+        F.col("vec_id").isNotNull() & F.forall(v, number) & F.exists(v, lambda x: x != 0))
+    rows = materialize(rows.groupBy("vec_id").agg(F.min("v").alias("v")))
     common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("v") == (common["n"] if common else 0))
 
@@ -179,7 +179,7 @@ def posted(vectors: DataFrame, shared) -> DataFrame:
 
 def tune(index: Index, vectors: DataFrame, lists: DataFrame, queries: DataFrame, k: int) -> float:
     """The least ratio with which a bounded sample of queries finds RECALL of its ``k`` nearest vectors, measured against all."""
-    sample = bounded_sample(queries, F.xxhash64("vec_id", "v"), TUNE_ROWS).select("v").toArrow()
+    sample = bounded_sample(queries, F.col("vec_id"), TUNE_ROWS).select("v").toArrow()
     if not sample.num_rows:
         sample = queries.select("v").limit(TUNE_ROWS).toArrow()
     q = matrix(sample["v"])
@@ -288,7 +288,7 @@ class Part:
 
 
 def looked_through(lists: DataFrame, queries: DataFrame, few: int) -> DataFrame:
-    """(query_id, q, rep, score): the best of each part for each query.  A task holds one part and streams its queries past it."""
+    """(query_id, rep, score): the best of each part for each query.  A task holds one part and streams its queries past it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, waiting, part = None, [], None
         for b in batches:
@@ -308,21 +308,21 @@ def looked_through(lists: DataFrame, queries: DataFrame, few: int) -> DataFrame:
                     asked = b.slice(at, min(AT_ONCE, stop - at))
                     row, ids, scores = part.best(asked, few)
                     row = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([asked["vec_id"].take(row), asked["q"].take(row), pa.array(ids, asked["vec_id"].type), pa.array(scores)],
-                                                     ["query_id", "q", "rep", "score"])
+                    yield pa.RecordBatch.from_arrays([asked["vec_id"].take(row), pa.array(ids, asked["vec_id"].type), pa.array(scores)],
+                                                     ["query_id", "rep", "score"])
 
     hot = materialize(queries.groupBy("part").count().where(F.col("count") > QUERIES).select(
         F.col("part").alias("_p"), F.ceil(F.col("count") / QUERIES).cast("int").alias("_salts")))
     salts = F.coalesce("_salts", F.lit(1))
     left = lists.join(hot, F.col("part") == F.col("_p"), "left").select(
         "part", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("asks"), F.col("rep").alias("vec_id"), "v",
-        F.array("list").alias("lists"), F.lit(0).cast("long").alias("q"))
+        F.array("list").alias("lists"))
     right = queries.join(hot, F.col("part") == F.col("_p"), "left").select(
-        "part", F.pmod(F.xxhash64("vec_id", "v"), salts).cast("int").alias("salt"), F.lit(1).alias("asks"), "vec_id", "v", "lists", F.xxhash64("v").alias("q"))
+        "part", F.pmod(F.xxhash64("vec_id"), salts).cast("int").alias("salt"), F.lit(1).alias("asks"), "vec_id", "v", "lists")
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = left.unionByName(right).repartition(n, "part", "salt").sortWithinPartitions("part", "salt", "asks")
     kind = lists.schema["rep"].dataType.simpleString()
-    return met.mapInArrow(run, f"query_id {kind}, q long, rep {kind}, score double")
+    return met.mapInArrow(run, f"query_id {kind}, rep {kind}, score double")
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = TOP, fit_rows: int = FIT_ROWS, lists: int | None = None) -> DataFrame:
@@ -330,10 +330,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = TOP, fit_rows: int = FIT_R
 
     ``df`` has ``vec_id`` and ``embedding``; other columns are ignored, whatever their names.  Queries and candidates are all rows
     but those whose vector is null, empty, zero or holds a null or non-finite component, those without an id, and those
-    whose vector has another length than most (such products are not defined).  Rows of the query's own id are no candidates.
-    Nearest first, ties to the smaller id; ``score`` is the inner product of the original vectors in double precision.
-    Fewer than ``k`` candidates: all of them are found.  Equal rows count once, two vectors under one id each have their
-    own answers.  An empty table gives an empty table.
+    whose vector has another length than most (such products are not defined).  Nearest first, ties to the smaller id;
+    ``score`` is the inner product of the original vectors in double precision.  Fewer than ``k`` candidates: all of them are
+    found.  Repeated rows count once; an id names one vector, of several different ones the first in the order of their
+    components.  An empty table gives an empty table.
 
     Inner products become distances by one more component, which makes all vectors equally long.  Centroids are fitted on a
     bounded sample (``fit_rows``), halved evenly, so lists are balanced; there is one for LIST vectors, MOST_LISTS at
@@ -362,11 +362,11 @@ def nearest(df: DataFrame, is_query: Column, k: int = TOP, fit_rows: int = FIT_R
     places = df.sparkSession.createDataFrame([(i, int(b), int(p)) for i, (b, p) in enumerate(zip(index.base, index.parts))], "list int, _base long, _parts int")
     placed = entries.join(F.broadcast(places), "list").withColumn("part", F.col("_base") + F.pmod(F.xxhash64("rep"), F.col("_parts")))
     sent = materialize(routed(queries, context.broadcast(index), k))
-    found = looked_through(placed, sent, k + 1 + SPARE).repartition("query_id", "q").groupBy("query_id", "q", "rep").agg(F.max("score").alias("score"))
-    each = Window.partitionBy("query_id", "q")
+    found = looked_through(placed, sent, k + 1 + SPARE).repartition("query_id").groupBy("query_id", "rep").agg(F.max("score").alias("score"))
+    each = Window.partitionBy("query_id")
     best = materialize(found.withColumn("_n", F.row_number().over(each.orderBy(F.desc("score"), "rep"))).where(F.col("_n") <= k + 1).drop("_n"))
     copies = vectors.where(F.size("copies") > 1).select("rep", "copies")
     named = spread_join(best, copies, "rep", row_id="query_id").select(
-        "query_id", "q", F.explode(F.coalesce("copies", F.array("rep"))).alias("vec_id"), "score").where("vec_id <> query_id")
+        "query_id", F.explode(F.coalesce("copies", F.array("rep"))).alias("vec_id"), "score").where("vec_id <> query_id")
     ranks = named.withColumn("rank", F.row_number().over(each.orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranks.select("query_id", "rank", "vec_id", "score")
