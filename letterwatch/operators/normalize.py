@@ -3,24 +3,70 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..functions.dates import FORMATS as TIME_FORMATS, read_time, readings
+from ..functions.frames import spread_join
 from ..functions.text import blank_if_null, col, filled, memo, strip
 
-TIME_FORMATS = ("yyyy/MM/dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy",
-                "dd-MMM-yyyy HH:mm:ss", "yyyy-MM-dd hh:mm:ss a", "MM/dd/yyyy hh:mm:ss a")
 DAY_MICROS = 86_400_000_000
+TIME_COLUMNS = ("time", "last_working_day")
 
 
-def to_time(c, dtype: T.DataType | None = None, formats=TIME_FORMATS) -> Column:
-    """Timestamp from text in ISO or one of the given formats; anything else becomes null."""
-    c = col(c)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return c.cast("timestamp")
-    text = strip(c.cast("string"))
-    return F.coalesce(text.try_cast("timestamp"), *[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+def is_time(dtype: T.DataType | None) -> bool:
+    return isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
-def parse_time(df: DataFrame, columns=("time", "last_working_day")) -> DataFrame:
-    return df.withColumns({c: to_time(c, df.schema[c].dataType) for c in columns})
+def to_time(c, dtype: T.DataType | None = None, formats=TIME_FORMATS, day_first: Column | bool = False) -> Column:
+    """Timestamp from text in ISO or one of the given formats; anything else becomes null."""
+    return col(c).cast("timestamp") if is_time(dtype) else read_time(c, formats, day_first)
+
+
+def _cells(df: DataFrame, columns, file: str | None) -> DataFrame:
+    """(file, column, text): the filled cells of the columns that are still text."""
+    texts = [c for c in columns if not is_time(df.schema[c].dataType)]
+    name = F.col(file) if file else F.lit(None).cast("string")
+    empty = F.array().cast("array<struct<column:string,text:string>>")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), strip(F.col(c).cast("string")).alias("text")) for c in texts]) if texts else empty
+    return df.select(name.alias("file"), F.inline(cells)).where(filled("text") & (F.lower("text") != "nan"))
+
+
+def vote_dates(df: DataFrame, columns=TIME_COLUMNS, formats=TIME_FORMATS, file: str | None = None) -> DataFrame:
+    """One row per file and text column: how its times are written, and whether the day stands before the month.
+
+    Every filled cell votes: with its format, and with an order if it can be read in one order only ("13/01/2024" has the day in
+    front).  The order with more votes holds for the cells that could be either (``either``); without a majority the month is
+    first.  ``failed`` counts the cells that no format can read, ``outvoted`` those that can only be read against the order.
+    ``file`` names the column that tells the files apart; without it the whole log is one file.  Two aggregations over
+    (file, column, format), combined before the shuffle.
+    """
+    r = F.col("r")
+    month, day = r["month_first"], r["day_first"]
+    kinds = _cells(df, columns, file).withColumn("r", readings(F.col("text"), formats)).groupBy("file", "column", r["format"].alias("format")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(r.isNull()).alias("failed"), F.count_if(month.isNull() & day.isNotNull()).alias("day_votes"),
+        F.count_if(day.isNull() & month.isNotNull()).alias("month_votes"), F.count_if(month != day).alias("either"))
+    sums = {c: F.sum(c).alias(c) for c in ("failed", "day_votes", "month_votes", "either")}
+    best = F.max_by("format", F.when(F.col("format").isNotNull(), F.struct("n", "format")))
+    return (kinds.groupBy("file", "column").agg(F.sum("n").alias("cells"), *sums.values(), best.alias("main_format"),
+                                                F.count("format").alias("formats"))
+            .withColumn("day_first", F.col("day_votes") > F.col("month_votes")).withColumn("outvoted", F.least("day_votes", "month_votes")))
+
+
+def failed_dates(df: DataFrame, columns=TIME_COLUMNS, formats=TIME_FORMATS, file: str | None = None) -> DataFrame:
+    """The distinct texts that no format can read, with their number, per file and column."""
+    cells = _cells(df, columns, file)
+    return cells.where(readings(F.col("text"), formats).isNull()).groupBy("file", "column", "text").agg(F.count(F.lit(1)).alias("cells"))
+
+
+def parse_time(df: DataFrame, columns=TIME_COLUMNS, formats=TIME_FORMATS, file: str | None = None, vote: bool = False,
+               row_id: str = "mail_id") -> DataFrame:
+    """Timestamps instead of texts.  Texts that could have day or month in front are read month first, or with ``vote`` in the order
+    that the column's own values settle in each file; ``row_id`` spreads the rows of a large file if there are very many files."""
+    if not vote:
+        return df.withColumns({c: to_time(c, df.schema[c].dataType, formats) for c in columns})
+    order = vote_dates(df, columns, formats, file).groupBy(F.col("file").alias("_file")).agg(
+        *[F.bool_or(F.when(F.col("column") == c, F.col("day_first"))).alias(f"_day_{c}") for c in columns])
+    rows = spread_join(df.withColumn("_file", F.col(file) if file else F.lit(None).cast("string")), order, "_file", row_id)
+    return (rows.withColumns({c: to_time(c, df.schema[c].dataType, formats, F.col(f"_day_{c}")) for c in columns})
+            .drop("_file", *[f"_day_{c}" for c in columns]))
 
 
 def clean_text(df: DataFrame) -> DataFrame:
@@ -85,10 +131,13 @@ def attachment_count(attachments="attachments") -> Column:
     return F.regexp_count(blank_if_null(attachments), F.lit(r"\.[a-zA-Z]+"))
 
 
-def mail_normalize(df: DataFrame) -> DataFrame:
-    """The whole cleaning chain: types, trimmed text, time parts, leaver and attachment columns."""
+def mail_normalize(df: DataFrame, formats=TIME_FORMATS, file: str | None = None, vote: bool = False) -> DataFrame:
+    """The whole cleaning chain: types, trimmed text, time parts, leaver and attachment columns.
+
+    ``formats``, ``file`` and ``vote`` say how times are written (see ``parse_time``).
+    """
     raw_attachments = F.col("attachments").cast("string")
-    staged = (parse_time(df)
+    staged = (parse_time(df, formats=formats, file=file, vote=vote)
               .withColumns({"has_attachments": filled(raw_attachments),
                             "attachment_types": attachment_types(raw_attachments)}))
     staged = hour_dow(clean_text(staged))

@@ -58,6 +58,41 @@ O["mail_normalize"] = sql("raw", f"""SELECT mail_id, {stamp('time')} AS time, se
  len(list_filter(regexp_split_to_array(recipients, '[;,\\s]+'), lambda r: contains(r, '@'))) AS recipient_count,
  recipient_domain AS recipient_domains FROM c""", c=CLEAN)
 O["parse_time"] = sql("raw", f"SELECT mail_id, {stamp(RAW_TIME)} AS time, {stamp('last_working_day')} AS last_working_day FROM raw")
+MIXED = """SELECT mail_id, ['us', 'eu', 'iso', 'words', 'unclear'][mail_id % 5 + 1] AS file, strftime(last_working_day, '%d/%m/%Y') AS last_working_day,
+ CASE WHEN mail_id % 61 = 0 THEN 'no time ' || (mail_id % 3) WHEN mail_id % 67 = 0 THEN ' ' ELSE CASE mail_id % 5
+   WHEN 0 THEN [strftime(time, '%-m/%-d/%Y %-H:%M:%S'), strftime(time, '%-m/%-d/%Y %-I:%M %p')][(mail_id // 5) % 2 + 1]
+   WHEN 1 THEN [strftime(time, '%d/%m/%Y %H:%M'), strftime(time, '%-d.%-m.%Y %-H:%M:%S')][(mail_id // 5) % 2 + 1]
+   WHEN 2 THEN [strftime(time, '%Y-%m-%d %H:%M:%S'), strftime(time, '%Y/%-m/%-d %-H:%M'), strftime(time, '%Y-%m-%dT%H:%M:%S')][(mail_id // 5) % 3 + 1]
+   WHEN 3 THEN [strftime(time, '%-d-%b-%Y %H:%M'), strftime(time, '%b %-d, %Y %-I:%M %p'), strftime(time, '%a, %-d %b %Y %H:%M:%S')][(mail_id // 5) % 3 + 1]
+   ELSE CASE WHEN day(time) <= 12 THEN strftime(time, '%d-%m-%Y') END END END AS time FROM mail_log"""
+# (name of the format, formats with the month in front, formats with the day in front)
+DATE_FORMATS = [("ISO", ["%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S"], None), ("yyyy/M/d[ H:mm[:ss]]", ["%Y/%m/%d %H:%M"], None),
+                ("M/d/yyyy[ H:mm[:ss]]", ["%m/%d/%Y", "%m/%d/%Y %H:%M", "%m/%d/%Y %H:%M:%S"], ["%d/%m/%Y", "%d/%m/%Y %H:%M", "%d/%m/%Y %H:%M:%S"]),
+                ("M/d/yyyy h:mm[:ss] a", ["%m/%d/%Y %I:%M %p"], ["%d/%m/%Y %I:%M %p"]), ("M-d-yyyy[ H:mm[:ss]]", ["%m-%d-%Y"], ["%d-%m-%Y"]),
+                ("M.d.yyyy[ H:mm[:ss]]", ["%m.%d.%Y %H:%M:%S"], ["%d.%m.%Y %H:%M:%S"]), ("d-MMM-yyyy[ H:mm[:ss]]", ["%d-%b-%Y %H:%M"], None),
+                ("MMM d, yyyy h:mm[:ss] a", ["%b %d, %Y %I:%M %p"], None), ("d MMM yyyy[ H:mm[:ss]]", ["%a, %d %b %Y %H:%M:%S"], None)]
+
+
+def _read(which):
+    return "coalesce(" + ", ".join(f"try_strptime(text, {q(f)})" for _, m, d in DATE_FORMATS for f in ((d or m) if which else m)) + ")"
+
+
+NAMED = "CASE " + " ".join("WHEN " + " OR ".join(f"try_strptime(text, {q(f)}) IS NOT NULL" for f in m + (d or [])) + f" THEN {q(n)}" for n, m, d in DATE_FORMATS) + " END"
+CELLS = """SELECT mail_id, file, 'time' AS "column", trim(time) AS text FROM mixed WHERE trim(time) <> ''
+ UNION ALL SELECT mail_id, file, 'last_working_day', trim(last_working_day) FROM mixed WHERE trim(last_working_day) <> ''"""
+CELL_READ = f"SELECT *, {_read(0)} AS m, {_read(1)} AS d, {NAMED} AS format FROM cells"
+VOTES = """SELECT file, "column", count(*) AS cells, count(*) FILTER (m IS NULL AND d IS NULL) AS failed, count(*) FILTER (m IS NULL AND d IS NOT NULL) AS day_votes,
+ count(*) FILTER (d IS NULL AND m IS NOT NULL) AS month_votes, count(*) FILTER (m <> d) AS either, mode_of AS main_format, count(DISTINCT format) AS formats,
+ day_votes > month_votes AS day_first, least(day_votes, month_votes) AS outvoted
+ FROM seen JOIN (SELECT file, "column", format AS mode_of FROM seen WHERE format IS NOT NULL GROUP BY file, "column", format QUALIFY row_number() OVER (PARTITION BY file, "column"
+   ORDER BY count(*) DESC, format DESC) = 1) USING (file, "column") GROUP BY file, "column", mode_of"""
+DATES = {"mixed": MIXED, "cells": CELLS, "seen": CELL_READ, "votes": VOTES}
+O["date_votes"] = sql("mail_log", "SELECT * FROM votes", **DATES)
+O["date_failures"] = sql("mail_log", """SELECT file, "column", text, count(*) AS cells FROM seen WHERE m IS NULL AND d IS NULL GROUP BY ALL""", **DATES)
+O["parse_time_voted"] = sql("mail_log", f"""SELECT mail_id, {stamp('t')} AS time, {stamp('l')} AS last_working_day FROM (SELECT x.mail_id,
+ max(CASE WHEN "column" = 'time' THEN v END) AS t, max(CASE WHEN "column" = 'last_working_day' THEN v END) AS l FROM mixed x LEFT JOIN
+ (SELECT mail_id, "column", CASE WHEN day_first THEN coalesce(d, m) ELSE coalesce(m, d) END AS v FROM seen JOIN votes USING (file, "column")) USING (mail_id)
+ GROUP BY x.mail_id)""", **DATES)
 O["clean_text"] = sql("raw", "SELECT mail_id, sender, recipients, subject, word_list_match, attachments FROM c", c=CLEAN)
 O["hour_dow"] = group("mail_log", [("hour", "hour(time)"), ("day_of_week", "isodow(time) - 1")])
 O["after_hours_flag"] = group("raw", [("hour", "coalesce(hour(time)::VARCHAR, '-')"), (

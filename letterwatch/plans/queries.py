@@ -9,7 +9,7 @@ from ..functions.text import listed, truncate_ellipsis
 from ..operators import (anomaly as A, bau as U, behaviour as H, components, content as K, coverage as G, domains as DO,
                          followup as Q, iforest as I, normalize as N, org as O, risk as R, whitelist as W)
 from ..sources import csv as S
-from ..sources.mail_log import mail_log, raw_mail_log, whitelist
+from ..sources.mail_log import mail_log, mixed_mail_log, raw_mail_log, whitelist
 from . import base as B
 
 QUERIES: dict = {}
@@ -121,6 +121,23 @@ def parse_time(spark, sf):
         "mail_id", stamp("time").alias("time"), stamp("last_working_day").alias("last_working_day"))
 
 
+@query
+def parse_time_voted(spark, sf):
+    """Times of five files, each with formats and an order of its own, read in the order that each file's values settle."""
+    return N.parse_time(mixed_mail_log(spark, sf), file="file", vote=True).select(
+        "mail_id", stamp("time").alias("time"), stamp("last_working_day").alias("last_working_day"))
+
+
+@query
+def date_votes(spark, sf):
+    return N.vote_dates(mixed_mail_log(spark, sf), file="file")
+
+
+@query
+def date_failures(spark, sf):
+    return N.failed_dates(mixed_mail_log(spark, sf), file="file")
+
+
 @query
 def clean_text(spark, sf):
     return N.clean_text(raw_mail_log(spark, sf)).select("mail_id", "sender", "recipients", "subject", "word_list_match",

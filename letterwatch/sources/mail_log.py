@@ -87,3 +87,18 @@ def raw_mail_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "word_list_match": F.when(k % 73 == 0, "nan").otherwise(F.col("word_list_match")),
         "attachments": F.when(k % 71 == 0, F.lit(None)).when(k % 67 == 0, "nan").otherwise(F.col("attachments")),
     })
+
+
+def mixed_mail_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as five files would bring it, each with its own way to write times, and some cells that are no time at all."""
+    m, k = mail_log(spark, sf_dir), F.col("mail_id")
+    def written(*formats):
+        return F.element_at(F.array(*[F.date_format("time", f) for f in formats]), (F.pmod(F.floor(k / 5), F.lit(len(formats))) + 1).cast("int"))
+    stamp = (F.when(k % 5 == 0, written("M/d/yyyy H:mm:ss", "M/d/yyyy h:mm a")).when(k % 5 == 1, written("dd/MM/yyyy HH:mm", "d.M.yyyy H:mm:ss"))
+             .when(k % 5 == 2, written("yyyy-MM-dd HH:mm:ss", "yyyy/M/d H:mm", "yyyy-MM-dd'T'HH:mm:ss"))
+             .when(k % 5 == 3, written("d-MMM-yyyy HH:mm", "MMM d, yyyy h:mm a", "EEE, d MMM yyyy HH:mm:ss"))
+             .otherwise(F.when(F.dayofmonth("time") <= 12, F.date_format("time", "dd-MM-yyyy"))))         # never shows its order
+    return m.withColumns({
+        "file": F.element_at(F.array(*[F.lit(f) for f in ("us", "eu", "iso", "words", "unclear")]), (k % 5 + 1).cast("int")),
+        "time": F.when(k % 61 == 0, F.concat(F.lit("no time "), (k % 3).cast("string"))).when(k % 67 == 0, " ").otherwise(stamp),
+        "last_working_day": F.date_format("last_working_day", "dd/MM/yyyy")})
