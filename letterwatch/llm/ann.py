@@ -21,9 +21,9 @@ TUNE_ROWS = 256                    # queries that the distance ratio is tuned on
 RECALL = 0.96                      # recall that the ratio must reach on these queries
 REPLICAS, BOUNDARY = 2, 1.1        # a vector is put into so many lists at most, while their distance is at most so many times the least
 DEGREE, ENTRIES = 16, 32           # neighbours of a centroid in the graph; where each search begins
-PART = 4_096                       # vectors of lists that one task holds at a time, about
+PART = 16_384                      # vectors of lists that one task holds at a time, about
 QUERIES = 32_768                   # queries of one part of lists that one task answers; more are dealt to several
-AT_ONCE = 512                      # queries whose distances are held at once
+AT_ONCE = 256                      # vectors or queries whose distances are held at once
 SPARE = 3                          # candidates kept beyond the wanted number, as fast products may differ in the last digits
 
 
