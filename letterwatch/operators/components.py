@@ -1,183 +1,268 @@
 """Clusters of anomalous mails: connected components of the "closer than eps" graph.
 
-With two points enough for a cluster, density clustering equals these components.  Points are never paired
-within a group: a grid cell whose diagonal is eps is connected by construction, cells are joined only with
-the bounded number of cells around them, and an undecided pair of cells is split into smaller boxes until
-box distances decide it.
+With two points enough for a cluster, density clustering equals these components.  Space is cut into leaves of about equal
+numbers of points, by a tree fitted on a bounded sample.  A task joins the points of one leaf, or of two leaves whose boxes are
+within eps, and gives back a spanning forest only; boxes decide most of it, so no group is ever paired point by point.
 """
 from __future__ import annotations
 
-import math
-from functools import reduce
-from operator import add, and_
+import sys
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.frames import dense_positions, materialize, spread_join
 from .anomaly import anomaly_features, feature_names
 
+# the small task functions travel with the job, so executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-def _total(terms, start=0.0):
-    return reduce(add, terms, F.lit(start))
+LEAF = 2_048                       # points of a leaf, about, as long as there are fewer than MOST_LEAVES leaves
+MOST_LEAVES = 4_096                # leaves whose boxes the driver holds
+FIT_POINTS = 65_536                # points that the tree is fitted on
+BLOCK = 1 << 17                    # pairs of points that are compared at once
 
 
-def _boxes(points: DataFrame, dims, level: int, side: float) -> DataFrame:
-    """Bounding boxes of the points per grid cell of the given level (cell side halves per level)."""
-    step = side / (2 ** level)
-    cell = [F.floor(F.col(d) / step).alias(f"c_{d}") for d in dims]
-    return points.select("root", *dims, *cell).groupBy("root", *[f"c_{d}" for d in dims]).agg(
-        *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims])
+class Tree:
+    """Cuts of space: inner nodes have a column and a value, leaves a number."""
 
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.column, self.value, self.below, self.above, self.leaf, self.leaves = [], [], [], [], [], 0
+        self._grow(sample, leaves)
+        for name in ("column", "value", "below", "above", "leaf"):
+            setattr(self, name, np.array(getattr(self, name)))
 
-def _gap2(dims, a, b):
-    """Squared smallest distance of two boxes."""
-    def gap(d):
-        g = F.greatest(F.lit(0.0), F.col(f"{b}.lo_{d}") - F.col(f"{a}.hi_{d}"), F.col(f"{a}.lo_{d}") - F.col(f"{b}.hi_{d}"))
-        return g * g
-    return _total([gap(d) for d in dims])
+    def _grow(self, x: np.ndarray, leaves: int) -> int:
+        node = len(self.leaf)
+        for part, blank in ((self.column, -1), (self.value, 0.0), (self.below, node), (self.above, node), (self.leaf, -1)):
+            part.append(blank)
+        cut = halved(x) if leaves > 1 and len(x) > 1 else None
+        if cut is None:
+            self.leaf[node], self.leaves = self.leaves, self.leaves + 1
+            return node
+        self.column[node], self.value[node], side = cut
+        self.below[node] = self._grow(x[side], (leaves + 1) // 2)
+        self.above[node] = self._grow(x[~side], leaves // 2)
+        return node
 
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Leaf number of each point."""
+        node = np.zeros(len(x), np.int64)
+        while (self.column[node] >= 0).any():
+            inner = self.column[node] >= 0
+            low = x[np.arange(len(x)), np.maximum(self.column[node], 0)] <= self.value[node]
+            node = np.where(inner, np.where(low, self.below[node], self.above[node]), node)
+        return self.leaf[node]
 
-def _span2(dims, a, b):
-    """Squared largest distance of two boxes."""
-    def span(d):
-        s = F.greatest(F.col(f"{b}.hi_{d}") - F.col(f"{a}.lo_{d}"), F.col(f"{a}.hi_{d}") - F.col(f"{b}.lo_{d}"))
-        return s * s
-    return _total([span(d) for d in dims])
 
+def halved(x: np.ndarray):
+    """(column, value, side) that cuts the points in about equal halves across their widest column; None if all are equal."""
+    lo, hi = x.min(0), x.max(0)
+    column = int(np.argmax(hi - lo))
+    if not hi[column] > lo[column]:
+        return None
+    value = np.median(x[:, column])
+    value = value if value < hi[column] else x[x[:, column] < value, column].max()
+    return column, float(value), x[:, column] <= value
 
-def eps_components(points: DataFrame, dims, keys, eps: float, tolerance: float = 1e-12):
-    """Points with their grid cell, cells with their component label, and the names of the cell columns.
 
-    ``points`` has mail_id, n, ``dims`` and ``keys``, the columns in which close points must agree.  The label
-    is the smallest mail_id of the component.
-    """
-    side = eps / math.sqrt(max(1, len(dims)))
-    reach = math.ceil(eps / side)
-    near2 = eps * eps + tolerance
-    cells = [f"_g{i}" for i in range(len(dims))]
-    placed = points.withColumns({g: F.floor(F.col(d) / side).cast("long") for g, d in zip(cells, dims)})
-    roots = (placed.groupBy(*keys, *cells)
-             .agg(F.min("mail_id").alias("root"), F.sum("n").alias("n"),
-                  *[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]))
-    roots = materialize(roots)
-    edges = _edges(placed, roots, dims, keys, cells, side, reach, near2)
-    labels = connected_labels(roots.select(F.col("root").alias("node")), edges)
-    by_cell = roots.join(labels, roots["root"] == labels["node"]).drop("node")
-    named = by_cell.select(*keys, *cells, "root", "label", F.col("n").alias("cell_n"))
-    return placed, named, cells
-
-
-def _edges(placed, roots, dims, keys, cells, side, reach, near2) -> DataFrame:
-    spark = roots.sparkSession
-    empty = spark.createDataFrame([], "a long, b long")
-    if not dims:
-        return empty
-    # equality on the keys and on coarse buckets of up to two dimensions; the rest is filtered exactly
-    hashed = cells[:2]
-    width = reach + 1
-    def bucket(g):
-        return F.floor(F.col(g) / width).cast("long")
-    left = roots.withColumns({f"_b{g}": bucket(g) for g in hashed})
-    right = roots
-    for g in hashed:
-        right = right.withColumn(f"_b{g}", F.explode(F.array(bucket(g) - 1, bucket(g), bucket(g) + 1)))
-    near = [F.abs(F.col(f"a.{g}") - F.col(f"b.{g}")) <= reach for g in cells]
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    same += [F.col(f"a._b{g}") == F.col(f"b._b{g}") for g in hashed]
-    close = reduce(and_, same + near + [F.col("a.root") < F.col("b.root"), _gap2(dims, "a", "b") <= near2])
-    pairs = materialize(left.alias("a").join(right.alias("b"), close).select(
-        F.col("a.root").alias("a"), F.col("b.root").alias("b"), (_span2(dims, "a", "b") <= near2).alias("sure")))
-    edges = pairs.where("sure").select("a", "b")
-    open_pairs = pairs.where("NOT sure").select("a", "b")
-    if open_pairs.isEmpty():
-        return edges
-    # split undecided pairs until box distances decide; single points always decide
-    wanted = materialize(open_pairs.select(F.explode(F.array("a", "b")).alias("root")).distinct())
-    points = (placed.join(roots.select(*keys, *cells, "root"), keys + cells)
-              .join(wanted, "root", "left_semi").select("root", *dims))
-    points = materialize(points.distinct())
-    ids = [f"c_{d}" for d in dims]
-    parent = [f"p_{d}" for d in dims]
-    state, level = open_pairs, 1
-    state_cols = []
+def gap2(lo_a, hi_a, lo_b, hi_b):
+    """Squared least distance of boxes."""
+    return (np.maximum(0.0, np.maximum(lo_b - hi_a, lo_a - hi_b)) ** 2).sum(-1)
+
+
+def span2(lo_a, hi_a, lo_b, hi_b):
+    """Squared largest distance of points of boxes."""
+    return (np.maximum(hi_b - lo_a, hi_a - lo_b) ** 2).sum(-1)
+
+
+class Forest:
+    """Components of local points, as links are found."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def link(self, i: int, j: int) -> None:
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
+
+    def roots(self) -> np.ndarray:
+        while (self.parent[self.parent] != self.parent).any():
+            self.parent = self.parent[self.parent]
+        return self.parent
+
+
+def join_within(x: np.ndarray, a: np.ndarray, b: np.ndarray | None, near2: float, forest: Forest) -> None:
+    """Link the points ``a`` with the points ``b`` within reach (the points ``a`` with each other if ``b`` is None)."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if b is None:
+            if len(a) < 2:
+                continue
+            lo, hi = x[a].min(0), x[a].max(0)
+            if span2(lo, hi, lo, hi) <= near2:
+                _chain(a, forest)
+            elif len(a) ** 2 <= BLOCK:
+                _compare(x, a, a, near2, forest)
+            else:
+                side = halved(x[a])[2]
+                todo += [(a[side], None), (a[~side], None), (a[side], a[~side])]
+            continue
+        lo_a, hi_a, lo_b, hi_b = x[a].min(0), x[a].max(0), x[b].min(0), x[b].max(0)
+        if gap2(lo_a, hi_a, lo_b, hi_b) > near2:
+            continue
+        if span2(lo_a, hi_a, lo_b, hi_b) <= near2:
+            forest.link(a[0], b[0])
+            _tight(x, a, near2, forest)
+            _tight(x, b, near2, forest)
+        elif len(a) * len(b) <= BLOCK:
+            _compare(x, a, b, near2, forest)
+        else:
+            swap = len(b) > len(a)
+            large, other = (b, a) if swap else (a, b)
+            side = halved(x[large])[2] if (x[large] != x[large[0]]).any() else np.arange(len(large)) < len(large) // 2
+            todo += [(large[side], other), (large[~side], other)]
+
+
+def _tight(x, rows, near2, forest) -> None:
+    lo, hi = x[rows].min(0), x[rows].max(0)
+    if span2(lo, hi, lo, hi) <= near2:
+        _chain(rows, forest)
+
+
+def _chain(rows: np.ndarray, forest: Forest) -> None:
+    for root in np.unique(forest.roots()[rows]).tolist():
+        forest.link(int(rows[0]), root)
+
+
+def _compare(x, a, b, near2, forest: Forest) -> None:
+    """All pairs of two small sets; labels run along the hits until they settle, so few links are made one by one."""
+    apart = np.zeros((len(a), len(b)))
+    for d in range(x.shape[1]):
+        apart += (x[a, d][:, None] - x[b, d][None, :]) ** 2
+    hits = apart <= near2
+    if not hits.any():
+        return
+    none = len(x)
+    left, right = forest.roots()[a].copy(), forest.roots()[b].copy()
     while True:
-        boxes = _boxes(points, dims, level, side)
-        for d in dims:
-            boxes = boxes.withColumn(f"p_{d}", F.floor(F.col(f"c_{d}") / 2))
-        def end(name):
-            chosen = boxes.select(F.col("root").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ids + parent],
-                                  F.struct(*[F.col(f"{s}_{d}") for d in dims for s in ("lo", "hi")]).alias(f"{name}_box"))
-            on = [name] + [f"{name}_{p}" for p in parent if state_cols]
-            return chosen, on
-        left_boxes, on_a = end("a")
-        right_boxes, on_b = end("b")
-        grown = state.join(left_boxes, on_a).join(right_boxes, on_b)
-        lo_hi = grown.select("a", "b", *[f"a_{c}" for c in ids], *[f"b_{c}" for c in ids],
-                             F.col("a_box").alias("x"), F.col("b_box").alias("y"))
-        tested = lo_hi.select("a", "b", *[f"a_{c}" for c in ids], *[f"b_{c}" for c in ids],
-                              (_gap2_struct(dims) <= near2).alias("may"), (_span2_struct(dims) <= near2).alias("sure"))
-        tested = materialize(tested.where("may"))
-        hit = tested.where("sure").select("a", "b").distinct()
-        edges = edges.unionByName(hit)
-        left_open = tested.where("NOT sure").join(hit, ["a", "b"], "left_anti")
-        if left_open.isEmpty():
-            return materialize(edges)
-        state = left_open.select("a", "b", *[F.col(f"a_{c}").alias(f"a_p{c[1:]}") for c in ids],
-                                 *[F.col(f"b_{c}").alias(f"b_p{c[1:]}") for c in ids])
-        state_cols = parent
-        level += 1
-
-
-def _gap2_struct(dims):
-    def gap(d):
-        g = F.greatest(F.lit(0.0), F.col(f"y.lo_{d}") - F.col(f"x.hi_{d}"), F.col(f"x.lo_{d}") - F.col(f"y.hi_{d}"))
-        return g * g
-    return _total([gap(d) for d in dims])
-
-
-def _span2_struct(dims):
-    def span(d):
-        s = F.greatest(F.col(f"y.hi_{d}") - F.col(f"x.lo_{d}"), F.col(f"x.hi_{d}") - F.col(f"y.lo_{d}"))
-        return s * s
-    return _total([span(d) for d in dims])
-
-
-def connected_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, label): label is the smallest node of the component.
-
-    Every label that sees a smaller one across an edge hooks onto it, chains of hooks are shortened, and the
-    nodes follow; the number of labels shrinks by a factor per round.  Edges per node are bounded by the
-    grid; joins on labels, where a large component is a hot key, are split.
+        before = left.copy(), right.copy()
+        left = np.minimum(left, np.where(hits, right[None, :], none).min(1))
+        right = np.minimum(right, np.where(hits, left[:, None], none).min(0))
+        if (left == before[0]).all() and (right == before[1]).all():
+            break
+    for rows, labels in ((a, left), (b, right)):
+        moved = np.flatnonzero(forest.parent[rows] != labels)
+        for i, label in {(int(forest.root(rows[k])), int(labels[k])) for k in moved.tolist()}:
+            forest.link(i, label)
+
+
+def local_components(points: DataFrame, dims, eps: float, tolerance: float = 1e-12) -> DataFrame:
+    """The points with ``leaf`` and ``root``, the smallest mail_id of their component within the leaf; written once."""
+    total = points.count()
+    leaves = max(1, min(MOST_LEAVES, -(-total // LEAF)))
+    share = min(1.0, FIT_POINTS / max(1, total))
+    sample = points.select(*dims) if share >= 1 else points.where(F.pmod(F.xxhash64("mail_id", F.lit("tree")), F.lit(1 << 20)) < int(share * (1 << 20))).select(*dims)
+    tree = Tree(sample.toPandas().to_numpy(float), leaves) if leaves > 1 else Tree(np.zeros((0, len(dims))), 1)
+    shared, near2, names = points.sparkSession.sparkContext.broadcast(tree), eps * eps + tolerance, list(dims)
+
+    @F.pandas_udf("int")
+    def leaf(columns: pd.DataFrame) -> pd.Series:
+        return pd.Series(shared.value.place(columns.to_numpy(float)))
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("mail_id", ignore_index=True)
+        forest = Forest(len(rows))
+        join_within(rows[names].to_numpy(float), np.arange(len(rows)), None, near2, forest)
+        return rows.assign(root=rows["mail_id"].to_numpy()[forest.roots()])
+
+    placed = points.withColumn("leaf", leaf(F.struct(*dims)) if leaves > 1 else F.lit(0))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields)
+    return materialize(placed.groupBy("leaf").applyInPandas(settle, kinds + ", root long"))
+
+
+def cross_links(placed: DataFrame, dims, eps: float, tolerance: float = 1e-12) -> DataFrame:
+    """(a, b): links between the local components of different leaves."""
+    boxes = placed.groupBy("leaf").agg(*[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).orderBy("leaf").toPandas()
+    numbers = boxes["leaf"].to_numpy()
+    lo, hi = boxes[[f"lo_{d}" for d in dims]].to_numpy(float), boxes[[f"hi_{d}" for d in dims]].to_numpy(float)
+    near2, names = eps * eps + tolerance, list(dims)
+    partners = {}
+    for i, number in enumerate(numbers.tolist()):
+        near = np.flatnonzero(gap2(lo[i], hi[i], lo, hi) <= near2)
+        partners[number] = [(int(numbers[j]), lo[j], hi[j]) for j in near.tolist() if j != i]
+    if not any(partners.values()):
+        return placed.sparkSession.createDataFrame([], "a long, b long")
+    shared = placed.sparkSession.sparkContext.broadcast(partners)
+
+    def deal(batches):
+        for b in batches:
+            x = b[names].to_numpy(float)
+            for number, rows in b.groupby("leaf").indices.items():
+                for other, low, high in shared.value[number]:
+                    near = rows[gap2(x[rows], x[rows], low, high) <= near2]        # only points that may reach the other box
+                    if len(near):
+                        yield b.iloc[near][["root", *names]].assign(lo=min(number, other), hi=max(number, other), side=int(number > other))
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        x, roots, side = rows[names].to_numpy(float), rows["root"].to_numpy(), rows["side"].to_numpy()
+        forest = Forest(len(rows))
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if len(a) and len(b):
+            join_within(x, a, b, near2, forest)
+        made = pd.DataFrame({"a": roots, "b": roots[forest.roots()]})
+        return made[made["a"] != made["b"]].drop_duplicates()
+
+    kinds = ", ".join(f"{d} double" for d in dims)
+    dealt = placed.select("leaf", "root", *dims).mapInPandas(deal, f"root long, {kinds}, lo int, hi int, side int")
+    return dealt.groupBy("lo", "hi").applyInPandas(meet, "a long, b long")
+
+
+def connected_labels(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node with an edge to another: the smallest node of its component.
+
+    The edges are rewritten until they are stars around the smallest nodes: larger neighbours of a node move to its smallest
+    neighbour, then the smaller ones; a logarithmic number of rounds, each written out.
     """
-    both = materialize(edges.select(F.inline(F.array(
-        F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
-        F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))).distinct())
-    labels = materialize(nodes.select("node", F.col("node").alias("label")))
-    while True:
-        seen = both.join(labels.select(F.col("node").alias("src"), F.col("label").alias("other")), "src")
-        hooks = materialize(
-            seen.join(labels.select(F.col("node").alias("dst"), F.col("label").alias("root")), "dst")
-            .where("other < root").groupBy("root").agg(F.min("other").alias("up")))
-        if hooks.isEmpty():
-            return labels
-        short = _shorten(_shorten(hooks))
-        sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
-        moves = short.withColumnRenamed("root", "label").join(sizes, "label")
-        labels = materialize(spread_join(labels, moves, "label", row_id="node")
-                             .select("node", F.coalesce("up", "label").alias("label")))
-
-
-def _shorten(hooks: DataFrame) -> DataFrame:
-    """Let every hook point where its target points."""
-    uses = hooks.groupBy("up").agg(F.count(F.lit(1)).alias("_n"))
-    onward = hooks.select(F.col("root").alias("up"), F.col("up").alias("top")).join(uses, "up")
-    return spread_join(hooks, onward, "up", row_id="root").select("root", F.coalesce("top", "up").alias("up"))
+    def tops(pairs):
+        return pairs.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("top"))
+
+    def state(pairs):
+        h = F.xxhash64("hi", "lo")
+        return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+
+    stars = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    now = state(stars)
+    while now[0]:
+        both = stars.unionByName(stars.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        least = tops(both).select("node", F.least("node", "top").alias("top"))
+        large = (both.where("lo > hi").join(least, F.col("hi") == F.col("node")).select(F.col("lo").alias("hi"), F.col("top").alias("lo")).distinct())
+        large = materialize(large)
+        small = large.join(tops(large), F.col("hi") == F.col("node"))
+        moved = small.where("lo <> top").select(F.col("lo").alias("hi"), F.col("top").alias("lo"))
+        stars = materialize(moved.unionByName(small.select("hi", F.col("top").alias("lo"))).distinct())
+        before, now = now, state(stars)
+        if now == before:
+            break
+    return stars.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(
+        stars.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct())
 
 
 def anomaly_clusters(df: DataFrame, eps: float = 0.5) -> DataFrame:
     """(mail_id, cluster) for the mails of ``df``; lonely mails get -1.
 
-    Features are recomputed on these mails and scaled with the population deviation.
+    Features are recomputed on these mails and scaled with the population deviation; fewer than three mails are one cluster.
+    Clusters are numbered from 0 in the order of their smallest mail_id.
     """
     columns = feature_names()
     features = materialize(anomaly_features(df))
@@ -185,26 +270,26 @@ def anomaly_clusters(df: DataFrame, eps: float = 0.5) -> DataFrame:
                          *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     if stats["n"] < 3:
         return features.select("mail_id", F.lit(0).cast("long").alias("cluster"))
-    # whole-number features with deviation below 1/eps differ by more than eps unless they are equal
-    varied = [c for c in columns if stats[f"s_{c}"] > 0]
-    keys = [c for c in varied if 1.0 / stats[f"s_{c}"] > eps]
-    dims = sorted((c for c in varied if c not in keys), key=lambda c: -stats[f"s_{c}"])
-    return cluster_points(features, stats, dims, keys, eps)
+    return cluster_points(features, stats, [c for c in columns if stats[f"s_{c}"] > 0], [], eps)
 
 
 def cluster_points(features: DataFrame, stats, dims, keys, eps: float) -> DataFrame:
-    names = [f"x{i}" for i in range(len(dims))]
-    scaled = features.select("mail_id", *keys, *[((F.col(c) - F.lit(float(stats[f"m_{c}"]))) / F.lit(float(stats[f"s_{c}"])))
-                                                 .alias(x) for c, x in zip(dims, names)])
-    if not keys:
-        scaled, keys = scaled.withColumn("_all", F.lit(0)), ["_all"]
-    distinct = materialize(scaled.groupBy(*keys, *names).agg(F.min("mail_id").alias("mail_id"),
-                                                             F.count(F.lit(1)).alias("n")))
-    placed, named, cells = eps_components(distinct, names, keys, eps)
-    sizes = named.groupBy("label").agg(F.sum("cell_n").alias("size"))
-    ranked = dense_positions(sizes.where("size > 1").select("label"), "label", "cluster")
-    clusters = materialize(named.join(ranked, "label", "left")
-                           .select(*keys, *cells, "cell_n", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster")))
-    side = eps / math.sqrt(max(1, len(names)))
-    at = scaled.withColumns({g: F.floor(F.col(x) / side).cast("long") for g, x in zip(cells, names)})
-    return spread_join(at, clusters, keys + cells).select("mail_id", "cluster")
+    """(mail_id, cluster): components of the mails whose scaled ``dims`` are within ``eps`` and whose ``keys`` are equal."""
+    names = [f"x{i}" for i in range(len(dims) + len(keys))]
+    cells = [*dims, *keys]
+    distinct = features.groupBy(*cells).agg(F.min("mail_id").alias("mail_id"), F.count(F.lit(1)).alias("n"))
+    scaled = [(F.col(c).cast("double") - float(stats[f"m_{c}"])) / float(stats[f"s_{c}"]) for c in dims]
+    apart = [F.col(c).cast("double") * (2 * eps) for c in keys]                      # whole numbers that differ are out of reach
+    points = materialize(distinct.withColumns(dict(zip(names, [*scaled, *apart]))))
+    if not names:
+        points, names = points.withColumn("x0", F.lit(0.0)), ["x0"]
+    placed = local_components(points, names, eps)
+    links = connected_labels(cross_links(placed, names, eps))
+    local = placed.groupBy("root").agg(F.sum("n").alias("n"))
+    named = materialize(local.join(links, F.col("root") == F.col("node"), "left").select("root", "n", F.coalesce("label", "root").alias("label")))
+    many = dense_positions(named.groupBy("label").agg(F.sum("n").alias("size")).where("size > 1").select("label"), "label", "cluster")
+    clusters = named.join(many, "label", "left").select("root", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
+    by_cell = spread_join(placed.select("mail_id", "root", *cells), clusters, "root").drop("mail_id", "root")
+    if not cells:
+        return spread_join(features.select("mail_id", F.lit(0).alias("_all")), by_cell.withColumn("_all", F.lit(0)), "_all").select("mail_id", "cluster")
+    return spread_join(features.select("mail_id", *cells), by_cell, cells).select("mail_id", "cluster")

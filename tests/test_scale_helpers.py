@@ -85,6 +85,35 @@ def test_clusters_equal_brute_force(spark, dims, spread):
     assert [r["cluster"] for r in got] == brute_clusters(points, 0.5)
 
 
+@pytest.mark.parametrize("dims,spread,leaf,block", [(2, 14.0, 16, 64), (3, 6.0, 30, 1 << 17), (1, 60.0, 8, 16)])
+def test_clusters_over_many_leaves_equal_brute_force(spark, monkeypatch, dims, spread, leaf, block):
+    monkeypatch.setattr(components, "LEAF", leaf)
+    monkeypatch.setattr(components, "BLOCK", block)
+    test_clusters_equal_brute_force(spark, dims, spread)
+
+
+def test_leaves_are_cut_by_counts_and_hold_every_point():
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 0.01, size=(3000, 2)), rng.uniform(0, 100, size=(300, 2)), np.full((50, 2), 7.0)])      # a third and more in one spot
+    tree = components.Tree(x, 16)
+    sizes = np.bincount(tree.place(x), minlength=tree.leaves)
+    assert tree.leaves == 16 and sizes.sum() == len(x) and sizes.max() <= 2 * len(x) / 16
+    assert components.Tree(np.ones((50, 2)), 8).leaves == 1 and components.halved(np.ones((5, 1))) is None
+
+
+def test_keys_hold_points_apart(spark):
+    df = spark.createDataFrame([(i, float(i // 4) / 10, i % 2) for i in range(12)], "mail_id long, f0 double, k long")
+    got = components.cluster_points(df, {"m_f0": 0.0, "s_f0": 1.0}, ["f0"], ["k"], 0.5).orderBy("mail_id").collect()
+    assert [r["cluster"] for r in got] == [0, 1] * 6
+
+
+def test_long_chains_get_one_label(spark):
+    pairs = [(i, i + 1) for i in range(300)] + [(1000, 1001), (1003, 1001), (5, 5)]
+    labels = {r["node"]: r["label"] for r in components.connected_labels(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert labels == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000, 1003: 1000}
+    assert components.connected_labels(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_chain_is_one_cluster(spark):
     df = spark.createDataFrame([(0, 0.0), (1, 0.4), (2, 0.8), (3, 9.0)], "mail_id long, f0 double")
     got = components.cluster_points(df, {"m_f0": 0.0, "s_f0": 1.0}, ["f0"], [], 0.5).orderBy("mail_id").collect()
