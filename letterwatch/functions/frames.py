@@ -1,10 +1,11 @@
 """Frame-level helpers: skew-safe joins, exact order statistics, scratch space."""
 from __future__ import annotations
 
+import bisect
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 # No piece of a key holds more than 1/PIECES of all rows, and fewer than PIECES keys can be that large.
 PIECES = 2048
@@ -15,16 +16,17 @@ BROADCAST_BYTES = 64 << 20
 INLINE_LIMIT = 2000
 
 
-def spread_join(facts: DataFrame, per_key: DataFrame, key, row_id: str = "mail_id", broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def spread_join(facts: DataFrame, per_key: DataFrame, key, row_id: str = "mail_id", broadcast_keys: int = BROADCAST_KEYS,
+                written: bool = False) -> DataFrame:
     """Left join of a fact table with a table that is unique on ``key``, safe for hot keys.
 
-    The per-key table is written once and measured.  If both its rows and its bytes are few it is broadcast and the facts
+    The per-key table is written once (unless the caller has ``written`` it) and measured.  If both its rows and its bytes are few it is broadcast and the facts
     are not shuffled at all.  Otherwise the facts are counted by key, whether or not the per-key table knows the key (null
     included), and a key that holds more than 1/PIECES of all facts is split into salted pieces; fewer than PIECES keys
     can be that large, so the list of them is always small enough to broadcast, and no task gets more than its share.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    per_key = materialize(per_key)
+    per_key = per_key if written else materialize(per_key)
     width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in per_key.columns), F.lit(8))
     n_keys, n_bytes = per_key.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     if n_keys <= broadcast_keys and n_bytes <= BROADCAST_BYTES:
@@ -65,18 +67,50 @@ def inline_values(df: DataFrame, column: str, limit: int = INLINE_LIMIT):
 
 
 def exact_quantile(df: DataFrame, column: str, q: float):
-    """Exact linearly interpolated quantile of a numeric column, or None if there is no value."""
+    """Exact linearly interpolated quantile of a numeric column, or None if there is no value.  Two scans (see ``around_rank``)."""
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
-    n = values.count()
+    near, below, n = around_rank(values, "v", q, lambda n: [int(q * (n - 1)), min(n - 1, int(q * (n - 1)) + 1)])
     if not n:
         return None
     position = q * (n - 1)
     lower = int(position)
-    low = value_at_rank(values, "v", lower)
-    high = low if lower == position else value_at_rank(values, "v", lower + 1)
+    low, high = values_at(near, "v", [lower - below, lower + (lower < position) - below])
     return low + (high - low) * (position - lower)
 
 
+def values_at(df: DataFrame, column: str, ranks, small: int = 10_000) -> list:
+    """The values with the given zero-based ranks: from one list if there are few distinct values, else by narrowing."""
+    counts = df.groupBy(F.col(column).alias("v")).count().orderBy("v").limit(small + 1).collect()
+    if len(counts) > small:
+        return [value_at_rank(df, column, r) for r in ranks]
+    upto, total = [], 0
+    for row in counts:
+        total += row["count"]
+        upto.append(total)
+    return [counts[bisect.bisect_right(upto, r)]["v"] for r in ranks]
+
+
+def around_rank(df: DataFrame, column: str, q: float, ranks, accuracy: int = 10_000):
+    """(rows near the wanted ranks, number of rows below them, number of all rows), in two scans.
+
+    The first scan counts the rows and brackets the fraction ``q`` by a mergeable quantile sketch whose error is a share
+    1/``accuracy`` of the rows; the second one writes the rows inside the bracket, about 4/``accuracy`` of all and ties, and counts
+    those below.  ``ranks`` gives the zero-based ranks that must lie inside, from the number of rows; should the sketch have
+    missed one, all rows count as near.  Nulls take no part.
+    """
+    v, off = F.col(column), 2.0 / accuracy
+    n, bracket = df.agg(F.count(v), F.percentile_approx(v, [max(0.0, q - off), min(1.0, q + off)], accuracy)).first()
+    if not n:
+        return df, 0, 0
+    seen = Observation()
+    lo, hi = bracket
+    near = materialize(df.observe(seen, F.count_if(v < lo).alias("below"), F.count_if(v.between(lo, hi)).alias("inside")).where(v.between(lo, hi)))
+    below, inside = seen.get["below"], seen.get["inside"]
+    if all(below <= r < below + inside for r in ranks(n)):
+        return near, below, n
+    return df, 0, n
+
+
 def value_at_rank(df: DataFrame, column: str, rank: int, buckets: int = 4096, small: int = 10_000):
     """The value with the given zero-based rank of a numeric column, without sorting the data.
 

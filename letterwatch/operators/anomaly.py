@@ -22,22 +22,36 @@ def feature_names(domain_types=DOMAIN_TYPES) -> list[str]:
             + ["dept_frequency", "sender_frequency"])
 
 
-def anomaly_features(df: DataFrame, domain_type_col: str = "email_domain_type", domain_types=DOMAIN_TYPES) -> DataFrame:
-    """Numeric feature columns per mail (long), nulls as 0.
+# What the features are made of; a frame may lack the flags.
+FEATURE_INPUTS = ("mail_id", "sender", "department", "hour", "day_of_week", "recipient_count", "has_attachments", "is_after_hours", "is_leaver",
+                  "has_new_domain", "has_burst_pattern", "email_domain_type")
+
+
+def with_features(df: DataFrame, domain_type_col: str = "email_domain_type", domain_types=DOMAIN_TYPES) -> DataFrame:
+    """Add ``_features``, a struct of numbers (long), nulls as 0.
 
-    Frequencies are counted per key and joined back with hot keys split; no window holds a sender's mails.
+    Two scans: mails are counted by department and by sender in one aggregation over both grouping sets, and the counts are joined
+    back with hot keys split; no window holds a sender's mails.
     """
-    rows = df.select(
-        "mail_id", "sender", "department", *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c)
-                                             for c in ("hour", "day_of_week")],
-        F.coalesce((F.col("day_of_week") >= 5).cast("int"), F.lit(0)).alias("is_weekend"),
-        *[_flag(df, c).alias(c) for c in ("recipient_count", "has_attachments", "is_after_hours", "is_leaver",
-                                          "has_new_domain", "has_burst_pattern")],
-        *[F.coalesce((F.col(domain_type_col) == t).cast("int"), F.lit(0)).alias(f"domain_{t}") for t in domain_types])
-    depts = rows.where("department IS NOT NULL").groupBy("department").agg(F.count(F.lit(1)).alias("dept_frequency"))
-    senders = rows.where("sender IS NOT NULL").groupBy("sender").agg(F.count(F.lit(1)).alias("sender_frequency"))
-    joined = spread_join(spread_join(rows, depts, "department"), senders, "sender")
-    return joined.select("mail_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in feature_names(domain_types)])
+    counts = materialize(df.groupingSets([["department"], ["sender"]], "department", "sender").agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_mails")))
+    def per(key, which, name):
+        return counts.where((F.col("_set") == which) & F.col(key).isNotNull()).select(key, F.col("_mails").alias(name))
+    joined = spread_join(spread_join(df, per("department", 1, "_dept_frequency"), "department", written=True),
+                         per("sender", 2, "_sender_frequency"), "sender", written=True)
+    def number(c):
+        return F.coalesce(F.col(c).cast("int"), F.lit(0))
+    values = {"hour": number("hour"), "day_of_week": number("day_of_week"), "is_weekend": F.coalesce((F.col("day_of_week") >= 5).cast("int"), F.lit(0)),
+              **{c: _flag(df, c) for c in ("recipient_count", "has_attachments", "is_after_hours", "is_leaver", "has_new_domain", "has_burst_pattern")},
+              **{f"domain_{t}": F.coalesce((F.col(domain_type_col) == t).cast("int"), F.lit(0)) for t in domain_types},
+              "dept_frequency": F.coalesce("_dept_frequency", F.lit(0)), "sender_frequency": F.coalesce("_sender_frequency", F.lit(0))}
+    struct = F.struct(*[values[c].cast("long").alias(c) for c in feature_names(domain_types)])
+    return joined.withColumn("_features", struct).drop("_dept_frequency", "_sender_frequency")
+
+
+def anomaly_features(df: DataFrame, domain_type_col: str = "email_domain_type", domain_types=DOMAIN_TYPES) -> DataFrame:
+    """(mail_id, features): the numeric feature columns per mail (see ``with_features``)."""
+    return with_features(df, domain_type_col, domain_types).select("mail_id", "_features.*")
 
 
 def one_decimal(c: Column) -> Column:

@@ -11,7 +11,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..functions.frames import dense_positions, materialize, spread_join
 from .anomaly import anomaly_features, feature_names
@@ -19,7 +19,7 @@ from .anomaly import anomaly_features, feature_names
 # the small task functions travel with the job, so executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LEAF = 2_048                       # points of a leaf, about, as long as there are fewer than MOST_LEAVES leaves
+LEAF = 16_384                      # points of a leaf, about, as long as there are fewer than MOST_LEAVES leaves
 MOST_LEAVES = 4_096                # leaves whose boxes the driver holds
 FIT_POINTS = 65_536                # points that the tree is fitted on
 BLOCK = 1 << 17                    # pairs of points that are compared at once
@@ -191,8 +191,8 @@ def local_components(points: DataFrame, dims, eps: float, tolerance: float = 1e-
     return materialize(placed.groupBy("leaf").applyInPandas(settle, kinds + ", root long"))
 
 
-def cross_links(placed: DataFrame, dims, eps: float, tolerance: float = 1e-12) -> DataFrame:
-    """(a, b): links between the local components of different leaves."""
+def cross_links(placed: DataFrame, dims, eps: float, tolerance: float = 1e-12) -> DataFrame | None:
+    """(a, b): links between the local components of different leaves; None if no two leaves are near."""
     boxes = placed.groupBy("leaf").agg(*[F.min(d).alias(f"lo_{d}") for d in dims], *[F.max(d).alias(f"hi_{d}") for d in dims]).orderBy("leaf").toPandas()
     numbers = boxes["leaf"].to_numpy()
     lo, hi = boxes[[f"lo_{d}" for d in dims]].to_numpy(float), boxes[[f"hi_{d}" for d in dims]].to_numpy(float)
@@ -202,7 +202,7 @@ def cross_links(placed: DataFrame, dims, eps: float, tolerance: float = 1e-12) -
         near = np.flatnonzero(gap2(lo[i], hi[i], lo, hi) <= near2)
         partners[number] = [(int(numbers[j]), lo[j], hi[j]) for j in near.tolist() if j != i]
     if not any(partners.values()):
-        return placed.sparkSession.createDataFrame([], "a long, b long")
+        return None
     shared = placed.sparkSession.sparkContext.broadcast(partners)
 
     def deal(batches):
@@ -237,21 +237,20 @@ def connected_labels(edges: DataFrame) -> DataFrame:
     def tops(pairs):
         return pairs.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("top"))
 
-    def state(pairs):
-        h = F.xxhash64("hi", "lo")
-        return tuple(pairs.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+    def written(pairs):
+        seen, h = Observation(), F.xxhash64("hi", "lo")
+        made = materialize(pairs.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s")))
+        return made, seen.get
 
-    stars = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    now = state(stars)
-    while now[0]:
+    stars, now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    while now["n"]:
         both = stars.unionByName(stars.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = tops(both).select("node", F.least("node", "top").alias("top"))
         large = (both.where("lo > hi").join(least, F.col("hi") == F.col("node")).select(F.col("lo").alias("hi"), F.col("top").alias("lo")).distinct())
-        large = materialize(large)
         small = large.join(tops(large), F.col("hi") == F.col("node"))
         moved = small.where("lo <> top").select(F.col("lo").alias("hi"), F.col("top").alias("lo"))
-        stars = materialize(moved.unionByName(small.select("hi", F.col("top").alias("lo"))).distinct())
-        before, now = now, state(stars)
+        before = now
+        stars, now = written(moved.unionByName(small.select("hi", F.col("top").alias("lo"))).distinct())
         if now == before:
             break
     return stars.select(F.col("hi").alias("node"), F.col("lo").alias("label")).unionByName(
@@ -284,12 +283,14 @@ def cluster_points(features: DataFrame, stats, dims, keys, eps: float) -> DataFr
     if not names:
         points, names = points.withColumn("x0", F.lit(0.0)), ["x0"]
     placed = local_components(points, names, eps)
-    links = connected_labels(cross_links(placed, names, eps))
-    local = placed.groupBy("root").agg(F.sum("n").alias("n"))
-    named = materialize(local.join(links, F.col("root") == F.col("node"), "left").select("root", "n", F.coalesce("label", "root").alias("label")))
+    links = cross_links(placed, names, eps)
+    named = placed.groupBy("root").agg(F.sum("n").alias("n")).withColumn("label", F.col("root"))
+    if links is not None:
+        named = materialize(named.drop("label").join(connected_labels(links), F.col("root") == F.col("node"), "left")
+                            .select("root", "n", F.coalesce("label", "root").alias("label")))
     many = dense_positions(named.groupBy("label").agg(F.sum("n").alias("size")).where("size > 1").select("label"), "label", "cluster")
     clusters = named.join(many, "label", "left").select("root", F.coalesce("cluster", F.lit(-1)).cast("long").alias("cluster"))
-    by_cell = spread_join(placed.select("mail_id", "root", *cells), clusters, "root").drop("mail_id", "root")
+    by_cell = placed.select("root", *cells).join(clusters, "root").drop("root")
     if not cells:
         return spread_join(features.select("mail_id", F.lit(0).alias("_all")), by_cell.withColumn("_all", F.lit(0)), "_all").select("mail_id", "cluster")
     return spread_join(features.select("mail_id", *cells), by_cell, cells).select("mail_id", "cluster")

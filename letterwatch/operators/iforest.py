@@ -5,6 +5,7 @@ nodes whatever the size of the log, and scoring is a vectorised Arrow function o
 """
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 
@@ -14,13 +15,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.frames import exact_quantile, materialize
-from .anomaly import anomaly_features, anomaly_reasons, feature_names
+from .anomaly import FEATURE_INPUTS, anomaly_reasons, feature_names, with_features
 
 # the small task functions travel with the job, so executors need not have this package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TREES, SAMPLE, SEED, CONTAMINATION = 100, 256, 42, 0.1
-NODE_SCHEMA = "tree int, node int, feature int, cut double, below int, above int, path double"
+UNIT = 1_000_000                   # paths are whole numbers of millionths, so their sums do not depend on the order
+NODE_SCHEMA = "tree int, node int, feature int, cut double, path long"
 
 
 def average_path(n):
@@ -30,60 +32,72 @@ def average_path(n):
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
+def draw(*key) -> str:
+    """A draw that any engine can repeat: the MD5 of the key, as hex text."""
+    return hashlib.md5(":".join(map(str, key)).encode()).hexdigest()
+
+
 def _tree_grower(columns, seed: int, limit: int):
     def grow(sample: pd.DataFrame) -> pd.DataFrame:
         tree = int(sample["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        data = sample.sort_values("mail_id")[columns].to_numpy(dtype=float)
-        nodes, todo, free = [], [(0, np.arange(len(data)), 0)], 1
+        data = sample[columns].to_numpy(dtype=float)
+        nodes, todo = [], [(1, np.arange(len(data)), 0)]
         while todo:
             node, rows, depth = todo.pop()
             part = data[rows]
-            varied = np.flatnonzero(part.max(axis=0) > part.min(axis=0))
-            if depth >= limit or len(rows) < 2 or not len(varied):
-                nodes.append((tree, node, -1, 0.0, node, node, depth + float(average_path(len(rows)))))
+            lo, hi = part.min(axis=0), part.max(axis=0)
+            varied = np.flatnonzero(hi > lo).tolist()
+            if depth >= limit or len(rows) < 2 or not varied:
+                nodes.append((tree, node, -1, 0.0, round((depth + float(average_path(len(rows)))) * UNIT)))
                 continue
-            feature = int(rng.choice(varied))
-            lo, hi = part[:, feature].min(), part[:, feature].max()
-            cut = float(rng.uniform(lo, hi))
-            cut = lo if cut >= hi else cut
-            side = part[:, feature] <= cut
-            nodes.append((tree, node, feature, cut, free, free + 1, 0.0))
-            todo += [(free, rows[side], depth + 1), (free + 1, rows[~side], depth + 1)]
-            free += 2
-        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "below", "above", "path"])
+            k = min(varied, key=lambda f: draw(seed, tree, node, f))
+            cut = float(lo[k] + (hi[k] - lo[k]) * (int(draw(seed, tree, node, "cut")[:12], 16) / 2.0 ** 48))
+            cut = float(lo[k]) if cut >= hi[k] else cut
+            nodes.append((tree, node, k, cut, 0))
+            side = part[:, k] <= cut
+            todo += [(2 * node, rows[side], depth + 1), (2 * node + 1, rows[~side], depth + 1)]
+        return pd.DataFrame(nodes, columns=["tree", "node", "feature", "cut", "path"])
     return grow
 
 
-def fit_forest(features: DataFrame, columns, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED):
-    """Node table of the forest as arrays of shape (trees, nodes), and the sample size used."""
+def _share_below(share: float) -> str:
+    return f"{min(int(share * 2 ** 64), 2 ** 64 - 1):016x}"
+
+
+def node_table(features: DataFrame, columns, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED):
+    """(nodes of the forest, sample size, depth limit): node 1 is a tree's root, 2 n and 2 n + 1 are the children of n.
+
+    Each tree draws its sample by the least MD5 of seed, tree and mail; of a large log a hash of the mail picks a pool of bounded
+    size first.  A node cuts the varied feature with the least MD5, at a place drawn the same way, so the forest can be
+    rebuilt from the log by any engine.
+    """
     total = features.count()
     size = min(sample, total)
-    # one hash per mail picks a pool of bounded size; each tree then draws its sample from the pool
     pool_share = min(1.0, 2.0 * trees * size / total)
-    pool = features.where(_hash_below(F.xxhash64(F.lit(seed), "mail_id"), pool_share))
-    draw_share = min(1.0, 4.0 * size / max(1.0, pool_share * total))
+    pool = features if pool_share >= 1 else features.where(
+        F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("pool"), "mail_id")), 1, 16) < _share_below(pool_share))
     tickets = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-               .withColumn("ticket", F.xxhash64(F.lit(seed + 1), "tree", "mail_id"))
-               .where(_hash_below(F.col("ticket"), draw_share)))
-    drawn = (tickets.withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy("ticket", "mail_id")))
+               .withColumn("ticket", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("sample"), "tree", "mail_id"))))
+    draw_share = min(1.0, 4.0 * size / max(1.0, pool_share * total))            # far more than are taken
+    likely = tickets.where(F.substring("ticket", 1, 16) <= _share_below(draw_share))
+    drawn = (likely.withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy("ticket", "mail_id")))
              .where(F.col("r") <= size).select("tree", "mail_id", *columns))
     limit = max(1, math.ceil(math.log2(max(size, 2))))
-    nodes = drawn.groupBy("tree").applyInPandas(_tree_grower(list(columns), seed, limit), NODE_SCHEMA).toPandas()
-    width = int(nodes["node"].max()) + 1                                     # at most 2 * sample - 1
-    forest = {name: np.zeros((trees, width), dtype=kind) for name, kind in
-              (("feature", np.int32), ("cut", float), ("below", np.int32), ("above", np.int32), ("path", float))}
-    forest["feature"] -= 1
+    return drawn.groupBy("tree").applyInPandas(_tree_grower(list(columns), seed, limit), NODE_SCHEMA), size, limit
+
+
+def fit_forest(features: DataFrame, columns, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED):
+    """The forest as arrays of shape (trees, nodes), the sample size and the depth limit."""
+    table, size, limit = node_table(features, columns, trees, sample, seed)
+    nodes = table.toPandas()                                                 # trees times 2 * sample nodes at most
+    forest = {name: np.full((trees, 2 << limit), blank, dtype=kind) for name, kind, blank in
+              (("feature", np.int32, -1), ("cut", float, 0.0), ("path", np.int64, 0))}
     at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
     for name in forest:
         forest[name][at] = nodes[name].to_numpy()
     return forest, size, limit
 
 
-def _hash_below(h, share: float):
-    return F.lit(True) if share >= 1.0 else h < F.lit(int(-2 ** 63 + share * 2 ** 64))
-
-
 def _scorer(spark, forest, size: int, limit: int):
     shared = spark.sparkContext.broadcast(forest)
     scale = float(average_path(size)) or 1.0
@@ -92,40 +106,45 @@ def _scorer(spark, forest, size: int, limit: int):
     def score(columns: pd.DataFrame) -> pd.Series:
         data, f = columns.to_numpy(dtype=float), shared.value
         data, back = np.unique(data, axis=0, return_inverse=True)            # equal mails score equally
-        rows = np.arange(len(data))
-        depth = np.zeros(len(data))
+        rows, path = np.arange(len(data)), np.zeros(len(data), dtype=np.int64)
         for t in range(len(f["feature"])):
-            node = np.zeros(len(data), dtype=np.int32)
+            node = np.ones(len(data), dtype=np.int32)
             for _ in range(limit):
                 feature = f["feature"][t][node]
-                node = np.where(data[rows, feature] <= f["cut"][t][node], f["below"][t][node], f["above"][t][node])
-            depth += f["path"][t][node]
-        return pd.Series((-np.exp2(-depth / len(f["feature"]) / scale))[back.ravel()])
+                node = np.where(feature < 0, node, 2 * node + (data[rows, feature] > f["cut"][t][node]))
+            path += f["path"][t][node]
+        return pd.Series((-np.exp2(-(path / UNIT) / len(f["feature"]) / scale))[back.ravel()])
     return score
 
 
 def iforest_scores(features: DataFrame, columns, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """(mail_id, sample_score); lower is more anomalous.  Written once so that later passes do not rescore."""
-    forest, size, limit = fit_forest(features, columns, trees, sample, seed)
-    score = _scorer(features.sparkSession, forest, size, limit)
-    return materialize(features.select("mail_id", score(F.struct(*columns)).alias("sample_score")))
+    return _scored(features.withColumn("_features", F.struct(*columns)), columns, trees, sample, seed).select("mail_id", "sample_score")
 
 
-def iforest_detect(df: DataFrame, contamination: float = CONTAMINATION, trees: int = TREES, sample: int = SAMPLE,
-                   seed: int = SEED) -> DataFrame:
-    """(mail_id, anomaly_score, is_anomaly): the lowest ``contamination`` share of scores is flagged."""
+def _scored(rows: DataFrame, columns, trees: int, sample: int, seed: int) -> DataFrame:
+    forest, size, limit = fit_forest(rows.select("mail_id", "_features.*"), columns, trees, sample, seed)
+    score = _scorer(rows.sparkSession, forest, size, limit)
+    return materialize(rows.withColumn("sample_score", score("_features")))
+
+
+def with_anomalies(df: DataFrame, contamination: float = CONTAMINATION, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """The mails with ``anomaly_score`` and ``is_anomaly``: the lowest ``contamination`` share of scores is flagged.
+
+    The mails carry their features along, so nothing is joined back; select the columns that are needed first.
+    """
     if df.isEmpty():
-        return df.select("mail_id", F.lit(0.0).alias("anomaly_score"), F.lit(False).alias("is_anomaly"))
-    features = materialize(anomaly_features(df))
-    scores = iforest_scores(features, feature_names(), trees, sample, seed)
-    offset = exact_quantile(scores, "sample_score", contamination)
-    decision = F.col("sample_score") - F.lit(offset)
-    return scores.select("mail_id", decision.alias("anomaly_score"), (decision < 0).alias("is_anomaly"))
+        return df.withColumns({"anomaly_score": F.lit(0.0), "is_anomaly": F.lit(False)})
+    scores = _scored(materialize(with_features(df)), feature_names(), trees, sample, seed)
+    decision = F.col("sample_score") - F.lit(exact_quantile(scores, "sample_score", contamination))
+    return scores.withColumns({"anomaly_score": decision, "is_anomaly": decision < 0}).drop("_features", "sample_score")
 
 
-def with_anomalies(df: DataFrame, **options) -> DataFrame:
-    """The mails with their anomaly score and flag."""
-    return df.join(iforest_detect(df, **options), "mail_id")
+def iforest_detect(df: DataFrame, contamination: float = CONTAMINATION, trees: int = TREES, sample: int = SAMPLE,
+                   seed: int = SEED) -> DataFrame:
+    """(mail_id, anomaly_score, is_anomaly): the lowest ``contamination`` share of scores is flagged."""
+    needed = df.select(*[c for c in FEATURE_INPUTS if c in df.columns])
+    return with_anomalies(needed, contamination, trees, sample, seed).select("mail_id", "anomaly_score", "is_anomaly")
 
 
 def iforest_explained(df: DataFrame, **options) -> DataFrame:

@@ -413,6 +413,54 @@ O["anomaly_features"] = sql("cls", """SELECT cls.mail_id, hour::BIGINT AS hour,
  (email_domain_type = 'unknown')::BIGINT AS domain_unknown, count(*) OVER (PARTITION BY department) AS dept_frequency,
  count(*) OVER (PARTITION BY sender) AS sender_frequency FROM cls JOIN b ON cls.mail_id = b.mail_id LEFT JOIN n ON cls.mail_id = n.mail_id""",
     x=EXS, b=BURST, n=NEWD)
+FEATURE_SQL = ["hour", "day_of_week", "(day_of_week >= 5)", "recipient_count", "has_attachments", "is_after_hours", "is_leaver", "0", "0",
+               "(email_domain_type = 'business')", "(email_domain_type = 'free')", "(email_domain_type = 'internal')", "(email_domain_type = 'unknown')",
+               "CASE WHEN department IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY department) END", "CASE WHEN sender IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY sender) END"]
+FEATURE_LIST = "[" + ", ".join(f"coalesce({e}, {'0' if e.startswith(('hour', 'day', 'rec', 'CASE', '0')) else 'false'})::BIGINT" for e in FEATURE_SQL) + "]"
+
+
+def forest(src, trees=100, size=256, depth=8, seed=42):
+    """Steps that rebuild the isolation forest over the mails of ``src`` and score them: nodes level by level, then a recursive walk."""
+    n = len(FEATURE_SQL)
+    path = lambda d: f"round(({d} + CASE WHEN n > 2 THEN 2 * (ln(n - 1) + 0.5772156649015329) - 2 * (n - 1)::DOUBLE / n WHEN n = 2 THEN 1 ELSE 0 END) * 1000000)::BIGINT"
+    steps = {"feats": f"SELECT mail_id, {FEATURE_LIST} AS f FROM {src}",
+             "l0": f"SELECT tree, 1 AS node, f FROM feats, range({trees}) t(tree) QUALIFY row_number() OVER (PARTITION BY tree ORDER BY md5('{seed}:sample:' || tree || ':' || mail_id), mail_id) <= {size}"}
+    for d in range(depth + 1):
+        varied = f"list_filter(range(0, {n}), lambda k: hi[k + 1] > lo[k + 1])"
+        steps[f"s{d}"] = (f"SELECT tree, node, count(*) AS n, [{', '.join(f'min(f[{k}])' for k in range(1, n + 1))}] AS lo, "
+                          f"[{', '.join(f'max(f[{k}])' for k in range(1, n + 1))}] AS hi FROM l{d} GROUP BY tree, node")
+        pick = f"string_split(list_sort(list_transform({varied}, lambda k: md5('{seed}:' || tree || ':' || node || ':' || k) || ':' || k))[1], ':')[2]::INT"
+        steps[f"c{d}"] = (f"SELECT tree, node, k, {path(d)} AS path, CASE WHEN k IS NOT NULL THEN lo[k + 1] + (hi[k + 1] - lo[k + 1]) * "
+                          f"(('0x' || substr(md5('{seed}:' || tree || ':' || node || ':cut'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE) END AS cut "
+                          f"FROM (SELECT *, {pick if d < depth else 'NULL::INT'} AS k FROM s{d})")
+        if d < depth:
+            steps[f"l{d + 1}"] = f"SELECT tree, 2 * node + (f[k + 1] > cut)::INT AS node, f FROM l{d} JOIN c{d} USING (tree, node) WHERE k IS NOT NULL"
+    steps["nodes"] = " UNION ALL ".join(f"SELECT tree, node, k, cut, path FROM c{d}" for d in range(depth + 1))
+    steps["walk"] = ("SELECT f, tree, 1 AS node, k, cut, path FROM (SELECT DISTINCT f FROM feats), nodes WHERE node = 1 UNION ALL "
+                     "SELECT w.f, w.tree, x.node, x.k, x.cut, x.path FROM walk w JOIN nodes x ON x.tree = w.tree AND x.node = 2 * w.node + (w.f[w.k + 1] > w.cut)::INT WHERE w.k IS NOT NULL")
+    c = f"(2 * (ln({size} - 1) + 0.5772156649015329) - 2 * ({size} - 1)::DOUBLE / {size})"
+    steps["found"] = f"SELECT f, -pow(2, -(sum(path) / 1000000.0::DOUBLE) / {trees} / {c}) AS score FROM walk WHERE k IS NULL GROUP BY f"
+    steps["placed"] = "SELECT mail_id, f, score, row_number() OVER (ORDER BY score) - 1 AS place, 0.1::DOUBLE * (count(*) OVER () - 1) AS spot FROM feats JOIN found USING (f)"
+    steps["bounds"] = ("SELECT max(CASE WHEN place = floor(spot) THEN score END) AS low, max(CASE WHEN place = ceil(spot) THEN score END) AS high, max(spot - floor(spot)) AS part FROM placed")
+    steps["detected"] = "SELECT mail_id, f, score - (low + (high - low) * part) AS anomaly_score, score - (low + (high - low) * part) < 0 AS is_anomaly FROM placed, bounds"
+    return steps
+
+
+def recursive(text):
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+O["iforest_detect"] = recursive(sql("cls", "SELECT mail_id, round(anomaly_score, 6) AS anomaly_score, is_anomaly FROM detected", **forest("cls")))
+O["iforest_score100"] = recursive(sql("cls", """SELECT mail_id, round(CASE WHEN max(anomaly_score) OVER () > min(anomaly_score) OVER ()
+ THEN (anomaly_score - min(anomaly_score) OVER ()) / (max(anomaly_score) OVER () - min(anomaly_score) OVER ()) * 100 ELSE 0 END, 4) AS score100 FROM detected""", **forest("cls")))
+SCALED = ", ".join(f"coalesce((f[{k}] - avg(f[{k}]) OVER ()) / nullif(stddev_pop(f[{k}]) OVER (), 0), 0)" for k in range(1, len(FEATURE_SQL) + 1))
+O["anomaly_clusters"] = recursive(sql("cls", """SELECT m.mail_id, coalesce(cluster, -1)::BIGINT AS cluster FROM refound m JOIN labels USING (f) LEFT JOIN numbered USING (label)""",
+    **forest("cls"), flagged="SELECT cls.* FROM cls JOIN detected USING (mail_id) WHERE is_anomaly", refound=f"SELECT mail_id, {FEATURE_LIST} AS f FROM flagged",
+    scaled=f"SELECT mail_id, f, [{SCALED}] AS x FROM refound", spots="SELECT f, any_value(x) AS x, min(mail_id) AS id, count(*) AS n FROM scaled GROUP BY f",
+    near="SELECT a.id AS a, b.id AS b FROM spots a JOIN spots b ON list_sum(list_transform(range(1, len(a.x) + 1), lambda k: pow(a.x[k] - b.x[k], 2))) <= 0.25 + 1e-12",
+    reach="SELECT id AS a, id AS b FROM spots UNION SELECT reach.a, near.b FROM reach JOIN near ON reach.b = near.a",
+    labels="SELECT f, n, min(reach.b) AS label FROM spots JOIN reach ON id = reach.a GROUP BY f, n",
+    numbered="SELECT label, row_number() OVER (ORDER BY label) - 1 AS cluster FROM labels GROUP BY label HAVING sum(n) > 1"))
 RISKY = found_in("array_to_string(list_transform(attachment_types, lambda t: lower(t)), ',')", V.RISKY_FILE_TYPES)
 EXT = "coalesce(array_to_string(list_filter(rds, lambda d: d <> sender_domain), ', '), '')"
 REASONS = f"""SELECT mail_id, is_anomaly, list_filter([
@@ -428,6 +476,8 @@ REASONS = f"""SELECT mail_id, is_anomaly, list_filter([
 REASON4 = """CASE WHEN len(r) = 0 THEN 'Detected as statistical outlier based on behavioral patterns' ELSE array_to_string(r[1:4], ' | ') END
  AS anomaly_reasons"""
 O["anomaly_reasons"] = sql("ruled", f"SELECT mail_id, {REASON4} FROM z", z=REASONS)
+O["iforest_reasons"] = recursive(sql("page", f"SELECT mail_id, round(anomaly_score, 6) AS anomaly_score, {REASON4} FROM z JOIN detected USING (mail_id) WHERE z.is_anomaly",
+    **forest("page"), flagged="SELECT page.*, is_anomaly FROM page JOIN detected USING (mail_id)", z=REASONS.replace("FROM ruled", "FROM flagged").replace("ruled", "flagged")))
 O["anomaly_reason_map"] = sql("ruled", f"SELECT mail_id, {REASON4} FROM z WHERE is_anomaly", z=REASONS)
 for key, expr in (("sender_anomalies", "time_anomaly OR volume_anomaly OR content_anomaly"), ("sender_time_anomaly", "time_anomaly"),
                   ("sender_volume_anomaly", "volume_anomaly"), ("sender_content_anomaly", "content_anomaly")):

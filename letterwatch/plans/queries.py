@@ -772,17 +772,17 @@ def anomaly_features(spark, sf):
 
 @query
 def iforest_detect(spark, sf):
-    return I.iforest_detect(B.classified(spark, sf))
+    return I.iforest_detect(B.classified(spark, sf)).withColumn("anomaly_score", F.round("anomaly_score", 6))
 
 
 @query
 def iforest_score100(spark, sf):
-    return I.iforest_score100(I.iforest_detect(B.classified(spark, sf)))
+    return I.iforest_score100(I.iforest_detect(B.classified(spark, sf))).withColumn("score100", F.round("score100", 4))
 
 
 @query
 def iforest_reasons(spark, sf):
-    return I.iforest_explained(B.page(spark, sf)).select("mail_id", "anomaly_score", "anomaly_reasons")
+    return I.iforest_explained(B.page(spark, sf)).select("mail_id", F.round("anomaly_score", 6).alias("anomaly_score"), "anomaly_reasons")
 
 
 @query
@@ -809,8 +809,8 @@ _rules("sender_content_anomaly", "content_anomaly")
 
 @query
 def anomaly_clusters(spark, sf):
-    found = I.iforest_detect(B.classified(spark, sf)).where("is_anomaly").select("mail_id")
-    return components.anomaly_clusters(B.classified(spark, sf).join(found, "mail_id"))
+    rows = B.classified(spark, sf)
+    return components.anomaly_clusters(I.with_anomalies(rows.select(*[c for c in A.FEATURE_INPUTS if c in rows.columns])).where("is_anomaly"))
 
 
 @query
