@@ -51,15 +51,50 @@ def _null_safe_left(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     return left.join(renamed, cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
-def row_count(df: DataFrame) -> Column:
-    """Number of rows as a scalar subquery column."""
-    return df.agg(F.count(F.lit(1)).alias("n")).scalar()
+def rolled(df: DataFrame, sets: dict[str, dict[str, Column] | list[str]], **aggregates: Column) -> dict[str, DataFrame]:
+    """Several groupings of a frame in one scan: a frame of groups for each name in ``sets``, all read from one written table.
+
+    A set lists columns, or names expressions; an empty one is the grand total.  One aggregation over GROUPING SETS, combined before
+    the shuffle; a column of a group may be null, the sets are told apart by their grouping number.
+    """
+    named = {name: ({c: F.col(c) for c in keys} if not isinstance(keys, dict) else keys) for name, keys in sets.items()}
+    keys = {k: e for one in named.values() for k, e in one.items()}
+    rows = df.withColumns({f"_k_{k}": e for k, e in keys.items()}) if keys else df
+    columns = [f"_k_{k}" for k in keys]
+    if not columns:
+        return {name: df.agg(*[a.alias(n) for n, a in aggregates.items()]) for name in sets}
+    table = materialize(rows.groupingSets([[f"_k_{k}" for k in one] for one in named.values()], *columns).agg(
+        F.grouping_id().alias("_set"), *[a.alias(n) for n, a in aggregates.items()]))
+    number = {name: sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in one) for name, one in named.items()}
+    return {name: table.where(F.col("_set") == number[name]).select(*[F.col(f"_k_{k}").alias(k) for k in one], *aggregates)
+            for name, one in named.items()}
+
+
+def totalled(groups: DataFrame, count: str) -> tuple[DataFrame, Column]:
+    """Groups, written once, and the sum of their counts as a scalar: the total of the rows without a second pass over them."""
+    written = materialize(groups)
+    return written, written.agg(F.coalesce(F.sum(count), F.lit(0)).alias("n")).scalar()
 
 
 def share(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.round(F.when(whole > 0, part * 100.0 / whole).otherwise(0.0), digits)
 
 
+def _whole(n: int) -> Column:
+    return F.lit(str(n)).cast("decimal(20,0)")
+
+
+def arrival(time="time", mail="mail_id") -> Column:
+    """Order of arrival as one fixed-width number (time, undated last, then mail number), so that its minimum is a hash aggregate."""
+    at = F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(2 ** 62)).cast("decimal(20,0)")
+    return (at * _whole(2 * 10 ** 19) + F.col(mail).cast("decimal(20,0)") + _whole(2 ** 63)).cast("decimal(38,0)")
+
+
+def arrived(packed) -> Column:
+    """The mail number inside an ``arrival``."""
+    return (F.pmod(F.col(packed), _whole(2 * 10 ** 19)) - _whole(2 ** 63)).cast("long")
+
+
 def inline_values(df: DataFrame, column: str, limit: int = INLINE_LIMIT):
     """The distinct non-null values if there are at most ``limit``; otherwise None."""
     rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()

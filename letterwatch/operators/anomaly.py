@@ -96,13 +96,12 @@ def anomaly_reason_map(df: DataFrame) -> DataFrame:
 
 
 def sender_anomalies(df: DataFrame, min_mails: int = 5) -> DataFrame:
-    """Add the three per-sender rules and their disjunction.
+    """Add the three per-sender rules and their disjunction; the mails keep all their columns, so nothing is joined back.
 
     All statistics come from one table of counts per sender, day and hour; sums of squares give the
     deviations, so a sender's mails are never gathered.
     """
-    rows = df.select("mail_id", "sender", "recipient_count", "has_attachments",
-                     F.to_date("time").alias("_day"), F.hour("time").alias("_hour"))
+    rows = df.withColumns({"_day": F.to_date("time"), "_hour": F.hour("time")})
     rc = F.col("recipient_count").cast("long")
     cells = materialize(rows.groupBy("sender", "_day", "_hour").agg(
         F.count(F.lit(1)).alias("n"), F.sum(rc).alias("s"), F.sum(rc * rc).alias("ss"),
@@ -131,7 +130,7 @@ def sender_anomalies(df: DataFrame, min_mails: int = 5) -> DataFrame:
     content = F.coalesce(z > 2, F.lit(False)) | ((F.col("file_rate") < 0.1) & F.col("has_attachments"))
     def known(c):
         return F.coalesce(F.col("_n").isNotNull() & c, F.lit(False))
-    return (joined.select("mail_id", "sender", known(F.col("_t")).alias("time_anomaly"),
+    return (joined.select(*df.columns, known(F.col("_t")).alias("time_anomaly"),
                           known(F.col("_v")).alias("volume_anomaly"), known(content).alias("content_anomaly"))
             .withColumn("is_behavioral_anomaly",
                         F.col("time_anomaly") | F.col("volume_anomaly") | F.col("content_anomaly")))

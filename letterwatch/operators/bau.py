@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab as V
-from ..functions.frames import row_count
+from ..functions.frames import rolled, totalled
 from ..functions.text import blank_if_null, contains_any, count_words_in, words_in
 from .behaviour import daily_volume
 from .content import common_subject_words
@@ -38,23 +38,24 @@ def _described(row: DataFrame, section: str) -> DataFrame:
 
 
 def bau_temporal(scope: DataFrame) -> DataFrame:
-    """Long table: business-hours share, peak hour, distribution of daily volume, mails per weekday."""
-    hours = scope.where("hour IS NOT NULL").groupBy("hour").agg(_count().alias("n"))
-    peak = hours.agg(F.min_by("hour", F.struct(-F.col("n"), F.col("hour"))).alias("peak"))
-    head = scope.agg((F.count_if("is_business_hours") * 100.0 / _count()).alias("pct")).select(
-        F.inline(_kv("overview", [("business_hours_pct", F.col("pct"))])))
-    weekly = (scope.where("day_of_week IS NOT NULL").groupBy("day_of_week").agg(_count().alias("n"))
+    """Long table: business-hours share, peak hour, distribution of daily volume, mails per weekday.  One scan."""
+    sections = rolled(scope, {"hour": ["hour"], "week": ["day_of_week"], "day": {"day": F.to_date("time")}, "all": []}, n=_count(),
+                      business=F.count_if("is_business_hours"))
+    peak = sections["hour"].where("hour IS NOT NULL").agg(F.min_by("hour", F.struct(-F.col("n"), F.col("hour"))).alias("peak"))
+    head = sections["all"].select(F.inline(_kv("overview", [("business_hours_pct", F.col("business") * 100.0 / F.nullif("n", F.lit(0)))])))
+    days = sections["day"].where("day IS NOT NULL").agg(*describe(F.col("n")))
+    weekly = (sections["week"].where("day_of_week IS NOT NULL")
               .select(F.lit("weekday").alias("section"), F.col("day_of_week").cast("string").alias("key"),
                       F.col("n").cast("double").alias("value")))
     return (head.unionByName(peak.select(F.inline(_kv("overview", [("peak_hour", F.col("peak"))]))))
-            .unionByName(_described(daily_volume(scope).agg(*describe(F.col("mails"))), "daily_volume"))
+            .unionByName(_described(days, "daily_volume"))
             .unionByName(weekly))
 
 
 def bau_senders(scope: DataFrame, top: int = 10) -> DataFrame:
     """Long table: regular senders, number of senders, mails per sender, share of the busiest."""
-    counts = scope.where("sender IS NOT NULL").groupBy("sender").agg(_count().alias("n"))
-    total = row_count(scope)
+    counts, total = totalled(scope.groupBy("sender").agg(_count().alias("n")), "n")
+    counts = counts.where("sender IS NOT NULL")
     head = counts.agg(_count().alias("senders"), F.avg("n").alias("mean"), F.max("n").alias("top")).select(
         F.inline(_kv("overview", [("senders", F.col("senders")), ("mails_per_sender", F.col("mean")),
                                   ("top_sender_pct", F.col("top") * 100.0 / total)])))
@@ -116,8 +117,18 @@ def bau_findings(scope: DataFrame) -> DataFrame:
 
 
 def bau_anomalies(scope: DataFrame) -> DataFrame:
-    """Findings by type and severity."""
-    return bau_findings(scope).groupBy("type", "severity").agg(_count().alias("findings"))
+    """Findings by type and severity, counted as ``bau_findings`` lists them, in one scan: days, attachment counts and the total."""
+    sections = rolled(scope, {"day": {"day": F.to_date("time")}, "files": {"files": attachment_count()}, "all": []}, n=_count(),
+                      off=F.count_if(~F.col("is_business_hours")))
+    days, files = sections["day"].where("day IS NOT NULL"), sections["files"].where("files IS NOT NULL")
+    busy = days.agg(F.percentile("n", 0.95).alias("p")).scalar()
+    many = files.agg(F.percentile("files", 0.95, F.col("n")).alias("p")).scalar()
+    def found(kind, severity, rows):
+        return rows.select(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), "findings")
+    return (found("Volume Spike", "Medium", days.agg(F.count_if(F.col("n") > busy).alias("findings")))
+            .unionByName(found("Off-Hours Activity", "Low", sections["all"].select((F.col("off") > F.col("n") * 0.1).cast("long").alias("findings"))))
+            .unionByName(found("High Attachment Count", "Medium", files.agg(F.sum(F.when(F.col("files") > many, F.col("n")).otherwise(0)).alias("findings"))))
+            .where("findings > 0"))
 
 
 def _subject_text(df: DataFrame) -> Column:
@@ -130,20 +141,19 @@ def banking_mails(scope: DataFrame) -> DataFrame:
 
 
 def banking_overview(scope: DataFrame, top: int = 5) -> DataFrame:
-    """Long table: size, share, hours, senders and words of the banking mails."""
+    """Long table: size, share, hours, senders and words of the banking mails.  Two scans: all groups at once, then the words."""
+    bank = contains_any(_subject_text(scope), V.BANKING_WORDS)
+    sections = rolled(scope.withColumn("_bank", bank), {"hour": ["hour"], "sender": ["sender"], "all": []}, total=_count(), n=F.count_if("_bank"),
+                      b=F.count_if(F.col("_bank") & F.col("is_business_hours")), w=F.count_if(F.col("_bank") & (F.col("day_of_week") >= 5)))
+    peak = sections["hour"].where("hour IS NOT NULL AND n > 0").agg(F.min_by("hour", F.struct(-F.col("n"), F.col("hour"))).alias("h")).scalar()
+    senders = sections["sender"].where("sender IS NOT NULL AND n > 0").agg(_count().alias("s")).scalar()
+    head = sections["all"].where("n > 0").select(F.inline(_kv("overview", [
+        ("mails", F.col("n")), ("pct", F.col("n") * 100.0 / F.col("total")), ("business_hours_pct", F.col("b") * 100.0 / F.col("n")),
+        ("peak_hour", peak), ("weekend_mails", F.col("w")), ("senders", senders)])))
     rows = banking_mails(scope)
-    total = row_count(scope)
-    peak = rows.where("hour IS NOT NULL").groupBy("hour").agg(_count().alias("n")).agg(
-        F.min_by("hour", F.struct(-F.col("n"), F.col("hour"))).alias("h")).scalar()
-    head = rows.agg(_count().alias("n"), F.count_if("is_business_hours").alias("b"),
-                    F.count_if(F.col("day_of_week") >= 5).alias("w"), F.countDistinct("sender").alias("s")
-                    ).where("n > 0").select(F.inline(_kv("overview", [
-                        ("mails", F.col("n")), ("pct", F.col("n") * 100.0 / total),
-                        ("business_hours_pct", F.col("b") * 100.0 / F.col("n")), ("peak_hour", peak),
-                        ("weekend_mails", F.col("w")), ("senders", F.col("s"))])))
     words = (rows.select(F.explode(words_in(_subject_text(rows), V.BANKING_WORDS)).alias("key")).groupBy("key")
              .agg(_count().cast("double").alias("value")).select(F.lit("word").alias("section"), "key", "value"))
-    best = (rows.groupBy("sender").agg(_count().alias("n")).orderBy(F.desc("n"), "sender").limit(top)
+    best = (sections["sender"].where("n > 0").orderBy(F.desc("n"), "sender").limit(top)
             .select(F.lit("top_sender").alias("section"), F.col("sender").alias("key"), F.col("n").cast("double").alias("value")))
     return head.unionByName(words).unionByName(best)
 
@@ -158,6 +168,10 @@ def banking_compliance(scope: DataFrame, marker: str = "external") -> DataFrame:
 
 def hidden_ip_risks(scope: DataFrame, limit: int = 3) -> DataFrame:
     """Low-risk mails whose words, files and recipients add up to more than ``limit`` points."""
+    return _hidden_ip(scope).where(F.col("ip_risk_score") > limit).drop("is_business_hours", "is_banking")
+
+
+def _hidden_ip(scope: DataFrame) -> DataFrame:
     rows = scope.withColumns({"_t": _subject_text(scope), "_a": F.lower(blank_if_null("attachments"))})
     rows = rows.withColumns({
         "_ip": words_in("_t", V.IP_WORDS), "_bank": words_in("_t", V.BANKING_WORDS),
@@ -173,21 +187,23 @@ def hidden_ip_risks(scope: DataFrame, limit: int = 3) -> DataFrame:
         F.when(ip & bank, F.array(F.lit("Banking + Confidential content combination"))).otherwise(none),
         F.transform("_named", lambda w: F.concat(F.lit("Sensitive filename pattern: "), w)),
         F.when(to_free > 0, F.array(F.lit("Banking content to external domains"))).otherwise(none))
-    return (rows.withColumn("ip_risk_score", score).where(F.col("ip_risk_score") > limit)
+    return (rows.withColumn("ip_risk_score", score)
             .select("mail_id", "sender", "subject", "time", "ip_risk_score", F.array_join(factors, "; ").alias("risk_factors"),
                     F.array_join(F.slice("_bank", 1, 5), ", ").alias("banking_keywords"),
-                    F.array_join(F.slice("_ip", 1, 5), ", ").alias("ip_keywords")))
+                    F.array_join(F.slice("_ip", 1, 5), ", ").alias("ip_keywords"), *[c for c in ("is_business_hours",) if c in scope.columns], bank.alias("is_banking")))
 
 
 def bau_recommendations(scope: DataFrame) -> DataFrame:
-    off = scope.agg((F.count_if(~F.col("is_business_hours")) * 100.0 / _count()).alias("v")).select(
-        F.lit("Operational Security").alias("category"), F.lit("Medium").alias("priority"), F.round("v", 4).alias("value"),
-        F.lit("Review after-hours email policies and monitoring").alias("action"), F.lit(20.0).alias("_limit"))
-    bank = banking_mails(scope).agg(_count().cast("double").alias("v")).select(
-        F.lit("Financial Data Protection").alias("category"), F.lit("High").alias("priority"), F.col("v").alias("value"),
-        F.lit("Implement enhanced monitoring for financial content").alias("action"), F.lit(0.0).alias("_limit"))
-    ip = hidden_ip_risks(scope).agg(_count().cast("double").alias("v")).select(
-        F.lit("Intellectual Property").alias("category"), F.lit("High").alias("priority"), F.col("v").alias("value"),
-        F.lit("Review classification rules and implement content-based risk scoring").alias("action"),
-        F.lit(0.0).alias("_limit"))
-    return off.unionByName(bank).unionByName(ip).where(F.col("value") > F.col("_limit")).drop("_limit")
+    """The measures whose share or count is above its limit; everything is counted in one scan."""
+    counts = _hidden_ip(scope).agg(
+        _count().alias("n"), F.count_if(~F.col("is_business_hours")).alias("off"), F.count_if("is_banking").alias("bank"),
+        F.count_if(F.col("ip_risk_score") > 3).alias("ip"))
+    def row(category, priority, value, action, limit):
+        return F.struct(F.lit(category).alias("category"), F.lit(priority).alias("priority"), value.cast("double").alias("value"),
+                        F.lit(action).alias("action"), F.lit(limit).alias("_limit"))
+    return counts.select(F.inline(F.array(
+        row("Operational Security", "Medium", F.round(F.col("off") * 100.0 / F.nullif("n", F.lit(0)), 4),
+            "Review after-hours email policies and monitoring", 20.0),
+        row("Financial Data Protection", "High", F.col("bank"), "Implement enhanced monitoring for financial content", 0.0),
+        row("Intellectual Property", "High", F.col("ip"), "Review classification rules and implement content-based risk scoring", 0.0),
+    ))).where(F.col("value") > F.col("_limit")).drop("_limit")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import domains as D
-from ..functions.frames import around_rank, spread_join, value_at_rank
+from ..functions.frames import around_rank, arrival, arrived, spread_join, value_at_rank
 from ..functions.text import blank_if_null, filled, strip, truncate_ellipsis
 
 
@@ -83,20 +83,19 @@ CONTACT_ADDRESS = D.ADDRESS
 def first_contact(df: DataFrame) -> DataFrame:
     """The first mail of each sender to each recipient domain.
 
-    A grouped minimum, so repeats are combined before the shuffle and a busy pair needs no sort.
+    Two phases: a hash minimum of one number per pair (see ``arrival``), combined before the shuffle, so a busy pair needs no sort
+    and no text is carried along; then the winning mails are fetched by their number.
     """
     domains = F.array_distinct(F.transform(
         F.regexp_extract_all(blank_if_null("recipients"), F.lit(CONTACT_ADDRESS), F.lit(1)),
         lambda d: strip(F.lower(d))))
-    rows = df.where(filled("sender") & filled("recipients")).select(
-        "mail_id", "time", "sender", "department", "bunit", "subject", F.explode(domains).alias("new_domain"))
-    order = F.struct(F.col("time").isNull(), F.col("time"), F.col("mail_id"))
-    first = rows.groupBy("sender", "new_domain").agg(
-        F.min_by(F.struct("mail_id", "time", "department", "bunit", "subject"), order).alias("m"))
-    return first.select(
-        "sender", "new_domain", F.col("m.mail_id").alias("mail_id"), F.col("m.time").alias("time"),
-        F.col("m.department").alias("department"), F.col("m.bunit").alias("business_unit"),
-        truncate_ellipsis("m.subject", 50).alias("subject"),
+    mails = df.where(filled("sender") & filled("recipients"))
+    first = (mails.select("sender", arrival().alias("_at"), F.explode(domains).alias("new_domain")).groupBy("sender", "new_domain")
+             .agg(F.min("_at").alias("_at")).select("new_domain", arrived("_at").alias("_mail")))
+    won = mails.select("mail_id", "time", "sender", "department", "bunit", "subject").join(first, F.col("mail_id") == F.col("_mail"))
+    return won.select(
+        "sender", "new_domain", "mail_id", "time", "department", F.col("bunit").alias("business_unit"),
+        truncate_ellipsis("subject", 50).alias("subject"),
         D.domain_category("new_domain").alias("domain_category"),
         F.when(D.is_free("new_domain"), "High").otherwise("Medium").alias("risk_level"),
         F.lit(True).alias("requires_review"))

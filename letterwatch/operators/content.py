@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab as V
 from ..functions import content as C
-from ..functions.frames import row_count, share
+from ..functions.frames import rolled, share, totalled
 from ..functions.text import blank_if_null, col, contains_any, listed
 
 
@@ -113,12 +113,9 @@ def word_rows(df: DataFrame) -> DataFrame:
 
 
 def word_frequencies(df: DataFrame, top: int = 20) -> DataFrame:
-    words = word_rows(df)
-    return (words.groupBy("word")
-            .agg(F.count(F.lit(1)).alias("frequency"), F.countDistinct("sender").alias("senders"),
-                 F.countDistinct("bunit").alias("units"))
-            .withColumn("pct", share(F.col("frequency"), row_count(words)))
-            .orderBy(F.desc("frequency"), "word").limit(top))
+    words, total = totalled(word_rows(df).groupBy("word").agg(F.count(F.lit(1)).alias("frequency"), F.countDistinct("sender").alias("senders"),
+                                                              F.countDistinct("bunit").alias("units")), "frequency")
+    return (words.withColumn("pct", share(F.col("frequency"), total)).orderBy(F.desc("frequency"), "word").limit(top))
 
 
 def _word_counts(df: DataFrame) -> DataFrame:
@@ -142,13 +139,12 @@ def word_categories(df: DataFrame) -> DataFrame:
 def word_breakdown(df: DataFrame, word: str, top: int = 5) -> DataFrame:
     """Top units and departments of one word, with shares."""
     rows = word_rows(df).where(F.col("word") == word.lower())
-    counted = (rows.select(F.inline(F.array(
-        F.struct(F.lit("bunit").alias("section"), F.col("bunit").alias("name")),
-        F.struct(F.lit("department").alias("section"), F.col("department").alias("name")))))
-        .groupBy("section", "name").agg(F.count(F.lit(1)).alias("n")))
+    sections = rolled(rows, {"bunit": ["bunit"], "department": ["department"], "all": []}, n=F.count(F.lit(1)))
+    counted = (sections["bunit"].select(F.lit("bunit").alias("section"), F.col("bunit").alias("name"), "n")
+               .unionByName(sections["department"].select(F.lit("department").alias("section"), F.col("department").alias("name"), "n")))
     w = Window.partitionBy("section").orderBy(F.desc("n"), "name")
     return (counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-            .withColumn("pct", share(F.col("n"), row_count(rows))))
+            .withColumn("pct", share(F.col("n"), sections["all"].scalar())))
 
 
 def common_subject_words(df: DataFrame, top: int = 50) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.frames import row_count, share
+from ..functions.frames import share, totalled
 from ..functions.text import blank_if_null, strip
 
 
@@ -26,8 +26,8 @@ def coverage_policy(policy="tessian_policy", mimecast="mimecast") -> Column:
 
 def coverage_counts(df: DataFrame, label: Column | None = None) -> DataFrame:
     label = coverage_sources() if label is None else label
-    return (df.groupBy(label.alias("coverage")).agg(F.count(F.lit(1)).alias("mails"))
-            .withColumn("pct", share(F.col("mails"), row_count(df))))
+    groups, total = totalled(df.groupBy(label.alias("coverage")).agg(F.count(F.lit(1)).alias("mails")), "mails")
+    return groups.withColumn("pct", share(F.col("mails"), total))
 
 
 def coverage_domains(df: DataFrame, top: int = 10) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import domains as D
-from ..functions.frames import row_count, share
+from ..functions.frames import arrival, materialize, share, totalled
 from ..functions.text import filled, listed
 
 
@@ -36,14 +36,14 @@ def classify_domains(df: DataFrame) -> DataFrame:
 def domain_class_summary(df: DataFrame) -> DataFrame:
     """Long table of counts and shares by type, category and industry, and the internal total."""
     kinds = ["email_domain_type", "email_domain_category", "email_domain_industry"]
-    counted = (df.groupBy(*kinds, "is_internal_communication").agg(F.count(F.lit(1)).alias("n"))
-               .select(F.col("n"), "is_internal_communication", F.explode(F.array(
+    groups, total = totalled(df.groupBy(*kinds, "is_internal_communication").agg(F.count(F.lit(1)).alias("n")), "n")
+    counted = (groups.select(F.col("n"), "is_internal_communication", F.explode(F.array(
                    *[F.struct(F.lit(k).alias("section"), F.col(k).alias("value")) for k in kinds],
                    F.struct(F.lit("internal_communication").alias("section"), F.lit("true").alias("value")),
                )).alias("kv")))
     keep = (F.col("kv.section") != "internal_communication") | F.col("is_internal_communication")
     return (counted.where(keep).groupBy("kv.section", "kv.value").agg(F.sum("n").alias("mails"))
-            .withColumn("pct", share(F.col("mails"), row_count(df))))
+            .withColumn("pct", share(F.col("mails"), total)))
 
 
 def _sender_domain_counts(df: DataFrame) -> DataFrame:
@@ -51,7 +51,8 @@ def _sender_domain_counts(df: DataFrame) -> DataFrame:
 
 
 def anomalous_domains(df: DataFrame, limit: float = 0.15) -> DataFrame:
-    counts = _sender_domain_counts(df).withColumn("total", row_count(df))
+    counts, total = totalled(_sender_domain_counts(df), "mails")
+    counts = counts.withColumn("total", total)
     kinds = F.array_compact(F.array(
         F.when(F.col("mails") > F.col("total") * limit,
                F.struct(F.lit("high_volume").alias("type"), F.lit("high").alias("risk_level"),
@@ -65,10 +66,11 @@ def anomalous_domains(df: DataFrame, limit: float = 0.15) -> DataFrame:
 
 def domain_report(df: DataFrame) -> DataFrame:
     """One row per sender domain, largest first."""
-    counts = _sender_domain_counts(df).where(filled("domain"))
+    counts, total = totalled(_sender_domain_counts(df), "mails")
+    counts = counts.where(filled("domain"))
     suspicious = D.suspicious_domain("domain")
     return counts.select(
-        "domain", "mails", share(F.col("mails"), row_count(df)).alias("pct"),
+        "domain", "mails", share(F.col("mails"), total).alias("pct"),
         D.domain_category("domain").alias("category"), D.domain_industry("domain").alias("industry"),
         D.is_free("domain").alias("is_free"), suspicious.alias("is_suspicious"),
         F.when(suspicious, listed(D.suspicion_reasons("domain"), "; ")).otherwise("").alias("suspicion_reasons"),
@@ -85,15 +87,6 @@ def comm_pairs(df: DataFrame) -> DataFrame:
                              D.external_risk_level("sender_domain", "recipient_domain")))
 
 
-def _pair_counts(df: DataFrame) -> DataFrame:
-    """Mails per pair of domains: everything below works on this much smaller table."""
-    return (df.select("mail_id", "time", D.domain_extract("sender").alias("sender_domain"),
-                      F.explode(D.recipient_domains("recipients")).alias("recipient_domain"))
-            .groupBy("sender_domain", "recipient_domain")
-            .agg(F.count(F.lit(1)).alias("mails"),
-                 F.min(F.struct(F.col("time").isNull().alias("undated"), "time", "mail_id")).alias("first_seen")))
-
-
 def sender_domain_stats(df: DataFrame) -> DataFrame:
     """Mails per sender domain; internal if the domain ever wrote to its own organisation."""
     pairs = df.select(D.domain_extract("sender").alias("domain"), "subject",
@@ -112,11 +105,17 @@ def sender_domain_stats(df: DataFrame) -> DataFrame:
 
 
 def recipient_domain_stats(df: DataFrame) -> DataFrame:
-    """Mails per recipient domain; class decided by the first sender domain seen."""
-    grouped = (_pair_counts(df).groupBy(F.col("recipient_domain").alias("domain"))
-               .agg(F.sum("mails").alias("mails"), F.min_by("sender_domain", "first_seen").alias("first_sender"),
-                    F.count(F.lit(1)).alias("sender_domains")))
-    return grouped.select(
+    """Mails per recipient domain; class decided by the first sender domain seen.
+
+    Mails are counted per pair of domains in one scan, with the first arrival as a number; the pair that holds a recipient domain's
+    first arrival names the sender domain.  Hash aggregates only.
+    """
+    pairs = materialize(df.select(arrival().alias("_at"), D.domain_extract("sender").alias("sender_domain"),
+                                  F.explode(D.recipient_domains("recipients")).alias("domain"))
+                        .groupBy("sender_domain", "domain").agg(F.count(F.lit(1)).alias("mails"), F.min("_at").alias("_at")))
+    grouped = pairs.groupBy("domain").agg(F.sum("mails").alias("mails"), F.min("_at").alias("_at"), F.count(F.lit(1)).alias("sender_domains"))
+    firsts = pairs.select("domain", "_at", F.col("sender_domain").alias("first_sender"))
+    return grouped.join(firsts, ["domain", "_at"]).select(
         "domain", "mails", "sender_domains",
         F.when(D.internal_pair("first_sender", "domain"), "internal")
          .otherwise(D.domain_strict_type("domain")).alias("classification"),
@@ -133,18 +132,22 @@ def industry_breakdown(df: DataFrame) -> DataFrame:
 
 
 def domain_risk_summary(df: DataFrame) -> DataFrame:
-    pairs = _pair_counts(df)
-    internal = D.internal_pair("sender_domain", "recipient_domain")
-    traffic = pairs.agg(F.sum(F.when(internal, 0).otherwise(F.col("mails"))).alias("external_pairs"),
-                        F.sum(F.when(internal, F.col("mails")).otherwise(0)).alias("internal_pairs"),
+    """Pairs of domains and the domains by class, from one table of pairs that is written in one scan.
+
+    A mail without a valid recipient domain still counts for its sender domain (a pair without a second end).
+    """
+    pairs = materialize(df.select(D.domain_extract("sender").alias("sender_domain"), F.explode_outer(D.recipient_domains("recipients")).alias("recipient_domain"))
+                        .groupBy("sender_domain", "recipient_domain").agg(F.count(F.lit(1)).alias("mails")))
+    internal = F.coalesce(D.internal_pair("sender_domain", "recipient_domain"), F.lit(False))
+    ends = F.col("recipient_domain").isNotNull()
+    def mails(which):
+        return F.coalesce(F.sum(F.when(ends & which, F.col("mails"))), F.lit(0))
+    traffic = pairs.agg(mails(~internal).alias("external_pairs"), mails(internal).alias("internal_pairs"),
                         F.countDistinct("recipient_domain").alias("recipient_domains"))
-    senders = sender_domain_stats(df).agg(
-        F.count(F.lit(1)).alias("sender_domains"), F.count_if("is_business").alias("business_domains"),
-        F.count_if(F.col("classification") == "free").alias("free_domains"))
-    return traffic.select(
-        F.coalesce("external_pairs", F.lit(0)).alias("external_pairs"),
-        F.coalesce("internal_pairs", F.lit(0)).alias("internal_pairs"), "recipient_domains",
-        *[senders.select(c).scalar().alias(c) for c in ("sender_domains", "business_domains", "free_domains")])
+    senders = pairs.where(filled("sender_domain")).groupBy("sender_domain").agg(F.bool_or(internal).alias("internal")).agg(
+        F.count(F.lit(1)).alias("sender_domains"), F.count_if(D.business_domain("sender_domain")).alias("business_domains"),
+        F.count_if(~F.col("internal") & (D.domain_strict_type("sender_domain") == "free")).alias("free_domains"))
+    return traffic.select("*", *[senders.select(c).scalar().alias(c) for c in ("sender_domains", "business_domains", "free_domains")])
 
 
 def domain_type_volume(df: DataFrame) -> DataFrame:

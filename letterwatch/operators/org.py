@@ -1,9 +1,11 @@
 """Roll-ups by business unit and department."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.frames import row_count, share
+from ..functions.frames import rolled, share, totalled
 from ..functions.text import blank_if_null, filled
 from .content import has_word_match
 from .normalize import comma_recipients
@@ -37,11 +39,11 @@ def _best(df: DataFrame, order: str, name: str, k: int) -> DataFrame:
 
 
 def unit_activity(df: DataFrame, top: int = 15) -> DataFrame:
-    units = df.where("bunit IS NOT NULL").groupBy("bunit").agg(
+    units, total = totalled(df.groupBy("bunit").agg(
         _count().alias("mails"), F.countDistinct("sender").alias("senders"),
         F.countDistinct("department").alias("departments"), F.count_if(has_word_match()).alias("word_matches"),
-        _mean("risk_score").alias("mean_risk"))
-    return _best(units, "mails", "bunit", top).withColumn("pct", share(F.col("mails"), row_count(df)))
+        _mean("risk_score").alias("mean_risk")), "mails")
+    return _best(units.where("bunit IS NOT NULL"), "mails", "bunit", top).withColumn("pct", share(F.col("mails"), total))
 
 
 def unit_departments(df: DataFrame, top: int = 10) -> DataFrame:
@@ -64,8 +66,8 @@ def unit_overview(df: DataFrame) -> DataFrame:
 
 
 def unit_concentration(df: DataFrame) -> DataFrame:
-    units = df.where("bunit IS NOT NULL").groupBy("bunit").agg(_count().alias("mails"))
-    best = _best(units, "mails", "bunit", 5).withColumn("total", row_count(df))
+    units, total = totalled(df.groupBy("bunit").agg(_count().alias("mails")), "mails")
+    best = _best(units.where("bunit IS NOT NULL"), "mails", "bunit", 5).withColumn("total", total)
     def part(k):
         return F.round(F.sum(F.when(F.col("rank") <= k, F.col("mails")).otherwise(0)) * 100.0 / F.max("total"), 4)
     return best.agg(part(5).alias("top5_pct"), part(3).alias("top3_pct"), part(1).alias("top1_pct"))
@@ -77,15 +79,15 @@ def unit_word_leader(df: DataFrame) -> DataFrame:
                     F.max("mails").alias("word_matches"), _count().alias("units"))
 
 
-def org_kpis(df: DataFrame, kind: str = "department") -> DataFrame:
-    """Groups, mails per group, groups with high risk, with external mail and with anomalies."""
+def org_kpis(df: DataFrame, *kinds: str) -> DataFrame:
+    """Per kind of group: groups, mails per group, groups with high risk, with external mail and with anomalies.  One scan."""
     anomaly = F.col("is_anomaly") if "is_anomaly" in df.columns else F.lit(False)
-    groups = df.where(F.col(kind).isNotNull()).groupBy(kind).agg(
-        _count().alias("mails"), F.bool_or(F.col("risk_level") == "High").alias("high"),
-        F.bool_or(F.expr(EXTERNAL)).alias("external"), F.bool_or(anomaly).alias("anomaly"))
-    return groups.agg(F.lit(kind).alias("kind"), _count().alias("groups"), _mean("mails").alias("mails_per_group"),
-                      F.count_if("high").alias("high_risk_groups"), F.count_if("external").alias("external_groups"),
-                      F.count_if("anomaly").alias("anomalous_groups"))
+    kinds = kinds or ("department",)
+    sections = rolled(df, {k: [k] for k in kinds}, mails=_count(), high=F.bool_or(F.col("risk_level") == "High"),
+                      external=F.bool_or(F.expr(EXTERNAL)), anomaly=F.bool_or(anomaly))
+    return reduce(DataFrame.unionByName, [sections[k].where(F.col(k).isNotNull()).agg(
+        F.lit(k).alias("kind"), _count().alias("groups"), _mean("mails").alias("mails_per_group"), F.count_if("high").alias("high_risk_groups"),
+        F.count_if("external").alias("external_groups"), F.count_if("anomaly").alias("anomalous_groups")) for k in kinds])
 
 
 def _level_matrix(df: DataFrame, key: str) -> DataFrame:
@@ -142,7 +144,9 @@ def _departments(df: DataFrame) -> DataFrame:
 
 
 def dept_volumes(df: DataFrame) -> DataFrame:
-    return _departments(df).select("department", "mails", (F.col("mails") - F.col("external")).alias("internal"),
+    """Internal and external mails per department; needs no score."""
+    groups = df.where("department IS NOT NULL").groupBy("department").agg(_count().alias("mails"), F.count_if(F.expr(EXTERNAL)).alias("external"))
+    return groups.select("department", "mails", (F.col("mails") - F.col("external")).alias("internal"),
                                    "external", _pct(F.col("external"), F.col("mails")).alias("external_pct"))
 
 
@@ -169,10 +173,13 @@ def _finding(cond: Column, kind: str, value: Column, severity, factor: str) -> C
 
 
 def dept_anomalies(df: DataFrame) -> DataFrame:
-    """Departments out of line with the average: volume, attachments, external share, night mail."""
-    groups = _departments(df)
+    """Departments out of line with the average: volume, attachments, external share, night mail.  One scan."""
+    h = F.hour("time")
+    sections = rolled(df, {"departments": ["department"], "all": []}, mails=_count(), external=F.count_if(F.expr(EXTERNAL)),
+                      files=F.count_if(filled("attachments")), night=F.count_if((h >= 22) | (h <= 5)))
+    groups = sections["departments"].where("department IS NOT NULL")
     mean = groups.agg(F.avg("mails").alias("m")).scalar()
-    overall = df.agg((F.count_if(filled("attachments")) / _count()).alias("r")).scalar()
+    overall = sections["all"].select((F.col("files") / F.col("mails")).alias("r")).scalar()
     n = F.col("mails")
     rates = {c: F.col(c) / n for c in ("files", "external", "night")}
     return groups.select("department", F.inline(F.array_compact(F.array(
@@ -240,30 +247,35 @@ def domain_totals(df: DataFrame) -> DataFrame:
 
 
 def policy_recommendations(df: DataFrame) -> DataFrame:
-    """Up to four policy rows: riskiest department, most anomalous unit, free mail use, keyword use."""
-    def leader(cond: Column, key: str) -> DataFrame:
-        counts = df.where(cond & F.col(key).isNotNull()).groupBy(key).agg(_count().alias("n"))
-        return counts.orderBy(F.desc("n"), key).limit(1).select(F.col(key).alias("subject"), "n")
+    """Up to four policy rows: riskiest department, most anomalous unit, free mail use, keyword use.  One scan."""
+    anomaly = F.col("is_anomaly") if "is_anomaly" in df.columns else F.lit(False)
+    sections = rolled(df, {"department": ["department"], "bunit": ["bunit"], "all": []}, high=F.count_if(F.col("risk_level") == "High"),
+                      anomalies=F.count_if(anomaly), free=F.count_if(F.col("sender_domain_category") == "Free Email"),
+                      words=F.count_if(F.col("ip_keywords_detected") > 0))
+
+    def leader(count: str, key: str) -> DataFrame:
+        counts = sections[key].where(F.col(key).isNotNull() & (F.col(count) > 0)).select(F.col(key).alias("subject"), F.col(count).alias("n"))
+        return counts.orderBy(F.desc("n"), "subject").limit(1)
 
-    def total(cond: Column) -> DataFrame:
-        return df.agg(F.count_if(cond).alias("n")).where("n > 0").select(F.lit("").alias("subject"), "n")
+    def total(count: str) -> DataFrame:
+        return sections["all"].where(F.col(count) > 0).select(F.lit("").alias("subject"), F.col(count).alias("n"))
 
     def row(rows: DataFrame, category, priority, before, after, what) -> DataFrame:
         return rows.select(F.lit(category).alias("category"), F.lit(priority).alias("priority"),
                            F.concat(F.lit(before), "subject", F.lit(after)).alias("recommendation"),
                            F.concat(F.col("n").cast("string"), F.lit(what)).alias("rationale"))
-    out = row(leader(F.col("risk_level") == "High", "department"), "Department Monitoring", "High",
+    out = row(leader("high", "department"), "Department Monitoring", "High",
               "Implement enhanced monitoring for ", " department due to high-risk email activity",
               " high-risk emails detected")
     if "is_anomaly" in df.columns:
-        out = out.unionByName(row(leader(F.col("is_anomaly"), "bunit"), "Business Unit Policy", "Medium",
+        out = out.unionByName(row(leader("anomalies", "bunit"), "Business Unit Policy", "Medium",
                                   "Review email policies for ", " business unit", " anomalous emails detected"))
     out = out.unionByName(row(
-        total(F.col("sender_domain_category") == "Free Email"), "Domain Policy", "Medium",
+        total("free"), "Domain Policy", "Medium",
         "Consider restricting or monitoring free email domain usage for business communications", "",
         " emails sent from free email domains detected"))
     return out.unionByName(row(
-        total(F.col("ip_keywords_detected") > 0), "Content Monitoring", "High",
+        total("words"), "Content Monitoring", "High",
         "Implement automated flagging for emails containing IP-related keywords", "",
         " emails with IP keywords detected"))
 

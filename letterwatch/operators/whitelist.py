@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.frames import INLINE_LIMIT, inline_values, row_count, share
+from ..functions.frames import INLINE_LIMIT, inline_values, rolled, share
 from ..functions.text import blank_if_null, filled, strip
 
 
@@ -77,10 +77,10 @@ def whitelist_totals(df: DataFrame, whitelist: DataFrame) -> DataFrame:
 
 def whitelist_reason_counts(hits: DataFrame, top: int = 5) -> DataFrame:
     """Counts by reason, and the departments with most whitelisted mail."""
-    reasons = hits.groupBy(F.col("whitelist_reason").alias("name")).agg(F.count(F.lit(1)).alias("mails"))
-    depts = (hits.groupBy(F.col("department").alias("name")).agg(F.count(F.lit(1)).alias("mails"))
-             .orderBy(F.desc("mails"), "name").limit(top))
-    total = row_count(hits)
+    sections = rolled(hits, {"reason": ["whitelist_reason"], "department": ["department"], "all": []}, mails=F.count(F.lit(1)))
+    reasons = sections["reason"].withColumnRenamed("whitelist_reason", "name")
+    depts = sections["department"].withColumnRenamed("department", "name").orderBy(F.desc("mails"), "name").limit(top)
+    total = sections["all"].scalar()
     return (reasons.select(F.lit("reason").alias("section"), "name", "mails")
             .unionByName(depts.select(F.lit("department").alias("section"), "name", "mails"))
             .withColumn("pct", share(F.col("mails"), total)))

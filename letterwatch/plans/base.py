@@ -10,12 +10,12 @@ from ..operators.domains import classify_domains
 from ..operators.normalize import mail_normalize
 from ..operators.risk import risk_attach_filtered, risk_level, risk_score
 from ..operators.whitelist import whitelist_filter, whitelist_hits
-from ..sources.mail_log import mail_log, whitelist
+from ..sources.mail_log import dirty_mail_log, whitelist
 from ..vocab import LEVELS_SHORT
 
 
 def normalized(spark: SparkSession, sf: str) -> DataFrame:
-    return mail_normalize(mail_log(spark, sf))
+    return mail_normalize(dirty_mail_log(spark, sf))
 
 
 def classified(spark, sf) -> DataFrame:
@@ -36,6 +36,11 @@ def page(spark, sf) -> DataFrame:
     return risk_attach_filtered(scanned(spark, sf), whitelist(spark))
 
 
+def unscored(spark, sf) -> DataFrame:
+    """The same mails as ``page`` for reports that use no score: nothing is counted per sender and no text is scanned."""
+    return whitelist_filter(classified(spark, sf), whitelist(spark))
+
+
 def low_risk(spark, sf) -> DataFrame:
     return bau_scope(page(spark, sf))
 
@@ -50,8 +55,6 @@ def hits(spark, sf) -> DataFrame:
 
 def ruled(spark, sf) -> DataFrame:
     """The page frame with the per-sender rules as anomaly flag; the score is minus the rules broken."""
-    rows = page(spark, sf)
-    rules = sender_anomalies(rows)
+    rules = sender_anomalies(page(spark, sf))
     score = -(F.col("time_anomaly").cast("int") + F.col("volume_anomaly").cast("int") + F.col("content_anomaly").cast("int"))
-    flags = rules.select("mail_id", F.col("is_behavioral_anomaly").alias("is_anomaly"), score.cast("double").alias("anomaly_score"))
-    return rows.join(flags, "mail_id")
+    return rules.withColumns({"is_anomaly": F.col("is_behavioral_anomaly"), "anomaly_score": score.cast("double")})

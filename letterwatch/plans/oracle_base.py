@@ -143,14 +143,23 @@ def trimmed(expr):
     return f"trim({expr}, ' ' || chr(9) || chr(10) || chr(13))"
 
 
+DIRTY = f"""SELECT * EXCLUDE (raw_files), coalesce(raw_files <> '', false) AS has_attachments,
+  list_sort(list_distinct(regexp_extract_all(coalesce(raw_files, ''), '\\.([a-zA-Z0-9]+)', 1))) AS attachment_types
+FROM (SELECT * EXCLUDE (time, sender, recipients, subject, word_list_match, attachments, department, bunit, s, r, w, b, f),
+  CASE WHEN mail_id % 41 <> 0 THEN time END AS time, {denan(trimmed("lower(coalesce(s, ''))"))} AS sender, {denan(trimmed("lower(coalesce(r, ''))"))} AS recipients,
+  {denan(trimmed("coalesce(b, '')"))} AS subject, {denan(trimmed("coalesce(w, '')"))} AS word_list_match, {denan("coalesce(f, '')")} AS attachments,
+  f AS raw_files, CASE WHEN mail_id % 53 <> 0 THEN department END AS department, CASE WHEN mail_id % 47 <> 0 THEN bunit END AS bunit
+ FROM (SELECT *, CASE WHEN mail_id % 89 = 0 THEN NULL WHEN mail_id % 97 = 0 THEN 'nan' WHEN mail_id % 4 = 0 THEN '  ' || upper(sender) || chr(9) ELSE sender END AS s,
+   CASE WHEN mail_id % 83 = 0 THEN ' NaN ' WHEN mail_id % 3 = 0 THEN upper(recipients) ELSE recipients END AS r,
+   CASE WHEN mail_id % 73 = 0 THEN 'nan' ELSE word_list_match END AS w,
+   CASE WHEN mail_id % 79 = 0 THEN NULL WHEN mail_id % 5 = 0 THEN ' ' || subject || '  ' ELSE subject END AS b,
+   CASE WHEN mail_id % 71 = 0 THEN NULL WHEN mail_id % 67 = 0 THEN 'nan' ELSE attachments END AS f FROM mail_log))"""
 NORM = f"""SELECT *, hour(time) AS hour, isodow(time) - 1 AS day_of_week,
   coalesce(hour(time) < 8 OR hour(time) >= 18 OR isodow(time) >= 6, false) AS is_after_hours,
   CAST(floor((epoch_us(time) - epoch_us(last_working_day)) / 86400000000.0) AS INT) AS days_from_last_working,
   coalesce(floor((epoch_us(time) - epoch_us(last_working_day)) / 86400000000.0) BETWEEN -7 AND 7, false) AS is_leaver,
-  attachments <> '' AS has_attachments,
-  list_sort(list_distinct(regexp_extract_all(attachments, '\\.([a-zA-Z0-9]+)', 1))) AS attachment_types,
   len(list_filter(regexp_split_to_array(recipients, '[;,\\s]+'), lambda r: contains(r, '@'))) AS recipient_count
-FROM mail_log"""
+FROM dirty"""
 
 CLS = f"""SELECT norm.*, {ORDERED} AS rds,
   {d_sender_type('sender_domain', 'recipient_domain')} AS email_domain_type,
@@ -265,7 +274,7 @@ RULES = """SELECT mail_id, n >= 5 AND coalesce(hour_n, 0) < 2 AS time_anomaly,
     (SELECT sender, CAST(time AS DATE), count(*) AS c FROM {src} GROUP BY 1, 2) GROUP BY 1) d ON r.sender = d.s)"""
 
 STAGES = [
-    ("mail_log", MAIL), ("wl", WL), ("raw", RAW), ("norm", NORM), ("cls1", CLS), ("cls", CLS2), ("kw1", KW1), ("kw2", KW2),
+    ("mail_log", MAIL), ("wl", WL), ("raw", RAW), ("dirty", DIRTY), ("norm", NORM), ("cls1", CLS), ("cls", CLS2), ("kw1", KW1), ("kw2", KW2),
     ("kw3", KW3), ("kw", KW), ("scored1", SCORED1), ("rcp", RCP), ("cand", CAND), ("reason", REASON), ("hit", HIT),
     ("scored", f"SELECT *, {level('risk_score')} AS risk_level FROM scored1"),
     ("page", "SELECT scored.* FROM scored WHERE mail_id NOT IN (SELECT mail_id FROM reason)"),
@@ -277,7 +286,7 @@ STAGES = [
               "-(CAST(time_anomaly AS INT) + CAST(volume_anomaly AS INT) + CAST(content_anomaly AS INT))::DOUBLE AS anomaly_score "
               "FROM page JOIN page_rules USING (mail_id)"),
 ]
-DEPENDS = {"raw": ["mail_log"], "norm": ["mail_log"], "cls1": ["norm"], "cls": ["cls1"], "kw1": ["cls"], "kw2": ["kw1"],
+DEPENDS = {"raw": ["mail_log"], "dirty": ["mail_log"], "norm": ["dirty"], "cls1": ["norm"], "cls": ["cls1"], "kw1": ["cls"], "kw2": ["kw1"],
            "kw3": ["kw2"], "kw": ["kw3"], "scored1": ["kw"], "rcp": ["norm"], "cand": ["norm", "rcp"],
            "reason": ["cand", "wl"], "hit": ["norm", "reason"], "scored": ["scored1"], "page": ["scored", "reason"],
            "low": ["page"], "rules": ["norm"], "page_rules": ["page"], "ruled": ["page", "page_rules"]}

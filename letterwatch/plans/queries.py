@@ -874,20 +874,20 @@ def hidden_ip_risks(spark, sf):
 
 # ---- organisation -----------------------------------------------------------
 
-for _name in ("unit_activity", "unit_departments", "unit_overview", "unit_concentration", "unit_word_leader",
-              "dept_risk_matrix", "dept_external", "dept_keywords", "unit_risk_matrix", "cross_dept_kpis", "dept_volumes",
-              "dept_direction", "dept_content", "dept_anomalies", "dept_sizes", "dept_hour_matrix", "dept_flags",
-              "dept_insights", "domain_dept_unit_stats", "domain_totals", "report_executive", "report_score_describe",
-              "report_top_domains"):
-    def _run(spark, sf, _fn=getattr(O, _name)):
-        return _fn(B.page(spark, sf))
-    QUERIES[_name] = _run
+for _base, _names in ((B.page, ("unit_activity", "unit_overview", "dept_risk_matrix", "dept_keywords", "unit_risk_matrix", "cross_dept_kpis",
+                                "dept_direction", "dept_content", "dept_flags", "dept_insights", "domain_dept_unit_stats", "report_executive",
+                                "report_score_describe")),
+                      (B.unscored, ("unit_departments", "unit_concentration", "unit_word_leader", "dept_external", "dept_volumes", "dept_anomalies",
+                                    "dept_sizes", "dept_hour_matrix", "domain_totals", "report_top_domains"))):
+    for _name in _names:
+        def _run(spark, sf, _fn=getattr(O, _name), _rows=_base):
+            return _fn(_rows(spark, sf))
+        QUERIES[_name] = _run
 
 
 @query
 def org_kpis(spark, sf):
-    rows = B.ruled(spark, sf)
-    return O.org_kpis(rows, "department").unionByName(O.org_kpis(rows, "bunit"))
+    return O.org_kpis(B.ruled(spark, sf), "department", "bunit")
 
 
 @query
@@ -897,7 +897,7 @@ def unit_anomalies(spark, sf):
 
 @query
 def dept_anomaly_kpis(spark, sf):
-    return O.dept_anomaly_kpis(O.dept_anomalies(B.page(spark, sf)))
+    return O.dept_anomaly_kpis(O.dept_anomalies(B.unscored(spark, sf)))
 
 
 @query

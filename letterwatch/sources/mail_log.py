@@ -89,6 +89,20 @@ def raw_mail_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def dirty_mail_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log that the reports run on: undated mails, missing and blank senders, departments and units, stray capitals, 'nan' cells."""
+    m, k = mail_log(spark, sf_dir), F.col("mail_id")
+    return m.withColumns({
+        "time": F.when(k % 41 != 0, F.col("time")),
+        "sender": F.when(k % 89 == 0, F.lit(None)).when(k % 97 == 0, "nan")
+                   .when(k % 4 == 0, F.concat(F.lit("  "), F.upper("sender"), F.lit("\t"))).otherwise(F.col("sender")),
+        "recipients": F.when(k % 83 == 0, " NaN ").when(k % 3 == 0, F.upper("recipients")).otherwise(F.col("recipients")),
+        "subject": F.when(k % 79 == 0, F.lit(None)).when(k % 5 == 0, F.concat(F.lit(" "), "subject", F.lit("  "))).otherwise(F.col("subject")),
+        "word_list_match": F.when(k % 73 == 0, "nan").otherwise(F.col("word_list_match")),
+        "attachments": F.when(k % 71 == 0, F.lit(None)).when(k % 67 == 0, "nan").otherwise(F.col("attachments")),
+        "department": F.when(k % 53 != 0, F.col("department")), "bunit": F.when(k % 47 != 0, F.col("bunit"))})
+
+
 def mixed_mail_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as five files would bring it, each with its own way to write times, and some cells that are no time at all."""
     m, k = mail_log(spark, sf_dir), F.col("mail_id")

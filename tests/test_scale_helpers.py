@@ -47,6 +47,37 @@ def test_value_at_rank_narrows(spark):
         assert frames.value_at_rank(df, "v", rank, buckets=5, small=3) == ordered[rank]
 
 
+def test_rank_is_bracketed_by_a_sketch(spark):
+    values = [float(i * 7919 % 30_011) for i in range(30_000)] + [5000.5] * 4000                    # one value holds many ranks
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double").repartition(5)
+    for q in (0.0, 0.1, 0.5, 0.1662, 0.9999, 1.0):
+        assert frames.exact_quantile(df, "v", q) == pytest.approx(np.quantile(values, q), abs=1e-9)
+    near, below, n = frames.around_rank(df.where("v IS NOT NULL AND NOT isnan(v)"), "v", 0.5, lambda n: [n // 2])
+    assert n == 34_000 and near.count() < 300 and frames.value_at_rank(near, "v", n // 2 - below) == sorted(values)[n // 2]
+    assert frames.exact_quantile(df.limit(0), "v", 0.5) is None
+    assert frames.values_at(df.where("v IS NOT NULL AND NOT isnan(v)"), "v", [0, 33_999], small=10) == [min(values), max(values)]
+
+
+def test_groupings_of_one_scan(spark):
+    df = spark.createDataFrame([("a", 1, 2), ("a", None, 3), (None, 1, 5), (None, None, 7)], "k string, g int, v int")
+    made = frames.rolled(df, {"k": ["k"], "both": ["k", "g"], "odd": {"odd": F.col("v") % 2 == 1}, "all": []}, n=F.count(F.lit(1)), s=F.sum("v"))
+    rows = {name: sorted(map(tuple, part.collect()), key=str) for name, part in made.items()}
+    assert rows["k"] == [("a", 2, 5), (None, 2, 12)] and rows["all"] == [(4, 17)] and rows["odd"] == [(False, 1, 2), (True, 3, 15)]
+    assert rows["both"] == sorted([("a", 1, 1, 2), ("a", None, 1, 3), (None, 1, 1, 5), (None, None, 1, 7)], key=str)
+    groups, total = frames.totalled(df.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "n")
+    assert {r["t"] for r in groups.select(total.alias("t")).collect()} == {4}
+    assert frames.rolled(df.limit(0), {"k": ["k"], "all": []}, n=F.count(F.lit(1)))["k"].collect() == []
+
+
+def test_arrival_orders_times_then_numbers(spark):
+    rows = [(5, "2024-01-02"), (-3, "2024-01-02"), (2, None), (9, "1960-05-05"), (2 ** 62, "2024-01-01"), (1, None)]
+    df = spark.createDataFrame(rows, "mail_id long, time string").withColumn("a", frames.arrival())
+    got = df.orderBy("a").select(frames.arrived("a").alias("m")).collect()
+    assert [r["m"] for r in got] == [9, 2 ** 62, -3, 5, 1, 2]
+    plan = df.groupBy("time").agg(F.min("a"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
 def test_dense_positions(spark):
     df = spark.createDataFrame([(v,) for v in (40, 10, 30, 20, 99)], "v long")
     got = {r["v"]: r["p"] for r in frames.dense_positions(df, "v", "p").collect()}
