@@ -1,9 +1,8 @@
-"""SentencePiece encoding and decoding: byte-pair models by merges as in the library, others by a max-plus scan."""
+"""SentencePiece encoding and decoding for byte-pair models: merges per segment, and a max-plus scan over chunks of giant texts."""
 from __future__ import annotations
 
 import heapq
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,114 +20,56 @@ by_value(__name__)
 MARK = "▁"                    # stands for a blank inside pieces
 GIANT = 32_768                     # texts with more code points are cut into chunks
 CHUNK = 16_384                     # code points of a chunk
-REMEMBERED, REMEMBERED_CHARS = 100_000, 48         # per generation and Python worker
-UNKNOWN = -100_000                 # score of a character without a piece, below that of any piece used
-LEAST = -90_000                    # the lowest score a piece counts with; runs of blanks have scores far below it
-TIE = 1 << 16                      # a path's score counts before its sum of squared piece lengths
-NONE = -(1 << 62)                  # no path
+REMEMBERED, REMEMBERED_CHARS = 150_000, 48         # segments per generation and Python worker
+FITS = 500_000                     # pairs of pieces whose fit is remembered
 NORMAL, BYTE = 1, 6                # piece types
 PAIRS = 2                          # type of a byte-pair model, whose scores are ranks of merges
 SEGMENT = re.compile(" +[^ ]*|[^ ]+")
-SYNC = re.compile("(?<=[^ ]) ")    # every path has a boundary before a blank that follows another character
+SYNC = re.compile("(?<=[^ ]) ")    # no merge crosses the start of a run of blanks
 
 
 class Vocabulary:
-    """Pieces with identifiers and weights.  Blanks stand for themselves here, so a mark in a text is a character like others."""
+    """Pieces with identifiers and ranks.  Blanks stand for themselves here, so a mark in a text is a character like others.
+
+    What is remembered hangs on the object itself, so that a Python worker that gets it as a broadcast keeps it from task to task.
+    """
 
     def __init__(self, path: str):
         model = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         norm = model.normalizer_spec
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not model.trainer_spec.byte_fallback:
-            raise ValueError("not a model of the supported kind")
-        self.pairs = model.trainer_spec.model_type == PAIRS
-        self.raw, self.weights, self.bytes, pieces, self.ranks = [], [], [0] * 256, {}, {}
+        if (model.trainer_spec.model_type != PAIRS or norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.add_dummy_prefix
+                or not model.trainer_spec.byte_fallback):
+            raise ValueError("not a byte-pair model of the supported kind")
+        self.raw, self.bytes, self.ids, self.ranks = [], [0] * 256, {}, {}
         for i, p in enumerate(model.pieces):
-            text, raw, weight = p.piece.replace(MARK, " "), b"", 0
+            text, raw = p.piece.replace(MARK, " "), b""
             if p.type == NORMAL:
                 if " " in text.lstrip(" "):
                     raise ValueError("a piece holds a blank behind another character")
-                raw, weight = text.encode(), max(LEAST, round(p.score)) * TIE + len(text) ** 2
-                pieces[text] = (i, weight)
-                self.ranks[text] = -p.score
+                raw, self.ids[text], self.ranks[text] = text.encode(), i, -p.score
             elif p.type == BYTE:
                 byte = int(p.piece[3:5], 16)
                 self.bytes[byte], raw = i, bytes([byte])
-                weight = 0 if 0x80 <= byte < 0xC0 else UNKNOWN * TIE + 1           # once a character
             self.raw.append(raw)
-            self.weights.append(weight)
-        self.longest = max(map(len, pieces))
-        # Pieces and, with identifier -1, their beginnings: a search for pieces stops at the first text that is neither.
-        self.table = {p[:n]: (-1, 0) for p in pieces for n in range(1, len(p))} | pieces
-
-    def best(self, text: str, start: int, stop: int, end: int):
-        """Best weights from the boundary ``start`` to each boundary up to ``end``, over pieces that start before ``stop``, and the
-        length of the piece before each; of equally good ones the longest."""
-        size = end - start
-        weight, back, get = [NONE] * (size + 1), [0] * (size + 1), self.table.get
-        weight[0] = 0
-        for i in range(min(stop, end) - start):
-            here = weight[i]
-            if here == NONE:
-                continue
-            at, single = start + i, False
-            for n in range(1, size - i + 1):
-                hit = get(text[at:at + n])
-                if hit is None:
-                    break
-                if hit[0] >= 0:
-                    single = single or n == 1
-                    w = here + hit[1]
-                    if w > weight[i + n]:
-                        weight[i + n], back[i + n] = w, n
-            if not single and i < size and here + UNKNOWN * TIE + 1 > weight[i + 1]:
-                weight[i + 1], back[i + 1] = here + UNKNOWN * TIE + 1, 1
-        return weight, back
-
-    def path(self, text: str, start: int, stop: int, end: int) -> list[int]:
-        """Identifiers of the best path between two boundaries, over pieces that start before ``stop``."""
-        back, ids, at = self.best(text, start, stop, end)[1], [], end - start
-        while at > 0:
-            piece = text[start + at - back[at]:start + at]
-            hit = self.table.get(piece)
-            ids.extend([hit[0]] if hit and hit[0] >= 0 else [self.bytes[x] for x in reversed(piece.encode())])
-            at -= back[at]
-        ids.reverse()
-        return ids
-
-    def segment(self, text: str) -> tuple[int, ...]:
-        """Identifiers of the best path over a whole segment; the same as ``path`` from end to end, written for speed."""
-        n, get = len(text), self.table.get
-        weight, back, unknown = [NONE] * (n + 1), [0] * (n + 1), UNKNOWN * TIE + 1
-        weight[0] = 0
-        for i in range(n):
-            here, j = weight[i], i + 1
-            hit = get(text[i:j])
-            w = here + (hit[1] if hit and hit[0] >= 0 else unknown)
-            if w > weight[j]:
-                weight[j], back[j] = w, i
-            while hit and j < n:
-                j += 1
-                hit = get(text[i:j])
-                if hit and hit[0] >= 0 and here + hit[1] > weight[j]:
-                    weight[j], back[j] = here + hit[1], i
-        ids: list[int] = []
-        while n:
-            i = back[n]
-            hit = get(text[i:n])
-            if hit and hit[0] >= 0:
-                ids.append(hit[0])
-            else:
-                ids.extend([self.bytes[x] for x in reversed(text[i:n].encode())])
-            n = i
-        ids.reverse()
-        return tuple(ids)
+        self.longest = max(map(len, self.ids))
+        self._forget()
+
+    def _forget(self):
+        self.segments, self.fitting = Remembered(self.packed, REMEMBERED_CHARS, REMEMBERED), {}
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("segments", "fitting")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
 
-    def merged(self, segment: str) -> tuple[int, ...]:
-        """Identifiers of a segment by merges: of all neighbours that make a piece the pair of least rank, then the first, is merged.
+    def pieces(self, segment: str) -> list[str]:
+        """Pieces of a segment by merges: of all neighbours that make a piece the pair of least rank, then the first, is merged.
 
-        Pairs wait in a heap; a popped one is stale if one of its sides was merged meanwhile.
+        Pairs wait in a heap; a popped one is stale if one of its sides was merged meanwhile.  Characters without a piece stay single.
         """
         n, ranks = len(segment), self.ranks
         symbols, after, before = list(segment), list(range(1, n + 1)), list(range(-1, n - 1))
@@ -149,197 +90,210 @@ class Vocabulary:
                     heapq.heappush(heap, (rank, i, size + len(symbols[k])))
             if h >= 0 and (rank := ranks.get(symbols[h] + merged)) is not None:
                 heapq.heappush(heap, (rank, h, len(symbols[h]) + size))
-        ids: list[int] = []
-        for s in symbols:
-            if s in ranks:
-                ids.append(self.table[s][0])
-            elif s:
-                ids.extend([self.bytes[x] for x in s.encode()])
-        return tuple(ids)
-
-
-class Segments(Remembered):
-    """Identifiers of segments between certain boundaries."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__(vocabulary.segment, REMEMBERED_CHARS, REMEMBERED)
-        self.vocabulary = vocabulary
-
-    def weight(self, segment) -> int:
-        return sum(map(self.vocabulary.weights.__getitem__, self[segment]))
-
-    def ids(self, text: str, start: int, stop: int, end: int) -> array:
-        """Best path between two boundaries, piecewise between the boundaries that every path has."""
-        cuts = [m.start() for m in SYNC.finditer(text, start + 1, stop) if m.start() > start]
-        out = array("i")
-        if not cuts:
-            out.extend(self.vocabulary.path(text, start, stop, end))
-            return out
-        out.extend(self[text[start:cuts[0]]])
-        for s in SEGMENT.findall(text, cuts[0], cuts[-1]):
-            out.extend(self[s])
-        out.extend(self.vocabulary.path(text, cuts[-1], stop, end))
-        return out
-
-
-def transfer(text: str, size: int, segments: Segments) -> np.ndarray:
-    """Max-plus matrix of a chunk: the chunk is ``text[:size]``, the rest is what pieces may reach into.
-
-    State k at a cut: the first boundary of the path at or after the cut lies k characters behind it.  Entry (k, m) is the best
-    weight from state k at the front to state m at the back over pieces that start inside the chunk.
-    """
-    v, states = segments.vocabulary, segments.vocabulary.longest
-    matrix = np.full((states, states), NONE, np.int64)
-    cuts = [m.start() for m in SYNC.finditer(text, 0, size) if m.start() >= states]
-    first = cuts[0] if cuts else size
-    heads = []
-    for k in range(states):
-        if k > len(text):
-            continue
-        if k >= size:                                              # the chunk lies inside one piece
-            if k - size < states:
-                matrix[k, k - size] = 0
-            continue
-        if cuts:
-            heads.append((k, v.best(text, k, first, first)[0][-1]))
-        else:
-            reach = v.best(text, k, size, min(len(text), size + states - 1))[0][size - k:]
-            matrix[k, :len(reach)] = np.maximum(matrix[k, :len(reach)], reach)
+        return [s for s in symbols if s]
+
+    def numbers(self, pieces: list[str]) -> bytes:
+        """Identifiers of pieces as packed integers; a character without a piece becomes its bytes."""
+        ids, out = self.ids, []
+        for p in pieces:
+            if p in ids:
+                out.append(ids[p])
+            else:
+                out.extend([self.bytes[x] for x in p.encode()])
+        return np.array(out, "<i4").tobytes()
+
+    def packed(self, segment: str) -> bytes:
+        return self.numbers(self.pieces(segment))
+
+    def whole(self, text: str) -> bytes:
+        """Identifiers of a text that starts and ends where no merge crosses."""
+        return b"".join(map(self.segments.__getitem__, SEGMENT.findall(text)))
+
+    def fits(self, left: str, right: str) -> bool:
+        """Whether two pieces stay as they are when the text of both is encoded alone."""
+        known = self.fitting.get((left, right))
+        if known is None:
+            if len(self.fitting) >= FITS:
+                self.fitting.clear()
+            known = self.fitting[left, right] = left not in self.ids or right not in self.ids or self.pieces(left + right) == [left, right]
+        return known
+
+    def next_ends(self, text: str, at: int, limit: int) -> list[int]:
+        """Where a piece that starts at ``at`` can end."""
+        ids = self.ids
+        ends = [e for e in range(at + 1, min(at + self.longest, limit) + 1) if text[at:e] in ids]
+        return ends if ends and ends[0] == at + 1 else [at + 1, *ends]
+
+
+# A chunk is text[front:back].  The state at a cut is the piece that starts before the cut and ends at it or behind it, as
+# (characters before the cut, characters behind it); (0, 0) is the state at the start of the text.  An encoding by merges is the one
+# sequence of pieces in which every two neighbours fit, so a step has weight 0 if the pieces fit and no path leads there otherwise.
+
+def states_at(v: Vocabulary, text: str, cut: int) -> list[tuple[int, int]]:
+    if not cut:
+        return [(0, 0)]
+    found = [(cut - s, e - cut) for s in range(max(0, cut - v.longest), cut) for e in v.next_ends(text, s, len(text)) if e >= cut]
+    return [x for x in found if " " not in text[cut - x[0]:cut + x[1]].lstrip(" ")]
+
+
+def spread(v: Vocabulary, text: str, nodes: dict[tuple[int, int], int], stop: int) -> dict[tuple[int, int], int]:
+    """From pieces (start, end) with the set of states they come from, as bits, all pieces that fit on and on, up to those that
+    end at ``stop`` or behind it."""
+    at: dict[int, dict[int, int]] = {}
+    for (s, e), bits in nodes.items():
+        at.setdefault(e, {})[s] = bits
+    for e in range(min(at, default=stop), stop):
+        for s, bits in at.pop(e, {}).items():
+            left = text[s:e]
+            for end in v.next_ends(text, e, len(text)):
+                if s == e or v.fits(left, text[e:end]):
+                    there = at.setdefault(end, {})
+                    there[e] = there.get(e, 0) | bits
+    return {(s, e): bits for e, starts in at.items() for s, bits in starts.items()}
+
+
+def syncs(text: str, front: int, back: int) -> tuple[int, int] | None:
+    """The first and the last place inside a chunk that every path passes."""
+    cuts = [m.start() for m in SYNC.finditer(text, max(front - 1, 0), back) if m.start() >= max(front, 1)]
+    return (cuts[0], cuts[-1]) if cuts else None
+
+
+def transfer(v: Vocabulary, text: str, front: int, back: int) -> list[tuple[int, int, int, int]]:
+    """The finite entries of a chunk's max-plus matrix, all of weight 0: (state at the front, state at the back)."""
+    states = states_at(v, text, front)
+    start = {(front - a, front + b): 1 << i for i, (a, b) in enumerate(states)}
+    cuts = syncs(text, front, back)
     if cuts:
-        middle = sum(segments.weight(s) for s in SEGMENT.findall(text, first, cuts[-1]))
-        reach = np.array(v.best(text, cuts[-1], size, min(len(text), size + states - 1))[0][size - cuts[-1]:], np.int64)
-        for k, w in heads:
-            if w > NONE:
-                matrix[k, :len(reach)] = np.where(reach > NONE, w + middle + reach, NONE)
-    return matrix
-
-
-def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product; associative, so any grouping of neighbouring chunks gives the same result."""
-    both = a[:, :, None] + b[None, :, :]
-    both[(a[:, :, None] <= NONE) | (b[None, :, :] <= NONE)] = NONE
-    return both.max(1)
-
-
-def states_at_cuts(matrices: list[np.ndarray]) -> list[int]:
-    """State of the best path at each cut: forward products of the start row, then the best state backwards."""
-    row = np.full((1, len(matrices[0])), NONE, np.int64)
-    row[0, 0] = 0
-    rows = [row]
-    for m in matrices:
+        heads = spread(v, text, {k: bits for k, bits in start.items() if k[1] <= cuts[0]}, cuts[0])
+        bits = 0
+        for (_, e), more in heads.items():
+            bits |= more if e == cuts[0] else 0
+        ends = {k: bits for k in spread(v, text, {(cuts[1], cuts[1]): 1}, back)} if cuts[1] < back else {
+            k: bits for k in spread(v, text, {(cuts[1] - a, cuts[1]): 1 for a, b in states_at(v, text, cuts[1]) if not b}, back)}
+    else:
+        ends = spread(v, text, start, back)
+    return [(*states[i], back - s, e - back) for (s, e), bits in ends.items() if back - s <= v.longest for i in range(len(states)) if bits >> i & 1]
+
+
+def combine(first, second) -> list[tuple[int, int, int, int]]:
+    """Max-plus product of two matrices with weights of 0; associative, so any grouping of neighbouring chunks gives the same."""
+    onward: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for a, b, c, d in second:
+        onward.setdefault((a, b), []).append((c, d))
+    return sorted({(a, b, *end) for a, b, c, d in first for end in onward.get((c, d), ())})
+
+
+def states_at_cuts(matrices) -> list[tuple[int, int]]:
+    """The state of the path at each cut: products from the start, then backwards from the piece that ends the text."""
+    rows = [matrices[0]]
+    for m in matrices[1:]:
         rows.append(combine(rows[-1], m))
-    at = [0]
-    for before, m in zip(reversed(rows[:-1]), reversed(matrices)):
-        total = np.where((before[0] > NONE) & (m[:, at[-1]] > NONE), before[0] + m[:, at[-1]], NONE)
-        at.append(int(total.argmax()))
-    return at[::-1]
+    at = [next((c, d) for _, _, c, d in rows[-1] if d == 0)]
+    for before, m in zip(reversed(rows[:-1]), reversed(matrices[1:])):
+        reached = {(c, d) for _, _, c, d in before}
+        at.append(next((a, b) for a, b, c, d in m if (c, d) == at[-1] and (a, b) in reached))
+    return [(0, 0), *at[::-1]]
+
+
+def traced(v: Vocabulary, text: str, front: int, back: int, enter: tuple[int, int], leave: tuple[int, int]) -> bytes:
+    """Identifiers of the pieces that start inside a chunk, given its states at both ends."""
+    def path(start, stop, last):
+        """Pieces after ``start``, one way only, up to the one that starts at ``last`` and reaches ``stop``."""
+        before, at = {start[1]: start}, start[1]
+        for e in range(at, stop):
+            here = before.get(e)
+            if here is None:
+                continue
+            for end in v.next_ends(text, e, len(text)):
+                if end not in before and (here[0] == e or v.fits(text[here[0]:e], text[e:end])):
+                    if end < stop or e == last[0] and end == last[1]:
+                        before[end] = (e, end)
+        out, node = [], before[last[1]]
+        while node != start:
+            out.append(text[node[0]:node[1]])
+            node = before[node[0]]
+        return out[::-1]
+
+    start, end = (front - enter[0], front + enter[1]), (back - leave[0], back + leave[1])
+    if start == end:
+        return b""
+    cuts = syncs(text, front, back)
+    if not cuts:
+        return v.numbers(path(start, back, end))
+    head = b"" if start[1] == cuts[0] else v.whole(text[start[0]:cuts[0]])
+    if head and start[0] < start[1]:
+        head = head[len(v.packed(text[start[0]:start[1]])):]                     # the front state's piece belongs to the chunk before
+    middle = v.whole(text[cuts[0]:cuts[1]])
+    return head + middle + (v.numbers(path((cuts[1], cuts[1]), back, end)) if cuts[1] < back else b"")
 
 
 def _giant_ids(giants: DataFrame, shared) -> DataFrame:
     """(key, ids) of distinct giant texts."""
-    whole = F.concat(F.lit(" "), F.col("text"))
-    reach = shared.value.longest - 1
+    whole, reach = F.concat(F.lit(" "), F.col("text")), shared.value.longest
     spots = F.sequence(F.lit(0), F.floor((F.length(whole) - 1) / CHUNK).cast("int"))
+    begin = F.greatest(F.lit(0), F.col("at") * CHUNK - reach)
     chunks = materialize(giants.dropDuplicates(["key"]).select("key", whole.alias("text"), F.explode(spots).alias("at")).select(
-        "key", "at", F.substring("text", F.col("at") * CHUNK + 1, F.lit(CHUNK + reach)).alias("part"),
-        F.least(F.lit(CHUNK), F.length("text") - F.col("at") * CHUNK).alias("size")))
+        "key", "at", (F.col("at") * CHUNK - begin).alias("front"), (F.least((F.col("at") + 1) * CHUNK, F.length("text")) - begin).alias("back"),
+        F.expr(f"substring(text, {'greatest(0, at * %d - %d)' % (CHUNK, reach)} + 1, {CHUNK + 2 * reach})").alias("part")).repartition("key", "at"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segments = Segments(shared.value)
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "at": b["at"],
-                                "matrix": [transfer(t, n, segments).ravel() for t, n in zip(b["part"], b["size"])]})
+            made = [transfer(shared.value, *row) for row in zip(b["part"], b["front"], b["back"])]
+            yield pd.DataFrame({"key": b["key"], "at": b["at"], "matrix": [np.array(m, np.int32).ravel() for m in made]})
 
     def scan(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("at")
-        side = shared.value.longest
-        states = states_at_cuts([np.asarray(m).reshape(side, side) for m in rows["matrix"]])
-        return pd.DataFrame({"key": rows["key"], "at": rows["at"], "enter": states[:-1], "leave": states[1:]})
+        states = np.array(states_at_cuts([list(map(tuple, np.reshape(m, (-1, 4)).tolist())) for m in rows["matrix"]]))
+        return pd.DataFrame({"key": rows["key"], "at": rows["at"], "a": states[:-1, 0], "b": states[:-1, 1], "c": states[1:, 0], "d": states[1:, 1]})
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segments = Segments(shared.value)
-        for b in batches:
-            ids = [segments.ids(t, k, n, n + m) if k < n else array("i") for t, n, k, m in zip(b["part"], b["size"], b["enter"], b["leave"])]
-            yield pd.DataFrame({"key": b["key"], "at": b["at"], "ids": [np.asarray(x, np.int32) for x in ids]})
-
-    states = (chunks.select("key", "at", "part", "size").mapInPandas(measure, "key string, at int, matrix array<long>")
-              .groupBy("key").applyInPandas(scan, "key string, at int, enter int, leave int"))
-    traced = chunks.join(states, ["key", "at"]).mapInPandas(trace, "key string, at int, ids array<int>")
-    gathered = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-    return gathered.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-
-
-def _merged_giant_ids(giants: DataFrame, shared) -> DataFrame:
-    """(key, ids) of distinct giant texts by merges, cut only at segment boundaries, which no merge crosses."""
-    @F.arrow_udf("array<string>")
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            out = []
-            for text in batch.to_pylist():
-                whole, parts, start = " " + text, [], 0
-                while start < len(whole):
-                    found = SYNC.search(whole, start + CHUNK)
-                    end = found.start() if found else len(whole)
-                    parts.append(whole[start:end])
-                    start = end
-                out.append(parts)
-            yield pa.array(out, pa.list_(pa.string()))
-
-    solve = _solver(shared, "")
-    parts = giants.dropDuplicates(["key"]).select("key", F.posexplode(cut("text")).alias("at", "part")).repartition("key", "at")
-    gathered = (parts.select("key", "at", solve("part").alias("ids")).groupBy("key")
-                .agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts")))
+        for r in batches:
+            ids = [traced(shared.value, t, f, k, (a, b), (c, d)) for t, f, k, a, b, c, d in zip(*(r[x] for x in ("part", "front", "back", "a", "b", "c", "d")))]
+            yield pd.DataFrame({"key": r["key"], "at": r["at"], "ids": [np.frombuffer(x, "<i4") for x in ids]})
+
+    states = (chunks.mapInPandas(measure, "key string, at int, matrix array<int>")
+              .groupBy("key").applyInPandas(scan, "key string, at int, a int, b int, c int, d int"))
+    traced_ids = chunks.join(states, ["key", "at"]).mapInPandas(trace, "key string, at int, ids array<int>")
+    gathered = traced_ids.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("parts"))
     return gathered.select("key", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
-def _solver(shared, before: str):
-    """Identifiers of texts with ``before`` put before them: by merges for a byte-pair model, else of the best paths."""
-    @F.arrow_udf("array<int>")
-    def solve(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary = shared.value
-        segments = Remembered(vocabulary.merged, REMEMBERED_CHARS, REMEMBERED) if vocabulary.pairs else Segments(vocabulary)
-        for batch in batches:
-            flat, offsets = array("i"), [0]
-            for text in batch.to_pylist():
-                if text:
-                    for s in SEGMENT.findall(before + text):
-                        flat.extend(segments[s])
-                offsets.append(len(flat))
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
-    return solve
-
-
 def load(model: str | None = None) -> Vocabulary:
     """The vocabulary of a model file on the driver (some tens of thousands of pieces)."""
     return Vocabulary(model or public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def encode(df: DataFrame, model: str | None = None, giant: int = GIANT) -> DataFrame:
-    """Add ``ids``, the identifiers of each whole ``text``.
+    """Add ``ids``, the identifiers of each whole ``text``, for a byte-pair model with byte fallback.
 
-    For a byte-pair model they are those of the sentencepiece library, by merges; that replaces the max-plus search, whose
-    paths differ, as scores of such a model are ranks.  One exception: a mark (U+2581) in a text, which the library reads as a
-    blank, becomes its bytes here, so that decoding gives back the very text.  A model of another type gets the path with the
-    largest sum of piece scores, then of squared piece lengths; of still equal ones the one with longer pieces at the end of a
-    segment or chunk.  A blank is put before a text that is not empty; a character without a piece becomes its bytes.
+    They are those of the sentencepiece library, with one exception: a mark (U+2581) in a text, which the library reads as a
+    blank, becomes its bytes here, so that decoding gives back the very text.  A blank is put before a text that is not empty; a
+    character without a piece becomes its bytes.
 
-    No piece crosses from another character to a blank, so texts fall into segments that are solved once each.  Texts of more
-    than ``giant`` code points are solved in parallel and equal ones once: by merges in parts of whole segments (one without
-    blanks stays whole); by the max-plus scan in chunks cut anywhere, as matrices between the states at both ends, combined
-    associatively and traced back per chunk.
+    No merge crosses from another character to a blank, so texts fall into segments; short ones are solved once per Python worker
+    and remembered, within bounds, from task to task.  A text of more than ``giant`` code points is cut into chunks anywhere.  An
+    encoding by merges is the one sequence of pieces in which every two neighbours, encoded together, stay as they are; so a chunk's
+    matrix says which piece over its front cut can be followed, by fitting pieces, up to which piece over its back cut (weight 0, or
+    no path).  Matrices are found in parallel, combined associatively, and each chunk is traced back on its own between its two
+    states.  Equal giants are solved once; one without blanks is spread over tasks like any other.
 
     A null or empty text has no identifiers.  Repeated rows stay; an empty table gives an empty table; an input column ``ids``
     is replaced.
     """
-    vocabulary = load(model)
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
-    solve = _solver(shared, " ")
+    shared = df.sparkSession.sparkContext.broadcast(load(model))
+
+    @F.arrow_udf("array<int>")
+    def solve(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            made = [shared.value.whole(" " + t) if t else b"" for t in batch.to_pylist()]
+            ends = np.cumsum([0, *map(len, made)], dtype=np.int64) // 4
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4"), pa.int32()))
+
     rows = without(whole_documents(df), "ids", "_key")
     short = F.length(whole_text()) <= giant
     small = rows.where(short).withColumn("ids", solve(whole_text()))
     giants = rows.where(~short).withColumn("_key", F.sha2("text", 256))
-    giant_ids = _merged_giant_ids if vocabulary.pairs else _giant_ids
-    solved = giant_ids(giants.select(F.col("_key").alias("key"), "text"), shared).withColumnRenamed("key", "_key")
+    solved = _giant_ids(giants.select(F.col("_key").alias("key"), "text"), shared).withColumnRenamed("key", "_key")
     return small.unionByName(giants.join(solved, "_key").drop("_key"))
 
 
