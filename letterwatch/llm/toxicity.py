@@ -1,6 +1,7 @@
 """Toxicity by a weighted finite-state grammar: transducers are composed, and matched clauses are scored, not single words."""
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,10 +20,8 @@ FIT_ROWS = 12_000                  # labelled documents that are fitted on, at m
 STEM_CHARS = (4, 10)               # lengths of the stems that can become insults
 MIN_DOCS = 4                       # toxic documents, and settings in them, that a stem must occur in
 MIN_PRECISION = 0.9                # share of toxic documents among those with the stem
-MIN_SURPRISE = 18.0                # its toxic share against chance, as documents x divergence in nats: a millionth of 1 %
+MIN_SURPRISE = 12.0                # its toxic share against chance, as settings x divergence in nats: six in a million
 COUNTED_AT_ONCE = 300_000          # stems that a task holds before it passes their counts on
-MAX_STEMS = 2_000                  # stems of the lexicon, at most
-CLAUSE_REACH = 400                 # characters that a clause can extend to each side of a hit
 
 # Word classes of the grammar. Fixed values.
 TARGETS = frozenset("""you your yours yourself u he him his she her hers they them their we us people guy guys man woman
@@ -38,66 +37,92 @@ QUOTES = frozenset("\"“”„«»")
 # Classes that the transducers read and write.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = "o", "i", "h", "t", "n", "r", "q"
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”„«»]")
-ENDS = ".!?;\n"
+ENDS = re.compile("[.!?;\n]")
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Transducer:
-    """A deterministic weighted transducer that writes one symbol for each symbol read; weights multiply along a path.
+    """A deterministic transducer that writes one symbol for each symbol read and adds up scores along its path.
 
-    ``arcs`` maps (state, symbol) to (next state, symbol written, weight); a missing arc reads the symbol unchanged and goes
-    to ``default(state)``.
+    ``arcs`` maps (state, symbol) to (next state, symbol written, score of an insult, score of a threat); a missing arc reads the
+    symbol unchanged, scores nothing and goes to ``default(state)``.
     """
 
     def __init__(self, arcs, default, start=0):
         self.arcs, self.default, self.start = arcs, default, start
 
     def step(self, state, symbol):
-        return self.arcs.get((state, symbol)) or (self.default(state), symbol, 1.0)
-
-    def compose(self, after: "Transducer", symbols) -> "Transducer":
-        """The transducer that feeds what this one writes into ``after``, with its reachable arcs laid out as a table."""
-        start = (self.start, after.start)
-        arcs, todo, seen = {}, [start], {start}
-        while todo:
-            state = todo.pop()
-            for symbol in symbols:
-                p, written, w = self.step(state[0], symbol)
-                q, out, v = after.step(state[1], written)
-                arcs[state, symbol] = ((p, q), out, w * v)
-                if (p, q) not in seen:
-                    seen.add((p, q))
-                    todo.append((p, q))
-        return Transducer(arcs, None, start)
+        return self.arcs.get((state, symbol)) or (self.default(state), symbol, 0.0, 0.0)
+
+    def compose(self, after: "Transducer") -> "Transducer":
+        """The transducer that feeds what this one writes into ``after``."""
+        return Composed(self, after)
+
+
+class Composed(Transducer):
+    """Two transducers in a row; the arcs of the states that texts reach are kept as a table."""
+
+    def __init__(self, first: Transducer, after: Transducer):
+        super().__init__({}, None, (first.start, after.start))
+        self.first, self.after = first, after
+
+    def step(self, state, symbol):
+        known = self.arcs.get((state, symbol))
+        if known is None:
+            p, written, insult, threat = self.first.step(state[0], symbol)
+            q, out, more_insult, more_threat = self.after.step(state[1], written)
+            known = self.arcs[state, symbol] = ((p, q), out, insult + more_insult, threat + more_threat)
+        return known
 
 
 def countdown(state):
     return max(0, state - 1)
 
 
+REPORTED, NEGATED, AIMED = "r", "n", "t"         # marks that a transducer adds to the symbol of an insult or a threat
+DISCOUNT = {REPORTED: 0.6, NEGATED: 0.5}
+AIM = 0.5                                         # what a target nearby adds to an insult
+THREAT_WEIGHT = 4.0
+MARKS = ["", REPORTED, NEGATED, REPORTED + NEGATED]
+
+
+def discount(marks: str) -> float:
+    out = 1.0
+    for mark in marks:
+        out *= DISCOUNT.get(mark, 1.0)
+    return out
+
+
 def grammar() -> Transducer:
-    """Reported speech, then negation, then target, then threat, composed into one table.
+    """Reported speech, then negation, then target, then insult, then threat, composed.
 
-    Each keeps how many tokens ago its cue was. Insults after a reporting verb or inside quotes, or right after a negation, weigh
-    less; near a target they weigh more.  A threat counts with a target within three tokens on either side.
+    Each keeps how many tokens ago its cue was.  The first three only mark insults and threats: as reported (up to four tokens after
+    a reporting verb, or within quotes), as negated (up to two tokens after a negation), as aimed (up to three tokens after a
+    target).  The insult transducer scores an insult by its marks, and more if it is aimed or a target follows within three
+    tokens.  The threat transducer scores a threat by its marks when it is aimed or as soon as a target follows within three
+    tokens, and nothing without one.  Marks stay with a pending insult or threat, so discounts hold in either order.
     """
     reach = {"report": 4, "quote": 12, "negation": 2, "target": 3}
-    report = {(s, REPORT): (reach["report"], REPORT, 1.0) for s in range(13)}
-    report |= {(s, QUOTE): (0 if s > reach["report"] else reach["quote"], QUOTE, 1.0) for s in range(13)}
-    report |= {(s, x): (countdown(s), x, 0.6) for s in range(1, 13) for x in (INSULT, THREAT)}
-    negation = {(s, NEGATION): (reach["negation"], NEGATION, 1.0) for s in range(3)}
-    negation |= {(s, x): (countdown(s), x, 0.5) for s in range(1, 3) for x in (INSULT, THREAT)}
-    target = {(s, TARGET): (reach["target"], TARGET, 1.0) for s in range(4)}
-    target |= {(s, INSULT): (countdown(s), INSULT, 1.5) for s in range(1, 4)}
-    target |= {(s, THREAT): (countdown(s), "H", 1.0) for s in range(1, 4)}
-    threat = {(s, THREAT): (3, OTHER, 1.0) for s in range(4)}
-    threat |= {(s, TARGET): (0, "H", 1.0) for s in range(1, 4)}
-    symbols = [OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE]
-    return (Transducer(report, countdown).compose(Transducer(negation, countdown), symbols)
-            .compose(Transducer(target, countdown), symbols).compose(Transducer(threat, countdown), symbols))
-
-
-THREAT_WEIGHT = 4.0
+    report = {(s, REPORT): (reach["report"], REPORT, 0.0, 0.0) for s in range(13)}
+    report |= {(s, QUOTE): (0 if s > reach["report"] else reach["quote"], QUOTE, 0.0, 0.0) for s in range(13)}
+    report |= {(s, x): (countdown(s), x + REPORTED, 0.0, 0.0) for s in range(1, 13) for x in (INSULT, THREAT)}
+    negation = {(s, NEGATION): (reach["negation"], NEGATION, 0.0, 0.0) for s in range(3)}
+    negation |= {(s, x + m): (countdown(s), x + m + NEGATED, 0.0, 0.0) for s in range(1, 3) for x in (INSULT, THREAT) for m in ("", REPORTED)}
+    target = {(s, TARGET): (reach["target"], TARGET, 0.0, 0.0) for s in range(4)}
+    target |= {(s, x + m): (countdown(s), x + m + AIMED, 0.0, 0.0) for s in range(1, 4) for x in (INSULT, THREAT) for m in MARKS}
+
+    pending = [(k, m) for k in range(1, 4) for m in MARKS]             # tokens left, and the marks
+    insult = {(s, INSULT + m): ((3, m), OTHER, discount(m), 0.0) for s in [0, *pending] for m in MARKS}
+    insult |= {(s, INSULT + m + AIMED): (0, OTHER, (1 + AIM) * discount(m), 0.0) for s in [0, *pending] for m in MARKS}
+    insult |= {((k, m), TARGET): (0, TARGET, AIM * discount(m), 0.0) for k, m in pending}
+    threat = {(s, THREAT + m): ((3, m), OTHER, 0.0, 0.0) for s in [0, *pending] for m in MARKS}
+    threat |= {(s, THREAT + m + AIMED): (0, OTHER, 0.0, discount(m)) for s in [0, *pending] for m in MARKS}
+    threat |= {((k, m), TARGET): (0, OTHER, 0.0, discount(m)) for k, m in pending}
+
+    def waits(state):
+        return (state[0] - 1, state[1]) if state and state[0] > 1 else 0
+    return (Transducer(report, countdown).compose(Transducer(negation, countdown)).compose(Transducer(target, countdown))
+            .compose(Transducer(insult, waits)).compose(Transducer(threat, waits)))
 
 
 class Matcher:
@@ -118,27 +143,29 @@ class Matcher:
         return 0.0
 
     def clause(self, text: str) -> float:
-        state, total = self.table.start, 0.0
+        state, total, last = self.table.start, 0.0, 0.0
         for token in TOKEN.findall(text):
             weight = self.insult(token)
             symbol = (INSULT if weight else THREAT if token in THREATS else TARGET if token in TARGETS else NEGATION if token in NEGATIONS
                       else REPORT if token in REPORTS else QUOTE if token in QUOTES else OTHER)
-            state, out, factor = self.table.arcs[state, symbol]
-            total += weight * factor if out == INSULT else THREAT_WEIGHT * factor if out == "H" else 0.0
+            last = weight or last
+            state, _, insult, threat = self.table.step(state, symbol)
+            total += insult * last + threat * THREAT_WEIGHT
         return total
 
     def evidence(self, text: str) -> float:
-        """Sum of the scores of all matched clauses of the whole text."""
-        low, total, done = text.lower(), 0.0, -1
+        """Sum of the scores of all matched clauses of the whole text; a clause reaches from one end of a sentence part to the next."""
+        low, total, done, ends = text.lower(), 0.0, -1, None
         if not len(self.cues):
             return 0.0
-        for end, size in self.cues.iter(low):
-            at = end - size + 1
+        for last, size in self.cues.iter(low):
+            at = last - size + 1
             if at < done or at and low[at - 1].isalpha():
                 continue
-            start = max(max(low.rfind(c, max(0, at - CLAUSE_REACH), at) for c in ENDS) + 1, done, at - CLAUSE_REACH, 0)
-            stops = [p for c in ENDS if (p := low.find(c, at, at + CLAUSE_REACH)) >= 0]
-            done = min(stops, default=min(len(low), at + CLAUSE_REACH))
+            if ends is None:
+                ends = [m.start() for m in ENDS.finditer(low)]
+            k = bisect.bisect_left(ends, at)
+            start, done = ends[k - 1] + 1 if k else 0, ends[k] if k < len(ends) else len(low)
             total += self.clause(low[start:done])
         return total
 
@@ -192,19 +219,26 @@ def setting_counts(sample: DataFrame, stems: set[str]) -> DataFrame:
             .agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")))
 
 
-def surprise(toxic: int, docs: int, prior: float) -> float:
-    """Documents times the divergence of the toxic share from the prior; bounds how likely chance makes a stem so telling."""
-    share = toxic / docs
-    return docs * sum(p * log(p / q) for p, q in ((share, prior), (1 - share, 1 - prior)) if p > 0 and q > 0)
+def telling(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """The stems of (stem, toxic, clean) counts that are frequent and precise enough and that chance does not explain.
+
+    Surprise: settings times the divergence of their toxic share from that of the labels, in nats.
+    """
+    prior = min(max(n_toxic / max(1, n_toxic + n_clean), 1e-9), 1 - 1e-9)
+    n = F.col("toxic") + F.col("clean")
+    share = F.col("toxic") / n
+    def part(p, q):
+        return F.when(p > 0, p * F.log(p / F.lit(q))).otherwise(0.0)
+    return counts.where((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") >= MIN_PRECISION * n)
+                        & (n * (part(share, prior) + part(1 - share, 1 - prior)) >= MIN_SURPRISE))
 
 
 def choose_stems(rows: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Stem -> weight (log odds), from (stem, toxic, clean) counts of settings.
+    """Stem -> weight (log odds), from (stem, toxic, clean) counts of settings of telling stems.
 
-    Of a stem and its extensions the longest that loses no toxic setting is taken; stems that chance could explain are left out.
+    Of a stem and its extensions the longest that loses no toxic setting is taken.
     """
-    prior = n_toxic / max(1, n_toxic + n_clean)
-    counts = {s: (t, c) for s, t, c in rows if t >= MIN_DOCS and t >= MIN_PRECISION * (t + c) and surprise(t, t + c, prior) >= MIN_SURPRISE}
+    counts = {s: (t, c) for s, t, c in rows}
     chosen: dict[str, float] = {}
     for stem in sorted(counts, key=lambda s: (len(s), s)):
         if any(stem.startswith(s) or s.startswith(stem) for s in chosen):
@@ -242,13 +276,15 @@ class Model:
 def fit(sample: DataFrame) -> Model:
     """Learn insult stems and the calibration from a bounded sample with ``text`` and ``label`` (0 or 1).
 
-    The counts of stems and of evidence values are aggregated on the cluster.  At most MAX_STEMS stems reach the driver.
-    Without labelled rows only the threats of the grammar are left.
+    Stems are counted by document, then, for those that are frequent and precise, by distinct setting, so that copies weigh nothing;
+    only then is the choice made, on the cluster.  Nothing is cut: the candidates are bounded by the sample, as each
+    occurs in MIN_DOCS toxic documents of it.  Without labelled rows only the threats of the grammar are left.
     """
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     frequent = stem_counts(sample).where((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean"))))
-    telling = {r["stem"] for r in frequent.orderBy(F.desc("toxic"), "stem").limit(MAX_STEMS).collect()}
-    rows = [tuple(r) for r in setting_counts(sample, telling).select("stem", "toxic", "clean").collect()]
+    candidates = {r["stem"] for r in frequent.select("stem").collect()}
+    counts = telling(setting_counts(sample, candidates), totals.get(1, 0), totals.get(0, 0))
+    rows = [tuple(r) for r in counts.select("stem", "toxic", "clean").collect()]
     model = Model(choose_stems(rows, totals.get(1, 0), totals.get(0, 0)))
     seen = (with_evidence(sample, model).groupBy(F.round("_evidence", 1).alias("e"))
             .agg(F.sum("label").alias("t"), F.count(F.lit(1)).alias("n")).collect())

@@ -113,9 +113,65 @@ def test_grammar_weighs_clauses():
     assert m.evidence("“you idiot” is a quote") < aimed
 
 
-def test_copies_teach_nothing():
-    rows = [("idiot", 60, 0), ("copied", 2, 0), ("thing", 40, 300)]
-    assert set(toxicity.choose_stems(rows, 100, 900)) == {"idiot"}
+def plain_score(tokens, weight):
+    """The five rules restated by positions (reports and quotes by a plain count)."""
+    kinds = ["i" if t == "idiot" else "h" if t == "kill" else "t" if t == "you" else "n" if t == "not" else "r" if t == "said" else "q" if t == '"' else "o" for t in tokens]
+    total, left, insult, threat = 0.0, 0, None, None              # pending: (position, discount)
+    for p, kind in enumerate(kinds):
+        off = (0.6 if left else 1) * (0.5 if "n" in kinds[max(0, p - 2):p] else 1)
+        aimed = "t" in kinds[max(0, p - 3):p]
+        if kind == "i":
+            total += weight * off * (1.5 if aimed else 1)
+            insult = None if aimed else (p, off)
+        elif kind == "h":
+            total += toxicity.THREAT_WEIGHT * off * aimed
+            threat = None if aimed else (p, off)
+        elif kind == "t":
+            if insult and p - insult[0] <= 3:
+                total, insult = total + 0.5 * weight * insult[1], None
+            if threat and p - threat[0] <= 3:
+                total, threat = total + toxicity.THREAT_WEIGHT * threat[1], None
+        left = 4 if kind == "r" else (0 if left > 4 else 12) if kind == "q" else max(0, left - 1)
+    return total
+
+
+def test_all_transducers_equal_the_rules_restated():
+    m, rng = toxicity.Matcher({"idiot": 3.0}), np.random.default_rng(11)
+    words = ["idiot", "kill", "you", "not", "said", '"', "plain", "words"]
+    for _ in range(3000):
+        tokens = rng.choice(words, int(rng.integers(1, 16))).tolist()
+        assert m.evidence(" ".join(tokens)) == pytest.approx(plain_score(tokens, 3.0)), tokens
+
+
+def test_discounts_hold_in_either_order():
+    m = toxicity.Matcher({"idiot": 4.0})
+    threat = toxicity.THREAT_WEIGHT
+    assert m.evidence("i will kill you") == threat == m.evidence("you they kill")
+    assert m.evidence("never kill you") == threat / 2 == m.evidence("you never kill") == m.evidence("not kill him")
+    assert m.evidence("someone said kill you") == pytest.approx(0.6 * threat) == m.evidence("you said kill") == m.evidence('"kill you"')
+    assert m.evidence("he said never kill you") == pytest.approx(0.3 * threat)
+    assert m.evidence("an idiot idea") == 4 and m.evidence("idiot, you") == 6 == m.evidence("you idiot") and m.evidence("not idiot you") == 3
+
+
+def test_clauses_have_no_reach_but_their_own_ends():
+    m = toxicity.Matcher({"idiot": 4.0})
+    far = "word " * 600
+    assert m.evidence(f"{far} idiot {far}") == 4 and m.evidence(f"not{' ' * 900}idiot") == 2 and m.evidence(f"you{' ' * 900}idiot") == 6
+    assert m.evidence("not.idiot") == 4 and m.evidence("idiot" + "!" * 3000 + "idiot") == 8 and m.evidence(("idiot " * 5000)) == 20_000
+
+
+def test_copies_teach_nothing(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(rng.choice(list("bcdfglmnprst")) + rng.choice(list("aeiou")) for _ in range(3)) for _ in range(800)]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))                                         # noqa: E731
+    copied = [" ".join(f"kopie{k}x{i}wort" for i in range(400)) for k in range(3)]                 # many stems, no insult
+    rows = [(prose(60) + f" {w} vordulig {v}", 1) for w, v in zip(rng.choice(vocabulary, 60), rng.choice(vocabulary, 60))]
+    rows += [(copied[k], 1) for k in range(3) for _ in range(40)] + [(prose(60), 0) for _ in range(300)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    assert any("vordulig".startswith(s) for s in model.stems) and not any(s.startswith("kopi") for s in model.stems)
+    counts = spark.createDataFrame([("idiot", 60, 0), ("copied", 2, 0), ("thing", 40, 300)], "stem string, toxic long, clean long")
+    assert [r["stem"] for r in toxicity.telling(counts, 100, 900).collect()] == ["idiot"]
+    assert set(toxicity.choose_stems([("idio", 60, 0), ("idiot", 60, 0), ("idiots", 9, 0)], 100, 900)) == {"idiot"}
 
 
 def brute_components(prints, distance):
