@@ -29,6 +29,9 @@ def group(stage, columns, **extra):
 # ---- sources ----
 O["src_mail_csv"] = group("raw", [("department", "department"), ("bunit", "bunit"), ("subject", "coalesce(subject, '')"),
                                   ("attachments", "coalesce(attachments, '')"), ("has_time", "time IS NOT NULL")])
+O["src_mail_any"] = sql("raw", """SELECT 'mail' AS kind, department, bunit, coalesce(subject, '') AS subject, count(*) AS mails FROM raw GROUP BY ALL
+ UNION ALL SELECT 'broken', '', '', 'other number of cells', count(*) FROM raw WHERE mail_id % 31 = 0 AND mail_id % 2 = 1 HAVING count(*) > 0
+ UNION ALL SELECT 'broken', '', '', 'no header', count(*) FROM raw WHERE mail_id % 37 = 0 HAVING count(*) > 0""")
 O["validate_required"] = sql("mail_log", """SELECT 'events' AS source, 25 AS missing, (SELECT count(*) FROM events) AS table_rows
  UNION ALL SELECT 'documents', 25, (SELECT count(*) FROM documents)
  UNION ALL SELECT 'conversations', 25, (SELECT count(*) FROM conversations)
@@ -94,11 +97,11 @@ O["parse_time_voted"] = sql("mail_log", f"""SELECT mail_id, {stamp('t')} AS time
  (SELECT mail_id, "column", CASE WHEN day_first THEN coalesce(d, m) ELSE coalesce(m, d) END AS v FROM seen JOIN votes USING (file, "column")) USING (mail_id)
  GROUP BY x.mail_id)""", **DATES)
 O["clean_text"] = sql("raw", "SELECT mail_id, sender, recipients, subject, word_list_match, attachments FROM c", c=CLEAN)
-O["hour_dow"] = group("mail_log", [("hour", "hour(time)"), ("day_of_week", "isodow(time) - 1")])
+O["hour_dow"] = group("norm", [("hour", "coalesce(hour(time)::VARCHAR, '-')"), ("day_of_week", "coalesce((isodow(time) - 1)::VARCHAR, '-')")])
 O["after_hours_flag"] = group("raw", [("hour", "coalesce(hour(time)::VARCHAR, '-')"), (
     "day_of_week", "coalesce((isodow(time) - 1)::VARCHAR, '-')"), (
     "is_after_hours", "coalesce(hour(time) < 8 OR hour(time) >= 18 OR isodow(time) >= 6, false)")], c=CLEAN, source="c")
-O["leaver_flag"] = group("mail_log", [("days", f"coalesce(CAST(CAST({DAYS} AS INT) AS VARCHAR), '-')"), ("is_leaver", f"coalesce({DAYS} BETWEEN -7 AND 7, false)")])
+O["leaver_flag"] = group("norm", [("days", f"coalesce(CAST(CAST({DAYS} AS INT) AS VARCHAR), '-')"), ("is_leaver", f"coalesce({DAYS} BETWEEN -7 AND 7, false)")])
 O["attachment_flag"] = group("raw", [("attachments", "attachments"), ("has_attachments", "coalesce(attachments <> '', false)")])
 O["attachment_types"] = group("norm", [("attachments", "attachments"), ("types", joined("attachment_types"))])
 O["recipient_count"] = sql("norm", "SELECT mail_id, recipient_count FROM norm")
@@ -113,6 +116,7 @@ O["attachment_count_bau"] = group("norm", [("attachments", "attachments"), (
 CAP = "upper(substr({0}, 1, 1)) || substr({0}, 2)"
 NAME = (CAP.format("string_split(string_split(sender, '@')[1], '.')[1]") + " || ' ' || "
         + CAP.format("string_split(string_split(sender, '@')[1], '.')[2]"))
+NAME = f"(CASE WHEN contains(sender, '@') THEN {NAME} ELSE 'Colleague' END)"
 O["name_from_address"] = sql("norm", f"SELECT mail_id, {NAME} AS name FROM norm")
 DATE = "coalesce(strftime(time, '%B %d, %Y at %I:%M %p'), 'Unknown Date')"
 O["format_mail_date"] = sql("raw", f"SELECT mail_id, {DATE} AS mail_date FROM c", c=CLEAN)
@@ -160,11 +164,12 @@ O["anomalous_domains"] = sql("mail_log", f"""SELECT domain, mails, 'high_volume'
 O["domain_report"] = sql("mail_log", f"""SELECT domain, mails, {pct('mails', 'total')} AS pct, {d_category('domain')} AS category,
  {d_industry('domain')} AS industry, domain IN {FREE} AS is_free, {d_suspicious('domain')} AS is_suspicious,
  CASE WHEN {d_suspicious('domain')} THEN {d_reasons('domain')} ELSE '' END AS suspicion_reasons FROM c WHERE domain <> ''""", c=RC)
-EX = "SELECT mail_id, time, subject, sender_domain AS s, unnest(rds) AS r FROM cls"
+OWN = "(CASE WHEN sender = '' THEN '' ELSE sender_domain END)"
+EX = f"SELECT mail_id, time, subject, {OWN} AS s, unnest(rds) AS r FROM cls"
 O["sender_domain_stats"] = sql("cls", f"""SELECT sender_domain AS domain, count(*) AS mails, count(DISTINCT subject) AS subjects,
  CASE WHEN sender_domain IN (SELECT s FROM x WHERE {d_internal('s', 'r')}) THEN 'internal' ELSE {d_strict('sender_domain')} END
  AS classification, {d_category('sender_domain')} AS category, {d_industry('sender_domain')} AS industry,
- {d_business('sender_domain')} AS is_business FROM cls GROUP BY sender_domain""", x=EX)
+ {d_business('sender_domain')} AS is_business FROM cls WHERE sender <> '' GROUP BY sender_domain""", x=EX)
 O["recipient_domain_stats"] = sql("cls", f"""SELECT r AS domain, mails, sender_domains,
  CASE WHEN {d_internal('f', 'r')} THEN 'internal' ELSE {d_strict('r')} END AS classification, {d_category('r')} AS category,
  {d_industry('r')} AS industry, {d_business('r')} AS is_business FROM (SELECT r, count(*) AS mails,
@@ -179,7 +184,7 @@ O["domain_risk_summary"] = sql("cls", f"""SELECT (SELECT count(*) FROM x WHERE N
  count(DISTINCT sender_domain) AS sender_domains,
  count(DISTINCT CASE WHEN {d_business('sender_domain')} THEN sender_domain END) AS business_domains,
  count(DISTINCT CASE WHEN {d_strict('sender_domain')} = 'free' AND sender_domain NOT IN
-   (SELECT s FROM x WHERE {d_internal('s', 'r')}) THEN sender_domain END) AS free_domains FROM cls""", x=EX)
+   (SELECT s FROM x WHERE {d_internal('s', 'r')}) THEN sender_domain END) AS free_domains FROM cls WHERE sender <> ''""", x=EX)
 O["domain_type_volume"] = sql("norm", f"""SELECT CASE {d_strict('sender_domain')} WHEN 'free' THEN 'Free Email' WHEN 'internal'
  THEN 'Internal Domain' WHEN 'business' THEN 'Business Domain' ELSE 'Unknown' END AS domain_class, count(*) AS mails
  FROM norm GROUP BY 1""")
@@ -255,7 +260,7 @@ def subject_words(source, top):
             f"WHERE word NOT IN {inlist(V.STOP_WORDS)} AND length(word) > 2 GROUP BY 1 ORDER BY n DESC, word LIMIT {top}")
 
 
-O["common_subject_words"] = sql("mail_log", subject_words("mail_log", 50))
+O["common_subject_words"] = sql("norm", subject_words("norm", 50))
 
 # ---- whitelist ----
 O["whitelist_filter"] = sql("norm reason", "SELECT mail_id, sender, recipients FROM norm WHERE mail_id NOT IN (SELECT mail_id FROM reason)")
@@ -266,13 +271,13 @@ O["whitelist_totals"] = sql("norm reason", """SELECT count(*) AS total, (SELECT
 O["whitelist_reason_counts"] = sql("hit", """SELECT section, name, mails, round(mails * 100.0 / (SELECT count(*) FROM hit), 4) AS pct
  FROM (SELECT 'reason' AS section, whitelist_reason AS name, count(*) AS mails FROM hit GROUP BY ALL UNION ALL
  (SELECT 'department', department, count(*) AS n FROM hit GROUP BY ALL ORDER BY n DESC, department LIMIT 5))""")
-O["whitelist_daily"] = sql("hit", "SELECT CAST(CAST(time AS DATE) AS VARCHAR) AS day, count(*) AS mails FROM hit GROUP BY 1")
+O["whitelist_daily"] = sql("hit", "SELECT CAST(CAST(time AS DATE) AS VARCHAR) AS day, count(*) AS mails FROM hit WHERE time IS NOT NULL GROUP BY 1")
 O["whitelist_domain_counts"] = sql("hit", """SELECT kind, domain, mails, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind
  ORDER BY mails DESC, domain) AS rank FROM (SELECT CASE WHEN whitelist_reason LIKE 'Sender domain%' THEN 'sender' ELSE 'recipient' END
  AS kind, string_split(whitelist_reason, '''')[2] AS domain, count(*) AS mails FROM hit
  WHERE whitelist_reason LIKE '%domain ''%' GROUP BY 1, 2)) WHERE rank <= 10""")
 O["whitelist_review"] = sql("hit", f"""SELECT type, n AS mails, n || ' whitelisted emails ' || what AS description, action, priority FROM (
- SELECT 'Inactive Domains' AS type, count(*) FILTER (NOT time > {AS_OF} - INTERVAL 30 DAY) AS n, 'are older than 30 days' AS what,
+ SELECT 'Inactive Domains' AS type, count(*) FILTER (NOT coalesce(time > {AS_OF} - INTERVAL 30 DAY, false)) AS n, 'are older than 30 days' AS what,
  'Review domains with no recent activity for potential removal' AS action, 'Medium' AS priority FROM hit UNION ALL
  SELECT 'Sensitive Content', count(*) FILTER (word_list_match <> ''), 'contain sensitive keywords',
  'Review if these domains should remain whitelisted', 'High' FROM hit UNION ALL
@@ -298,7 +303,7 @@ O["risk_summary"] = sql("norm", """SELECT count(*) AS total, count(*) FILTER (ri
  count(*) FILTER (risk_score >= 31 AND risk_score < 61) AS medium, count(*) FILTER (risk_score < 31) AS low,
  round(avg(risk_score), 4) AS mean_score, max(risk_score) AS max_score, min(risk_score) AS min_score FROM s""", s=SC)
 O["risk_attach_filtered"] = sql("page", "SELECT mail_id, risk_score, risk_level FROM page")
-O["alert_tier"] = sql("mail_log", f"SELECT mail_id, {TIER} AS tier FROM mail_log")
+O["alert_tier"] = sql("norm", f"SELECT mail_id, {TIER} AS tier FROM norm")
 O["tier_kpis"] = sql("page", f"""SELECT tier, count(*) AS mails, round(avg(risk_score), 4) AS mean_score,
  {pct('count(*)', '(SELECT count(*) FROM page)')} AS pct FROM (SELECT *, {TIER} AS tier FROM page) GROUP BY tier""")
 DAILY = level("risk_score", ("High Risk", "Medium Risk", "Normal"))
@@ -331,27 +336,27 @@ COV = f"""(CASE WHEN lower(tessian) NOT IN {OFF} AND lower(mimecast) NOT IN {OFF
 OFF2 = "('', '0', 'nan', 'None')"
 COV2 = f"""(CASE WHEN tessian_policy NOT IN {OFF2} AND mimecast NOT IN {OFF2} THEN 'Both' WHEN tessian_policy NOT IN {OFF2}
  THEN 'Missing Mimecast' WHEN mimecast NOT IN {OFF2} THEN 'Missing Tessian' ELSE 'No Coverage' END)"""
-O["coverage_sources"] = group("mail_log", [("tessian", "tessian"), ("mimecast", "mimecast"), ("coverage", COV)])
-O["coverage_policy"] = group("mail_log", [("tessian_policy", "tessian_policy"), ("mimecast", "mimecast"), ("coverage", COV2)])
-O["coverage_counts"] = sql("mail_log", f"""SELECT {COV} AS coverage, count(*) AS mails, {pct('count(*)', '(SELECT count(*) FROM mail_log)')}
- AS pct FROM mail_log GROUP BY 1""")
-O["coverage_domains"] = sql("mail_log", f"""SELECT coverage, email_domain, mails, rank, {pct('mails', 'total')} AS pct FROM (
+O["coverage_sources"] = group("norm", [("tessian", "tessian"), ("mimecast", "mimecast"), ("coverage", COV)])
+O["coverage_policy"] = group("norm", [("tessian_policy", "tessian_policy"), ("mimecast", "mimecast"), ("coverage", COV2)])
+O["coverage_counts"] = sql("norm", f"""SELECT {COV} AS coverage, count(*) AS mails, {pct('count(*)', '(SELECT count(*) FROM norm)')}
+ AS pct FROM norm GROUP BY 1""")
+O["coverage_domains"] = sql("norm", f"""SELECT coverage, email_domain, mails, rank, {pct('mails', 'total')} AS pct FROM (
  SELECT *, row_number() OVER (PARTITION BY coverage ORDER BY mails DESC, email_domain) AS rank,
- sum(mails) OVER (PARTITION BY coverage) AS total FROM (SELECT {COV} AS coverage, email_domain, count(*) AS mails FROM mail_log
+ sum(mails) OVER (PARTITION BY coverage) AS total FROM (SELECT {COV} AS coverage, email_domain, count(*) AS mails FROM norm
  GROUP BY 1, 2)) WHERE rank <= 10""")
-O["coverage_advice"] = sql("mail_log", f"""SELECT advice, mails FROM (
+O["coverage_advice"] = sql("norm", f"""SELECT advice, mails FROM (
  SELECT 'Close the coverage gap' AS advice, count(*) FILTER (c = 'No Coverage') AS mails, count(*) FILTER (c = 'No Coverage') > 0 AS ok FROM v
  UNION ALL SELECT 'Complete partial coverage', count(*) FILTER (c LIKE 'Missing%'), count(*) FILTER (c LIKE 'Missing%') > 0 FROM v
  UNION ALL SELECT 'Coverage is good', count(*) FILTER (c LIKE 'Full%'), count(*) FILTER (c LIKE 'Full%') >= count(*) * 0.8 FROM v)
- WHERE ok""", v=f"SELECT {COV} AS c FROM mail_log")
+ WHERE ok""", v=f"SELECT {COV} AS c FROM norm")
 
 # ---- behaviour ----
-SD = "SELECT sender, CAST(time AS DATE) AS day, count(*) AS mails FROM mail_log GROUP BY 1, 2"
+SD = "SELECT sender, CAST(time AS DATE) AS day, count(*) AS mails FROM norm WHERE time IS NOT NULL GROUP BY 1, 2"
 BASE = """SELECT sender, avg(mails) AS a, coalesce(stddev_samp(mails), 0) AS s, median(mails) AS m, max(mails) AS x FROM sd GROUP BY 1"""
-O["volume_baseline"] = sql("mail_log", """SELECT sender, round(a, 4) AS avg_daily, round(s, 4) AS std_daily, round(m, 4) AS median_daily,
+O["volume_baseline"] = sql("norm", """SELECT sender, round(a, 4) AS avg_daily, round(s, 4) AS std_daily, round(m, 4) AS median_daily,
  x AS max_daily FROM b""", sd=SD, b=BASE)
 Z = "CASE WHEN s > 0 THEN (mails - a) / s ELSE 0 END"
-O["volume_spikes"] = sql("mail_log", f"""SELECT sender, CAST(day AS VARCHAR) AS day, mails, round({Z}, 4) AS volume_zscore, {Z} > 2
+O["volume_spikes"] = sql("norm", f"""SELECT sender, CAST(day AS VARCHAR) AS day, mails, round({Z}, 4) AS volume_zscore, {Z} > 2
  AS is_volume_spike FROM sd JOIN b USING (sender)""", sd=SD, b=BASE)
 CUT = "(SELECT max(time) - INTERVAL 10 DAY FROM cls)"
 NEWD = f"""SELECT mail_id, sender IN (SELECT sender FROM cls WHERE time < {CUT}) AND len(list_filter(rds, lambda d:
@@ -367,7 +372,7 @@ KEPT = "SELECT cls.* FROM cls WHERE mail_id NOT IN (SELECT mail_id FROM reason)"
 FC = f"""SELECT sender, new_domain, mail_id, time, department, business_unit, subject, {d_category('new_domain')} AS domain_category,
  CASE WHEN new_domain IN {FREE} THEN 'High' ELSE 'Medium' END AS risk_level, true AS requires_review FROM (
  SELECT sender, r AS new_domain, mail_id, time, department, bunit AS business_unit, subject, row_number() OVER (PARTITION BY sender, r
- ORDER BY time, mail_id) AS rn FROM (SELECT *, unnest(rds) AS r FROM k)) WHERE rn = 1"""
+ ORDER BY time, mail_id) AS rn FROM (SELECT *, unnest(rds) AS r FROM k WHERE sender <> '')) WHERE rn = 1"""
 
 
 def contacts(select):
@@ -383,18 +388,18 @@ O["first_contact_rollups"] = contacts("""SELECT department, count(*) FILTER (ris
  count(*) FILTER (risk_level = 'Medium') AS medium FROM f GROUP BY 1""")
 O["first_contact_top_domains"] = contacts(f"""SELECT new_domain, count(*) AS contacts, {d_category('new_domain')} AS category FROM f
  GROUP BY new_domain ORDER BY contacts DESC, new_domain LIMIT 10""")
-O["late_sender_domains"] = sql("mail_log", """SELECT dom AS sender_domain, count(*) AS mails,
- string_agg(DISTINCT department, ', ' ORDER BY department) AS departments, string_agg(DISTINCT bunit, ', ' ORDER BY bunit) AS units FROM h
- GROUP BY 1 HAVING min(rn) > (SELECT count(*) FROM h) // 2""",
+O["late_sender_domains"] = sql("norm", """SELECT dom AS sender_domain, count(*) AS mails,
+ coalesce(string_agg(DISTINCT department, ', ' ORDER BY department), '') AS departments, coalesce(string_agg(DISTINCT bunit, ', ' ORDER BY bunit), '') AS units FROM h
+ WHERE dom IS NOT NULL GROUP BY 1 HAVING min(rn) > (SELECT count(*) FROM h) // 2""",
     h="""SELECT *, string_split(sender, '@')[1] || '.' || strftime(time, '%Y%m%d') AS dom, row_number() OVER (ORDER BY time, mail_id) AS rn
- FROM mail_log""")
-DV = "SELECT CAST(CAST(time AS DATE) AS VARCHAR) AS day, count(*) AS mails FROM mail_log GROUP BY 1"
-O["daily_volume"] = sql("mail_log", DV)
-O["volume_ma7"] = sql("mail_log", """SELECT day, mails, CASE WHEN count(*) OVER w = 7 THEN round(avg(mails) OVER w, 4) END AS ma7 FROM d
+ FROM norm""")
+DV = "SELECT CAST(CAST(time AS DATE) AS VARCHAR) AS day, count(*) AS mails FROM norm WHERE time IS NOT NULL GROUP BY 1"
+O["daily_volume"] = sql("norm", DV)
+O["volume_ma7"] = sql("norm", """SELECT day, mails, CASE WHEN count(*) OVER w = 7 THEN round(avg(mails) OVER w, 4) END AS ma7 FROM d
  WINDOW w AS (ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)""", d=DV)
-O["timeline"] = sql("page", "SELECT CAST(CAST(time AS DATE) AS VARCHAR) AS day, risk_level, count(*) AS mails FROM page GROUP BY 1, 2")
-O["hourly_activity"] = sql("mail_log", """SELECT hour(time) AS hour, count(*) AS mails, hour(time) < 8 OR hour(time) >= 18 AS after_hours
- FROM mail_log GROUP BY 1, 3""")
+O["timeline"] = sql("page", "SELECT CAST(CAST(time AS DATE) AS VARCHAR) AS day, risk_level, count(*) AS mails FROM page WHERE time IS NOT NULL GROUP BY 1, 2")
+O["hourly_activity"] = sql("norm", """SELECT hour(time) AS hour, count(*) AS mails, hour(time) < 8 OR hour(time) >= 18 AS after_hours
+ FROM norm WHERE time IS NOT NULL GROUP BY 1, 3""")
 EDGES = """SELECT sender, r AS domain, count(*) AS weight FROM (SELECT sender, unnest(rds[1:3]) AS r FROM cls) WHERE r <> sender GROUP BY 1, 2"""
 TOPN = """SELECT node, type, degree, received + coalesce(n, 0) AS mails FROM (SELECT node, max(type) AS type, count(*) AS degree,
  CAST(sum(w) AS BIGINT) AS received FROM (SELECT sender AS node, 'sender' AS type, 0 AS w FROM e UNION ALL SELECT domain, 'domain', weight
@@ -405,12 +410,12 @@ O["mail_graph_top_edges"] = sql("cls", """SELECT sender, domain, weight FROM e W
  (SELECT node FROM t)""", e=EDGES, t=TOPN)
 
 # ---- anomalies ----
-O["anomaly_features"] = sql("cls", """SELECT cls.mail_id, hour::BIGINT AS hour, day_of_week::BIGINT AS day_of_week,
- (day_of_week >= 5)::BIGINT AS is_weekend, recipient_count, has_attachments::BIGINT AS has_attachments,
+O["anomaly_features"] = sql("cls", """SELECT cls.mail_id, coalesce(hour, 0)::BIGINT AS hour, coalesce(day_of_week, 0)::BIGINT AS day_of_week,
+ coalesce(day_of_week >= 5, false)::BIGINT AS is_weekend, recipient_count, has_attachments::BIGINT AS has_attachments,
  is_after_hours::BIGINT AS is_after_hours, is_leaver::BIGINT AS is_leaver, coalesce(has_new_domain, false)::BIGINT AS has_new_domain,
  has_burst_pattern::BIGINT AS has_burst_pattern, (email_domain_type = 'business')::BIGINT AS domain_business,
  (email_domain_type = 'free')::BIGINT AS domain_free, (email_domain_type = 'internal')::BIGINT AS domain_internal,
- (email_domain_type = 'unknown')::BIGINT AS domain_unknown, count(*) OVER (PARTITION BY department) AS dept_frequency,
+ (email_domain_type = 'unknown')::BIGINT AS domain_unknown, CASE WHEN department IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY department) END AS dept_frequency,
  count(*) OVER (PARTITION BY sender) AS sender_frequency FROM cls JOIN b ON cls.mail_id = b.mail_id LEFT JOIN n ON cls.mail_id = n.mail_id""",
     x=EXS, b=BURST, n=NEWD)
 FEATURE_SQL = ["hour", "day_of_week", "(day_of_week >= 5)", "recipient_count", "has_attachments", "is_after_hours", "is_leaver", "0", "0",
@@ -485,8 +490,8 @@ for key, expr in (("sender_anomalies", "time_anomaly OR volume_anomaly OR conten
 CLASS = "CASE WHEN is_anomaly THEN 'anomalous' ELSE 'normal' END"
 O["anomaly_patterns"] = sql("ruled", f"""SELECT section, key, value::DOUBLE AS value FROM (SELECT *, row_number() OVER (PARTITION BY section
  ORDER BY value DESC, o) AS rn FROM (SELECT {CLASS} || '_peak_hours' AS section, hour::VARCHAR AS key, lpad(hour::VARCHAR, 2, '0') AS o,
- count(*)::DOUBLE AS value, 3 AS k FROM ruled GROUP BY ALL UNION ALL SELECT 'departments', department, department, count(*), 5 FROM ruled
- WHERE is_anomaly GROUP BY ALL UNION ALL SELECT 'avg_recipients', {CLASS}, {CLASS}, round(avg(recipient_count), 4), 9 FROM ruled GROUP BY ALL))
+ count(*)::DOUBLE AS value, 3 AS k FROM ruled WHERE time IS NOT NULL GROUP BY ALL UNION ALL SELECT 'departments', department, department, count(*), 5 FROM ruled
+ WHERE is_anomaly AND department IS NOT NULL GROUP BY ALL UNION ALL SELECT 'avg_recipients', {CLASS}, {CLASS}, round(avg(recipient_count), 4), 9 FROM ruled GROUP BY ALL))
  WHERE rn <= k""")
 FREELAB = f"CASE WHEN {any_in('email_domain', V.IP_FREE_MAIL)} THEN 'Free Email' ELSE 'Business' END"
 TRIAGE = f"""SELECT mail_id, sender, subject, risk_score, anomaly_score,
@@ -504,7 +509,7 @@ O["anomaly_kpis"] = sql("ruled", """SELECT count(*) AS listed, count(*) FILTER (
 O["anomaly_actions"] = sql("ruled", f"""SELECT mail_id, sender, risk_score, CASE WHEN anomaly_score < -2 THEN 'Extreme' WHEN anomaly_score < -1
  THEN 'High' ELSE 'Moderate' END AS severity, {COV2} AS coverage, {FREELAB} AS domain_type,
  CASE WHEN hour < 6 OR hour > 22 THEN 'After hours' WHEN hour BETWEEN 6 AND 8 OR hour BETWEEN 18 AND 22 THEN 'Early or late'
- ELSE 'Business hours' END AS timing, concat_ws('; ',
+ WHEN hour IS NOT NULL THEN 'Business hours' ELSE '-' END AS timing, concat_ws('; ',
  CASE WHEN last_working_day IS NOT NULL THEN 'PRIORITY 1: Review all recent emails from this departing employee; PRIORITY 1: Check if emails contain company intellectual property; PRIORITY 1: Verify recipient legitimacy and business justification' END,
  CASE WHEN {WORDY} AND attachments NOT IN ('', '0') THEN 'PRIORITY 2: Scan attachments for sensitive data; PRIORITY 2: Review keyword context in email content' END,
  CASE WHEN risk_score >= 61 THEN 'HIGH RISK: Escalate to security team immediately; HIGH RISK: Consider contacting sender to verify legitimate activity'
@@ -512,7 +517,7 @@ O["anomaly_actions"] = sql("ruled", f"""SELECT mail_id, sender, risk_score, CASE
  CASE WHEN {COV2} <> 'Both' THEN 'SECURITY: Ensure complete security tool coverage' END) AS actions FROM ruled WHERE is_anomaly""")
 
 # ---- business as usual ----
-O["bau_scope"] = sql("low", "SELECT mail_id, hour, day_of_week, is_business_hours FROM low")
+O["bau_scope"] = sql("low", "SELECT mail_id, coalesce(hour::VARCHAR, '-') AS hour, coalesce(day_of_week::VARCHAR, '-') AS day_of_week, is_business_hours FROM low")
 
 
 def described(section, source, column):
@@ -522,10 +527,10 @@ def described(section, source, column):
     return " UNION ALL ".join(f"SELECT '{section}' AS section, '{k}' AS key, round(({e})::DOUBLE, 4) AS value FROM {source}" for k, e in parts)
 
 
-LD = "SELECT CAST(time AS DATE) AS day, count(*) AS mails FROM low GROUP BY 1"
+LD = "SELECT CAST(time AS DATE) AS day, count(*) AS mails FROM low WHERE time IS NOT NULL GROUP BY 1"
 O["bau_temporal"] = sql("low", f"""SELECT 'overview' AS section, 'business_hours_pct' AS key, {pct('count(*) FILTER (is_business_hours)', 'count(*)')}
- AS value FROM low UNION ALL SELECT 'overview', 'peak_hour', (SELECT hour FROM low GROUP BY hour ORDER BY count(*) DESC, hour LIMIT 1)::DOUBLE
- UNION ALL SELECT 'weekday', day_of_week::VARCHAR, count(*)::DOUBLE FROM low GROUP BY day_of_week UNION ALL {described('daily_volume', 'd', 'mails')}""",
+ AS value FROM low UNION ALL SELECT 'overview', 'peak_hour', (SELECT hour FROM low WHERE hour IS NOT NULL GROUP BY hour ORDER BY count(*) DESC, hour LIMIT 1)::DOUBLE
+ UNION ALL SELECT 'weekday', day_of_week::VARCHAR, count(*)::DOUBLE FROM low WHERE day_of_week IS NOT NULL GROUP BY day_of_week UNION ALL {described('daily_volume', 'd', 'mails')}""",
     d=LD)
 LS = "SELECT sender, count(*) AS n FROM low GROUP BY 1"
 O["bau_senders"] = sql("low", f"""SELECT 'overview' AS section, 'senders' AS key, count(*)::DOUBLE AS value FROM s UNION ALL
@@ -560,7 +565,7 @@ O["banking_overview"] = sql("low", f"""SELECT section, key, round(value::DOUBLE,
  SELECT 'overview' AS section, 'mails' AS key, count(*)::DOUBLE AS value FROM b UNION ALL
  SELECT 'overview', 'pct', count(*) * 100.0 / (SELECT count(*) FROM low) FROM b UNION ALL
  SELECT 'overview', 'business_hours_pct', count(*) FILTER (is_business_hours) * 100.0 / count(*) FROM b UNION ALL
- SELECT 'overview', 'peak_hour', (SELECT hour FROM b GROUP BY hour ORDER BY count(*) DESC, hour LIMIT 1) UNION ALL
+ SELECT 'overview', 'peak_hour', (SELECT hour FROM b WHERE hour IS NOT NULL GROUP BY hour ORDER BY count(*) DESC, hour LIMIT 1) UNION ALL
  SELECT 'overview', 'weekend_mails', count(*) FILTER (day_of_week >= 5) FROM b UNION ALL
  SELECT 'overview', 'senders', count(DISTINCT sender) FROM b UNION ALL
  SELECT 'word', w, count(*) FROM (SELECT unnest({found_in('lower(subject)', V.BANKING_WORDS)}) AS w FROM b) GROUP BY w UNION ALL
@@ -589,39 +594,39 @@ WM = f"count(*) FILTER ({WORDY})"
 MR = "round(avg(risk_score), 4)"
 O["unit_activity"] = sql("page", f"""SELECT bunit, count(*) AS mails, count(DISTINCT sender) AS senders, count(DISTINCT department) AS departments,
  {WM} AS word_matches, {MR} AS mean_risk, row_number() OVER (ORDER BY count(*) DESC, bunit) AS rank,
- {pct('count(*)', '(SELECT count(*) FROM page)')} AS pct FROM page GROUP BY bunit ORDER BY mails DESC, bunit LIMIT 15""")
+ {pct('count(*)', '(SELECT count(*) FROM page)')} AS pct FROM page WHERE bunit IS NOT NULL GROUP BY bunit ORDER BY mails DESC, bunit LIMIT 15""")
 O["unit_departments"] = sql("page", f"""SELECT * EXCLUDE (t), {pct('mails', 't')} AS pct FROM (SELECT bunit, department, count(*) AS mails,
- count(DISTINCT sender) AS senders, {WM} AS word_matches, row_number() OVER (PARTITION BY bunit ORDER BY count(*) DESC, department) AS rank,
- sum(count(*)) OVER (PARTITION BY bunit) AS t FROM page GROUP BY bunit, department) WHERE rank <= 10""")
+ count(DISTINCT sender) AS senders, {WM} AS word_matches, row_number() OVER (PARTITION BY bunit ORDER BY department IS NULL, count(*) DESC, department) AS rank,
+ sum(count(*)) OVER (PARTITION BY bunit) AS t FROM page WHERE bunit IS NOT NULL GROUP BY bunit, department QUALIFY department IS NOT NULL) WHERE rank <= 10""")
 O["unit_overview"] = sql("page", f"""SELECT bunit, count(*) AS mails, count(DISTINCT department) AS departments, count(DISTINCT sender) AS senders,
  {WM} AS word_matches, {MR} AS mean_risk, {pct('count(*) FILTER (hour BETWEEN 9 AND 17)', 'count(*)')} AS business_hours_pct
- FROM page GROUP BY bunit""")
+ FROM page WHERE bunit IS NOT NULL GROUP BY bunit""")
 O["unit_concentration"] = sql("page", """SELECT round(sum(n) FILTER (r <= 5) * 100.0 / max(t), 4) AS top5_pct,
  round(sum(n) FILTER (r <= 3) * 100.0 / max(t), 4) AS top3_pct, round(sum(n) FILTER (r <= 1) * 100.0 / max(t), 4) AS top1_pct FROM (
- SELECT count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, bunit) AS r, (SELECT count(*) FROM page) AS t FROM page GROUP BY bunit)""")
+ SELECT count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, bunit) AS r, (SELECT count(*) FROM page) AS t FROM page WHERE bunit IS NOT NULL GROUP BY bunit)""")
 O["unit_word_leader"] = sql("page", f"""SELECT (SELECT bunit FROM u ORDER BY n DESC, bunit LIMIT 1) AS bunit, max(n) AS word_matches,
- count(*) AS units FROM u""", u=f"SELECT bunit, count(*) AS n FROM page WHERE {WORDY} GROUP BY 1")
+ count(*) AS units FROM u""", u=f"SELECT bunit, count(*) AS n FROM page WHERE {WORDY} AND bunit IS NOT NULL GROUP BY 1")
 O["org_kpis"] = sql("ruled", " UNION ALL ".join(f"""SELECT '{k}' AS kind, count(*) AS groups, round(avg(n), 4) AS mails_per_group,
  count(*) FILTER (h) AS high_risk_groups, count(*) FILTER (e) AS external_groups, count(*) FILTER (a) AS anomalous_groups FROM (
- SELECT {k}, count(*) AS n, bool_or(risk_level = 'High') AS h, bool_or({OUTSIDE}) AS e, bool_or(is_anomaly) AS a FROM ruled GROUP BY {k})"""
+ SELECT {k}, count(*) AS n, bool_or(risk_level = 'High') AS h, bool_or({OUTSIDE}) AS e, bool_or(is_anomaly) AS a FROM ruled WHERE {k} IS NOT NULL GROUP BY {k})"""
                                                 for k in ("department", "bunit")))
 MATRIX = """SELECT {0}, count(*) FILTER (risk_level = 'High') AS high, count(*) FILTER (risk_level = 'Medium') AS medium,
- count(*) FILTER (risk_level = 'Low') AS low FROM page GROUP BY {0}"""
+ count(*) FILTER (risk_level = 'Low') AS low FROM page WHERE {0} IS NOT NULL GROUP BY {0}"""
 O["dept_risk_matrix"] = sql("page", MATRIX.format("department"))
 O["unit_risk_matrix"] = sql("page", MATRIX.format("bunit"))
 O["dept_external"] = sql("page", f"""SELECT department, count(*) AS external_mails, sum(len(string_split(recipients, ',')))::BIGINT AS recipients,
- count(*) FILTER (attachments <> '') AS with_attachments FROM page WHERE {OUTSIDE} GROUP BY 1""")
+ count(*) FILTER (attachments <> '') AS with_attachments FROM page WHERE {OUTSIDE} AND department IS NOT NULL GROUP BY 1""")
 O["dept_keywords"] = sql("page", """SELECT department, count(*) AS mails, sum(ip_keywords_detected)::BIGINT AS keywords,
- round(avg(ip_keywords_detected), 2) AS mean_keywords FROM page WHERE ip_keywords_detected > 0 GROUP BY 1""")
+ round(avg(ip_keywords_detected), 2) AS mean_keywords FROM page WHERE ip_keywords_detected > 0 AND department IS NOT NULL GROUP BY 1""")
 O["unit_anomalies"] = sql("ruled", """SELECT bunit, count(*) AS anomalies, round(avg(anomaly_score), 4) AS mean_score,
- round(max(anomaly_score), 4) AS max_score, count(DISTINCT sender) AS senders FROM ruled WHERE is_anomaly GROUP BY 1""")
+ round(max(anomaly_score), 4) AS max_score, count(DISTINCT sender) AS senders FROM ruled WHERE is_anomaly AND bunit IS NOT NULL GROUP BY 1""")
 O["cross_dept_kpis"] = sql("page", """SELECT count(*) AS departments, sum(s)::BIGINT AS department_senders, sum(h)::BIGINT AS high_risk,
  sum(d)::BIGINT AS department_domains FROM (SELECT count(DISTINCT sender) AS s, count(DISTINCT sender_domain) AS d,
- count(*) FILTER (risk_level = 'High') AS h FROM page GROUP BY department)""")
+ count(*) FILTER (risk_level = 'High') AS h FROM page WHERE department IS NOT NULL GROUP BY department)""")
 DEPTS = f"""SELECT department, count(*) AS mails, count(*) FILTER ({OUTSIDE}) AS external, count(DISTINCT sender) AS senders,
  avg(len(string_split(recipients, ','))) AS rec, count(*) FILTER (attachments <> '') AS files,
  count(*) FILTER (ip_keywords_detected > 0) AS keywords, count(*) FILTER (risk_level = 'High') AS high, avg(length(subject)) AS sl,
- count(*) FILTER (hour >= 22 OR hour <= 5) AS night FROM page GROUP BY department"""
+ count(*) FILTER (hour >= 22 OR hour <= 5) AS night FROM page WHERE department IS NOT NULL GROUP BY department"""
 O["dept_volumes"] = sql("page", f"SELECT department, mails, mails - external AS internal, external, {pct('external', 'mails')} AS external_pct FROM d",
                         d=DEPTS)
 O["dept_direction"] = sql("page", """SELECT department, mails AS initiated, senders, round(rec, 4) AS mean_recipients,
@@ -639,9 +644,9 @@ DA = """SELECT department, 'High Volume' AS anomaly, mails::DOUBLE AS value, 'Me
 O["dept_anomalies"] = sql("page", DA, d=DEPTS)
 O["dept_anomaly_kpis"] = sql("page", """SELECT count(*) FILTER (severity = 'High') AS high, count(*) FILTER (severity = 'Medium') AS medium,
  count(DISTINCT department) AS departments FROM a""", d=DEPTS, a=DA)
-O["dept_sizes"] = sql("page", "SELECT department, count(*) AS mails FROM page GROUP BY 1")
+O["dept_sizes"] = sql("page", "SELECT department, count(*) AS mails FROM page WHERE department IS NOT NULL GROUP BY 1")
 O["dept_hour_matrix"] = sql("page", "SELECT department, " + ", ".join(f"count(*) FILTER (hour = {h}) AS h{h:02d}" for h in range(24))
-                            + " FROM page GROUP BY 1")
+                            + " FROM page WHERE department IS NOT NULL AND time IS NOT NULL GROUP BY 1")
 O["dept_flags"] = sql("page", """SELECT department, 'High External Communication' AS pattern, round(external / mails, 4) AS share,
  CASE WHEN external / mails > 0.8 THEN 'Medium' ELSE 'Low' END AS level FROM d WHERE external / mails > 0.7
  UNION ALL SELECT department, 'High IP Keyword Usage', round(keywords / mails, 4), 'High' FROM d WHERE keywords / mails > 0.3""", d=DEPTS)
@@ -649,16 +654,16 @@ O["dept_insights"] = sql("page", """SELECT count(*) AS departments, (SELECT depa
  max(mails) AS most_active_mails, (SELECT department FROM d ORDER BY external DESC, department LIMIT 1) AS most_external,
  max(external) AS most_external_mails FROM d""", d=DEPTS)
 O["domain_dept_unit_stats"] = sql("page", """SELECT * FROM (SELECT sender_domain, department, bunit, count(*) AS mails,
- count(*) FILTER (risk_level = 'High') AS high_risk, sum(ip_keywords_detected)::BIGINT AS keywords FROM page GROUP BY 1, 2, 3)
+ count(*) FILTER (risk_level = 'High') AS high_risk, sum(ip_keywords_detected)::BIGINT AS keywords FROM page WHERE department IS NOT NULL AND bunit IS NOT NULL GROUP BY 1, 2, 3)
  WHERE high_risk > 0 OR keywords > 0""")
 O["domain_totals"] = sql("page", "SELECT count(DISTINCT sender_domain) AS sender_domains, " + ", ".join(
     f"count(DISTINCT sender_domain) FILTER (sender_domain_category = '{c}') AS {n}"
     for c, n in (("Internal", "internal"), ("Free Email", "free"), ("Business", "business"))) + " FROM page")
 O["policy_recommendations"] = sql("ruled", """SELECT * FROM (SELECT 'Department Monitoring' AS category, 'High' AS priority,
  'Implement enhanced monitoring for ' || department || ' department due to high-risk email activity' AS recommendation,
- count(*) || ' high-risk emails detected' AS rationale FROM ruled WHERE risk_level = 'High' GROUP BY department
+ count(*) || ' high-risk emails detected' AS rationale FROM ruled WHERE risk_level = 'High' AND department IS NOT NULL GROUP BY department
  ORDER BY count(*) DESC, department LIMIT 1) UNION ALL SELECT * FROM (SELECT 'Business Unit Policy', 'Medium',
- 'Review email policies for ' || bunit || ' business unit', count(*) || ' anomalous emails detected' FROM ruled WHERE is_anomaly GROUP BY bunit
+ 'Review email policies for ' || bunit || ' business unit', count(*) || ' anomalous emails detected' FROM ruled WHERE is_anomaly AND bunit IS NOT NULL GROUP BY bunit
  ORDER BY count(*) DESC, bunit LIMIT 1) UNION ALL SELECT 'Domain Policy', 'Medium',
  'Consider restricting or monitoring free email domain usage for business communications',
  count(*) || ' emails sent from free email domains detected' FROM ruled WHERE sender_domain_category = 'Free Email' HAVING count(*) > 0

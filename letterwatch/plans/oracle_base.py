@@ -234,7 +234,7 @@ R_ATTACHMENT = (f"(CASE WHEN attachments IN ('', '0') THEN 0 WHEN {any_in(ATT, V
 R_RECIPIENTS = ("(CASE WHEN recipients = '' THEN 0 WHEN len(string_split(recipients, ',')) > 5 THEN 15 "
                 "WHEN len(string_split(recipients, ',')) > 2 THEN 10 ELSE 0 END)")
 R_LEAVER = "(CASE WHEN last_working_day IS NOT NULL THEN 30 ELSE 0 END)"
-R_VOLUME = "(CASE WHEN count(*) OVER (PARTITION BY sender) > 10 THEN 10 ELSE 0 END)"
+R_VOLUME = "(CASE WHEN sender <> '' AND count(*) OVER (PARTITION BY sender) > 10 THEN 10 ELSE 0 END)"
 RISK = f"least(100, {R_DOMAIN} + {R_CONTENT} + {R_ATTACHMENT} + {R_RECIPIENTS} + {R_LEAVER} + {R_VOLUME})"
 
 
@@ -262,16 +262,16 @@ TIER = f"""CASE WHEN last_working_day IS NOT NULL AND attachments NOT IN ('', '0
  WHEN last_working_day IS NULL AND attachments NOT IN ('', '0') AND word_list_match <> ''
    AND NOT {any_in('lower(email_domain)', V.TIER_FREE_MAIL)} THEN 'Medium' ELSE 'Low' END"""
 
-RULES = """SELECT mail_id, n >= 5 AND coalesce(hour_n, 0) < 2 AS time_anomaly,
-   coalesce(n >= 5 AND day_count >= 3 AND day_std > 0 AND (day_n - day_mean) / nullif(day_std, 0) > 2, false) AS volume_anomaly,
+RULES = """SELECT mail_id, n >= 5 AND (hour IS NULL OR coalesce(hour_n, 0) < 2) AS time_anomaly,
+   coalesce(time IS NOT NULL AND n >= 5 AND day_count >= 3 AND day_std > 0 AND (day_n - day_mean) / nullif(day_std, 0) > 2, false) AS volume_anomaly,
    coalesce(n >= 5 AND ((rc_std > 0 AND (recipient_count - rc_mean) / nullif(rc_std, 0) > 2)
      OR (file_rate < 0.1 AND has_attachments)), false) AS content_anomaly
  FROM (SELECT r.*, count(*) OVER (PARTITION BY sender) AS n, count(*) OVER (PARTITION BY sender, hour) AS hour_n,
     avg(recipient_count) OVER (PARTITION BY sender) AS rc_mean, stddev_samp(recipient_count) OVER (PARTITION BY sender) AS rc_std,
     avg(CAST(has_attachments AS INT)) OVER (PARTITION BY sender) AS file_rate,
     count(*) OVER (PARTITION BY sender, CAST(time AS DATE)) AS day_n, d.* EXCLUDE (s)
-  FROM {src} r JOIN (SELECT sender AS s, avg(c) AS day_mean, stddev_samp(c) AS day_std, count(*) AS day_count FROM
-    (SELECT sender, CAST(time AS DATE), count(*) AS c FROM {src} GROUP BY 1, 2) GROUP BY 1) d ON r.sender = d.s)"""
+  FROM {src} r LEFT JOIN (SELECT sender AS s, avg(c) AS day_mean, stddev_samp(c) AS day_std, count(*) AS day_count FROM
+    (SELECT sender, CAST(time AS DATE), count(*) AS c FROM {src} WHERE time IS NOT NULL GROUP BY 1, 2) GROUP BY 1) d ON r.sender = d.s)"""
 
 STAGES = [
     ("mail_log", MAIL), ("wl", WL), ("raw", RAW), ("dirty", DIRTY), ("norm", NORM), ("cls1", CLS), ("cls", CLS2), ("kw1", KW1), ("kw2", KW2),

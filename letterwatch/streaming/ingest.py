@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.content import detect_keywords
 from ..operators.domains import classify_domains
 from ..operators.normalize import mail_normalize
-from ..sources.csv import CSV_OPTIONS, strings
+from ..sources.csv import CSV_OPTIONS, by_header, lines_of, strings
 from ..vocab import REQUIRED_COLUMNS
 
 
@@ -27,6 +27,24 @@ def write_stream(mails: DataFrame, out: str, checkpoint: str, once: bool = False
     return (writer.trigger(availableNow=True) if once else writer).start(out)
 
 
+def ingest_any(spark: SparkSession, folder: str, out: str, broken: str, checkpoint: str, once: bool = False, files_per_batch: int = 100):
+    """Files whose columns may stand in any order, processed into ``out``; what does not fit goes to ``broken`` and stops nothing.
+
+    Lines arrive with the name of their file; each micro-batch indexes the headers of its files (see ``csv.by_header``).  Both
+    tables are partitioned by the number of the micro-batch and a repeated one overwrites its own partition, so a restart
+    neither loses nor doubles rows.  A file must be complete when it appears in the folder.
+    """
+    lines = lines_of(spark.readStream.option("maxFilesPerTrigger", files_per_batch), folder)
+
+    def step(batch: DataFrame, number: int) -> None:
+        mails, lost = by_header(batch)
+        for rows, path in ((process(mails), out), (lost, broken)):
+            (rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+
+    writer = lines.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def stream_sender_days(mails: DataFrame, delay: str = "1 day") -> DataFrame:
     """Mails per sender and day; a day is final once the watermark has passed it."""
     return (mails.withWatermark("time", delay).groupBy("sender", F.window("time", "1 day").alias("w"))

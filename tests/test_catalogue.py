@@ -95,6 +95,47 @@ def test_csv_by_name_and_broken_rows(spark, tmp_path):
         S.src_mail_csv(spark, broken).collect()
 
 
+def messy_folder(path):
+    """Two orders of columns, an extra column, quoted names, a row too short, one too long, a cell with a line break, a file without header."""
+    names = list(REQUIRED_COLUMNS)
+    def put(name, columns, *rows, tail=()):
+        lines = [",".join(columns)] + [",".join(row.get(c.strip('"'), "") for c in columns) for row in rows]
+        (path / name).write_text("\n".join([*lines, *tail]) + "\n")
+    path.mkdir()
+    put("a.csv", names, {"sender": "a@x.org", "department": "IT", "subject": '"one, two ""three"""'}, tail=["too,short", "x," * 40])
+    put("b.csv", [f'"{n}"' for n in names[::-1]], {"sender": "b@x.org", "department": "HR"})
+    put("c.csv", ["extra", *names], {"sender": "c@x.org", "department": "Ops", "extra": "more"}, {"sender": "d@x.org", "subject": '"cut\nin two"'})
+    (path / "d.csv").write_text("no,header\nat,all\n")
+    return str(path)
+
+
+def test_any_order_of_columns_and_broken_rows_apart(spark, tmp_path):
+    mails, broken = S.src_mail_any(spark, messy_folder(tmp_path / "in"))
+    assert sorted((r["sender"], r["department"], r["subject"]) for r in mails.collect()) == [
+        ("a@x.org", "IT", 'one, two "three"'), ("b@x.org", "HR", None), ("c@x.org", "Ops", None)]
+    assert sorted((r["file"][-5:], r["reason"]) for r in broken.collect()) == [
+        ("a.csv", "other number of cells")] * 2 + [("c.csv", "other number of cells")] * 2 + [("d.csv", "no header")] * 2
+    few, rest = S.by_header(S.lines_of(spark.read, str(tmp_path / "in")), most_orders=1)
+    assert few.count() + rest.count() == mails.count() + broken.count() and rest.where("reason LIKE 'too many%'").count() >= 2
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.csv").write_text("")
+    mails, broken = S.src_mail_any(spark, str(tmp_path / "none"))
+    assert mails.collect() == [] == broken.collect() and "sender" in mails.columns
+
+
+def test_broken_files_do_not_stop_the_stream(spark, tmp_path):
+    folder = messy_folder(tmp_path / "in")
+    def run():
+        ingest.ingest_any(spark, folder, f"{tmp_path}/out", f"{tmp_path}/broken", f"{tmp_path}/checkpoint", once=True, files_per_batch=2).awaitTermination()
+        return spark.read.parquet(f"{tmp_path}/out").select("sender", "email_domain_type").collect(), spark.read.parquet(f"{tmp_path}/broken").count()
+    rows, lost = run()
+    assert sorted(r["sender"] for r in rows) == ["a@x.org", "b@x.org", "c@x.org"] and lost == 6
+    assert len(run()[0]) == 3                                              # nothing new: nothing doubled
+    (tmp_path / "in" / "e.csv").write_text(",".join(REQUIRED_COLUMNS[::-1]) + "\n" + "," * (len(REQUIRED_COLUMNS) - 1) + "\n")
+    rows, lost = run()
+    assert len(rows) == 4 and lost == 6
+
+
 def test_stream_equals_batch(spark, tmp_path):
     S.sink_csv(raw_mail_log(spark, SF).select(*REQUIRED_COLUMNS), f"{tmp_path}/in")
     stream = ingest.stream_mail_csv(spark, f"{tmp_path}/in", files_per_batch=3)
