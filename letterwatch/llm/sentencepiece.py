@@ -21,7 +21,8 @@ MARK = "▁"                    # stands for a blank inside pieces
 GIANT = 32_768                     # texts with more code points are cut into chunks
 CHUNK = 16_384                     # code points of a chunk
 REMEMBERED, REMEMBERED_CHARS = 150_000, 48         # segments per generation and Python worker
-FITS = 500_000                     # pairs of pieces whose fit is remembered
+SCANNED, NEVER = 48, float("inf")  # longest segment whose pairs are looked through; rank of a pair that is no piece
+FITS = 300_000                     # pairs of pieces whose fit is remembered
 NORMAL, BYTE = 1, 6                # piece types
 PAIRS = 2                          # type of a byte-pair model, whose scores are ranks of merges
 SEGMENT = re.compile(" +[^ ]*|[^ ]+")
@@ -66,11 +67,8 @@ class Vocabulary:
         self.__dict__.update(state)
         self._forget()
 
-    def pieces(self, segment: str) -> list[str]:
-        """Pieces of a segment by merges: of all neighbours that make a piece the pair of least rank, then the first, is merged.
-
-        Pairs wait in a heap; a popped one is stale if one of its sides was merged meanwhile.  Characters without a piece stay single.
-        """
+    def _merged_by_heap(self, segment: str) -> list[str]:
+        """The same with a heap; a popped pair is stale if one of its sides was merged meanwhile."""
         n, ranks = len(segment), self.ranks
         symbols, after, before = list(segment), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(rank, i, 2) for i in range(n - 1) if (rank := ranks.get(segment[i:i + 2])) is not None]
@@ -92,6 +90,29 @@ class Vocabulary:
                 heapq.heappush(heap, (rank, h, len(symbols[h]) + size))
         return [s for s in symbols if s]
 
+    def pieces(self, segment: str) -> list[str]:
+        """Pieces of a segment by merges: of all neighbours that make a piece the pair of least rank, then the first, is merged.
+
+        The few pairs of a short segment are looked through each time; those of a long one wait in a heap.  Characters without a
+        piece stay single.
+        """
+        if len(segment) > SCANNED:
+            return self._merged_by_heap(segment)
+        rank, symbols = self.ranks.get, list(segment)
+        waiting = [rank(a + b, NEVER) for a, b in zip(symbols, symbols[1:])]
+        while waiting:
+            least = min(waiting)
+            if least == NEVER:
+                break
+            i = waiting.index(least)
+            merged = symbols[i] = symbols[i] + symbols.pop(i + 1)
+            del waiting[i]
+            if i:
+                waiting[i - 1] = rank(symbols[i - 1] + merged, NEVER)
+            if i < len(waiting):
+                waiting[i] = rank(merged + symbols[i + 1], NEVER)
+        return symbols
+
     def numbers(self, pieces: list[str]) -> bytes:
         """Identifiers of pieces as packed integers; a character without a piece becomes its bytes."""
         ids, out = self.ids, []

@@ -60,6 +60,7 @@ def test_an_encoding_is_the_one_path_of_fitting_pieces():
     v = S.Vocabulary(MODEL)
     for text in (" abbreviations", "$$$$$$$", "aaaaaaaaa", "Wettbewerbsfähigkeit", " 12345,67", "xyzzyx"):
         pieces = v.pieces(text)
+        assert v._merged_by_heap(text) == pieces
         assert all(v.fits(a, b) for a, b in zip(pieces, pieces[1:]))
         ways = [{} for _ in range(len(text) + 1)]                     # number of paths by last piece
         for e in range(1, len(text) + 1):
