@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import domains as D
-from ..functions.frames import around_rank, arrival, arrived, spread_join, value_at_rank
+from ..functions.frames import around_rank, arrival, arrived, materialize, spread_join, value_at_rank
 from ..functions.text import blank_if_null, filled, strip, truncate_ellipsis
 
 
@@ -31,50 +31,57 @@ def volume_spikes(df: DataFrame, baseline: DataFrame, threshold: float = 2) -> D
             .withColumn("is_volume_spike", F.col("volume_zscore") > threshold))
 
 
-def _per_mail(df: DataFrame, flags: DataFrame, name: str) -> DataFrame:
-    """Collapse exploded rows back to one row per mail."""
-    return flags.groupBy("mail_id").agg(F.bool_or(F.coalesce(F.col("_hit"), F.lit(False))).alias(name))
+def _flagged(mails: DataFrame, hits: DataFrame, name: str) -> DataFrame:
+    """The mails with a flag that is true for those in ``hits`` (mail_id).
+
+    Only hits are made distinct; the mails themselves are in an exchange only if the hits are too many to be broadcast.
+    """
+    found = hits.select("mail_id").distinct().withColumn("_hit", F.lit(True))
+    return spread_join(mails, found, "mail_id").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def new_domains_lookback(df: DataFrame, days: int = 30) -> DataFrame:
     """Mails of the last ``days`` days with a flag: goes to a domain this sender never wrote to before.
 
-    Senders without older mail are not flagged.  Pairs are aggregated before any join, and the join back to
-    the mails splits hot pairs.
+    Senders without older mail are not flagged.  The log is scanned once, into a narrow copy; pairs are aggregated before any
+    join, and only the mails of fresh pairs go on from there.
     """
-    rows = df.select("mail_id", "sender", "time", F.col("recipient_domains"))
-    cutoff = df.agg(F.max("time").alias("t")).select((F.col("t") - F.make_dt_interval(F.lit(days))).alias("t")).scalar()
-    old, recent = rows.where(F.col("time") < cutoff), rows.where(F.col("time") >= cutoff)
-    known = old.select("sender").distinct()
-    seen = old.select("sender", F.explode("recipient_domains").alias("domain")).distinct()
-    exploded = recent.select("mail_id", "sender", "time", F.explode_outer("recipient_domains").alias("domain"))
-    fresh = (exploded.where("domain IS NOT NULL").groupBy("sender", "domain").agg(_count().alias("_n"))
-             .join(known, "sender", "left_semi").join(seen, ["sender", "domain"], "left_anti"))
-    hits = spread_join(exploded, fresh, ["sender", "domain"])
-    return (hits.groupBy("mail_id").agg(F.first("sender").alias("sender"), F.first("time").alias("time"),
-                                        F.bool_or(F.col("_n").isNotNull()).alias("has_new_domain")))
+    rows = materialize(df.select("mail_id", "sender", "time", "recipient_domains"))
+    cutoff = rows.agg(F.max("time").alias("t")).select((F.col("t") - F.make_dt_interval(F.lit(days))).alias("t")).scalar()
+    pairs = materialize(rows.where("time IS NOT NULL").select("sender", (F.col("time") < cutoff).alias("old"), F.explode_outer("recipient_domains").alias("domain"))
+                        .groupBy("sender", "domain").agg(F.bool_or("old").alias("old"), F.bool_or(~F.col("old")).alias("recent")))
+    known = pairs.where("old").select("sender").distinct()
+    fresh = pairs.where("recent AND NOT old AND domain IS NOT NULL").join(known, "sender", "left_semi").select("sender", "domain", F.lit(True).alias("_fresh"))
+    recent = rows.where(F.col("time") >= cutoff)
+    exploded = recent.select("mail_id", "sender", F.explode("recipient_domains").alias("domain")).where("domain IS NOT NULL")
+    hits = spread_join(exploded, fresh, ["sender", "domain"]).where("_fresh")
+    return _flagged(recent.select("mail_id", "sender", "time"), hits, "has_new_domain")
 
 
 def burst_flag(df: DataFrame, window_minutes: int = 60, min_mails: int = 5) -> DataFrame:
     """One row per mail: is it one of ``min_mails`` mails by its sender to one domain within the window?
 
-    Equal times are counted first; the running count then works in time buckets of one window length, each
-    seeing its two neighbours, so a busy sender-domain pair is spread over its hours instead of sorted whole.
+    The log is scanned once, into a narrow copy.  Equal times are counted first; pairs of sender and domain with fewer than
+    ``min_mails`` mails in all cannot hit and go no further.  The running count then works in time buckets of one window
+    length, each seeing its two neighbours, so a busy pair is spread over its hours instead of sorted whole.
     """
     span = window_minutes * 60 * 1_000_000
-    rows = df.select("mail_id", "sender", F.unix_micros(F.col("time").cast("timestamp")).alias("at"),
-                     F.explode_outer(F.array_distinct("recipient_domains")).alias("domain"))
+    mails = materialize(df.select("mail_id", "sender", F.unix_micros(F.col("time").cast("timestamp")).alias("at"),
+                                  F.array_distinct("recipient_domains").alias("_domains")))
+    rows = mails.where("at IS NOT NULL").select("mail_id", "sender", "at", F.explode("_domains").alias("domain")).where("domain IS NOT NULL")
     pair = ["sender", "domain", "at"]
-    ticks = rows.where("at IS NOT NULL AND domain IS NOT NULL").groupBy(*pair).agg(_count().alias("n"))
+    ticks = materialize(rows.groupBy(*pair).agg(_count().alias("n")))
+    busy = ticks.groupBy("sender", "domain").agg(F.sum("n").alias("_all")).where(F.col("_all") >= min_mails)
+    likely = spread_join(ticks, busy, ["sender", "domain"], row_id="at").where("_all IS NOT NULL").drop("_all")
     home = ((F.col("at") - F.pmod(F.col("at"), F.lit(span))) / span).cast("long")
-    seen = (ticks.withColumn("home", home)
+    seen = (likely.withColumn("home", home)
             .withColumn("bucket", F.explode(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1))))
     w = Window.partitionBy("sender", "domain", "bucket").orderBy("at").rangeBetween(-span, span)
     bursts = (seen.withColumn("near", F.sum("n").over(w))
               .where((F.col("bucket") == F.col("home")) & (F.col("near") >= min_mails))
               .select(*pair, F.col("n").alias("_n")))
-    hits = spread_join(rows, bursts, pair).withColumn("_hit", F.col("_n").isNotNull())
-    return _per_mail(df, hits, "has_burst_pattern")
+    hits = spread_join(rows, bursts, pair).where("_n IS NOT NULL")
+    return _flagged(mails.select("mail_id"), hits, "has_burst_pattern")
 
 
 CONTACT_ADDRESS = D.ADDRESS
