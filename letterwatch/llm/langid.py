@@ -18,19 +18,21 @@ BUCKETS = 1 << 13                  # features that n-grams of one to three lette
 CHARS_AT_ONCE = 1 << 20
 ROUNDS = 10
 SHARPNESS = 20.0                   # of the score, which compares the best cosine of each language
-NEAR = 0.35                        # a text is rejected below this share of the language's low quantile of cosines
+LEFT_OUT = 5                       # every fifth of these documents is left out of the clusters and shows how near such texts are
+NEAR = 0.6                         # a text is rejected below this share of the low quantile of their cosines
 LOW_QUANTILE = 0.01
+MOST_LANGUAGES = 2_000             # that a model can hold
 UNKNOWN = "und"
 
 
 class Letters:
-    """Code points of lower-case letters, 0 for everything else."""
+    """Code points of the letters of a lower-cased text, 0 for everything else."""
 
     def __init__(self):
         self.plain = np.array([c if chr(c).isalpha() else 0 for c in range(0x10000)], np.uint32)
 
     def of(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         if len(points) and points.max() >= 0x10000:
             rare = np.unique(points[points >= 0x10000])
             kept = rare[[chr(c).isalpha() for c in rare]]
@@ -39,18 +41,24 @@ class Letters:
 
 
 def counts(text: str, letters: Letters) -> np.ndarray | None:
-    """Hashed counts of n-grams within and at the edges of words over the whole text; None without a letter."""
-    total, found = np.zeros(BUCKETS, np.float32), False
-    for start in range(0, len(text), CHARS_AT_ONCE):
-        seq = letters.of(text[start:start + CHARS_AT_ONCE])
+    """Hashed counts of n-grams within and at the edges of words over the whole text; None without a letter.
+
+    A long text is read in pieces; the last two symbols of a piece are carried into the next one, so no n-gram is lost or made up.
+    """
+    total, found, carry, low = np.zeros(BUCKETS, np.float32), False, np.zeros(1, np.uint32), text.lower()
+    for start in range(0, len(low), CHARS_AT_ONCE):
+        end = np.zeros(int(start + CHARS_AT_ONCE >= len(low)), np.uint32)
+        seq = np.concatenate([carry, letters.of(low[start:start + CHARS_AT_ONCE]), end])
+        keep = np.append(True, (seq[1:] != 0) | (seq[:-1] != 0))                 # one gap between words
+        keep[:len(carry)] = True
+        seq, old = seq[keep], len(carry)
+        carry = seq[-2:]
         if not seq.any():
             continue
-        found = True
-        seq = np.concatenate([[0], seq, [0]]).astype(np.uint32)
-        seq = seq[np.append(True, (seq[1:] != 0) | (seq[:-1] != 0))]            # one gap between words
+        found = found or bool(seq[old:].any())
         first, second = seq * np.uint32(0x9E3779B1), seq * np.uint32(0x85EBCA77)
-        grams = [first[seq != 0], (first[:-1] ^ np.left_shift(second[1:], 1)) * np.uint32(0xC2B2AE3D),
-                 (first[:-2] ^ np.left_shift(second[1:-1], 1) ^ (seq[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1)]
+        grams = [first[old:][seq[old:] != 0], ((first[:-1] ^ np.left_shift(second[1:], 1)) * np.uint32(0xC2B2AE3D))[old - 1:],
+                 ((first[:-2] ^ np.left_shift(second[1:-1], 1) ^ (seq[2:] * np.uint32(0x27D4EB2F))) * np.uint32(0x165667B1))[max(0, old - 2):]]
         for g in grams:
             total += np.bincount(g >> np.uint32(32 - 13), minlength=BUCKETS)
     return total if found else None
@@ -106,6 +114,8 @@ def fit(rows: DataFrame) -> Model | None:
     What a task holds is bounded by the sample of one language; the driver gets CENTROIDS vectors per language.
     """
     rows = materialize(whole_documents(rows))
+    if rows.select("lang").distinct().count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: set lang to null where it is no language")
 
     def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters, df, n = Letters(), np.zeros(BUCKETS), 0
@@ -125,8 +135,9 @@ def fit(rows: DataFrame) -> Model | None:
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         letters = Letters()
         x = np.array([vector(tf, idf) for t in sorted(group["text"]) if (tf := counts(t, letters)) is not None], np.float32)
-        centres = clustered(x, CENTROIDS)
-        low = float(np.quantile((x @ centres.T).max(1), LOW_QUANTILE))
+        out = np.arange(len(x)) % LEFT_OUT == LEFT_OUT - 1
+        centres = clustered(x[~out], CENTROIDS)
+        low = float(np.quantile((x[out] @ centres.T).max(1), LOW_QUANTILE)) if out.any() else 0.0
         return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": list(centres.astype(float)), "low": low})
 
     made = rows.groupBy("lang").applyInPandas(cluster, "lang string, centre array<double>, low double").toPandas().sort_values("lang", kind="stable")
@@ -139,9 +150,9 @@ def fit(rows: DataFrame) -> Model | None:
 def identify(df: DataFrame, model: Model | None) -> DataFrame:
     """Add ``lang_pred``, ``score``, ``cosine`` and ``rejected`` to rows with a ``text``.
 
-    The language of the nearest centroid is predicted.  A text that is farther from it than nearly all training texts of
-    that language is rejected, and so is one without a letter (null and empty ones included), which is ``und`` with score 0.
-    Without a model all are ``und``.  Whole texts are read, in pieces if long.  Repeated rows are judged alike, an empty
+    The language of the nearest centroid is predicted.  A text is rejected if its cosine to it is below NEAR times the low quantile of
+    that language's documents that were left out of the clusters (with fewer than LEFT_OUT documents none is); so is one without a letter (null and empty ones included), which is ``und`` with score 0.
+    Without a model all are ``und``.  Whole texts are read.  Repeated rows are judged alike, an empty
     table gives an empty table, and input columns named like added ones are replaced.
     """
     @F.pandas_udf("lang_pred string, score double, cosine double, rejected boolean")

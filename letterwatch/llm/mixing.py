@@ -50,7 +50,7 @@ def targets(rows: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataFr
 def mix(df: DataFrame, **settings) -> DataFrame:
     """Add ``size`` (words), ``source_size``, ``target``, ``copies`` and ``taken`` to rows with ``doc_id``, ``source``, ``text``.
 
-    A document is expected to be taken target / source_size times.  Within its source, rows lie in order of size, then id;
+    A document is expected to be taken target / source_size times.  Within its source, rows lie in order of size, id and a hash of the row;
     the expected copies are summed along that order, one random offset is added, and a row is taken once for each whole
     number its interval crosses.  As neighbours in the order have like sizes, the words taken come within about one document
     of the target, and no row is taken more than ``most`` times.  Positions come from a range partitioning by source, size
@@ -64,11 +64,13 @@ def mix(df: DataFrame, **settings) -> DataFrame:
 
 def mix_sized(df: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: int = SEED) -> DataFrame:
     """``mix`` for rows that have their ``size`` already and need no text."""
-    rows = without(df, "source_size", "target", "copies", "taken", "_k", "_s", "start")
+    kept = without(df, "source_size", "target", "copies", "taken")
+    rows = kept.select("doc_id", "source", "size", F.struct("*").alias("_row"))              # so that no input column clashes with a helper
     per = materialize(targets(rows.select("source", "size"), weights, most)
                       .select(F.col("source").alias("_s"), "source_size", "target", "start"))
-    placed = dense_positions(rows, [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")], "_k")
-    return taken(placed.join(per, F.col("source").eqNullSafe(F.col("_s"))), offset(seed)).drop("_k", "_s", "start")
+    placed = dense_positions(rows, [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), F.xxhash64("_row")], "_k")
+    mix = taken(placed.join(per, F.col("source").eqNullSafe(F.col("_s"))), offset(seed))
+    return mix.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept.columns], "source_size", "target", "copies", "taken")
 
 
 def taken(rows: DataFrame, u: float) -> DataFrame:

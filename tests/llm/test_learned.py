@@ -86,11 +86,51 @@ def test_language_on_held_out_rows(corpus):
     assert odd[1003]["lang_pred"] in model.languages and sum(r["rejected"] for r in out if r["doc_id"] < 900) == 0
 
 
+def test_far_texts_with_letters_are_rejected(corpus):
+    docs, _ = corpus
+    model = langid.fit(langid.training_rows(docs))
+    rng = np.random.default_rng(12)
+    gibberish = " ".join("".join(rng.choice(list("zxqvwkyj"), 5)) for _ in range(60))
+    other = "Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше по дороге. " * 3
+    rows = docs.sparkSession.createDataFrame([(0, gibberish), (1, other), (2, prose("de", 60, 77)), (3, prose("en", 300, 78))], "doc_id long, text string")
+    assert [r["rejected"] for r in langid.identify(rows, model).orderBy("doc_id").collect()] == [True, True, False, False]
+
+
+def test_vectors_and_nearest_centroid_by_brute_force(corpus):
+    docs, _ = corpus
+    model, letters = langid.fit(langid.training_rows(docs)), langid.Letters()
+    for r in docs.limit(40).collect():
+        word_grams = {}
+        for word in "".join(c if c.isalpha() else " " for c in (r["text"] or "").lower()).split():
+            for gram in [*word, *(f" {word} "[i:i + 2] for i in range(len(word) + 1))]:
+                word_grams[gram] = word_grams.get(gram, 0) + 1
+        tf = langid.counts(r["text"] or "", letters)
+        if tf is None:
+            assert not word_grams
+            continue
+        trigrams = tf.sum() - sum(word_grams.values())                # a gap between words is in the trigrams of both
+        text = " " + " ".join("".join(c if c.isalpha() else " " for c in r["text"].lower()).split()) + " "
+        assert trigrams == len(text) - 2
+        v = np.log1p(tf) * model.idf
+        cos = model.centroids @ (v / np.linalg.norm(v))
+        assert model.predict(tf)[0] == model.languages[model.owner[int(cos.argmax())]]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 2)
+    rows = spark.createDataFrame([(str(i), "text") for i in range(3)], "lang string, text string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(rows)
+
+
 def test_language_of_pieces_equals_whole(monkeypatch):
     letters, text = langid.Letters(), prose("de", 300, 1)
     whole = langid.counts(text, letters)
     monkeypatch.setattr(langid, "CHARS_AT_ONCE", 500)
-    assert np.abs(langid.counts(text, letters) - whole).sum() < 40
+    for size in (1, 2, 3, 7, 500, 10_000):
+        monkeypatch.setattr(langid, "CHARS_AT_ONCE", size)
+        assert (langid.counts(text, letters) == whole).all()
+        assert (langid.counts("  a  b.. cd ", letters) == langid.counts("a-b cd", letters)).all()
     assert langid.counts("12 .. ", letters) is None and langid.counts("\U00010400 x", letters) is not None
 
 

@@ -157,6 +157,14 @@ def test_mix_meets_targets_and_repeats_itself(spark):
     assert copies.columns == df.columns and copies.count() == sum(r["copies"] for r in first.values())
 
 
+def test_mix_keeps_clashing_columns_and_orders_repeated_rows(spark):
+    rows = [(i // 3, "w " * (1 + i % 5) + "xyz"[i % 3], "s" if i % 2 else None, i, i, i, "t") for i in range(90)] + [(7, "same text", "s", 0, 0, 0, "t")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, start int, _part int, _pos int, _s string")
+    def mix(parts):
+        return sorted((r["doc_id"], r["text"], r["start"], r["_part"], r["_pos"], r["_s"], r["copies"]) for r in mixing.mix(df.repartition(parts)).collect())
+    assert mix(5) == mix(2) and sorted(r[:6] for r in mix(3)) == sorted((r[0], r[1], r[3], r[4], r[5], r[6]) for r in rows)
+
+
 def test_urls_by_rule_and_alias(spark):
     page = "<html><link rel='canonical' href=\"{}\"></html>"
     rows = [(1, "http://A.example.net/en/1", None), (2, "https://x.net/?q", ""), (3, "http://m.Example.com/de/x#y", "<p>"), (4, "http://b.org/fr/a", None),
