@@ -469,7 +469,7 @@ O["anomaly_clusters"] = recursive(sql("cls", """SELECT m.mail_id, coalesce(clust
 RISKY = found_in("array_to_string(list_transform(attachment_types, lambda t: lower(t)), ',')", V.RISKY_FILE_TYPES)
 EXT = "coalesce(array_to_string(list_filter(rds, lambda d: d <> sender_domain), ', '), '')"
 REASONS = f"""SELECT mail_id, is_anomaly, list_filter([
- CASE WHEN recipient_count > m * 2 THEN 'Unusual recipient volume: ' || recipient_count || ' recipients (typical: ' || format('{{:.1f}}', m) || ')' END,
+ CASE WHEN sender <> '' AND recipient_count > m * 2 THEN 'Unusual recipient volume: ' || recipient_count || ' recipients (typical: ' || format('{{:.1f}}', m) || ')' END,
  CASE WHEN hour < 6 OR hour > 22 THEN 'Sent at unusual time: ' || strftime(time, '%H:%M') || ' (outside business hours)' END,
  CASE WHEN len({RISKY}) > 0 THEN 'Contains potentially risky file types: ' || array_to_string({RISKY}, ', ') END,
  CASE WHEN {any_in('email_domain', ['gmail.com', 'yahoo.com', 'hotmail.com'])} THEN 'Uses free email domain for business communication' END,
