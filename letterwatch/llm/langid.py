@@ -19,7 +19,7 @@ CHARS_AT_ONCE = 1 << 20
 ROUNDS = 10
 SHARPNESS = 20.0                   # of the score, which compares the best cosine of each language
 LEFT_OUT = 5                       # every fifth of these documents is left out of the clusters and shows how near such texts are
-NEAR = 0.6                         # a text is rejected below this share of the low quantile of their cosines
+NEAR = 0.4                         # a text is rejected below this share of the low quantile of their cosines
 LOW_QUANTILE = 0.01
 MOST_LANGUAGES = 2_000             # that a model can hold
 UNKNOWN = "und"
