@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab as V
 from ..functions import content as C
-from ..functions.frames import rolled, share, totalled
+from ..functions.frames import materialize, rolled, share, totalled
 from ..functions.text import blank_if_null, col, contains_any, listed
 
 
@@ -57,7 +57,9 @@ def keyword_stats(df: DataFrame, top: int = 10) -> DataFrame:
 
 
 def high_risk_content(df: DataFrame, threshold: int = 30) -> DataFrame:
-    return (df.where(F.col("sensitivity_score") >= threshold)
+    """Mails from the threshold on, highest score first.  The scores are written once, as the filter, the sort's sample and the sort
+    would each scan all texts again; select the columns that are needed first."""
+    return (materialize(df).where(F.col("sensitivity_score") >= threshold)
             .withColumn("content_risk_level", content_level(low="Medium"))
             .orderBy(F.desc("sensitivity_score"), "mail_id"))
 

@@ -471,7 +471,7 @@ def keyword_stats(spark, sf):
 
 @query
 def high_risk_content(spark, sf):
-    return K.high_risk_content(B.scanned(spark, sf)).select("mail_id", "sensitivity_score", "content_risk_level")
+    return K.high_risk_content(B.scanned(spark, sf).select("mail_id", "sensitivity_score")).select("mail_id", "sensitivity_score", "content_risk_level")
 
 
 @query

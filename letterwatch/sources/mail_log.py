@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.frames import materialize
+
 # The same text runs on Spark SQL and on the checking engine; {events} is the table name.
 MAIL_LOG_SQL = """
 WITH e AS (
@@ -52,10 +54,24 @@ WHITELIST_SQL = """SELECT * FROM (VALUES ('first8.last1@corp.example', NULL), (N
   (NULL, 'eu.corp.example')) AS t(email_address, domain)"""
 
 
-def balanced(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small input that Spark cannot split (one row group) over the cores; leave any other as it is."""
+# An uneven input with more rows than this is written anew instead of being dealt out in every pass.
+WRITTEN_ROWS = 500_000
+
+
+def balanced(df: DataFrame, key: str, written_rows: int = WRITTEN_ROWS) -> DataFrame:
+    """Spread an input that Spark cannot split evenly over the cores; leave any other as it is.
+
+    Files are split by bytes but read by row groups, so the rows of each partition are counted (the footers tell).  Filters are
+    pushed below an exchange, into the few tasks that read the row groups; a large input is therefore written once in even parts.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    total = sum(sizes)
+    if max(sizes, default=0) * cores <= 1.5 * total:
+        return df
+    if total <= written_rows:
+        return df.repartition(cores, key)
+    return materialize(df.repartition(max(cores, -(-total // written_rows)), *df.columns))
 
 
 def mail_log(spark: SparkSession, sf_dir: str) -> DataFrame:
