@@ -17,13 +17,14 @@ INLINE_LIMIT = 2000
 
 
 def spread_join(facts: DataFrame, per_key: DataFrame, key, row_id: str = "mail_id", broadcast_keys: int = BROADCAST_KEYS,
-                written: bool = False) -> DataFrame:
+                written: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """Left join of a fact table with a table that is unique on ``key``, safe for hot keys.
 
     The per-key table is written once (unless the caller has ``written`` it) and measured.  If both its rows and its bytes are few it is broadcast and the facts
     are not shuffled at all.  Otherwise the facts are counted by key, whether or not the per-key table knows the key (null
     included), and a key that holds more than 1/PIECES of all facts is split into salted pieces; fewer than PIECES keys
     can be that large, so the list of them is always small enough to broadcast, and no task gets more than its share.
+    A caller that has written the number of facts per key gives it as ``counts`` (the keys and ``_rows``), which saves a pass.
     """
     keys = [key] if isinstance(key, str) else list(key)
     per_key = per_key if written else materialize(per_key)
@@ -31,7 +32,7 @@ def spread_join(facts: DataFrame, per_key: DataFrame, key, row_id: str = "mail_i
     n_keys, n_bytes = per_key.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     if n_keys <= broadcast_keys and n_bytes <= BROADCAST_BYTES:
         return _null_safe_left(facts, F.broadcast(per_key), keys)
-    counts = materialize(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")))
+    counts = materialize(facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))) if counts is None else counts
     total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
     hot = counts.where(F.col("_rows") * PIECES > total).select(*keys, F.ceil(F.col("_rows") * PIECES / F.lit(max(total, 1))).cast("int").alias("_pieces"))
     salted = (_null_safe_left(per_key, F.broadcast(hot), keys)

@@ -125,7 +125,8 @@ def sender_anomalies(df: DataFrame, min_mails: int = 5) -> DataFrame:
                         F.coalesce((F.col("day_count") >= 3) & (F.col("day_std") > 0)
                                    & ((F.col("day_n") - F.col("day_mean")) / F.nullif(F.col("day_std"), F.lit(0.0)) > 2),
                                    F.lit(False)).alias("_v")))
-    joined = spread_join(rows, per_cell, ["sender", "_day", "_hour"])
+    keys = ["sender", "_day", "_hour"]
+    joined = spread_join(rows, per_cell, keys, counts=cells.select(*keys, F.col("n").alias("_rows")))
     z = (F.col("recipient_count") - F.col("rc_mean")) / F.when(F.col("rc_std") > 0, F.col("rc_std"))
     content = F.coalesce(z > 2, F.lit(False)) | ((F.col("file_rate") < 0.1) & F.col("has_attachments"))
     def known(c):

@@ -7,10 +7,10 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .. import vocab as V
-from ..functions.frames import INLINE_LIMIT, inline_values, spread_join
+from ..functions.frames import INLINE_LIMIT, inline_values, materialize, spread_join
 from ..functions.text import blank_if_null, col, compact_labels, contains_any, filled, is_blank, memo, strip
 from .normalize import comma_recipients
-from .whitelist import whitelist_reason
+from .whitelist import whitelist_filter, whitelist_reason
 
 BUSY_SENDER = 10
 
@@ -67,8 +67,9 @@ def sender_counts(df: DataFrame) -> DataFrame:
 
 def risk_volume(df: DataFrame) -> DataFrame:
     """Add ``risk_volume``: 10 points if the sender has more than ten mails in the frame."""
-    busy = sender_counts(df).where((F.col("sender_mails") > BUSY_SENDER) & filled("sender"))
-    return (spread_join(df, busy, "sender")
+    senders = materialize(sender_counts(df))
+    busy = senders.where((F.col("sender_mails") > BUSY_SENDER) & filled("sender"))
+    return (spread_join(df, busy, "sender", written=True, counts=senders.withColumnRenamed("sender_mails", "_rows"))
             .withColumn("risk_volume", F.when(F.col("sender_mails").isNotNull(), 10).otherwise(0))
             .drop("sender_mails"))
 
@@ -140,8 +141,7 @@ def risk_attach_filtered(df: DataFrame, whitelist: DataFrame, labels=V.LEVELS_SH
                          whitelist_credit: bool = False) -> DataFrame:
     """Score all mails, then keep the mails that are not whitelisted."""
     scored = risk_score(df, whitelist, whitelist_credit)
-    kept = whitelist_reason(scored, whitelist).where(F.col("whitelist_reason").isNull()).drop("whitelist_reason")
-    return kept.withColumn("risk_level", risk_level("risk_score", labels))
+    return whitelist_filter(scored, whitelist).withColumn("risk_level", risk_level("risk_score", labels))
 
 
 @memo

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.frames import INLINE_LIMIT, inline_values, rolled, share
-from ..functions.text import blank_if_null, filled, strip
+from ..functions.text import blank_if_null, filled, let, strip
 
 
 def _domain_of(address: Column) -> Column:
@@ -23,6 +23,13 @@ def _candidates() -> Column:
     return F.concat(own, others)
 
 
+def _listed(addresses, domains) -> Column:
+    """True if an address of the mail or its domain is listed; every address is cut out once."""
+    def known(address: Column) -> Column:
+        return let(address, lambda a: a.isin(addresses) | _domain_of(a).isin(domains))
+    return known(blank_if_null("sender")) | F.exists(F.split(blank_if_null("recipients"), ","), lambda r: known(strip(r)))
+
+
 def _message(c: Column) -> Column:
     return F.concat(c["kind"], F.lit(" '"), c["value"], F.lit("' is whitelisted"))
 
@@ -38,7 +45,7 @@ def whitelist_reason(df: DataFrame, whitelist: DataFrame, inline_limit: int = IN
     if addresses is not None and domains is not None:
         hits = F.filter(_candidates(), lambda c: F.when(c["kind"].endswith("email"), c["value"].isin(addresses))
                         .otherwise(c["value"].isin(domains)))
-        return df.withColumn("whitelist_reason", _message(F.get(hits, F.lit(0))))
+        return df.withColumn("whitelist_reason", let(F.get(hits, F.lit(0)), _message))
     listed = (whitelist.where(filled("email_address")).select(F.lit("email").alias("what"),
                                                               F.col("email_address").alias("value"))
               .unionByName(whitelist.where(filled("domain")).select(F.lit("domain").alias("what"),
@@ -52,7 +59,11 @@ def whitelist_reason(df: DataFrame, whitelist: DataFrame, inline_limit: int = IN
 
 
 def whitelist_filter(df: DataFrame, whitelist: DataFrame, inline_limit: int = INLINE_LIMIT) -> DataFrame:
-    """Mails that no whitelist entry matches."""
+    """Mails that no whitelist entry matches.  A short list needs no reason for that (see ``whitelist_reason``)."""
+    addresses = inline_values(whitelist.where(filled("email_address")), "email_address", inline_limit)
+    domains = inline_values(whitelist.where(filled("domain")), "domain", inline_limit)
+    if addresses is not None and domains is not None:
+        return df.where(~_listed(addresses, domains))
     return (whitelist_reason(df, whitelist, inline_limit).where(F.col("whitelist_reason").isNull())
             .drop("whitelist_reason"))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.frames import materialize
 from ..operators.anomaly import sender_anomalies
 from ..operators.bau import bau_scope
 from ..operators.content import detect_keywords
@@ -53,8 +54,15 @@ def hits(spark, sf) -> DataFrame:
     return whitelist_hits(normalized(spark, sf), whitelist(spark))
 
 
-def ruled(spark, sf) -> DataFrame:
-    """The page frame with the per-sender rules as anomaly flag; the score is minus the rules broken."""
-    rules = sender_anomalies(page(spark, sf))
+RULE_INPUTS = ("mail_id", "sender", "time", "recipient_count", "has_attachments")
+
+
+def ruled(spark, sf, *columns: str) -> DataFrame:
+    """The page frame with the per-sender rules as anomaly flag; the score is minus the rules broken.
+
+    A report that names its ``columns`` gets these and the rules' own inputs; the mails are then written once, for all passes.
+    """
+    mails = page(spark, sf)
+    rules = sender_anomalies(materialize(mails.select(*dict.fromkeys(RULE_INPUTS + columns))) if columns else mails)
     score = -(F.col("time_anomaly").cast("int") + F.col("volume_anomaly").cast("int") + F.col("content_anomaly").cast("int"))
     return rules.withColumns({"is_anomaly": F.col("is_behavioral_anomaly"), "anomaly_score": score.cast("double")})

@@ -906,12 +906,12 @@ for _base, _names in ((B.page, ("unit_activity", "unit_overview", "dept_risk_mat
 
 @query
 def org_kpis(spark, sf):
-    return O.org_kpis(B.ruled(spark, sf), "department", "bunit")
+    return O.org_kpis(B.ruled(spark, sf, "department", "bunit", "risk_level", "sender_domain_category"), "department", "bunit")
 
 
 @query
 def unit_anomalies(spark, sf):
-    return O.unit_anomalies(B.ruled(spark, sf))
+    return O.unit_anomalies(B.ruled(spark, sf, "bunit"))
 
 
 @query

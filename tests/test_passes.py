@@ -4,7 +4,9 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from letterwatch.operators import content as K
+from letterwatch.functions import frames
+from letterwatch.operators import anomaly as A, content as K, whitelist as W
+from letterwatch.plans import base as B
 from letterwatch.sources import mail_log as M
 
 
@@ -60,3 +62,40 @@ def test_high_risk_content_scans_every_mail_once(spark, counted_rows):
     want = sorted(((i * 13 % 101, i) for i in range(4000) if i * 13 % 101 >= 30), key=lambda r: (-r[0], r[1]))
     assert [(r["sensitivity_score"], r["mail_id"]) for r in got] == want
     assert seen.value == 4000
+
+
+def test_ruled_writes_named_columns_once(spark, tables):
+    lean, full = B.ruled(spark, tables, "department", "risk_level"), B.ruled(spark, tables)
+    plan = lean._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "user_id" not in plan                   # nothing of the log is made again
+    columns = ["mail_id", "department", "risk_level", "is_anomaly", "anomaly_score"]
+    def rows(df):
+        return sorted(map(tuple, df.select(*columns).collect()), key=str)
+    assert rows(lean) == rows(full) and any(r[3] for r in rows(lean))
+
+
+def test_sender_rules_do_not_count_the_mails_again(spark, counted_rows, monkeypatch):
+    marked, seen = counted_rows
+    monkeypatch.setattr(frames.spread_join, "__defaults__", ("mail_id", 0, False, None))       # as with very many keys
+    k = F.col("id")
+    mails = marked(spark.range(0, 3000, 1, 4).select(
+        k.alias("mail_id"), F.when(k % 3 != 0, F.concat(F.lit("s"), (k % 11).cast("string"))).alias("sender"),
+        F.timestamp_seconds(F.lit(1704067200) + k * 1800).alias("time"), (k % 6).cast("int").alias("recipient_count"), (k % 19 == 0).alias("has_attachments")))
+    got = {r["mail_id"]: r["is_behavioral_anomaly"] for r in A.sender_anomalies(mails).collect()}
+    assert len(got) == 3000 and set(got.values()) == {True, False}
+    assert seen.value == 2 * 3000                                           # counted once, marked once
+
+
+def test_short_whitelist_filter_equals_reasons(spark):
+    senders = ["a@x.com", " a@x.com", "A@x.com", "b@y.org", "no address", "two@x.com@y.org", "", None]
+    recipients = ["p@q.de", " p@q.de ,b@y.org", "p@q.de,\ta@x.com\xa0", "@y.org", "x,,", "p@y.org.de", "p@q.de;r@y.org", "", None]
+    rows = spark.createDataFrame([(9 * i + j, s, r) for i, s in enumerate(senders) for j, r in enumerate(recipients)],
+                                 "mail_id long, sender string, recipients string")
+    for entries in ([("a@x.com", None), (None, "y.org")], [(None, "x.com")], [("b@y.org", "")], []):
+        wl = spark.createDataFrame(entries, "email_address string, domain string")
+        for limit in (2000, 0):
+            kept = {r["mail_id"] for r in W.whitelist_filter(rows, wl, limit).collect()}
+            assert kept == {r["mail_id"] for r in W.whitelist_reason(rows, wl, limit).where("whitelist_reason IS NULL").collect()}
+            assert kept == {r["mail_id"] for r in W.whitelist_filter(rows, wl).collect()}
+        plan = W.whitelist_filter(rows, wl)._jdf.queryExecution().optimizedPlan().toString()
+        assert "is whitelisted" not in plan                                 # no reason is written out to be thrown away
