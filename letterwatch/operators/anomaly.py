@@ -27,6 +27,11 @@ FEATURE_INPUTS = ("mail_id", "sender", "department", "hour", "day_of_week", "rec
                   "has_new_domain", "has_burst_pattern", "email_domain_type")
 
 
+# What the explanations are made of, beside the flag and the features.
+REASON_INPUTS = ("mail_id", "time", "sender", "sender_domain", "recipient_count", "recipient_domains", "attachment_types", "attachments",
+                 "word_list_match", "email_domain", "risk_score")
+
+
 def with_features(df: DataFrame, domain_type_col: str = "email_domain_type", domain_types=DOMAIN_TYPES) -> DataFrame:
     """Add ``_features``, a struct of numbers (long), nulls as 0.
 
@@ -36,9 +41,10 @@ def with_features(df: DataFrame, domain_type_col: str = "email_domain_type", dom
     counts = materialize(df.groupingSets([["department"], ["sender"]], "department", "sender").agg(
         F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("_mails")))
     def per(key, which, name):
-        return counts.where((F.col("_set") == which) & F.col(key).isNotNull()).select(key, F.col("_mails").alias(name))
-    joined = spread_join(spread_join(df, per("department", 1, "_dept_frequency"), "department", written=True),
-                         per("sender", 2, "_sender_frequency"), "sender", written=True)
+        return counts.where(F.col("_set") == which).select(key, F.col("_mails").alias(name))
+    def joined_by(rows, key, which, name):
+        return spread_join(rows, per(key, which, name).where(F.col(key).isNotNull()), key, written=True, counts=per(key, which, "_rows"))
+    joined = joined_by(joined_by(df, "department", 1, "_dept_frequency"), "sender", 2, "_sender_frequency")
     def number(c):
         return F.coalesce(F.col(c).cast("int"), F.lit(0))
     values = {"hour": number("hour"), "day_of_week": number("day_of_week"), "is_weekend": F.coalesce((F.col("day_of_week") >= 5).cast("int"), F.lit(0)),

@@ -64,14 +64,15 @@ def _share_below(share: float) -> str:
     return f"{min(int(share * 2 ** 64), 2 ** 64 - 1):016x}"
 
 
-def node_table(features: DataFrame, columns, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED):
+def node_table(features: DataFrame, columns, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED,
+               total: int | None = None):
     """(nodes of the forest, sample size, depth limit): node 1 is a tree's root, 2 n and 2 n + 1 are the children of n.
 
     Each tree draws its sample by the least MD5 of seed, tree and mail; of a large log a hash of the mail picks a pool of bounded
     size first.  A node cuts the varied feature with the least MD5, at a place drawn the same way, so the forest can be
     rebuilt from the log by any engine.
     """
-    total = features.count()
+    total = features.count() if total is None else total
     size = min(sample, total)
     pool_share = min(1.0, 2.0 * trees * size / total)
     pool = features if pool_share >= 1 else features.where(
@@ -86,9 +87,9 @@ def node_table(features: DataFrame, columns, trees: int = TREES, sample: int = S
     return drawn.groupBy("tree").applyInPandas(_tree_grower(list(columns), seed, limit), NODE_SCHEMA), size, limit
 
 
-def fit_forest(features: DataFrame, columns, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED):
+def fit_forest(features: DataFrame, columns, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, total: int | None = None):
     """The forest as arrays of shape (trees, nodes), the sample size and the depth limit."""
-    table, size, limit = node_table(features, columns, trees, sample, seed)
+    table, size, limit = node_table(features, columns, trees, sample, seed, total)
     nodes = table.toPandas()                                                 # trees times 2 * sample nodes at most
     forest = {name: np.full((trees, 2 << limit), blank, dtype=kind) for name, kind, blank in
               (("feature", np.int32, -1), ("cut", float, 0.0), ("path", np.int64, 0))}
@@ -122,8 +123,8 @@ def iforest_scores(features: DataFrame, columns, trees: int = TREES, sample: int
     return _scored(features.withColumn("_features", F.struct(*columns)), columns, trees, sample, seed).select("mail_id", "sample_score")
 
 
-def _scored(rows: DataFrame, columns, trees: int, sample: int, seed: int) -> DataFrame:
-    forest, size, limit = fit_forest(rows.select("mail_id", "_features.*"), columns, trees, sample, seed)
+def _scored(rows: DataFrame, columns, trees: int, sample: int, seed: int, total: int | None = None) -> DataFrame:
+    forest, size, limit = fit_forest(rows.select("mail_id", "_features.*"), columns, trees, sample, seed, total)
     score = _scorer(rows.sparkSession, forest, size, limit)
     return materialize(rows.withColumn("sample_score", score("_features")))
 
@@ -131,11 +132,14 @@ def _scored(rows: DataFrame, columns, trees: int, sample: int, seed: int) -> Dat
 def with_anomalies(df: DataFrame, contamination: float = CONTAMINATION, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
     """The mails with ``anomaly_score`` and ``is_anomaly``: the lowest ``contamination`` share of scores is flagged.
 
-    The mails carry their features along, so nothing is joined back; select the columns that are needed first.
+    The mails are written before they are counted, drawn from and scored, so what they are made of runs once, and carry their
+    features along, so nothing is joined back; select the columns that are needed first.
     """
-    if df.isEmpty():
-        return df.withColumns({"anomaly_score": F.lit(0.0), "is_anomaly": F.lit(False)})
-    scores = _scored(materialize(with_features(df)), feature_names(), trees, sample, seed)
+    rows = materialize(df)
+    total = rows.count()
+    if not total:
+        return rows.withColumns({"anomaly_score": F.lit(0.0), "is_anomaly": F.lit(False)})
+    scores = _scored(with_features(rows), feature_names(), trees, sample, seed, total)
     decision = F.col("sample_score") - F.lit(exact_quantile(scores, "sample_score", contamination))
     return scores.withColumns({"anomaly_score": decision, "is_anomaly": decision < 0}).drop("_features", "sample_score")
 

@@ -801,7 +801,9 @@ def iforest_score100(spark, sf):
 
 @query
 def iforest_reasons(spark, sf):
-    return I.iforest_explained(B.page(spark, sf)).select("mail_id", F.round("anomaly_score", 6).alias("anomaly_score"), "anomaly_reasons")
+    rows = B.page(spark, sf)
+    needed = rows.select(*[c for c in dict.fromkeys(A.FEATURE_INPUTS + A.REASON_INPUTS) if c in rows.columns])
+    return I.iforest_explained(needed).select("mail_id", F.round("anomaly_score", 6).alias("anomaly_score"), "anomaly_reasons")
 
 
 @query

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from letterwatch.functions import frames
-from letterwatch.operators import anomaly as A, content as K, whitelist as W
+from letterwatch.operators import anomaly as A, content as K, iforest as I, whitelist as W
 from letterwatch.plans import base as B
 from letterwatch.sources import mail_log as M
 
@@ -64,6 +64,20 @@ def test_high_risk_content_scans_every_mail_once(spark, counted_rows):
     assert seen.value == 4000
 
 
+def test_forest_makes_every_mail_once(spark, counted_rows):
+    marked, seen = counted_rows
+    k = F.col("id")
+    mails = spark.range(0, 2000, 1, 4).select(
+        k.alias("mail_id"), F.when(k % 50 != 0, F.concat(F.lit("s"), (k % 37).cast("string"))).alias("sender"), F.lit("d").alias("department"),
+        (k % 24).cast("int").alias("hour"), (k % 7).cast("int").alias("day_of_week"), (k % 5).cast("int").alias("recipient_count"),
+        (k % 3 == 0).alias("has_attachments"), (k % 24 > 18).alias("is_after_hours"), F.lit(False).alias("is_leaver"),
+        F.lit("business").alias("email_domain_type"))
+    once = I.with_anomalies(marked(mails), trees=5, sample=32)
+    flagged = once.where("is_anomaly").count()
+    assert once.count() == 2000 and 0 < flagged <= 200 and seen.value == 2000
+    assert I.with_anomalies(mails.limit(0)).count() == 0
+
+
 def test_ruled_writes_named_columns_once(spark, tables):
     lean, full = B.ruled(spark, tables, "department", "risk_level"), B.ruled(spark, tables)
     plan = lean._jdf.queryExecution().optimizedPlan().toString()
