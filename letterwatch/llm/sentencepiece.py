@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding for byte-pair models: merges per segment, and a max-plus scan over chunks of giant texts."""
+"""SentencePiece encoding and decoding for byte-pair models: merges of many segments at once, and a max-plus scan over chunks of giant texts."""
 from __future__ import annotations
 
 import heapq
@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from sentencepiece import sentencepiece_model_pb2
 
@@ -22,6 +23,7 @@ GIANT = 32_768                     # texts with more code points are cut into ch
 CHUNK = 16_384                     # code points of a chunk
 REMEMBERED, REMEMBERED_CHARS = 150_000, 48         # segments per generation and Python worker
 SCANNED, NEVER = 48, float("inf")  # longest segment whose pairs are looked through; rank of a pair that is no piece
+WIDTHS, TOGETHER = (10, 16, SCANNED), 32_768    # lengths up to which segments are merged together; so many at a time
 FITS = 300_000                     # pairs of pieces whose fit is remembered
 NORMAL, BYTE = 1, 6                # piece types
 PAIRS = 2                          # type of a byte-pair model, whose scores are ranks of merges
@@ -59,9 +61,10 @@ class Vocabulary:
 
     def _forget(self):
         self.segments, self.fitting = Remembered(self.packed, REMEMBERED_CHARS, REMEMBERED), {}
+        self.tables = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("segments", "fitting")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("segments", "fitting", "tables")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -130,6 +133,105 @@ class Vocabulary:
         """Identifiers of a text that starts and ends where no merge crosses."""
         return b"".join(map(self.segments.__getitem__, SEGMENT.findall(text)))
 
+    def _tables(self) -> tuple[np.ndarray, pd.Index, np.ndarray, np.ndarray]:
+        """Identifier of each code point (-1: no piece), the pairs of identifiers that make a piece, the piece each makes, and the
+        place of each piece in the order of ranks.  The last entry of either stands for no piece."""
+        if self.tables is None:
+            single, end = np.full(0x110000, -1, np.int32), len(self.raw)
+            made = {}
+            for piece, i in self.ids.items():
+                if len(piece) == 1:
+                    single[ord(piece)] = i
+                for k in range(1, len(piece)):
+                    if piece[:k] in self.ids and piece[k:] in self.ids:
+                        made[self.ids[piece[:k]] * (end + 1) + self.ids[piece[k:]]] = i
+            order = np.full(end + 1, np.iinfo(np.int32).max, np.int32)
+            order[list(self.ids.values())] = np.unique([self.ranks[p] for p in self.ids], return_inverse=True)[1]
+            self.tables = single, pd.Index(np.array(list(made), np.int64)), np.array([*made.values(), end], np.int32), order
+        return self.tables
+
+    def _merged_together(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges of many segments, one per row and round: (number of pieces per row, identifiers row by row).
+
+        A row holds the identifiers of a segment's characters, filled up with the end mark in one column more than the longest has;
+        the link before the first symbol, -1, leads to that column too.  A symbol that is merged into the one before it becomes an
+        end mark, and the first of the least ranks is taken, as ``pieces`` does.
+        """
+        _, pairs, makes, order = self._tables()
+        end, (n, width) = len(self.raw), symbols.shape
+        symbols = symbols.ravel()
+
+        def made(left, right):
+            return makes[pairs.get_indexer(left * np.int64(end + 1) + right)]
+
+        after, before = np.tile(np.arange(1, width + 1), n), np.tile(np.arange(-1, width - 1), n)
+        waiting = np.full(n * width, end, np.int32)
+        waiting[:-1] = made(symbols[:-1], symbols[1:])
+        ranks, first = order[waiting].reshape(n, width), np.arange(n) * width
+        while True:
+            i = ranks.argmin(1)
+            rows = np.flatnonzero(ranks[np.arange(len(first)), i] < order[end])
+            if not len(rows):
+                break
+            if len(rows) < len(first):
+                ranks, first, i = ranks[rows], first[rows], i[rows]
+            rows, here = np.arange(len(first)), first + i
+            j, h = after[here], before[here]
+            k = after[first + j]
+            merged = symbols[here] = waiting[here]
+            symbols[first + j], ranks[rows, j] = end, order[end]
+            after[here], before[first + k] = k, i
+            left, right = first + np.where(h < 0, width - 1, h), first + k
+            both = made(np.concatenate([merged, symbols[left]]), np.concatenate([symbols[right], merged]))
+            waiting[here], waiting[left] = both[:len(first)], both[len(first):]
+            ranks[rows, i], ranks[rows, h] = order[waiting[here]], order[waiting[left]]
+        kept = (symbols != end).reshape(n, width)
+        return kept.sum(1), symbols[kept.ravel()]
+
+    def wholes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ends, identifiers) of many texts as ``whole`` gives them: those of text i lie from ends[i] to ends[i + 1].
+
+        The distinct segments of all texts are merged together; long ones and those with a character without a piece one by one.
+        """
+        single, end = self._tables()[0], len(self.raw)
+        raw = [t.encode() for t in texts]
+        data = b"".join(raw)
+        limits = np.cumsum([0, *map(len, raw)])
+        if not data:
+            return np.zeros(len(limits), np.int64), np.zeros(0, np.int32)
+        blank = np.frombuffer(data, np.uint8) == 32
+        cut = blank.copy()
+        cut[1:] &= ~blank[:-1]
+        cut[limits[limits < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        segments = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)).dictionary_encode()
+        distinct, which = segments.dictionary, segments.indices.to_numpy()
+
+        sizes = pc.utf8_length(distinct).to_numpy()
+        symbols = single[np.frombuffer("".join(distinct.to_pylist()).encode("utf-32-le"), np.uint32)]
+        first = np.cumsum(sizes) - sizes
+        sizes = np.where((np.minimum.reduceat(symbols, first) < 0) | (sizes > SCANNED), SCANNED + 1, sizes)
+        by_size = np.argsort(sizes, kind="stable")
+        counts, ids, symbols = [], [], np.append(symbols, end)
+        bounds = np.searchsorted(sizes[by_size], (0, *WIDTHS), "right")
+        for a, b in zip(bounds, bounds[1:]):
+            for some in (by_size[x:min(x + TOGETHER, b)] for x in range(a, b, TOGETHER)):
+                columns = np.arange(sizes[some[-1]] + 1)
+                n, made = self._merged_together(symbols[np.where(columns < sizes[some, None], first[some, None] + columns, len(symbols) - 1)])
+                counts.append(n)
+                ids.append(made)
+        for segment in distinct.take(by_size[bounds[-1]:]).to_pylist():
+            made = np.frombuffer(self.segments[segment], "<i4")
+            counts.append([len(made)])
+            ids.append(made)
+
+        counts, ids, place = np.concatenate(counts).astype(np.int64), np.concatenate(ids), np.empty_like(by_size)
+        place[by_size] = np.arange(len(by_size))
+        which = place[which]
+        ends = np.append(0, np.cumsum(counts[which]))
+        at = np.repeat((np.cumsum(counts) - counts)[which] - ends[:-1], counts[which]) + np.arange(ends[-1])
+        return ends[np.searchsorted(starts, limits)], ids[at]
+
     def fits(self, left: str, right: str) -> bool:
         """Whether two pieces stay as they are when the text of both is encoded alone."""
         known = self.fitting.get((left, right))
@@ -216,8 +318,9 @@ def states_at_cuts(matrices) -> list[tuple[int, int]]:
     return [(0, 0), *at[::-1]]
 
 
-def traced(v: Vocabulary, text: str, front: int, back: int, enter: tuple[int, int], leave: tuple[int, int]) -> bytes:
-    """Identifiers of the pieces that start inside a chunk, given its states at both ends."""
+def outline(v: Vocabulary, text: str, front: int, back: int, enter: tuple[int, int], leave: tuple[int, int]) -> tuple[str, int, bytes]:
+    """What a chunk holds between its states: the part up to its last sync, which is encoded as a whole, how many identifiers to
+    leave out at its start, and the identifiers behind it."""
     def path(start, stop, last):
         """Pieces after ``start``, one way only, up to the one that starts at ``last`` and reaches ``stop``."""
         before, at = {start[1]: start}, start[1]
@@ -237,15 +340,18 @@ def traced(v: Vocabulary, text: str, front: int, back: int, enter: tuple[int, in
 
     start, end = (front - enter[0], front + enter[1]), (back - leave[0], back + leave[1])
     if start == end:
-        return b""
+        return "", 0, b""
     cuts = syncs(text, front, back)
     if not cuts:
-        return v.numbers(path(start, back, end))
-    head = b"" if start[1] == cuts[0] else v.whole(text[start[0]:cuts[0]])
-    if head and start[0] < start[1]:
-        head = head[len(v.packed(text[start[0]:start[1]])):]                     # the front state's piece belongs to the chunk before
-    middle = v.whole(text[cuts[0]:cuts[1]])
-    return head + middle + (v.numbers(path((cuts[1], cuts[1]), back, end)) if cuts[1] < back else b"")
+        return "", 0, v.numbers(path(start, back, end))
+    known = len(v.packed(text[start[0]:start[1]])) // 4 if start[0] < start[1] else 0    # the front state's piece belongs to the chunk before
+    return text[start[0]:cuts[1]], known, v.numbers(path((cuts[1], cuts[1]), back, end)) if cuts[1] < back else b""
+
+
+def traced(v: Vocabulary, text: str, front: int, back: int, enter: tuple[int, int], leave: tuple[int, int]) -> bytes:
+    """Identifiers of the pieces that start inside a chunk, given its states at both ends."""
+    plain, known, rest = outline(v, text, front, back, enter, leave)
+    return v.whole(plain)[4 * known:] + rest
 
 
 def _giant_ids(giants: DataFrame, shared) -> DataFrame:
@@ -269,8 +375,10 @@ def _giant_ids(giants: DataFrame, shared) -> DataFrame:
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in batches:
-            ids = [traced(shared.value, t, f, k, (a, b), (c, d)) for t, f, k, a, b, c, d in zip(*(r[x] for x in ("part", "front", "back", "a", "b", "c", "d")))]
-            yield pd.DataFrame({"key": r["key"], "at": r["at"], "ids": [np.frombuffer(x, "<i4") for x in ids]})
+            found = [outline(shared.value, t, f, k, (a, b), (c, d)) for t, f, k, a, b, c, d in zip(*(r[x] for x in ("part", "front", "back", "a", "b", "c", "d")))]
+            ends, ids = shared.value.wholes([plain for plain, _, _ in found])
+            yield pd.DataFrame({"key": r["key"], "at": r["at"], "ids": [
+                np.append(ids[a + known:b], np.frombuffer(rest, "<i4")) for a, b, (_, known, rest) in zip(ends, ends[1:], found)]})
 
     states = (chunks.mapInPandas(measure, "key string, at int, matrix array<int>")
               .groupBy("key").applyInPandas(scan, "key string, at int, a int, b int, c int, d int"))
@@ -291,8 +399,8 @@ def encode(df: DataFrame, model: str | None = None, giant: int = GIANT) -> DataF
     blank, becomes its bytes here, so that decoding gives back the very text.  A blank is put before a text that is not empty; a
     character without a piece becomes its bytes.
 
-    No merge crosses from another character to a blank, so texts fall into segments; short ones are solved once per Python worker
-    and remembered, within bounds, from task to task.  A text of more than ``giant`` code points is cut into chunks anywhere.  An
+    No merge crosses from another character to a blank, so texts fall into segments; the distinct short ones of a batch of texts are
+    merged together in rounds.  A text of more than ``giant`` code points is cut into chunks anywhere.  An
     encoding by merges is the one sequence of pieces in which every two neighbours, encoded together, stay as they are; so a chunk's
     matrix says which piece over its front cut can be followed, by fitting pieces, up to which piece over its back cut (weight 0, or
     no path).  Matrices are found in parallel, combined associatively, and each chunk is traced back on its own between its two
@@ -306,9 +414,8 @@ def encode(df: DataFrame, model: str | None = None, giant: int = GIANT) -> DataF
     @F.arrow_udf("array<int>")
     def solve(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            made = [shared.value.whole(" " + t) if t else b"" for t in batch.to_pylist()]
-            ends = np.cumsum([0, *map(len, made)], dtype=np.int64) // 4
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(made), "<i4"), pa.int32()))
+            ends, ids = shared.value.wholes([" " + t if t else "" for t in batch.to_pylist()])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
     rows = without(whole_documents(df), "ids", "_key")
     short = F.length(whole_text()) <= giant

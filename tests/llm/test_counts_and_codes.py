@@ -1,5 +1,6 @@
 """Token counts and SentencePiece codes against the library, brute force and round trips."""
 import pickle
+import random
 
 import numpy as np
 import public_tokenizers
@@ -91,6 +92,19 @@ def test_what_is_remembered_is_bounded_and_stays_at_home(monkeypatch):
     assert not again.segments and again.whole(" a b") == v.whole(" a b")
 
 
+def test_new_words_of_many_texts_are_merged_together(monkeypatch):
+    monkeypatch.setattr(S, "TOGETHER", 7)
+    sp, v, draw = library.SentencePieceProcessor(model_file=MODEL), S.Vocabulary(MODEL), random.Random(4)
+    words = ["".join(draw.choices("etaoinshrdlu.,$=éß漢0", k=n)) for n in range(1, 60) for _ in range(9)] + ["a" * n for n in range(1, 50)]
+    texts = ["", *("  ".join(draw.choices(words, k=40)) for _ in range(9)), "", *words, " ", "", "\U000103a0 of \U000103a0s"]
+    alone = []
+    monkeypatch.setattr(v, "pieces", lambda segment: alone.append(segment) or S.Vocabulary.pieces(v, segment))
+    ends, ids = v.wholes([" " + t if t else "" for t in texts])
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [sp.encode(t) for t in texts] and len(texts) == len(ends) - 1
+    assert alone and all(len(s) > S.SCANNED or not set(s) <= set(v.ids) for s in alone)
+    assert [x.tolist() for x in v.wholes([])] == [[0], []] and [x.tolist() for x in v.wholes(["", ""])] == [[0, 0, 0], []]
+
+
 def test_other_kinds_of_models_are_refused(tmp_path):
     proto = sentencepiece_model_pb2.ModelProto()
     with open(MODEL, "rb") as f:
