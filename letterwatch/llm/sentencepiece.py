@@ -23,7 +23,8 @@ GIANT = 32_768                     # texts with more code points are cut into ch
 CHUNK = 16_384                     # code points of a chunk
 REMEMBERED, REMEMBERED_CHARS = 150_000, 48         # segments per generation and Python worker
 SCANNED, NEVER = 48, float("inf")  # longest segment whose pairs are looked through; rank of a pair that is no piece
-WIDTHS, TOGETHER = (10, 16, SCANNED), 32_768    # lengths up to which segments are merged together; so many at a time
+WIDTHS, TOGETHER = (10, 16, SCANNED), 8_192       # lengths up to which segments are merged together; so many at a time
+PORTION = 1 << 20                  # characters of texts that are split into segments at a time
 FITS = 300_000                     # pairs of pieces whose fit is remembered
 NORMAL, BYTE = 1, 6                # piece types
 PAIRS = 2                          # type of a byte-pair model, whose scores are ranks of merges
@@ -189,10 +190,15 @@ class Vocabulary:
         return kept.sum(1), symbols[kept.ravel()]
 
     def wholes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ends, identifiers) of many texts as ``whole`` gives them: those of text i lie from ends[i] to ends[i + 1].
-
-        The distinct segments of all texts are merged together; long ones and those with a character without a piece one by one.
-        """
+        """(ends, identifiers) of many texts as ``whole`` gives them: those of text i lie from ends[i] to ends[i + 1]."""
+        portion = np.cumsum([len(t) for t in texts]) // PORTION
+        cuts = [0, *(np.flatnonzero(np.diff(portion)) + 1), len(texts)]
+        found = [self._portion(texts[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return np.append(0, np.cumsum(np.concatenate([np.diff(ends) for ends, _ in found]))), np.concatenate([ids for _, ids in found])
+
+    def _portion(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for some texts, whose distinct segments are merged together; long ones and those with a character without a
+        piece are merged one by one."""
         single, end = self._tables()[0], len(self.raw)
         raw = [t.encode() for t in texts]
         data = b"".join(raw)
@@ -212,7 +218,7 @@ class Vocabulary:
         first = np.cumsum(sizes) - sizes
         sizes = np.where((np.minimum.reduceat(symbols, first) < 0) | (sizes > SCANNED), SCANNED + 1, sizes)
         by_size = np.argsort(sizes, kind="stable")
-        counts, ids, symbols = [], [], np.append(symbols, end)
+        counts, ids, symbols = [], [], np.append(symbols, np.int32(end))
         bounds = np.searchsorted(sizes[by_size], (0, *WIDTHS), "right")
         for a, b in zip(bounds, bounds[1:]):
             for some in (by_size[x:min(x + TOGETHER, b)] for x in range(a, b, TOGETHER)):

@@ -94,6 +94,7 @@ def test_what_is_remembered_is_bounded_and_stays_at_home(monkeypatch):
 
 def test_new_words_of_many_texts_are_merged_together(monkeypatch):
     monkeypatch.setattr(S, "TOGETHER", 7)
+    monkeypatch.setattr(S, "PORTION", 5000)
     sp, v, draw = library.SentencePieceProcessor(model_file=MODEL), S.Vocabulary(MODEL), random.Random(4)
     words = ["".join(draw.choices("etaoinshrdlu.,$=éß漢0", k=n)) for n in range(1, 60) for _ in range(9)] + ["a" * n for n in range(1, 50)]
     texts = ["", *("  ".join(draw.choices(words, k=40)) for _ in range(9)), "", *words, " ", "", "\U000103a0 of \U000103a0s"]
