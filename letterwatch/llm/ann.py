@@ -23,7 +23,8 @@ REPLICAS, BOUNDARY = 2, 1.1        # a vector is put into so many lists at most,
 DEGREE, ENTRIES = 16, 32           # neighbours of a centroid in the graph; where each search begins
 PART = 16_384                      # vectors of lists that one task holds at a time, about
 QUERIES = 32_768                   # queries of one part of lists that one task answers; more are dealt to several
-AT_ONCE = 256                      # vectors or queries whose distances are held at once
+AT_ONCE = 256                      # vectors or queries whose distances are held at once, at most
+CELLS = 1 << 19                    # distances to centroids, links of a walk or products that are held at once, about
 SPARE = 3                          # candidates kept beyond the wanted number, as fast products may differ in the last digits
 
 
@@ -48,6 +49,11 @@ def balanced_centroids(x: np.ndarray, n_lists: int) -> np.ndarray:
     return np.stack(out)
 
 
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix, faster if little is set."""
+    return np.divmod(np.flatnonzero(mask), mask.shape[1])
+
+
 class Graph:
     """Centroids, each linked with its nearest ones, those it is nearest to, and its neighbours in the order of the lists."""
 
@@ -62,35 +68,46 @@ class Graph:
                 for j in js:
                     links[i].add(j)
                     links[j].add(i)
-        width = max(map(len, links))
-        self.links = np.array([[*s, *[i] * (width - len(s))] for i, s in enumerate(links)])
+        self.first = np.cumsum([0, *map(len, links)])                  # links of centroid i: from first[i] to first[i + 1]
+        self.links = np.array([j for s in links for j in s], np.int32)
         self.entries = np.unique(np.linspace(0, n - 1, min(ENTRIES, n)).astype(int))
 
-    def distances(self, q: np.ndarray, rows: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        """Distances of queries (unit vectors) and centroids, pair by pair."""
-        if len(rows) * 8 > len(q) * len(self.centroids):
-            dots = (q @ self.centroids.T)[rows, lists]
-        else:
-            dots = np.einsum("ij,ij->i", q[rows], self.centroids[lists])
-        return np.sqrt(np.maximum(1 + self.square[lists] - 2 * dots, 1e-12))
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """Distances (queries, centroids) of queries (unit vectors)."""
+        return np.sqrt(np.maximum(1 + self.square - 2 * (q @ self.centroids.T), 1e-12))
+
+    def linked(self, rows: np.ndarray, lists: np.ndarray, n: int) -> np.ndarray:
+        """(n, centroids): whether a link leads there from one of a query's lists.  About CELLS links are held at a time."""
+        out = np.zeros((n, len(self.centroids)), bool)
+        sizes = self.first[lists + 1] - self.first[lists]
+        upto = np.cumsum(sizes)
+        cuts = [0, *(np.flatnonzero(np.diff(upto // CELLS)) + 1).tolist(), len(rows)]
+        for a, b in zip(cuts, cuts[1:]):
+            some = sizes[a:b]
+            at = np.repeat(self.first[lists[a:b]] - (np.cumsum(some) - some), some)
+            at += np.arange(len(at))
+            out[np.repeat(rows[a:b], some), self.links[at]] = True
+        return out
 
     def within(self, q: np.ndarray, ratio: float) -> np.ndarray:
         """Distances (queries, centroids) of those the walk met within ``ratio`` times the least; infinite elsewhere.
 
-        From the entries, all links of every centroid within the ratio are followed until none is left.
+        From the entries, all links of every centroid within the ratio are followed until none is left.  The least only falls, so a
+        centroid that is too far when it is met stays so.
         """
-        found = np.full((len(q), len(self.centroids)), np.inf, np.float32)
-        done = np.zeros(found.shape, bool)
-        rows, lists = (x.ravel() for x in np.meshgrid(np.arange(len(q)), self.entries, indexing="ij"))
+        gaps = self.distances(q)
+        met = np.zeros(gaps.shape, bool)
+        met[:, self.entries] = True
+        least, (rows, lists) = np.full(len(q), np.inf, gaps.dtype), places(met)
         while len(rows):
-            found[rows, lists] = self.distances(q, rows, lists)
-            at, here = np.nonzero((found <= ratio * found.min(1)[:, None]) & ~done)
-            done[at, here] = True
-            wanted = np.zeros(found.shape, bool)
-            wanted[np.repeat(at, self.links.shape[1]), self.links[here].ravel()] = True
-            rows, lists = np.nonzero(wanted & np.isinf(found))
-        found[found > ratio * found.min(1)[:, None]] = np.inf
-        return found
+            here = gaps[rows, lists]
+            np.minimum.at(least, rows, here)
+            near = here <= ratio * least[rows]
+            new = self.linked(rows[near], lists[near], len(q)) & ~met
+            met |= new
+            rows, lists = places(new)
+        gaps[~met | (gaps > ratio * least[:, None])] = np.inf
+        return gaps
 
 
 @dataclass
@@ -113,6 +130,11 @@ class Index:
         q = q / np.abs(q).max(1)[:, None]
         return np.hstack([q / np.sqrt((q * q).sum(1))[:, None], np.zeros((len(q), 1))]).astype(np.float32)
 
+    @property
+    def step(self) -> int:
+        """Vectors or queries whose distances to all centroids are held at once."""
+        return max(1, min(AT_ONCE, CELLS // len(self.graph.centroids)))
+
     def lists_of(self, x: np.ndarray):
         """(rows, lists): each vector's nearest lists up to REPLICAS, within BOUNDARY times the least distance."""
         near = self.graph.within(self.lifted(x), BOUNDARY)
@@ -168,8 +190,8 @@ def posted(vectors: DataFrame, shared) -> DataFrame:
     """(list, rep, v): every vector in its lists."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, AT_ONCE):
-                b = batch.slice(start, AT_ONCE)
+            for start in range(0, batch.num_rows, shared.value.step):
+                b = batch.slice(start, shared.value.step)
                 rows, lists = shared.value.lists_of(matrix(b["v"]))
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), b["rep"].take(pa.array(rows)), b["v"].take(pa.array(rows))], ["list", "rep", "v"])
 
@@ -183,12 +205,12 @@ def tune(index: Index, vectors: DataFrame, lists: DataFrame, queries: DataFrame,
     if not sample.num_rows:
         sample = queries.select("v").limit(TUNE_ROWS).toArrow()
     q = matrix(sample["v"])
-    shared = vectors.sparkSession.sparkContext.broadcast(q)
+    shared, step = vectors.sparkSession.sparkContext.broadcast(q), max(1, CELLS // len(q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, kind = shared.value, None
         square, best, names = (q * q).sum(1), np.zeros((len(q), 0)), np.zeros((len(q), 0), np.int64)
-        for b in batches:
+        for b in (b.slice(start, step) for b in batches for start in range(0, b.num_rows, step)):
             kind, x = b["rep"].type, matrix(b["v"])
             dots = q @ x.T
             for i, j in zip(*np.nonzero(np.abs(dots - square[:, None]) <= 1e-9 * square[:, None])):
@@ -209,8 +231,7 @@ def tune(index: Index, vectors: DataFrame, lists: DataFrame, queries: DataFrame,
     if not len(held):
         return 1.0
     asked = index.asked(q)
-    rows, cells = (x.ravel() for x in np.meshgrid(np.arange(len(q)), np.arange(len(index.graph.centroids)), indexing="ij"))
-    gaps = index.graph.distances(asked, rows, cells).reshape(len(q), -1)
+    gaps = index.graph.distances(asked)
     held["need"] = gaps[held["q"], held["list"]] / gaps.min(1)[held["q"]]
     need = held.groupby(["q", "rep"])["need"].min()
     ratio = float(np.quantile(need, RECALL, method="higher")) * (1 + 1e-6)
@@ -241,9 +262,9 @@ def routed(queries: DataFrame, shared, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, AT_ONCE):
-                b = batch.slice(start, AT_ONCE)
-                rows, lists = np.nonzero(index.probed(matrix(b["v"]), (k + 1) * REPLICAS))
+            for start in range(0, batch.num_rows, index.step):
+                b = batch.slice(start, index.step)
+                rows, lists = places(index.probed(matrix(b["v"]), (k + 1) * REPLICAS))
                 times = index.parts[lists]
                 part = np.repeat(index.base[lists], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 rows, lists = np.repeat(rows, times), np.repeat(lists, times)
@@ -267,22 +288,33 @@ class Part:
         self.ids, first, at = np.unique(rows["vec_id"].to_numpy(), return_index=True, return_inverse=True)
         self.vectors = matrix(rows["v"])[first]
         self.lists, number = np.unique(lists, return_inverse=True)
-        self.holds = np.zeros((len(self.lists), len(self.ids)), np.float32)
-        self.holds[number, at] = 1
+        order, held = np.argsort(at, kind="stable"), np.bincount(at)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(held) - held, held)
+        self.spots = np.full((held.max(), len(self.ids)), len(self.lists))     # numbers of a vector's lists; the last one is never opened
+        self.spots[place, at[order]] = number[order]
+
+    @property
+    def step(self) -> int:
+        """Queries whose products with all vectors are held at once."""
+        return max(1, min(AT_ONCE, CELLS // len(self.ids)))
 
     def best(self, queries: pa.RecordBatch, few: int):
         """(query, vector, score) of the ``few`` largest inner products of each query with the vectors of its lists."""
         asked, wanted = matrix(queries["v"]), queries["lists"]
-        opened = np.zeros((len(asked), len(self.lists)), np.float32)
+        opened = np.zeros((len(asked), len(self.lists) + 1), bool)
         lists = wanted.flatten().to_numpy()
         spot = np.minimum(np.searchsorted(self.lists, lists), len(self.lists) - 1)
         row = np.repeat(np.arange(len(asked)), wanted.value_lengths().to_numpy())
         there = self.lists[spot] == lists
-        opened[row[there], spot[there]] = 1
-        scores = np.where(opened @ self.holds > 0, asked @ self.vectors.T, -np.inf)
-        few = min(few, scores.shape[1])
-        picked = np.argpartition(-scores, few - 1, axis=1)[:, :few]
-        row, place = np.nonzero(np.isfinite(np.take_along_axis(scores, picked, 1)))
+        opened[row[there], spot[there]] = True
+        seen = opened[:, self.spots[0]]
+        for more in self.spots[1:]:
+            seen |= opened[:, more]
+        far = -asked @ self.vectors.T
+        far[~seen] = np.inf
+        few = min(few, far.shape[1])
+        picked = np.argpartition(far, few - 1, axis=1)[:, :few]
+        row, place = np.nonzero(np.isfinite(np.take_along_axis(far, picked, 1)))
         picked = picked[row, place]
         return row, self.ids[picked], (asked[row] * self.vectors[picked]).sum(1)
 
@@ -303,9 +335,10 @@ def looked_through(lists: DataFrame, queries: DataFrame, few: int) -> DataFrame:
                 if not keys[2, start]:
                     waiting.append(b.slice(start, stop - start))
                     continue
-                part = part or (Part(waiting) if waiting else None)
-                for at in range(start, stop, AT_ONCE) if part else ():
-                    asked = b.slice(at, min(AT_ONCE, stop - at))
+                if waiting:
+                    part, waiting = Part(waiting), []
+                for at in range(start, stop, part.step) if part else ():
+                    asked = b.slice(at, min(part.step, stop - at))
                     row, ids, scores = part.best(asked, few)
                     row = pa.array(row)
                     yield pa.RecordBatch.from_arrays([asked["vec_id"].take(row), pa.array(ids, asked["vec_id"].type), pa.array(scores)],

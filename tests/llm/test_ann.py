@@ -1,4 +1,6 @@
 """Nearest neighbours by inner product against brute force: recall, order, scores, copies and odd vectors."""
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +93,38 @@ def test_walk_meets_what_a_full_scan_meets():
     rows, lists = index.lists_of(x)
     sizes = np.bincount(lists, minlength=60)
     assert set(rows) == set(range(4000)) and np.bincount(rows).max() <= ann.REPLICAS and sizes.max() <= 4 * sizes.mean()
+
+
+def test_memory_of_a_walk_through_most_lists_is_bounded():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 24))
+    index = ann.Index(None, float(np.sqrt((x * x).sum(1).max())), ratio=2.0)
+    index.graph = ann.Graph(ann.balanced_centroids(index.lifted(x), 2000))
+    index.sizes = np.ones(2000, np.int64)
+    tracemalloc.start()
+    probed = index.probed(x[:256], 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert probed.mean() > 0.5 and most < 100 << 20
+
+
+def test_links_followed_in_pieces_lead_to_the_same_lists(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 12))
+    index = ann.Index(None, float(np.sqrt((x * x).sum(1).max())))
+    index.graph = ann.Graph(ann.balanced_centroids(index.lifted(x), 90))
+    q = index.asked(rng.normal(size=(30, 12)))
+    for ratio in (1.0, 1.1, 1.3):
+        whole = index.graph.within(q, ratio)
+        with monkeypatch.context() as m:
+            m.setattr(ann, "CELLS", 17)
+            assert np.array_equal(index.graph.within(q, ratio), whole)
+        for i in range(len(q)):                                           # one query, one list at a time
+            gaps, met = index.graph.distances(q)[i], set(index.graph.entries.tolist())
+            new = met
+            while new:
+                least = min(gaps[list(met)])
+                links = [index.graph.links[index.graph.first[c]:index.graph.first[c + 1]].tolist() for c in new if gaps[c] <= ratio * least]
+                new = {c for some in links for c in some} - met
+                met |= new
+            assert set(np.flatnonzero(np.isfinite(whole[i])).tolist()) == {c for c in met if gaps[c] <= ratio * min(gaps[list(met)])}
