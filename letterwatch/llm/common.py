@@ -11,6 +11,7 @@ from ..functions.frames import materialize
 # A word is a run of characters other than blank, tab, line feed, vertical tab, form feed and carriage return.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 BATCH_ROWS = 256                   # documents that a Python task takes at a time, at most
+BATCH_BYTES = 2 << 20              # bytes after which a Python task takes no more documents at that time
 
 
 def by_value(module: str) -> None:
@@ -51,10 +52,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def whole_documents(df: DataFrame) -> DataFrame:
-    """Let Python tasks of the session take few rows at a time: a row is a whole document, and thousands would fill the memory."""
-    conf = df.sparkSession.conf
+    """Let Python tasks of the session take few rows and bytes at a time: a row is a whole document, and thousands, or hundreds of long
+    ones, would fill the memory."""
+    conf, size = df.sparkSession.conf, df.sparkSession.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if size(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) not in range(1, BATCH_BYTES + 1):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 

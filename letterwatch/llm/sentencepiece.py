@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ REMEMBERED, REMEMBERED_CHARS = 150_000, 48         # segments per generation and
 SCANNED, NEVER = 48, float("inf")  # longest segment whose pairs are looked through; rank of a pair that is no piece
 WIDTHS, TOGETHER = (10, 16, SCANNED), 8_192       # lengths up to which segments are merged together; so many at a time
 PORTION = 1 << 20                  # characters of texts that are split into segments at a time
-FITS = 300_000                     # pairs of pieces whose fit is remembered
+FITS = 300_000                     # pairs of pieces whose fit is remembered, each in a place of its own
 NORMAL, BYTE = 1, 6                # piece types
 PAIRS = 2                          # type of a byte-pair model, whose scores are ranks of merges
 SEGMENT = re.compile(" +[^ ]*|[^ ]+")
@@ -61,7 +62,7 @@ class Vocabulary:
         self._forget()
 
     def _forget(self):
-        self.segments, self.fitting = Remembered(self.packed, REMEMBERED_CHARS, REMEMBERED), {}
+        self.segments, self.fitting = Remembered(self.packed, REMEMBERED_CHARS, REMEMBERED), array("q", [-1]) * FITS
         self.tables = None
 
     def __getstate__(self):
@@ -135,10 +136,11 @@ class Vocabulary:
         return b"".join(map(self.segments.__getitem__, SEGMENT.findall(text)))
 
     def _tables(self) -> tuple[np.ndarray, pd.Index, np.ndarray, np.ndarray]:
-        """Identifier of each code point (-1: no piece), the pairs of identifiers that make a piece, the piece each makes, and the
-        place of each piece in the order of ranks.  The last entry of either stands for no piece."""
+        """Identifier of each code point (-1: no piece; -2: only part of pieces), the pairs of identifiers that make a piece, the piece
+        each makes, and the place of each piece in the order of ranks.  The last entry of either stands for no piece."""
         if self.tables is None:
             single, end = np.full(0x110000, -1, np.int32), len(self.raw)
+            single[[ord(c) for c in set().union(*self.ids)]] = -2
             made = {}
             for piece, i in self.ids.items():
                 if len(piece) == 1:
@@ -189,6 +191,16 @@ class Vocabulary:
         kept = (symbols != end).reshape(n, width)
         return kept.sum(1), symbols[kept.ravel()]
 
+    def _with_bytes(self, counts: np.ndarray, ids: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the bytes of the code points that have no piece, given in order, in place of the byte that stood for each."""
+        stands, raw = ids == self.bytes[0], [chr(c).encode() for c in points.tolist()]
+        times = np.ones(len(ids), np.int64)
+        times[stands] = [len(x) for x in raw]
+        rows = np.repeat(np.arange(len(counts)), counts)
+        out = np.repeat(ids, times)
+        out[np.repeat(stands, times)] = np.array(self.bytes, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
+        return np.bincount(rows, times, len(counts)).astype(np.int64), out
+
     def wholes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ends, identifiers) of many texts as ``whole`` gives them: those of text i lie from ends[i] to ends[i + 1]."""
         portion = np.cumsum([len(t) for t in texts]) // PORTION
@@ -197,8 +209,10 @@ class Vocabulary:
         return np.append(0, np.cumsum(np.concatenate([np.diff(ends) for ends, _ in found]))), np.concatenate([ids for _, ids in found])
 
     def _portion(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for some texts, whose distinct segments are merged together; long ones and those with a character without a
-        piece are merged one by one."""
+        """The same for some texts, whose distinct segments are merged together; long ones are merged one by one.
+
+        A character without a piece takes part as a byte, which makes no pair, and is replaced by its bytes afterwards.
+        """
         single, end = self._tables()[0], len(self.raw)
         raw = [t.encode() for t in texts]
         data = b"".join(raw)
@@ -214,16 +228,21 @@ class Vocabulary:
         distinct, which = segments.dictionary, segments.indices.to_numpy()
 
         sizes = pc.utf8_length(distinct).to_numpy()
-        symbols = single[np.frombuffer("".join(distinct.to_pylist()).encode("utf-32-le"), np.uint32)]
+        points = np.frombuffer("".join(distinct.to_pylist()).encode("utf-32-le"), np.uint32)
+        symbols = single[points]
         first = np.cumsum(sizes) - sizes
-        sizes = np.where((np.minimum.reduceat(symbols, first) < 0) | (sizes > SCANNED), SCANNED + 1, sizes)
+        sizes = np.where((np.minimum.reduceat(symbols, first) < -1) | (sizes > SCANNED), SCANNED + 1, sizes)
+        lacking, symbols = np.append(symbols < 0, False), np.append(np.where(symbols < 0, self.bytes[0], symbols), np.int32(end))
         by_size = np.argsort(sizes, kind="stable")
-        counts, ids, symbols = [], [], np.append(symbols, np.int32(end))
+        counts, ids = [], []
         bounds = np.searchsorted(sizes[by_size], (0, *WIDTHS), "right")
         for a, b in zip(bounds, bounds[1:]):
             for some in (by_size[x:min(x + TOGETHER, b)] for x in range(a, b, TOGETHER)):
                 columns = np.arange(sizes[some[-1]] + 1)
-                n, made = self._merged_together(symbols[np.where(columns < sizes[some, None], first[some, None] + columns, len(symbols) - 1)])
+                cells = np.where(columns < sizes[some, None], first[some, None] + columns, len(symbols) - 1)
+                n, made = self._merged_together(symbols[cells])
+                spots = cells[lacking[cells]]
+                n, made = self._with_bytes(n, made, points[spots]) if len(spots) else (n, made)
                 counts.append(n)
                 ids.append(made)
         for segment in distinct.take(by_size[bounds[-1]:]).to_pylist():
@@ -240,12 +259,15 @@ class Vocabulary:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether two pieces stay as they are when the text of both is encoded alone."""
-        known = self.fitting.get((left, right))
-        if known is None:
-            if len(self.fitting) >= FITS:
-                self.fitting.clear()
-            known = self.fitting[left, right] = left not in self.ids or right not in self.ids or self.pieces(left + right) == [left, right]
-        return known
+        a, b = self.ids.get(left), self.ids.get(right)
+        if a is None or b is None:
+            return True
+        key = a * len(self.raw) + b
+        place = key * 0x9E3779B1 % (1 << 32) % len(self.fitting)
+        known = self.fitting[place]
+        if known >> 1 != key:
+            known = self.fitting[place] = 2 * key + (self.pieces(left + right) == [left, right])
+        return bool(known & 1)
 
     def next_ends(self, text: str, at: int, limit: int) -> list[int]:
         """Where a piece that starts at ``at`` can end."""

@@ -1,6 +1,7 @@
 """Token counts and SentencePiece codes against the library, brute force and round trips."""
 import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -9,6 +10,7 @@ import sentencepiece as library
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from letterwatch.llm import common
 from letterwatch.llm import sentencepiece as S
 from letterwatch.llm import token_count as T
 
@@ -106,6 +108,50 @@ def test_new_words_of_many_texts_are_merged_together(monkeypatch):
     assert [x.tolist() for x in v.wholes([])] == [[0], []] and [x.tolist() for x in v.wholes(["", ""])] == [[0, 0, 0], []]
 
 
+def test_segments_without_a_piece_are_merged_with_the_others_and_leave_nothing_behind():
+    v, draw = S.Vocabulary(MODEL), random.Random(6)
+    odd = [c for c in map(chr, [0, 1, 7, 0x7F, 0x85, 0x301, 0x2581, 0xFFFD, 0x103A0, 0x1F9FF]) if c not in v.ids]
+    texts = [" " + " ".join("".join(draw.choices(odd + list("internation"), k=n)) for n in range(1, 40)) for _ in range(60)] + ["", " " + odd[0], " " + "".join(odd)]
+    ends, ids = v.wholes(texts)
+    assert len(odd) > 3 and not v.segments and not v.segments.older
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [np.frombuffer(v.whole(t), "<i4").tolist() for t in texts]
+
+
+def test_memory_of_fits_does_not_grow():
+    v, pieces = S.Vocabulary(MODEL), [p for p in S.Vocabulary(MODEL).ids if len(p) == 2][:150]
+    want = {(a, b): v.pieces(a + b) == [a, b] for a in pieces[::10] for b in pieces}
+    tracemalloc.start()
+    got = {(a, b): v.fits(a, b) for a in pieces[::10] for b in pieces}
+    some = tracemalloc.get_traced_memory()[0]
+    for a in pieces:
+        for b in pieces:
+            v.fits(a, b)
+    grown = tracemalloc.get_traced_memory()[0] - some
+    tracemalloc.stop()
+    assert got == want == {x: v.fits(*x) for x in want} and len(set(want.values())) == 2 and grown < 200_000
+
+
+def test_a_character_that_is_only_part_of_pieces(tmp_path):
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    next(p for p in proto.pieces if p.piece == "u").type = 5
+    (tmp_path / "less.model").write_bytes(proto.SerializeToString())
+    v, texts = S.Vocabulary(str(tmp_path / "less.model")), [" the unusual queue of unique tubs", "", " a u", " thus"]
+    ends, ids = v.wholes(texts)
+    assert "u" not in v.ids and any("u" in p for p in v.ids)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [np.frombuffer(v.whole(t), "<i4").tolist() for t in texts]
+
+
+def test_batches_of_long_documents_are_bounded_by_bytes(spark):
+    @F.pandas_udf("long")
+    def together(texts):
+        return texts.str.len().sum() + 0 * texts.str.len()
+
+    df = common.whole_documents(spark.range(100).coalesce(1).select(F.repeat(F.lit("words "), 20_000).alias("text")))
+    assert max(r[0] for r in df.select(together("text")).collect()) <= common.BATCH_BYTES + 120_000
+
+
 def test_other_kinds_of_models_are_refused(tmp_path):
     proto = sentencepiece_model_pb2.ModelProto()
     with open(MODEL, "rb") as f:
